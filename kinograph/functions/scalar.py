@@ -11,7 +11,8 @@ from .. import dims
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+    """Bounded, NULL staying NULL (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
 def shrink_rating(rating: Column, votes: Column, mean: Column | float, weight: float = 2500.0) -> Column:

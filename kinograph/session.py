@@ -105,3 +105,31 @@ def global_index(df: DataFrame, order: list, name: str = "position", start: int
 def one_row(df: DataFrame):
     """A one-row frame as a scalar subquery: a struct column to pick fields from."""
     return df.select(F.struct(*[F.col(c) for c in df.columns])).scalar()
+
+
+def running_totals(df: DataFrame, group: list[str], order: list, sums: dict) -> DataFrame:
+    """Per group, in order: ``before`` = rows before this one, and each sum over them.
+
+    A range sort splits even one dominant group over all partitions. Windows run per
+    (group, partition) slice; earlier slices enter through their totals, which number
+    at most groups + partitions.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(g) for g in group]
+    ranged = cut(df.repartitionByRange(n, *keys, *order).withColumn("_p", F.spark_partition_id()))
+    local = Window.partitionBy("_p", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.withColumns({
+        "_c": F.coalesce(F.count(F.lit(1)).over(local), F.lit(0)),
+        **{f"_s_{k}": F.coalesce(F.sum(v).over(local), F.lit(0.0)) for k, v in sums.items()},
+    })
+    slices = ranged.groupBy("_p", *group).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
+    earlier = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select(
+        "_p", *group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_on"),
+        *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0.0)).alias(f"_o_{k}") for k in sums])
+    return rows.join(offsets, ["_p", *group]).withColumns({
+        "before": F.col("_c") + F.col("_on"),
+        **{k: F.col(f"_s_{k}") + F.col(f"_o_{k}") for k in sums},
+    }).drop("_p", "_c", "_on", *[f"_s_{k}" for k in sums], *[f"_o_{k}" for k in sums])
