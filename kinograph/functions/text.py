@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NOT_WORD = r"(?U)[^\p{L}\p{N}_\s]"
 
@@ -22,18 +23,18 @@ def _decomposed(s: pd.Series) -> pd.Series:
     return s.map(fold)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_accents(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks."""
     return _decomposed(s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_case(s: pd.Series) -> pd.Series:
     return _decomposed(s).str.casefold()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two strings, 0..1."""
     memo: dict = {}

@@ -15,6 +15,7 @@ def query(name: str, sql: str | None = None, floats: tuple = ()):
             def run(spark, d):
                 return fn(spark, d).withColumns({c: F.col(c).cast("double") for c in floats})
         assert name not in QUERIES, name
+        run.family = fn.__module__
         QUERIES[name] = run
         if sql is not None:
             casts = ", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in floats)

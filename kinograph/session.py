@@ -23,6 +23,7 @@ def get_session(app: str = "kinograph", cpus: int | str | None = None) -> SparkS
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_MEM", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.executorEnv.OMP_NUM_THREADS", "1")
         .getOrCreate()
     )

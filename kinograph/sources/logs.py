@@ -94,15 +94,19 @@ JOB_LINE = T.StructType([
 ])
 
 
-def read_job_log(spark: SparkSession, path: str) -> DataFrame:
-    """Job lines of many files, each with its file and line number. A torn line is
-    skipped; a file whose first readable line is not a request is not a job."""
+def parse_job_lines(raw: DataFrame) -> DataFrame:
+    """Job lines of many files (file, line, value). A torn line is skipped; a file whose
+    first readable line is not a request is not a job."""
     schema = T.StructType([*JOB_LINE.fields, T.StructField("_bad", T.StringType())])
-    raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line"), "value")
     lines = raw.withColumn("_j", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"})).filter(
         F.col("_j.kind").isNotNull() & F.col("_j._bad").isNull()).select("file", "line", *[F.col(f"_j.{f}").alias(f) for f in JOB_LINE.names])
     first = lines.groupBy("file").agg(F.min_by(F.struct("kind", "id", "request"), F.col("line")).alias("_f")).filter(
         (F.col("_f.kind") == "request") & F.col("_f.id").isNotNull()).select("file", F.col("_f.id").alias("job_id"))
     return lines.join(first, "file")
+
+
+def read_job_log(spark: SparkSession, path: str) -> DataFrame:
+    """Lines ordered by where they stand in their file, however it was split."""
+    return parse_job_lines(spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line"), "value"))
