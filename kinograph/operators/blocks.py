@@ -121,6 +121,8 @@ def per_block(queries: DataFrame, items: DataFrame, skip: DataFrame | None, fn,
         drop = {q: set(g.astype("int64")) for q, g in gone.groupby("qid")["_skip"]}
         return fn(asked, rp, drop)
 
+    # Fresh column identities: one side is often derived from the other.
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
     return left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInPandas(run, schema)
 
 

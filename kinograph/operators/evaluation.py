@@ -355,6 +355,7 @@ def _walk(seq: DataFrame, features: DataFrame, capacity: tuple, penalty) -> Data
             m, n = m + np.outer(a, a), n + 1.0
         return pd.DataFrame(out, columns=schema.names)
 
+    lifted, starts = lifted.toDF(*lifted.columns), starts.toDF(*starts.columns)
     return lifted.groupBy("user_id", "seg").cogroup(starts.groupBy("user_id", "seg")).applyInPandas(predict, schema)
 
 

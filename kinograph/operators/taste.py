@@ -212,6 +212,8 @@ def with_model(rows: DataFrame, models: DataFrame, fn, schema: T.StructType) ->
             return pd.DataFrame([], columns=schema.names)
         return fn(rp.iloc[0], lp)
 
+    # Fresh column identities: one side is often derived from the other.
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
     return left.groupBy("user_id", "_c").cogroup(right.groupBy("user_id", "_c")).applyInPandas(run, schema)
 
 

@@ -315,11 +315,15 @@ def _(spark, d):
     return _cases(spark, d).select("case_id", "batch_id", "item_id", r6("full_score"), r6("full_like_prob"), r6("ridge_like_prob"), "full_rank", "ridge_rank")
 
 
+def _case_id():
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+
+
 def plain_cases(spark, d):
     """Order lines as sealed cases of one batch per order."""
     q = F.col("l_quantity")
     return R.table(spark, d, "lineitem").select(
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("case_id"), F.col("l_orderkey").cast("string").alias("batch_id"),
+        _case_id().alias("case_id"), F.col("l_orderkey").cast("string").alias("batch_id"),
         F.pmod("l_orderkey", F.lit(40)).alias("user_id"), F.col("l_partkey").alias("item_id"), (q / 50).alias("full_score"), (q / 50).alias("full_like_prob"), (F.col("l_discount") * 10).alias("ridge_score"),
         F.row_number().over(_w("l_quantity")).alias("full_rank"), F.row_number().over(_w("l_discount")).alias("ridge_rank"),
         F.when(F.col("l_returnflag") == "R", "revealed").otherwise("sealed").alias("status"), F.when(F.col("l_returnflag") == "R", 0.4).alias("actual_reward"),
@@ -329,44 +333,40 @@ def plain_cases(spark, d):
 def _w(c):
     from pyspark.sql import Window
 
-    return Window.partitionBy("l_orderkey").orderBy(F.desc(c), "l_linenumber", "l_partkey")
+    return Window.partitionBy("l_orderkey").orderBy(F.desc(c), "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def reveals(spark, d):
     word = F.when(F.col("l_quantity") > 40, "love").when(F.col("l_quantity") > 25, "like").when(F.col("l_quantity") > 20, "unseen").when(F.col("l_quantity") > 2, "dislike").otherwise("what")
     line = R.table(spark, d, "lineitem").select(
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("case_id"), word.alias("verdict"), F.col("l_shipdate").alias("ts"))
+        _case_id().alias("case_id"), word.alias("verdict"), F.col("l_shipdate").alias("ts"))
     return line.unionByName(line.withColumns({"verdict": F.lit("hate"), "ts": F.expr("ts + INTERVAL 1 DAY")}))
 
 
-REV = """ca AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS case_id, CAST(l_orderkey AS VARCHAR) AS batch_id, l_orderkey % 40 AS user_id, l_quantity / 50 AS fs, l_discount * 10 AS rs, l_returnflag = 'R' AS pre, l_shipdate, l_quantity,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS fr, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_partkey) AS rr FROM lineitem),
+REV = """ca AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS case_id, CAST(l_orderkey AS VARCHAR) AS batch_id, l_orderkey % 40 AS user_id, l_quantity / 50 AS fs, l_discount * 10 AS rs, l_returnflag = 'R' AS pre, l_shipdate, l_quantity,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS fr, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_partkey, l_suppkey) AS rr FROM lineitem),
   rw AS (SELECT case_id, verdict FROM (SELECT case_id, verdict, row_number() OVER (PARTITION BY case_id ORDER BY ts, verdict) AS rn FROM (
       SELECT case_id, CASE WHEN l_quantity > 40 THEN 'love' WHEN l_quantity > 25 THEN 'like' WHEN l_quantity > 20 THEN 'unseen' WHEN l_quantity > 2 THEN 'dislike' ELSE 'what' END AS verdict, l_shipdate AS ts FROM ca
       UNION ALL SELECT case_id, 'hate', l_shipdate + INTERVAL 1 DAY FROM ca)) WHERE rn = 1),
-  rv AS (SELECT DISTINCT ca.case_id, batch_id, user_id, fs, rs, fr, rr, CASE WHEN pre THEN 'revealed' WHEN verdict = 'unseen' THEN 'unseen' WHEN verdict = 'what' THEN 'sealed' ELSE 'revealed' END AS status,
+  rv AS (SELECT ca.case_id, batch_id, user_id, fs, rs, fr, rr, CASE WHEN pre THEN 'revealed' WHEN verdict = 'unseen' THEN 'unseen' WHEN verdict = 'what' THEN 'sealed' ELSE 'revealed' END AS status,
     CASE WHEN pre THEN 0.4 ELSE CASE verdict WHEN 'love' THEN 1.0 WHEN 'like' THEN 0.75 WHEN 'dislike' THEN 0.1 END END AS reward FROM ca JOIN rw USING (case_id))"""
 
 
-def _unique_cases(spark, d):
-    return plain_cases(spark, d)
-
-
 @query("reveal_predictions", f"WITH {REV} SELECT case_id, status, CAST(reward AS DOUBLE) AS actual_reward FROM rv")
 def _(spark, d):
-    return P.reveal_predictions(_unique_cases(spark, d), reveals(spark, d)).select("case_id", "status", "actual_reward").distinct()
+    return P.reveal_predictions(plain_cases(spark, d), reveals(spark, d)).select("case_id", "status", "actual_reward")
 
 
-@query("reveal_events", f"WITH {REV} SELECT rv.case_id, reward * 10 AS value FROM rv JOIN (SELECT DISTINCT case_id FROM ca WHERE NOT pre) USING (case_id) WHERE status = 'revealed'")
+@query("reveal_events", f"WITH {REV} SELECT rv.case_id, reward * 10 AS value FROM rv JOIN (SELECT case_id FROM ca WHERE NOT pre) USING (case_id) WHERE status = 'revealed'")
 def _(spark, d):
-    before = _unique_cases(spark, d)
+    before = plain_cases(spark, d)
     after = P.reveal_predictions(before, reveals(spark, d)).withColumn("item_id", F.col("case_id"))
-    return P.reveal_events(before, after).select(F.col("item_id").alias("case_id"), "value").distinct()
+    return P.reveal_events(before, after).select(F.col("item_id").alias("case_id"), "value")
 
 
-@query("open_cases", sql("SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS case_id, title FROM lineitem JOIN titles ON item_id = l_partkey WHERE l_returnflag <> 'R'", "titles"))
+@query("open_cases", sql("SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS case_id, title FROM lineitem JOIN titles ON item_id = l_partkey WHERE l_returnflag <> 'R'", "titles"))
 def _(spark, d):
-    return P.open_cases(_unique_cases(spark, d), R.titles(spark, d)).select("case_id", "title").distinct()
+    return P.open_cases(plain_cases(spark, d), R.titles(spark, d)).select("case_id", "title")
 
 
 SUMMARY = REV + """, li AS (SELECT * FROM rv WHERE status <> 'unseen'), ok AS (SELECT batch_id, count(*) AS n FROM li GROUP BY 1 HAVING count(*) FILTER (WHERE status <> 'revealed') = 0),
@@ -375,7 +375,7 @@ SUMMARY = REV + """, li AS (SELECT * FROM rv WHERE status <> 'unseen'), ok AS (S
 
 
 def summary_cases(spark, d):
-    return P.reveal_predictions(_unique_cases(spark, d), reveals(spark, d)).dropDuplicates(["case_id"])
+    return P.reveal_predictions(plain_cases(spark, d), reveals(spark, d))
 
 
 @query("validation_summary", f"""WITH {SUMMARY}, a AS (SELECT user_id, count(*) AS completed, avg(abs(fs - reward)) AS full_mae, avg(abs(rs - reward)) AS ridge_mae, avg((fs - hit) * (fs - hit)) AS full_brier, avg(CASE WHEN f <= k THEN hit END) AS full_top10, avg(CASE WHEN r <= k THEN hit END) AS ridge_top10 FROM c GROUP BY 1)

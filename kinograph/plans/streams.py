@@ -42,10 +42,13 @@ def _(spark, d):
     return W.keep_current(agg, scratch(spark, "watch"), scratch(spark, "cp"), ["user_id", "item_id"]).filter("active").select("user_id", "item_id")
 
 
-@query("stream_attribution", sql(f"WITH {LOOSE} SELECT user_id, item_id, slate_id, reward FROM ex WHERE propensity > 0 UNION ALL SELECT user_id, item_id, slate_id, reward FROM lo WHERE propensity > 0", "log", "impressions"))
+AFTER = LOOSE.replace("AND e.value IS NOT NULL)", "AND e.value IS NOT NULL AND e.ts >= i.ts)")
+
+
+@query("stream_attribution", sql(f"WITH {AFTER} SELECT user_id, item_id, slate_id, reward FROM ex WHERE propensity > 0 UNION ALL SELECT user_id, item_id, slate_id, reward FROM lo WHERE propensity > 0", "log", "impressions"))
 def _(spark, d):
-    """With an interval over the whole log the stream equals the batch join, but for stamped
-    verdicts given before their impression, which these slates hold too."""
+    """With an interval over the whole log the stream equals the batch join on verdicts that
+    follow their impression."""
     imp, ev = R.impressions(spark, d), R.events(spark, d)
     joined = W.stream_attribution(_stream(spark, imp, "imp"), _stream(spark, ev, "ev"), "60 days", "60 days")
     path = scratch(spark, "pairs")

@@ -10,8 +10,6 @@ from pyspark.sql import types as T
 from ..operators import copies, events as E, itemspace
 from ..session import scratch
 
-DAY = F.to_date("ts")
-
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, per_batch: int = 1, pattern: str | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
@@ -50,7 +48,7 @@ def event_sink(log: str, late: str, schema: T.StructType, delay_days: int):
         spark = batch.sparkSession
         have = _existing(spark, log, stored)
         newest = have.agg(F.max("day").alias("d")).head()["d"]
-        rows = batch.dropDuplicates([c for c in E.NATURAL_KEY]).withColumn("day", DAY)
+        rows = batch.dropDuplicates([c for c in E.NATURAL_KEY]).withColumn("day", F.to_date("ts"))
         fresh, mark = rows, None
         if newest is not None:
             mark = F.date_sub(F.lit(newest), delay_days)
