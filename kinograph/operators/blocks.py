@@ -23,6 +23,13 @@ def _stack(column) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in column]) if len(column) else np.zeros((0, 0))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions by ``keys`` in a fixed number. Python work is heavy per byte, so it must
+    not be merged into few tasks for having little data; grouping reuses this partitioning."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Weighted moments of [1, vec, y] per key: ``packed`` upper triangle and ``n``.
 
@@ -72,7 +79,7 @@ def moments(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     slim = rows.select(*keys, F.col("w").cast("double"), F.col("y").cast("double"), F.col("cnt").cast("double"), "vec")
     folded = slim.sortWithinPartitions(*keys).mapInPandas(fold, mid)
-    return folded.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(merge, out)
+    return spread(folded, *keys).sortWithinPartitions(*keys).mapInPandas(merge, out)
 
 
 def one_moment(rows: DataFrame) -> tuple[np.ndarray, float]:
@@ -122,7 +129,7 @@ def per_block(queries: DataFrame, items: DataFrame, skip: DataFrame | None, fn,
         return fn(asked, rp, drop)
 
     # Fresh column identities: one side is often derived from the other.
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    left, right = spread(left.toDF(*left.columns), "_b", "_s"), spread(right.toDF(*right.columns), "_b", "_s")
     return left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInPandas(run, schema)
 
 

@@ -335,7 +335,7 @@ def _walk(seq: DataFrame, features: DataFrame, capacity: tuple, penalty) -> Data
                 total, n = total + np.asarray(r.packed), n + r.n
             yield pd.DataFrame(out, columns=start.names)
 
-    starts = parts.repartition("user_id").sortWithinPartitions("user_id", "seg").mapInPandas(sum_up, start)
+    starts = B.spread(parts, "user_id").sortWithinPartitions("user_id", "seg").mapInPandas(sum_up, start)
     schema = T.StructType([seq.schema["user_id"], T.StructField("step", T.LongType()), T.StructField("actual", T.DoubleType()), T.StructField("predicted", T.DoubleType()),
                            T.StructField("sd", T.DoubleType()), T.StructField("evidence", T.DoubleType()), T.StructField("width", T.IntegerType()), T.StructField("gamma", T.DoubleType())])
 
@@ -355,7 +355,7 @@ def _walk(seq: DataFrame, features: DataFrame, capacity: tuple, penalty) -> Data
             m, n = m + np.outer(a, a), n + 1.0
         return pd.DataFrame(out, columns=schema.names)
 
-    lifted, starts = lifted.toDF(*lifted.columns), starts.toDF(*starts.columns)
+    lifted, starts = B.spread(lifted.toDF(*lifted.columns), "user_id", "seg"), B.spread(starts.toDF(*starts.columns), "user_id", "seg")
     return lifted.groupBy("user_id", "seg").cogroup(starts.groupBy("user_id", "seg")).applyInPandas(predict, schema)
 
 

@@ -9,6 +9,7 @@ from .. import dims
 from ..functions import scalar as S
 from ..functions import text as X
 from ..session import cut
+from . import blocks as B
 
 MATCH = ("item_id", "title", "original_title", "year", "kind", "language", "imdb_votes")
 EXACT_POOL, CONTAINS_POOL, PREFIX_POOL, FALLBACK_POOL = 40, 120, 4000, 30_000
@@ -130,7 +131,8 @@ def match_fuzzy(searches: DataFrame, titles: DataFrame) -> DataFrame:
     chunk = F.pmod(F.xxhash64("item_id"), F.lit(_FALLBACK_CHUNKS)).cast("int")
     far = lonely.withColumn("_k", F.coalesce("want_kind", F.lit("any"))).withColumn(
         "_c", F.explode(F.sequence(F.lit(0), F.lit(_FALLBACK_CHUNKS - 1)))).join(pool.withColumn("_c", chunk), ["_k", "_c"]).drop("_k", "_c")
-    pairs = near.unionByName(far.select(*near.columns))
+    # Similarity is costly per pair: deal pairs evenly, whatever query they belong to.
+    pairs = B.spread(near.unionByName(far.select(*near.columns)), "search_id", "item_id")
     sim = F.greatest(X.similarity(F.col("norm"), F.coalesce("norm_title", F.lit(""))),
                      X.similarity(F.col("norm"), F.coalesce("norm_original", F.lit(""))))
     return pairs.withColumn("score", sim * 0.9 + _bonus()).drop("prefix")

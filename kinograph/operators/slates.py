@@ -80,7 +80,7 @@ def mmr(listed: DataFrame, latent: DataFrame, k: int, balance: float = 0.72) ->
         picks = N.marginal_relevance(pdf["score"].to_numpy(float), B._stack(pdf["_v"]), k, balance)
         return pdf.iloc[picks].assign(rank=np.arange(1, len(picks) + 1))[schema.names]
 
-    return rows.groupBy("user_id").applyInPandas(run, schema)
+    return B.spread(rows, "user_id").groupBy("user_id").applyInPandas(run, schema)
 
 
 def _scan(weights: DataFrame, means: DataFrame, features: DataFrame, skip: DataFrame | None, pool: int, greedy: int,
@@ -104,10 +104,12 @@ def _scan(weights: DataFrame, means: DataFrame, features: DataFrame, skip: DataF
         latent, heat = B._stack(rp["latent"]), rp["heat"].to_numpy(float)
         for (_, _), users in q.groupby(["n_rff", "gamma"]):
             phi = K._phi(users.iloc[0], x)
-            for r in users.itertuples(index=False):
+            drawn = B._stack(users["w"]) @ phi.T + users["b"].to_numpy(float)[:, None]
+            mean = B._stack(users["mw"]) @ phi.T + users["mb"].to_numpy(float)[:, None]
+            for i, r in enumerate(users.itertuples(index=False)):
                 keep = B.keep_mask(ids, drop.get(r.qid))
                 aff = latent @ np.asarray(r.mood) if r.mood is not None else np.zeros(len(ids))
-                yield r, ids[keep], (phi @ np.asarray(r.w) + r.b)[keep], (phi @ np.asarray(r.mw) + r.mb)[keep], aff[keep], heat[keep]
+                yield r, ids[keep], drawn[i][keep], mean[i][keep], aff[keep], heat[keep]
 
     if use_mood or novelty > 0:
         mom = T.StructType([asked.schema["qid"], *[T.StructField(c, T.DoubleType()) for c in ("n", "s", "a", "e", "ss", "aa", "ee", "sa", "se", "ae")]])
@@ -164,21 +166,41 @@ def recommend(models: DataFrame, features: DataFrame, titles: DataFrame, exclude
     weights = cut(K.sample_weights(models, slate if slate is not None else F.lit("slate"), max(explore, 0.0))) if strategy == "thompson" else means
     pool, greedy = max(size, 20 * k), max(4 * k, 64)
     top, best = _scan(weights, means, items, excluded, pool, greedy, moods, mood_weight, novelty)
-    listed = _with_sd(top.union(best).distinct(), features, models)
-    if strategy == "ucb":
-        bonus = max(explore, 0.0) * F.col("sd")
-        listed = listed.withColumn("score", (F.col("mean") if compat else F.col("score")) + bonus)
-    listed = cut(listed)
-    picked = mmr(listed, features, 3 * k, mmr_lambda).join(titles.select("item_id", "language"), "item_id")
+    listed = cut(_finish(top.union(best).distinct(), features, models, strategy, max(explore, 0.0), compat, 3 * k, mmr_lambda))
+    picked = listed.filter("rank is not null").join(titles.select("item_id", "language"), "item_id")
     final = language_quota(picked, k, max_share).drop("rank", "language")
     with_p = final.join(propensity(listed).select("user_id", "item_id", "propensity"), ["user_id", "item_id"])
     return explored_flag(with_p, best, k)
 
 
-def _with_sd(pairs: DataFrame, features: DataFrame, models: DataFrame) -> DataFrame:
-    """Predictive sd on shortlists only; the mean is the one already computed."""
-    slim = pairs.select("user_id", "item_id", "score", F.col("mean").alias("_m"))
-    return K.predict_pairs(slim, features, models).withColumn("mean", F.col("_m")).drop("_m")
+def _finish(pairs: DataFrame, features: DataFrame, models: DataFrame, strategy: str, kappa: float, compat: bool, k: int, balance: float) -> DataFrame:
+    """Predictive sd, the optimistic score and diversification of each shortlist in one pass.
+
+    Shortlists are bounded by their rule, so a user's rows meet in one group. ``rank`` is NULL
+    for rows diversification did not pick.
+    """
+    rows = pairs.join(features.select("item_id", "vec", F.size("latent").alias("_d")), "item_id")
+    schema = T.StructType([*pairs.schema.fields, T.StructField("sd", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+
+    def run(lp: pd.DataFrame, mp: pd.DataFrame) -> pd.DataFrame:
+        if lp.empty or mp.empty:
+            return pd.DataFrame([], columns=schema.names)
+        model, x = mp.iloc[0], B._stack(lp["vec"])
+        phi = K._phi(model, x)
+        sd = np.sqrt(np.maximum(N.quadratic(phi, np.asarray(model["cov"]).reshape(phi.shape[1], -1)) + 1.0 / model["beta"], 1e-12))
+        score = lp["score"].to_numpy(float)
+        if strategy == "ucb":
+            score = (lp["mean"].to_numpy(float) if compat else score) + kappa * sd
+        order = np.lexsort((lp["item_id"].to_numpy(), -score))
+        picks = order[N.marginal_relevance(score[order], x[order, : int(lp["_d"].iloc[0])], k, balance)]
+        rank = np.full(len(lp), None, dtype=object)
+        rank[picks] = np.arange(1, len(picks) + 1)
+        return lp.assign(score=score, sd=sd, rank=pd.array(rank, dtype="Int32"))[schema.names]
+
+    left = B.spread(rows.toDF(*rows.columns), "user_id")
+    right = models.select("user_id", "cov", "beta", "n_rff", "gamma")
+    right = B.spread(right.toDF(*right.columns), "user_id")
+    return left.groupBy("user_id").cogroup(right.groupBy("user_id")).applyInPandas(run, schema)
 
 
 def reasons(slate: DataFrame, liked: DataFrame, space: DataFrame, top: int = 3, min_similarity: float = 0.15) -> DataFrame:

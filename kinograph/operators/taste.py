@@ -213,7 +213,7 @@ def with_model(rows: DataFrame, models: DataFrame, fn, schema: T.StructType) ->
         return fn(rp.iloc[0], lp)
 
     # Fresh column identities: one side is often derived from the other.
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    left, right = B.spread(left.toDF(*left.columns), "user_id", "_c"), B.spread(right.toDF(*right.columns), "user_id", "_c")
     return left.groupBy("user_id", "_c").cogroup(right.groupBy("user_id", "_c")).applyInPandas(run, schema)
 
 
