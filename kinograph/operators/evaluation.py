@@ -417,6 +417,11 @@ def correlation_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(r, n)], dtype="float64")
 
 
+def _corr(x: str, y: str) -> Column:
+    """Correlation, NULL rather than an error when either side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def audit_readings(steps: DataFrame, window: int = 10, uninformative: float = 0.005, interval: float = 0.90) -> DataFrame:
     """One row per user: error, control, coverage, rank correlation, skill trend and slope;
     NULL where the sample is too small to say."""
@@ -426,7 +431,7 @@ def audit_readings(steps: DataFrame, window: int = 10, uninformative: float = 0.
         F.avg(F.col("inside").cast("double")).alias("coverage"))
     informative = steps.filter(F.col("control_error") > uninformative).withColumn("skill", F.col("control_error") - F.col("error"))
     sizes = informative.groupBy("user_id").agg(
-        F.count("*").alias("n_informative"), F.regr_slope("skill", F.col("step").cast("double")).alias("_slope"), F.corr("skill", F.col("step").cast("double")).alias("_r"))
+        F.count("*").alias("n_informative"), F.try_divide(F.covar_pop("skill", "step"), F.var_pop("step")).alias("_slope"), _corr("skill", "step").alias("_r"))
     w = F.when(F.col("n_informative") < 2 * window, F.greatest(F.floor(F.col("n_informative") / 2), F.lit(1))).otherwise(window)
     placed = running_totals(informative.select("user_id", "step", "skill"), ["user_id"], [F.asc("step")], {}).join(sizes.select("user_id", "n_informative"), "user_id").withColumn("_w", w)
     trend = placed.groupBy("user_id").agg(
@@ -434,7 +439,7 @@ def audit_readings(steps: DataFrame, window: int = 10, uninformative: float = 0.
         F.avg(F.when(F.col("before") >= F.col("n_informative") - F.col("_w"), F.col("skill"))).alias("late_skill"))
     a = average_rank(steps.select("user_id", "step", "predicted"), ["user_id"], "predicted", "step").select("user_id", "step", "predicted_rank")
     b = average_rank(steps.select("user_id", "step", "actual"), ["user_id"], "actual", "step").select("user_id", "step", "actual_rank")
-    rho = a.join(b, ["user_id", "step"]).groupBy("user_id").agg(F.corr("predicted_rank", "actual_rank").alias("_rho"))
+    rho = a.join(b, ["user_id", "step"]).groupBy("user_id").agg(_corr("predicted_rank", "actual_rank").alias("_rho"))
     out = base.join(sizes, "user_id", "left").join(trend, "user_id", "left").join(rho, "user_id", "left")
     enough, enough_i = F.col("n") >= 8, F.coalesce("n_informative", F.lit(0)) >= 8
     return out.select(

@@ -73,7 +73,8 @@ def arm_answers(spark, d):
 
 
 def arm_items(spark, d):
-    return cut(features(spark, d).join(R.titles(spark, d).select("item_id", "imdb_votes", "quality", "language"), "item_id"))
+    t = cut(R.titles(spark, d))
+    return cut(features(spark, d, t).join(t.select("item_id", "imdb_votes", "quality", "language"), "item_id"))
 
 
 ARM = "la AS (SELECT user_id, item_id, value / 10 AS reward FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC, event_id DESC) AS rn FROM log WHERE kind = 'rate' AND value IS NOT NULL) WHERE rn = 1 AND item_id IN (SELECT item_id FROM space))"

@@ -223,8 +223,8 @@ def _(spark, d):
 # --- taste ---
 
 
-def features(spark, d):
-    return cut(I.feature_vectors(R.titles(spark, d), R.space(spark, d)))
+def features(spark, d, t=None):
+    return cut(I.feature_vectors(t if t is not None else cut(R.titles(spark, d)), R.space(spark, d)))
 
 
 def labels(spark, d):
@@ -431,8 +431,9 @@ def _(spark, d):
 
 
 def _recommend(spark, d, **kw):
-    feats = features(spark, d)
-    return L.recommend(models(spark, d, feats), feats, R.titles(spark, d), E.excluded(R.events(spark, d)), **kw).select(
+    t = cut(R.titles(spark, d))
+    feats = features(spark, d, t)
+    return L.recommend(models(spark, d, feats), feats, t, E.excluded(R.events(spark, d)), **kw).select(
         "user_id", "item_id", "position", r6("score"), r6("mean"), r6("sd"), F.round("propensity", 9).alias("propensity"), "explored")
 
 
@@ -510,8 +511,8 @@ def _(spark, d):
 
 @query("question_batch")
 def _(spark, d):
-    ev = R.events(spark, d)
-    return Q.question_batch(ev, ev.select("user_id"), R.titles(spark, d), features(spark, d), R.space(spark, d), least=10, min_titles=3)
+    ev, t = R.events(spark, d), cut(R.titles(spark, d))
+    return Q.question_batch(ev, ev.select("user_id"), t, features(spark, d, t), R.space(spark, d), least=10, min_titles=3)
 
 
 # --- discovery ---
@@ -560,7 +561,8 @@ def _(spark, d):
 
 
 def _described(spark, d):
-    return D.describe_axes(models(spark, d), R.space(spark, d), R.titles(spark, d), 64, pole=60)
+    t = cut(R.titles(spark, d))
+    return D.describe_axes(models(spark, d, features(spark, d, t)), R.space(spark, d), t, 64, pole=60)
 
 
 @query("describe_axes")
