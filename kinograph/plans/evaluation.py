@@ -317,7 +317,8 @@ def _(spark, d):
 
 
 def _case_id():
-    return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+                       F.date_format("l_shipdate", "yyyyMMdd"))
 
 
 def plain_cases(spark, d):
@@ -344,7 +345,7 @@ def reveals(spark, d):
     return line.unionByName(line.withColumns({"verdict": F.lit("hate"), "ts": F.expr("ts + INTERVAL 1 DAY")}))
 
 
-REV = """ca AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS case_id, CAST(l_orderkey AS VARCHAR) AS batch_id, l_orderkey % 40 AS user_id, l_quantity / 50 AS fs, l_discount * 10 AS rs, l_returnflag = 'R' AS pre, l_shipdate, l_quantity,
+REV = """ca AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') AS case_id, CAST(l_orderkey AS VARCHAR) AS batch_id, l_orderkey % 40 AS user_id, l_quantity / 50 AS fs, l_discount * 10 AS rs, l_returnflag = 'R' AS pre, l_shipdate, l_quantity,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS fr, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_partkey, l_suppkey) AS rr FROM lineitem),
   rw AS (SELECT case_id, verdict FROM (SELECT case_id, verdict, row_number() OVER (PARTITION BY case_id ORDER BY ts, verdict) AS rn FROM (
       SELECT case_id, CASE WHEN l_quantity > 40 THEN 'love' WHEN l_quantity > 25 THEN 'like' WHEN l_quantity > 20 THEN 'unseen' WHEN l_quantity > 2 THEN 'dislike' ELSE 'what' END AS verdict, l_shipdate AS ts FROM ca
@@ -365,7 +366,7 @@ def _(spark, d):
     return P.reveal_events(before, after).select(F.col("item_id").alias("case_id"), "value")
 
 
-@query("open_cases", sql("SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS case_id, title FROM lineitem JOIN titles ON item_id = l_partkey WHERE l_returnflag <> 'R'", "titles"))
+@query("open_cases", sql("SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') AS case_id, title FROM lineitem JOIN titles ON item_id = l_partkey WHERE l_returnflag <> 'R'", "titles"))
 def _(spark, d):
     return P.open_cases(plain_cases(spark, d), R.titles(spark, d)).select("case_id", "title")
 
@@ -380,10 +381,10 @@ def summary_cases(spark, d):
 
 
 @query("validation_summary", f"""WITH {SUMMARY}, a AS (SELECT user_id, count(*) AS completed, avg(abs(fs - reward)) AS full_mae, avg(abs(rs - reward)) AS ridge_mae, avg((fs - hit) * (fs - hit)) AS full_brier, avg(CASE WHEN f <= k THEN hit END) AS full_top10, avg(CASE WHEN r <= k THEN hit END) AS ridge_top10 FROM c GROUP BY 1)
-SELECT user_id, completed, what, round(value, 6) AS value FROM (SELECT user_id, completed, unnest(['full_mae', 'ridge_mae', 'full_brier', 'full_top10', 'ridge_top10', 'top10_lift']) AS what, unnest([full_mae, ridge_mae, full_brier, full_top10, ridge_top10, lift]) AS value FROM a JOIN lf USING (user_id))""")
+SELECT user_id, completed, what, round(value, 9) AS value FROM (SELECT user_id, completed, unnest(['full_mae', 'ridge_mae', 'full_brier', 'full_top10', 'ridge_top10', 'top10_lift']) AS what, unnest([full_mae, ridge_mae, full_brier, full_top10, ridge_top10, lift]) AS value FROM a JOIN lf USING (user_id))""")
 def _(spark, d):
     out = P.validation_summary(summary_cases(spark, d), iters=20)
-    return out.select("user_id", "completed", "what", r6("value"))
+    return out.select("user_id", "completed", "what", F.round("value", 9).alias("value"))
 
 
 @query("validation_decision")
