@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels as N
+from ..session import top_per_key
 
 BLOCK_QUERIES, BLOCK_ITEMS = 512, 20_000
 
@@ -134,8 +135,7 @@ def per_block(queries: DataFrame, items: DataFrame, skip: DataFrame | None, fn,
 
 
 def best_per_query(hits: DataFrame, k: int, score: str = "score") -> DataFrame:
-    w = Window.partitionBy("qid").orderBy(F.desc(score), "item_id")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return top_per_key(hits, ["qid"], [F.desc(score), F.asc("item_id")], k)
 
 
 def keep_mask(item_ids: np.ndarray, gone: set | None) -> np.ndarray:

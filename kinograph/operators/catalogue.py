@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import scalar as S
-from ..session import global_index, one_row
+from ..session import global_index, one_row, top_per_key
 
 # --- scope, projections, predicates -------------------------------------------------
 
@@ -478,8 +478,8 @@ def recognisable_pool(titles: DataFrame, quantile: float = dims.POOL_QUANTILE, l
     """Titles people plausibly know: per language the top vote quantile, topped up, capped.
 
     The vote rule is a threshold per language found from a (language, votes) histogram
-    that combines map-side; the rank filter below it is a group limit Spark applies
-    before its shuffle, so one dominant language never lands whole in a task.
+    that combines map-side; the rank filter below it is cut before its shuffle, so one
+    dominant language never lands whole in a task.
     """
     voted = titles.filter(F.col("imdb_votes") > 0).withColumn("language", F.coalesce("language", F.lit("xx")))
     if languages:
@@ -492,9 +492,7 @@ def recognisable_pool(titles: DataFrame, quantile: float = dims.POOL_QUANTILE, l
     room = F.lit(cap) if cap else F.when(
         F.col("language").isin(*dims.PRIORITY_LANGUAGES), dims.POOL_CAP_PRIORITY).otherwise(dims.POOL_CAP_OTHER)
     limits = at_floor.withColumn("want", F.least(F.when(F.col("above") < least, F.lit(least)).otherwise(F.col("above")), room))
-    w = Window.partitionBy("language").orderBy(F.desc("imdb_votes"), "item_id")
-    biggest = cap or dims.POOL_CAP_PRIORITY
-    ranked = voted.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= biggest)
+    ranked = top_per_key(voted, ["language"], [F.desc("imdb_votes"), F.asc("item_id")], cap or dims.POOL_CAP_PRIORITY, "_rn")
     return ranked.join(limits.select("language", "want"), "language").filter(F.col("_rn") <= F.col("want")).drop("_rn", "want")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import scalar as S
 from ..functions import text as X
-from ..session import cut
+from ..session import cut, top_per_key
 from . import blocks as B
 
 MATCH = ("item_id", "title", "original_title", "year", "kind", "language", "imdb_votes")
@@ -48,8 +48,7 @@ def _fits(with_year: bool = True) -> Column:
 
 
 def _most_voted(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("imdb_votes"), "item_id")
-    return df.withColumn("_v", F.row_number().over(w)).filter(F.col("_v") <= n).drop("_v")
+    return top_per_key(df, keys, [F.desc_nulls_last("imdb_votes"), F.asc("item_id")], n, "_v").drop("_v")
 
 
 def _bonus() -> Column:

@@ -11,16 +11,15 @@ from pyspark.sql import types as T
 from ..functions import kernels as N
 from ..functions import scalar as S
 from ..functions import vectors as V
-from ..session import cut
+from ..session import cut, top_per_key
 from . import blocks as B
 from . import catalogue as C
 from . import taste as K
 
 
 def top_k_scored(scored: DataFrame, k: int, keys: tuple = ("user_id",), score: str = "score") -> DataFrame:
-    """k best per key; Spark applies the limit before the shuffle too."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), "item_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """k best per key; the limit applies before the shuffle too."""
+    return top_per_key(scored, list(keys), [F.desc(score), F.asc("item_id")], k)
 
 
 def shortlist(scored: DataFrame, k: int, size: int = 400) -> DataFrame:

@@ -223,8 +223,7 @@ TOP = sql(f"WITH {RECAL} SELECT item_id, title, language, round(quality, 6) AS q
 @query("top_calibrated_titles", TOP)
 def top_calibrated(spark, d):
     """The flagship: best titles by quality within their own language."""
-    best = C.recalibrate_quality(C.hard_filters(C.lean_projection(R.titles(spark, d)).join(
-        R.titles(spark, d).select("item_id", "tmdb_rating", "tmdb_votes"), "item_id"), kind=None), 75)
+    best = C.recalibrate_quality(R.titles(spark, d), 75)
     return C.hard_filters(best, kind="movie").orderBy(F.desc(F.round("quality", 9)), "item_id").limit(100).select(
         "item_id", "title", "language", F.round("quality", 6).alias("quality"))
 

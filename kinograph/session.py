@@ -134,3 +134,14 @@ def running_totals(df: DataFrame, group: list[str], order: list, sums: dict) ->
         "before": F.col("_c") + F.col("_on"),
         **{k: F.col(f"_s_{k}") + F.col(f"_o_{k}") for k in sums},
     }).drop("_p", "_c", "_on", *[f"_s_{k}" for k in sums], *[f"_o_{k}" for k in sums])
+
+
+def top_per_key(df: DataFrame, keys: list[str], order: list, n: int, name: str = "rank", salt_on: str = "item_id") -> DataFrame:
+    """First ``n`` rows per key. Spark limits each group before the shuffle only up to a
+    thousand rows; beyond that the groups are first cut in salted slices, so no task sees
+    more than slices × n rows of one key."""
+    if n > 1000:
+        inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(64))).withColumn("_n", F.row_number().over(inner)).filter(
+            F.col("_n") <= n).drop("_n", "_salt")
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= n)
