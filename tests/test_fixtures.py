@@ -235,7 +235,7 @@ def test_floor_rounding_and_prune(spark):
     titles = spark.createDataFrame([(1, "ta", 10, None), (2, "ta", 3, None), (3, "zz", None, None), (4, "ta", 2, 1), (5, "zz", 1000, None)], "item_id long, language string, imdb_votes long, x int")
     floors = spark.createDataFrame([("ta", 5)], "language string, floor int")
     ev = spark.createDataFrame([(4,), (None,)], "item_id long")
-    assert {r.item_id for r in C.prune_by_language(titles, floors, ev, 0.5).collect()} == {1, 2, 3, 4, 5} - {5} | ({5} if 1000 >= 1000 else set())
+    assert {r.item_id for r in C.prune_by_language(titles, floors, ev, 0.5).collect()} == {1, 2, 3, 4, 5}
     assert C.floor_lookup(titles, floors, scale=0.5).filter("item_id = 1").head().floor == 2  # 2.5 rounds to even
     assert C.prune_counts(titles, floors, ev).head().asDict() == {"before": 5, "after": 3}
 
