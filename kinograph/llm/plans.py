@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, naming, packing, shards
+from . import chat, decontaminate, gam, naming, packing, shards, toxicity
 
 QUERIES = {
     "op1_karmarkar_karp": shards.op1_karmarkar_karp,
+    "op2_string_kernel": toxicity.op2_string_kernel,
     "op6_incremental_rendering": chat.op6_incremental_rendering,
     "op7_positional_index": decontaminate.op7_positional_index,
     "op8_best_fit": packing.op8_best_fit,
+    "op9_additive_quality": gam.op9_additive_quality,
     "op10_block_naming": naming.op10_block_naming,
 }
 SQL = {
