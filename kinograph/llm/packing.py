@@ -8,6 +8,7 @@ and all slots are open, the fullest bin closes.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import rows
 
+_TAIL = re.compile(rb"([^\x00-\x20]*[a-z])([!-/:-@\[-`{-~]+)")
 CAPACITY, OPEN_BINS, END_ID = 4096, 512, 1
 _SCHEMA = "doc_id {id}, text_hash long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -62,24 +64,36 @@ class WordIds:
     chunks in order. Chunks are remembered up to ``limit`` entries per worker, then forgotten.
     """
 
-    def __init__(self, tokenizer: str, limit: int = 700_000):
+    def __init__(self, tokenizer: str, limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_str(tokenizer).encode_batch_fast
-        self.limit, self.known = limit, {}
-
-    def _ids(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.encode([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """A trailing comma or full stop behind an ASCII letter is a token of its own."""
-        tails = {c: c[-1:] for c in chunks if len(c) > 1 and c[-1] in b".," and 97 <= c[-2] <= 122}
-        stems = {c[:-1] for c in tails} | (chunks - tails.keys()) | set(tails.values())
-        new = [c for c in stems if c not in self.known]
-        self.known.update(zip(new, self._ids(new)))
-        for c, tail in tails.items():
-            self.known[c] = self.known[c[:-1]] + self.known[tail]
+        self.tokenizer, self.limit, self.known = Tokenizer.from_str(tokenizer), limit, {}
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Words of letters alone are one pre-token each, so many are encoded as one text and parted
+        by the tokenizer's own word numbers; anything else is encoded by itself."""
+        if all(map(str.isalpha, chunks)):
+            found = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+            ids = np.asarray(found.ids, "<u4")
+            ends = np.searchsorted(np.asarray(found.word_ids), np.arange(1, len(chunks) + 1)) * 4
+            if len(ids) and found.word_ids[-1] == len(chunks) - 1:
+                data = ids.tobytes()
+                return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """ASCII punctuation behind an ASCII letter, up to the chunk's end, is a token run of its own."""
+        parts = {c: m.groups() for c in chunks if (m := _TAIL.fullmatch(c))}
+        new = {x for ab in parts.values() for x in ab}.union(c for c in chunks if c not in parts).difference(self.known)
+        words, others = [], []
+        for c in new:
+            (words if (text := c.decode("utf-8", "replace")).isalpha() else others).append((c, text))
+        for group, step in ((words, 200), (others, 2000)):
+            for k in range(0, len(group), step):
+                part = group[k:k + step]
+                self.known.update(zip([c for c, _ in part], self._ids([t for _, t in part])))
+        for c, (stem, tail) in parts.items():
+            self.known[c] = self.known[stem] + self.known[tail]
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         # Lower-casing ASCII letters first is what the tokenizer does anyway, but it could make a
@@ -89,7 +103,9 @@ class WordIds:
             self.known = {}
         new = set().union(*chunks).difference(self.known)
         if new:
-            self.learn(new)
+            new = list(new)
+            for k in range(0, len(new), 20_000):
+                self.learn(new[k:k + 20_000])
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in chunks]
 
@@ -139,7 +155,7 @@ def tokenizer_json(path: str | None = None) -> str:
 
 
 def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY,
-         open_bins: int = OPEN_BINS, lookahead: int = 1000) -> DataFrame:
+         open_bins: int = OPEN_BINS, lookahead: int = 500) -> DataFrame:
     """One row per piece: doc_id, text_hash, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and an end id; null and empty texts are the end id alone. Only longer ones
