@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, gam, naming, packing, shards, toxicity
+from . import chat, decontaminate, gam, naming, near, packing, shards, toxicity
 
 QUERIES = {
     "op1_karmarkar_karp": shards.op1_karmarkar_karp,
     "op2_string_kernel": toxicity.op2_string_kernel,
+    "op5_multi_index_hamming": near.op5_multi_index_hamming,
     "op6_incremental_rendering": chat.op6_incremental_rendering,
     "op7_positional_index": decontaminate.op7_positional_index,
     "op8_best_fit": packing.op8_best_fit,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_block_naming": naming.op10_block_naming,
 }
 SQL = {
+    "op5_multi_index_hamming": near.OP5_SQL,
     "op6_incremental_rendering": chat.OP6_SQL,
     "op7_positional_index": decontaminate.OP7_SQL,
     "op10_block_naming": naming.OP10_SQL,
