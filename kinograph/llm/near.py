@@ -3,8 +3,8 @@
 A signature has 112 places of 16 bits, split into 14 chunks of 8. Texts whose signatures differ in at
 most 27 places must, by pigeonhole, have a chunk with at most one difference; so each chunk is
 indexed under its eight variants with one place left open, and such texts meet under one key. Texts
-at the link similarity that differ in more places still meet, as it takes one good chunk of 14: at
-0.85 all fail with probability 3e-7.
+at the link similarity that differ in more places still meet, as it takes one good chunk of 14: all
+fail with probability 3e-7 at a similarity of 0.85, 6e-5 at 0.8.
 
 Texts that meet form families. Inside a family pairs are ruled out by signature distance and size,
 and confirmed on full shingle sets, in blocks; only a spanning set of links leaves a task. Texts with
@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinograph.session import with_small
+
 from . import graph, rows
 
 CHUNKS, PLACES = 14, 8
 SIZE = CHUNKS * PLACES
-#: Signatures of linked sets agree in at least so many places, but for a probability of 2e-8 at 0.85.
-AGREE = 75
 BLOCK = 512
 _RNG = np.random.default_rng(20_240_501)
 _MUL = _RNG.integers(0, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,14 +107,23 @@ def _sets(width: int):
 
     def run(batches):
         for batch in batches:
-            found = [shingles(data, width).tobytes() for data in rows.utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(found, pa.binary())], names=names)
+            found = [shingles(data, width) for data in rows.utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([
+                *(batch.column(c) for c in names[:3]), pa.array([signature(f).tobytes() for f in found], pa.binary()),
+                pa.array([f.tobytes() for f in found], pa.binary())], names=names)
     return run
 
 
+def least_agreement(share: float) -> int:
+    """Places in which signatures of sets with this similarity agree, less 5.5 standard deviations:
+    fewer happen with a probability of 2e-8."""
+    return int(SIZE * share - 5.5 * (SIZE * share * (1 - share)) ** 0.5)
+
+
 def _confirm(similarity: tuple[int, int]):
     """Groups come sorted; of each, links that join its nodes as far as full sets allow."""
     num, den = similarity
+    least = least_agreement(num / den)
 
     def links(nodes, left, sigs, sets):
         size = np.array([len(s) for s in sets])
@@ -132,7 +141,7 @@ def _confirm(similarity: tuple[int, int]):
             ok = np.minimum(size[a], size[b]) * den >= np.maximum(size[a], size[b]) * num
             b = b[ok]
             agree = (sigs[b] == sigs[a]).sum(axis=1)
-            b, agree = b[agree >= AGREE], agree[agree >= AGREE]
+            b, agree = b[agree >= least], agree[agree >= least]
             near.append(np.stack([-agree, np.full(len(b), a), b], 1))
         near = np.concatenate(near)
         out = []
@@ -193,10 +202,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     family = rows.land(graph.components(met, "node", "first"), "families")
     blocks = family.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     active = classes.join(family, "node").join(blocks, "root").select(
-        F.col("root").alias("family"), "blocks", "node", "sig", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        F.col("root").alias("family"), "blocks", "node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    active = with_small(rows.land(active, "active"), rows.SMALL)
     given = rows.keyed(docs, id, text)
     found = given.join(active, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select(
-        "node", "family", "blocks", "sig", "text")
+        "node", "family", "blocks", "text")
     sets = found.mapInArrow(_sets(width), "node long, family long, blocks int, sig binary, found binary")
     # A member of block k takes part in the tasks of all block pairs (i, j) with k in them.
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

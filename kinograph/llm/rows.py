@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinograph.session import landed
+from kinograph.session import landed, with_small
 
 #: Words of the near-duplicate and n-gram operators: bytes.split() cuts at exactly these.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
@@ -32,19 +32,24 @@ def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
+#: Rows up to which a table of keys is broadcast; beyond it both sides are shuffled.
+SMALL = 500_000
+
+
 def keep_rows(docs: DataFrame, report: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``report`` (doc_id, text_hash, kept) keeps, with all their columns.
 
     Rows equal in id and text share a key. Where the report keeps fewer of them than there are,
-    that many stay; only such rows are shuffled again.
+    that many stay; only such rows are numbered.
     """
-    key = report.groupBy("doc_id", "text_hash").agg(
-        F.sum(F.col("kept").cast("long")).alias("_keep"), F.count(F.lit(1)).alias("_rows")).filter("_keep > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_keep", "_rows")
-    found = docs.withColumn("_h", F.xxhash64(text)).join(
-        key, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
-    whole = found.filter("_keep = _rows")
-    from pyspark.sql import Window
-    some = found.filter("_keep < _rows").withColumn("_n", F.row_number().over(
-        Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))).filter("_n <= _keep").drop("_n")
-    return whole.unionByName(some).select(docs.columns)
+    key = land(report.groupBy("doc_id", "text_hash").agg(
+        F.sum(F.col("kept").cast("long")).alias("__keep"), F.count(F.lit(1)).alias("__rows")).filter("__keep > 0").select(
+        F.xxhash64("doc_id", "text_hash").alias("__key"), F.col("text_hash").alias("__hash"), "__keep", "__rows"), "kept")
+    on = ["__key", "__hash"]
+    given = docs.withColumn("__hash", F.xxhash64(text)).withColumn("__key", F.xxhash64(F.col(id), F.col("__hash")))
+    whole = given.join(with_small(key.filter("__keep = __rows").select(on), SMALL), on, "left_semi")
+    part = key.filter("__keep < __rows")
+    if not part.isEmpty():
+        number = F.row_number().over(Window.partitionBy(on).orderBy(F.lit(1)))
+        whole = whole.unionByName(given.join(part, on).withColumn("__n", number).filter("__n <= __keep").select(whole.columns))
+    return whole.select(docs.columns)
