@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import backoff, chat, decontaminate, gam, naming, near, packing, shards, toxicity
+from . import backoff, chat, decontaminate, gam, licenses, naming, near, packing, shards, toxicity
 
 QUERIES = {
     "op1_karmarkar_karp": shards.op1_karmarkar_karp,
     "op2_string_kernel": toxicity.op2_string_kernel,
     "op3_stupid_backoff": backoff.op3_stupid_backoff,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_multi_index_hamming": near.op5_multi_index_hamming,
     "op6_incremental_rendering": chat.op6_incremental_rendering,
     "op7_positional_index": decontaminate.op7_positional_index,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op3_stupid_backoff": backoff.OP3_SQL,
+    "op4_license_scan": licenses.OP4_SQL,
     "op5_multi_index_hamming": near.OP5_SQL,
     "op6_incremental_rendering": chat.OP6_SQL,
     "op7_positional_index": decontaminate.OP7_SQL,
