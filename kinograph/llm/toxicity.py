@@ -14,6 +14,7 @@ the windows that tell toxic from clean texts best, first by counts of letter run
 from __future__ import annotations
 
 import itertools
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -25,7 +26,7 @@ from . import labelled, rows
 
 LENGTH, WINDOW, DECAY, LANDMARKS = 3, 8, 0.6, 160
 #: Bounds of the training draw: rows, and the longest text that is drawn.
-MAX_TRAIN, MAX_TRAIN_BYTES = 8000, 32_768
+MAX_TRAIN, MAX_TRAIN_BYTES = 6000, 32_768
 #: Standard errors by which a letter run must point to toxic texts to make a first witness.
 SURE = 4.0
 #: The least share of toxic texts among those with a first witness's run, were classes equally large.
@@ -62,22 +63,23 @@ def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All windows of the words' letters: codes (n x WINDOW, 0 behind the end), owner, letters in it."""
     plain = [letters(w) for w in words]
     size = np.array([len(p) + 1 for p in plain])
-    flat = np.frombuffer(("^" + "^".join(plain)).encode("utf-32-le", "replace"), "<u4").astype(np.int64) if plain else np.empty(0, np.int64)
-    code = np.where((flat >= 97) & (flat <= 122), flat - 95, np.where(flat == 94, 1, 28 + flat % 36))
+    flat = np.frombuffer(("^" + "^".join(plain)).encode("utf-32-le", "replace"), "<u4").astype(np.int32) if plain else np.empty(0, np.int64)
+    del plain
+    code = np.where((flat >= 97) & (flat <= 122), flat - 95, np.where(flat == 94, 1, 28 + flat % 36)).astype(np.int8)
     start = np.append(0, np.cumsum(size))[:-1]
     count = np.where(size < 3, 0, np.maximum(1, size - WINDOW + 1))  # a single letter has no window
     owner = np.repeat(np.arange(len(size)), count)
     at = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     inside = np.minimum(WINDOW, size[owner] - (at - start[owner]))
-    place = at[:, None] + np.arange(WINDOW)
-    held = np.append(code, np.zeros(WINDOW, np.int64))[place]
+    place = at.astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)
+    held = np.append(code, np.zeros(WINDOW, np.int8))[place]
     held[np.arange(WINDOW) >= inside[:, None]] = 0
     return held, owner, inside
 
 
 def subsequences(codes: np.ndarray) -> np.ndarray:
     """The number of every subsequence of each window; 0 where it runs past the end."""
-    a, b, c = (codes[:, _COMBOS[:, k]] for k in range(LENGTH))
+    a, b, c = (codes[:, _COMBOS[:, k]].astype(np.int32) for k in range(LENGTH))
     return np.where(c > 0, (a * _CODES + b) * _CODES + c, 0)
 
 
@@ -99,8 +101,8 @@ class KernelMachine:
             if self.value is not None:
                 self._table[self.used] = self.value
         out = np.empty(len(codes))
-        for k in range(0, len(codes), 100_000):
-            part = slice(k, k + 100_000)
+        for k in range(0, len(codes), 10_000):
+            part = slice(k, k + 10_000)
             out[part] = (self._table[subsequences(codes[part])] @ _GAPS) / _NORM[inside[part]]
         return out + self.bias
 
@@ -138,8 +140,8 @@ class KernelMachine:
 def _features(codes, inside, index, table) -> np.ndarray:
     """Kernel values of windows against the landmarks, whose subsequence vectors are ``table``'s columns."""
     out = np.empty((len(codes), table.shape[1]))
-    for k in range(0, len(codes), 2000):
-        part = slice(k, k + 2000)
+    for k in range(0, len(codes), 400):
+        part = slice(k, k + 400)
         out[part] = np.einsum("nsm,s->nm", table[index[subsequences(codes[part])]], _GAPS) / _NORM[inside[part], None]
     return out
 
@@ -197,9 +199,15 @@ def _disturbed(codes, inside, weight, rng, copies: int = 4):
     return out, np.minimum(WINDOW, inside[many] + 1), weight[many] / copies
 
 
-def _runs(word: str) -> set[str]:
-    p = "^" + letters(word)
-    return {p[i:i + n] for n in (3, 4, 5) for i in range(len(p) - n + 1)}
+def _runs(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Numbers of each word's letter runs of 3 to 5, one word after the other; where each begins; how many there are."""
+    number: dict[str, int] = {}
+    flat, starts = array("i"), [0]
+    for word in vocabulary:
+        p = "^" + letters(word)
+        flat.extend({number.setdefault(p[i:i + n], len(number)) for n in (3, 4, 5) for i in range(len(p) - n + 1)})
+        starts.append(len(flat))
+    return np.frombuffer(flat, np.int32), np.array(starts), len(number)
 
 
 def fit(texts: list[str], label: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3, cost: float = 20.0, negatives: int = 12_000) -> KernelMachine:
@@ -213,22 +221,24 @@ def fit(texts: list[str], label: np.ndarray, landmarks: int = LANDMARKS, rounds:
     number = {w: k for k, w in enumerate(vocabulary)}
     bags = [np.array([number[w] for w in b], np.int64) for b in bags]
     alone = _without_copies(bags, len(vocabulary))
+    if len(np.unique(label[alone])) < 2:
+        alone[:] = True
     # First witnesses: words with a letter run that many toxic and few clean texts have.
-    runs = [_runs(w) for w in vocabulary]
-    toxic, every = Counter(), Counter()
+    runs, run_start, n_runs = _runs(vocabulary)
+    toxic, every = np.zeros(n_runs), np.zeros(n_runs)
     for bag, y, first_of_kind in zip(bags, label, alone):
-        if not first_of_kind:
-            continue
-        met = set().union(*(runs[k] for k in bag)) if len(bag) else set()
-        every.update(met)
-        if y:
-            toxic.update(met)
+        if first_of_kind and len(bag):
+            met = np.unique(np.concatenate([runs[run_start[k]:run_start[k + 1]] for k in bag]))
+            every[met] += 1
+            if y:
+                toxic[met] += 1
     n_toxic, n_all = int((label * alone).sum()), int(alone.sum())
     prior, ratio = n_toxic / n_all, n_toxic / max(1, n_all - n_toxic)
     # How far a run's toxic share is above the prior, in standard errors of a small sample; a run that
     # many clean texts have as well is no witness, however often it occurs.
-    odds = {r: (toxic[r] - prior * n) / np.sqrt(prior * (1 - prior) * n + 1) for r, n in every.items() if toxic[r] * (1 - PURE) >= PURE * ratio * (n - toxic[r])}
-    first = np.array([max((odds.get(r, 0.0) for r in rs), default=0.0) for rs in runs])
+    pure = toxic * (1 - PURE) >= PURE * ratio * (every - toxic)
+    odds = np.where(pure, (toxic - prior * every) / np.sqrt(prior * (1 - prior) * every + 1), 0.0)
+    first = np.array([odds[runs[a:b]].max() if b > a else 0.0 for a, b in zip(run_start, run_start[1:])])
     codes, owner, inside = windows(vocabulary)
     starts = np.searchsorted(owner, np.arange(len(vocabulary) + 1))
     clean = np.zeros(len(vocabulary), bool)
