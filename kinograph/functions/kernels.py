@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -27,41 +29,41 @@ def augmented(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 # --- Bayesian linear regression from sufficient statistics ---------------------------
 
 
-def evidence_solve(gram, rhs, y_sq: float, n: float, penalty: float | None = 10.0, rounds: int = 200):
-    """Mean, covariance, prior and noise precision and log evidence.
+#: Bounds of the learned noise precision and of prior over noise precision.
+NOISE_BOUNDS, RATIO_BOUNDS = (1e-4, 1e6), (1e-10, 1e13)
+
+
+def bayes_ridge(gram, rhs, y_sq: float, n: float, ratio: float | None = 10.0):
+    """Mean, covariance, prior and noise precision and log evidence of a Bayesian regression.
 
-    The noise precision is learned by MacKay's fixed point in the eigenbasis of ``gram``;
-    the prior follows it at ratio ``penalty``, or is learned too when that is None.
+    Given the ratio r of prior to noise precision the coefficients are those of a ridge with
+    penalty r: rhs / (r + eigenvalue) in the eigenbasis. Neither they nor what they leave
+    unexplained nor the number of determined directions depends on the noise, whose most likely
+    precision is then a quotient. So a given ratio needs no iteration, and a learned one is the
+    fixed point of one scalar.
     """
-    lam, basis = np.linalg.eigh(gram)
-    lam = lam.clip(min=0.0)
-    target = basis.T @ rhs
-
-    def state(a, b):
-        precision = a + b * lam
-        coef = b * target / precision
-        misfit = max(y_sq - 2.0 * coef @ target + (coef * coef) @ lam, 1e-12)
-        return precision, coef, misfit
-
-    # Starting precisions, bounds and tolerance.
-    a, b = 1.0, 4.0
-    for _ in range(rounds):
-        precision, coef, misfit = state(a, b)
-        determined = (b * lam / precision).sum()
-        b_next = float(np.clip(max(n - determined, 1e-6) / misfit, 1e-4, 1e6))
-        if penalty is None:
-            a_next = float(np.clip(determined / max(coef @ coef, 1e-9), 1e-4, 1e6))
-        else:
-            a_next = float(np.clip(penalty * b_next, 1e-4, 1e9))
-        still = max(abs(a_next - a), abs(b_next - b)) < 1e-7
-        a, b = a_next, b_next
-        if still:
-            break
-    precision, coef, misfit = state(a, b)
-    evidence = 0.5 * (
-        len(lam) * np.log(a) + n * np.log(b / (2 * np.pi)) - b * misfit - a * (coef @ coef) - np.log(precision).sum()
-    )
-    return basis @ coef, (basis / precision) @ basis.T, a, b, float(evidence)
+    values, axes = np.linalg.eigh(gram)
+    values = np.maximum(values, 0.0)
+    along = axes.T @ rhs
+
+    def fit(r):
+        shrunk = along / (r + values)
+        left = max(y_sq - shrunk @ ((2.0 * r + values) * shrunk), 1e-12)
+        return shrunk, left, float(np.sum(values / (r + values)))
+
+    if ratio is None:
+        ratio = 0.25
+        for _ in range(500):
+            shrunk, left, known = fit(ratio)
+            wanted = known * left / (max(n - known, 1e-6) * max(shrunk @ shrunk, 1e-12))
+            last, ratio = ratio, float(np.clip(wanted, *RATIO_BOUNDS))
+            if abs(ratio - last) <= 1e-10 * last:
+                break
+    shrunk, left, known = fit(ratio)
+    noise = float(np.clip(max(n - known, 1e-6) / left, *NOISE_BOUNDS))
+    spread = 1.0 / (noise * (ratio + values))
+    evidence = 0.5 * (np.log(ratio / (ratio + values)).sum() + n * np.log(noise / (2.0 * np.pi)) - noise * (left + ratio * (shrunk @ shrunk)))
+    return axes @ shrunk, (axes * spread) @ axes.T, ratio * noise, noise, float(evidence)
 
 
 def posterior(moment: np.ndarray, n: float, penalty: float | None = 10.0):
@@ -73,7 +75,7 @@ def posterior(moment: np.ndarray, n: float, penalty: float | None = 10.0):
     phi = moment[:-1, :-1]
     rhs = s * (moment[:-1, -1] - y_mean * phi[0])
     y_sq = s * (moment[-1, -1] - y_mean * y_mean * total)
-    return (*evidence_solve(s * phi, rhs, y_sq, n, penalty), float(y_mean))
+    return (*bayes_ridge(s * phi, rhs, y_sq, n, penalty), float(y_mean))
 
 
 def centred_moments(moment: np.ndarray):
@@ -131,28 +133,25 @@ def best_indices(score: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-score, kind="stable")[:k]
 
 
-def marginal_relevance(score: np.ndarray, unit: np.ndarray, k: int, balance: float) -> list[int]:
-    """Greedy picks trading score against the closest pick so far."""
-    live = score.astype(float).copy()
-    closest = np.zeros(len(score))
-    picks: list[int] = []
-    while len(picks) < min(k, len(score)):
-        i = int(np.argmax(balance * live - (1.0 - balance) * closest))
-        picks.append(i)
-        live[i] = -np.inf
-        closest = np.maximum(closest, unit @ unit[i])
-    return picks
-
+def diverse_greedy(value: np.ndarray, unit: np.ndarray, k: int, weight: float, either_way: bool = False) -> list[int]:
+    """Greedy picks by value less ``weight`` times the similarity to the closest pick so far.
 
-def spread_questions(gain: np.ndarray, unit: np.ndarray, k: int, redundancy: float = 0.55) -> list[int]:
-    live = gain.astype(float).copy()
-    closest = np.zeros(len(gain))
+    Closeness only grows, so a candidate's last known net value bounds it from above. A queue in
+    the order of bounds is popped; a bound older than the latest pick is brought up to date and
+    put back, and the first that is current wins. Ties go to the earlier row. With
+    ``either_way`` opposite vectors count as similar.
+    """
+    queue = [(-float(v), i, 0, 0.0) for i, v in enumerate(value)]
+    heapq.heapify(queue)
     picks: list[int] = []
-    while len(picks) < min(k, len(gain)):
-        i = int(np.argmax(live - redundancy * closest))
-        picks.append(i)
-        live[i] = -np.inf
-        closest = np.maximum(closest, np.abs(unit @ unit[i]))
+    while queue and len(picks) < k:
+        _, i, seen, close = heapq.heappop(queue)
+        if seen == len(picks):
+            picks.append(i)
+            continue
+        alike = unit[picks[seen:]] @ unit[i]
+        close = max(close, float(np.abs(alike).max() if either_way else alike.max()))
+        heapq.heappush(queue, (-(float(value[i]) - weight * close), i, len(picks), close))
     return picks
 
 

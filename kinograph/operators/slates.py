@@ -76,7 +76,7 @@ def mmr(listed: DataFrame, latent: DataFrame, k: int, balance: float = 0.72) ->
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "item_id"], ascending=[False, True], ignore_index=True)
-        picks = N.marginal_relevance(pdf["score"].to_numpy(float), B._stack(pdf["_v"]), k, balance)
+        picks = N.diverse_greedy(balance * pdf["score"].to_numpy(float), B._stack(pdf["_v"]), k, 1.0 - balance)
         return pdf.iloc[picks].assign(rank=np.arange(1, len(picks) + 1))[schema.names]
 
     return B.spread(rows, "user_id").groupBy("user_id").applyInPandas(run, schema)
@@ -191,7 +191,7 @@ def _finish(pairs: DataFrame, features: DataFrame, models: DataFrame, strategy:
         if strategy == "ucb":
             score = (lp["mean"].to_numpy(float) if compat else score) + kappa * sd
         order = np.lexsort((lp["item_id"].to_numpy(), -score))
-        picks = order[N.marginal_relevance(score[order], x[order, : int(lp["_d"].iloc[0])], k, balance)]
+        picks = order[N.diverse_greedy(balance * score[order], x[order, : int(lp["_d"].iloc[0])], k, 1.0 - balance)]
         rank = np.full(len(lp), None, dtype=object)
         rank[picks] = np.arange(1, len(picks) + 1)
         return lp.assign(score=score, sd=sd, rank=pd.array(rank, dtype="Int32"))[schema.names]
