@@ -12,8 +12,8 @@ from ..session import cut, top_per_key
 from . import blocks as B
 
 MATCH = ("item_id", "title", "original_title", "year", "kind", "language", "imdb_votes")
-EXACT_POOL, CONTAINS_POOL, PREFIX_POOL, FALLBACK_POOL = 40, 120, 4000, 30_000
-_FALLBACK_CHUNKS = 30
+#: The least score of a similarity match, and how many of a query's rarest character grams find candidates.
+FUZZY_FLOOR, RARE_GRAMS = 0.45, 2
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
@@ -47,31 +47,28 @@ def _fits(with_year: bool = True) -> Column:
     return keep
 
 
-def _most_voted(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    return top_per_key(df, keys, [F.desc_nulls_last("imdb_votes"), F.asc("item_id")], n, "_v").drop("_v")
+def _best(hits: DataFrame, limit: int | None) -> DataFrame:
+    """The best-scored hits of each search, or all; known titles first among equals."""
+    if limit is None:
+        return hits
+    return top_per_key(hits, ["search_id"], [F.desc("score"), F.desc_nulls_last("imdb_votes"), F.asc("item_id")], limit, "_r").drop("_r")
 
 
 def _bonus() -> Column:
     return S.popularity_bonus(F.col("imdb_votes")) + S.year_bonus(F.col("want_year"), F.col("year"))
 
 
-def match_exact(searches: DataFrame, titles: DataFrame) -> DataFrame:
-    """Tier 1: a title form equals the query, as an equi-join on keyed forms.
-
-    Titles are first cut to the pool size per (key, kind, year): whatever a query's
-    filters, its most voted matches survive the cut, and a very common title does not
-    multiply.
-    """
+def match_exact(searches: DataFrame, titles: DataFrame, limit: int | None = None) -> DataFrame:
+    """Tier 1: a title form equals the query, as an equi-join on keyed forms. Every hit is scored
+    before ``limit`` keeps the best of each search."""
     forms = F.array_distinct(F.array(*[
         F.struct(F.lit(t).alias("tag"), f.alias("key")) for c in ("title", "original_title")
         for t, f in (("n", X.search_key(F.col(c))), ("r", F.lower(c)))]))
     keyed = titles.withColumn("_f", F.explode(forms)).select(*titles.columns, "_f.tag", "_f.key").filter("key is not null")
-    pool = _most_voted(keyed, ["tag", "key", "kind", "year"], EXACT_POOL)
     asked = searches.withColumn("_f", F.explode(F.array(
         F.struct(F.lit("n").alias("tag"), F.col("norm").alias("key")), F.struct(F.lit("r").alias("tag"), F.lower("raw").alias("key")))))
-    hits = asked.select(*searches.columns, "_f.tag", "_f.key").join(pool, ["tag", "key"]).filter(_fits()).drop("tag", "key")
-    hits = hits.dropDuplicates(["search_id", "item_id"])
-    return _most_voted(hits, ["search_id"], EXACT_POOL).withColumn("score", F.lit(1.0) + _bonus())
+    hits = asked.select(*searches.columns, "_f.tag", "_f.key").join(keyed, ["tag", "key"]).filter(_fits()).drop("tag", "key")
+    return _best(hits.dropDuplicates(["search_id", "item_id"]).withColumn("score", F.lit(1.0) + _bonus()), limit)
 
 
 def _grams(text: Column, n: Column | int) -> Column:
@@ -79,9 +76,10 @@ def _grams(text: Column, n: Column | int) -> Column:
     return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n) if isinstance(n, int) else n))))
 
 
-def match_contains(searches: DataFrame, titles: DataFrame) -> DataFrame:
+def match_contains(searches: DataFrame, titles: DataFrame, limit: int | None = None) -> DataFrame:
     """Tier 2: the raw query is inside a title. The join runs on the query's rarest
-    character gram (three letters, fewer for shorter queries) and is then verified."""
+    character gram (three letters, fewer for shorter queries) and is then verified. Every
+    hit is scored, by how much of the title the query covers, before ``limit`` applies."""
     low = titles.withColumns({"_lt": F.lower("title"), "_lo": F.lower("original_title")})
     empty = F.array().cast("array<string>")
     all_grams = F.array_distinct(F.concat(*[F.coalesce(_grams(F.col(c), n), empty) for c in ("_lt", "_lo") for n in (1, 2, 3)]))
@@ -99,42 +97,48 @@ def match_contains(searches: DataFrame, titles: DataFrame) -> DataFrame:
         searches.withColumn("_raw", raw).join(rarest, "search_id").join(index, "gram").drop("gram").join(low, "item_id")
         .filter((F.contains("_lt", "_raw") | F.contains("_lo", "_raw")) & _fits())
     )
-    hits = _most_voted(hits, ["search_id"], CONTAINS_POOL)
 
     def cover(c):
         c = F.col(c)
         return F.when((c != "") & F.contains(c, F.col("norm")), F.lit(0.55) + F.lit(0.30) * (F.length("norm") / F.length(c)))
 
     best = F.greatest(F.coalesce(cover("norm_title"), F.lit(0.0)), F.coalesce(cover("norm_original"), F.lit(0.0)))
-    return hits.drop("_raw", "_lt", "_lo").withColumn("score", best + _bonus()).filter(F.col("score") > 0)
+    return _best(hits.drop("_raw", "_lt", "_lo").withColumn("score", best + _bonus()).filter(F.col("score") > 0), limit)
+
 
+def _similarity_bound(other: str) -> Column:
+    """No string of ``other``'s length can be more similar to the query than this."""
+    a, b = F.length("norm"), F.length(F.coalesce(F.col(other), F.lit("")))
+    return 2.0 * F.least(a, b) / F.greatest(a + b, F.lit(1))
 
-def match_fuzzy(searches: DataFrame, titles: DataFrame) -> DataFrame:
-    """Tier 3: sequence similarity inside a block of the first characters.
 
-    A block is cut to its most voted titles per kind; a query whose block is empty
-    compares with the most voted titles overall, dealt to chunks.
+def match_fuzzy(searches: DataFrame, titles: DataFrame, limit: int | None = None, floor: float = FUZZY_FLOOR) -> DataFrame:
+    """Tier 3: sequence similarity, from a score of ``floor`` up.
+
+    Candidates share the query's first characters, or one of its ``RARE_GRAMS`` rarest
+    character grams, which a slip in the first letters does not touch. Pairs whose lengths
+    alone keep them below the floor never reach the comparison; no pool is cut by votes.
     """
     asked = searches.filter(~((F.length("norm") <= 4) & F.col("norm").rlike(r"^\d+$"))).withColumn(
         "prefix", F.substring(F.split("norm", " ")[0], 1, 4))
     starts = F.array_distinct(F.array_compact(F.array(*[
         F.when(F.length(c) >= n, F.substring(F.lower(c), 1, n)) for c in ("title", "original_title") for n in (1, 2, 3, 4)])))
-    blocks = _most_voted(titles.withColumn("prefix", F.explode(starts)), ["prefix", "kind"], PREFIX_POOL)
-    near = asked.join(blocks, "prefix").filter(_fits(with_year=False))
-    near = _most_voted(near, ["search_id"], PREFIX_POOL)
-    lonely = asked.join(near.select("search_id").distinct(), "search_id", "left_anti")
-    top = titles.orderBy(F.desc_nulls_last("imdb_votes"), "item_id").limit(FALLBACK_POOL)
-    by_kind = titles.filter(F.col("kind") == "tv").orderBy(F.desc_nulls_last("imdb_votes"), "item_id").limit(FALLBACK_POOL)
-    films = titles.filter(F.col("kind") == "movie").orderBy(F.desc_nulls_last("imdb_votes"), "item_id").limit(FALLBACK_POOL)
-    pool = top.withColumn("_k", F.lit("any")).unionByName(by_kind.withColumn("_k", F.lit("tv"))).unionByName(films.withColumn("_k", F.lit("movie")))
-    chunk = F.pmod(F.xxhash64("item_id"), F.lit(_FALLBACK_CHUNKS)).cast("int")
-    far = lonely.withColumn("_k", F.coalesce("want_kind", F.lit("any"))).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0), F.lit(_FALLBACK_CHUNKS - 1)))).join(pool.withColumn("_c", chunk), ["_k", "_c"]).drop("_k", "_c")
+    bound = F.greatest(_similarity_bound("norm_title"), _similarity_bound("norm_original"))
+    able = _fits(with_year=False) & (bound * 0.9 + _bonus() >= floor)
+    near = asked.join(titles.withColumn("prefix", F.explode(starts)), "prefix").filter(able).drop("prefix")
+    empty = F.array().cast("array<string>")
+    grams = F.array_distinct(F.concat(*[F.coalesce(_grams(F.col(c), 3), empty) for c in ("norm_title", "norm_original")]))
+    index = titles.select("item_id", F.explode(grams).alias("gram"))
+    freq = index.groupBy("gram").agg(F.count("*").alias("_n"))
+    wanted = asked.select("search_id", F.explode(_grams(F.col("norm"), 3)).alias("gram")).join(freq, "gram")
+    rare = wanted.withColumn("_r", F.row_number().over(Window.partitionBy("search_id").orderBy("_n", "gram"))).filter(F.col("_r") <= RARE_GRAMS)
+    far = rare.select("search_id", "gram").join(index, "gram").select("search_id", "item_id").distinct().join(
+        asked.drop("prefix"), "search_id").join(titles, "item_id").filter(able)
     # Similarity is costly per pair: deal pairs evenly, whatever query they belong to.
-    pairs = B.spread(near.unionByName(far.select(*near.columns)), "search_id", "item_id")
+    pairs = B.spread(near.unionByName(far.select(*near.columns)).dropDuplicates(["search_id", "item_id"]), "search_id", "item_id")
     sim = F.greatest(X.similarity(F.col("norm"), F.coalesce("norm_title", F.lit(""))),
                      X.similarity(F.col("norm"), F.coalesce("norm_original", F.lit(""))))
-    return pairs.withColumn("score", sim * 0.9 + _bonus()).drop("prefix")
+    return _best(pairs.withColumn("score", sim * 0.9 + _bonus()).filter(F.col("score") >= floor), limit)
 
 
 def search_titles(queries: DataFrame, titles: DataFrame, limit: int = 8) -> DataFrame:
@@ -142,19 +146,19 @@ def search_titles(queries: DataFrame, titles: DataFrame, limit: int = 8) -> Data
     containment and similarity from 0.45 up."""
     # Each of these feeds several tiers; a reliable checkpoint computes it once.
     searches, forms = cut(prepare_queries(queries)), cut(prepare_titles(titles))
-    exact = cut(match_exact(searches, forms))
+    exact = cut(match_exact(searches, forms, limit))
     rest = searches.join(exact.select("search_id").distinct(), "search_id", "left_anti")
-    within = cut(match_contains(rest, forms))
+    within = cut(match_contains(rest, forms, limit))
     settled = within.groupBy("search_id").agg(F.max("score").alias("_top")).filter("_top >= 0.80").select("search_id")
     open_ = rest.join(settled, "search_id", "left_anti")
     numeric = (F.length("norm") <= 4) & F.col("norm").rlike(r"^\d+$")
     # A second attempt only stands in when the first found nothing in the first two tiers.
-    fuzzy = cut(match_fuzzy(cut(open_), forms).filter(F.col("score") >= 0.45))
+    fuzzy = cut(match_fuzzy(cut(open_), forms, limit))
     keep = ["query", "want_kind", "attempt", "search_id", *MATCH, "score"]
     found = (
         exact.withColumn("tier", F.lit(1)).select(*keep, "tier")
         .unionByName(within.join(settled, "search_id", "left_semi").withColumn("tier", F.lit(2)).select(*keep, "tier"))
-        .unionByName(within.join(settled, "search_id", "left_anti").filter(numeric | (F.col("score") >= 0.45)).withColumn("tier", F.lit(3)).select(*keep, "tier"))
+        .unionByName(within.join(settled, "search_id", "left_anti").filter(numeric | (F.col("score") >= FUZZY_FLOOR)).withColumn("tier", F.lit(3)).select(*keep, "tier"))
         .unionByName(fuzzy.withColumn("tier", F.lit(4)).select(*keep, "tier"))
     )
     # Tiers 1 to 3 are the first two tiers of the cascade; 4 is similarity.

@@ -52,12 +52,11 @@ ASKED = rf"""asked AS (SELECT p_partkey AS query_id, CASE p_size % 4 WHEN 0 THEN
   sr AS (SELECT *, 1 AS attempt, {norm_sql('raw')} AS norm FROM s0 UNION ALL SELECT query, want_kind, query, NULL, 2, {norm_sql('query')} FROM s0 WHERE want_year IS NOT NULL),
   yb AS (SELECT sr.*, t.* FROM sr JOIN titles t ON (want_kind IS NULL OR t.kind = want_kind) AND (want_year IS NULL OR t.year BETWEEN want_year - 1 AND want_year + 1)),
   pr AS (SELECT *, 0.06 * least(1.0, ln(1 + coalesce(imdb_votes, 0)) / ln(500001.0)) + CASE WHEN want_year IS NOT NULL AND year IS NOT NULL THEN CASE WHEN want_year = year THEN 0.10 ELSE 0.03 END ELSE 0.0 END AS bonus FROM yb),
-  m1 AS (SELECT * FROM (SELECT *, 1.0 + bonus AS score, row_number() OVER (PARTITION BY query, want_kind, attempt ORDER BY imdb_votes DESC NULLS LAST, item_id) AS rn FROM pr
-    WHERE lower(regexp_replace(title, '[^a-zA-Z0-9 ]', ' ', 'g')) = norm OR lower(regexp_replace(original_title, '[^a-zA-Z0-9 ]', ' ', 'g')) = norm OR lower(title) = lower(raw) OR lower(original_title) = lower(raw)) WHERE rn <= 40),
+  m1 AS (SELECT *, 1.0 + bonus AS score FROM pr
+    WHERE lower(regexp_replace(title, '[^a-zA-Z0-9 ]', ' ', 'g')) = norm OR lower(regexp_replace(original_title, '[^a-zA-Z0-9 ]', ' ', 'g')) = norm OR lower(title) = lower(raw) OR lower(original_title) = lower(raw)),
   m2 AS (SELECT * FROM (SELECT *, greatest(CASE WHEN contains({norm_sql('title')}, norm) THEN 0.55 + 0.30 * (length(norm) / length({norm_sql('title')})) ELSE 0.0 END,
-      CASE WHEN contains({norm_sql('original_title')}, norm) THEN 0.55 + 0.30 * (length(norm) / length({norm_sql('original_title')})) ELSE 0.0 END) + bonus AS score,
-    row_number() OVER (PARTITION BY query, want_kind, attempt ORDER BY imdb_votes DESC NULLS LAST, item_id) AS rn FROM pr
-    WHERE contains(lower(title), lower(raw)) OR contains(lower(original_title), lower(raw))) WHERE rn <= 120 AND score > 0)"""
+      CASE WHEN contains({norm_sql('original_title')}, norm) THEN 0.55 + 0.30 * (length(norm) / length({norm_sql('original_title')})) ELSE 0.0 END) + bonus AS score FROM pr
+    WHERE contains(lower(title), lower(raw)) OR contains(lower(original_title), lower(raw))) WHERE score > 0)"""
 HIT = "SELECT query, want_kind, attempt, item_id, round(score, 9) AS score FROM "
 
 

@@ -288,3 +288,13 @@ def test_planted_taste_beats_popularity(spark):
     mean = {r.arm: r["mean"] for r in P.summarise_metrics(got, ["ndcg"]).collect()}
     assert mean["taste"] > mean["popularity"] and mean["content-centroid"] > mean["popularity"]
     assert P.evaluate_arms(history, items, ("popularity",), budget=20, exclude_known=True).count() == 12
+
+
+def test_best_containment_hit_may_be_the_least_known(spark):
+    """Of 500 titles that hold the query the one it covers best wins, though all others are better known."""
+    rows = [(k, f"Harbour Lights and a long tail of other words {k}", None, 2000, "movie", "en", 100_000 + k) for k in range(499)]
+    rows.append((999, "Harbour Lights 2", None, 2001, "movie", "en", 1))
+    titles = spark.createDataFrame(rows, "item_id long, title string, original_title string, year int, kind string, language string, imdb_votes long")
+    asked = spark.createDataFrame([(1, "Harbour Lights"), (2, "Xarbour Lights 2")], "query_id long, query string")
+    first = {r["query"]: r.item_id for r in M.search_titles(asked, titles).filter("rank = 1").collect()}
+    assert first["Harbour Lights"] == 999 and first["Xarbour Lights 2"] == 999
