@@ -203,9 +203,18 @@ def _(spark, d):
     return out.select(F.round("delta", 9).alias("delta"), "n", F.round("p", 9).alias("p"))
 
 
-@query("ranking_metrics")
-def _(spark, d):
-    return P.ranking_metrics(slates(spark, d), _rel(spark, d), popularity(spark, d), R.space(spark, d))
+@query("ranking_metrics", sql(f"""WITH {SLATES}, tp AS (SELECT item_id FROM titles ORDER BY coalesce(imdb_votes, 0) DESC, item_id LIMIT 200),
+  m1 AS (SELECT user_id, arm, round(coalesce(sum(rel / log2(rank + 1.0)) / max(ideal), 0.0), 9) AS ndcg, sum(hit) / 10 AS precision, round(coalesce(sum(hit) / max(np), 0.0), 9) AS recall,
+    round(coalesce(1.0 / min(CASE WHEN hit = 1 THEN rank END), 0.0), 9) AS mrr, sum(CASE WHEN item_id IN (SELECT item_id FROM tp) THEN 0 ELSE hit END) / 10 AS serendipity {PER}),
+  ru AS (SELECT *, sum(hit) OVER (PARTITION BY user_id, arm ORDER BY rank) AS c FROM hx), m2 AS (SELECT user_id, arm, round(coalesce(sum(hit * c / rank) / least(max(np), 10), 0.0), 9) AS map FROM ru LEFT JOIN po USING (user_id) GROUP BY 1, 2),
+  m3 AS (SELECT user_id, arm, round(avg(-log2((coalesce(imdb_votes, 0) + 1) / (SELECT sum(imdb_votes) FROM titles))), 6) AS novelty FROM sla JOIN titles USING (item_id) GROUP BY 1, 2),
+  v AS (SELECT user_id, arm, item_id, vec FROM sla JOIN space USING (item_id)), n AS (SELECT user_id, arm, count(*) AS n FROM v GROUP BY 1, 2),
+  p AS (SELECT a.user_id, a.arm, sum(list_dot_product(a.vec, b.vec)) AS s FROM v a JOIN v b ON a.user_id = b.user_id AND a.arm = b.arm AND a.item_id <> b.item_id GROUP BY 1, 2),
+  m4 AS (SELECT user_id, arm, round(CASE WHEN n < 2 THEN 0.0 ELSE 1.0 - s / (n * (n - 1)) END, 6) AS diversity FROM n LEFT JOIN p USING (user_id, arm))
+SELECT * FROM m1 JOIN m2 USING (user_id, arm) JOIN m3 USING (user_id, arm) JOIN m4 USING (user_id, arm)""", "titles", "ratings", "space"))
+def _(spark, d):
+    m = P.ranking_metrics(slates(spark, d), _rel(spark, d), popularity(spark, d), R.space(spark, d))
+    return m.withColumns({**{c: F.round(c, 9) for c in ("ndcg", "recall", "map", "mrr")}, **{c: F.round(c, 6) for c in ("novelty", "diversity")}})
 
 
 @query("evaluate_arms")

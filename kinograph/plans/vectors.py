@@ -195,7 +195,8 @@ def _(spark, d):
     content, factors = _blocks(spark, d)
     pairs = content.withColumnRenamed("vec", "content").join(I.reduce_factors(factors, 16).withColumnRenamed("vec", "factor"), "item_id")
     coef, intercept, alpha, r2 = I.fit_imputation(pairs)
-    return spark.createDataFrame([(float(alpha), float(r2), *coef.shape)], "alpha double, r2 double, inputs int, outputs int")
+    rows = [(i, o, round(float(coef[i, o]), 6), round(float(intercept[o]), 6), float(alpha), round(float(r2), 6)) for i in range(coef.shape[0]) for o in range(coef.shape[1])]
+    return spark.createDataFrame(rows, "input int, output int, value double, intercept double, alpha double, r2 double")  # width x width, not rows
 
 
 @query("fuse_space")
@@ -294,27 +295,96 @@ def _(spark, d):
     return m.select("user_id", "n_obs", r6("beta"))
 
 
-@query("predict_pairs")
+# A model both engines can state: the mean rated vector as weights, one variance for all of them.
+
+AXES = """ax AS (SELECT item_id, unnest(generate_series(0, 63)) AS axis, unnest(vec) AS x FROM space), sp AS (SELECT axis, stddev_pop(x) AS spread FROM ax GROUP BY 1),
+  di AS (SELECT l.user_id, axis, avg(x) AS weight FROM log l JOIN ax USING (item_id) WHERE kind = 'rate' GROUP BY 1, 2)"""
+PLAIN = AXES + """, dv AS (SELECT item_id, CAST(vec AS DOUBLE[]) AS x, 1 + list_dot_product(CAST(vec AS DOUBLE[]), CAST(vec AS DOUBLE[])) AS e FROM space),
+  pm AS (SELECT user_id, list(weight ORDER BY axis) AS w FROM di GROUP BY 1), pv AS (SELECT user_id, 1.0 / (1 + count(*)) AS v FROM log JOIN space USING (item_id) WHERE kind = 'rate' GROUP BY 1),
+  plain AS (SELECT user_id, w, v, 0.3 + v AS y FROM pm JOIN pv USING (user_id)),
+  pp AS (SELECT user_id, item_id, list_dot_product(w, x) + y AS mean, sqrt(v * e + 0.25) AS sd FROM (SELECT DISTINCT user_id, item_id FROM log) JOIN plain USING (user_id) JOIN dv USING (item_id))"""
+
+
+def directions(spark, d):
+    """Mean rated vector per user as a direction."""
+    long = R.space(spark, d).select("item_id", F.posexplode(V.doubles(F.col("vec"))).alias("axis", "x"))
+    return R.events(spark, d).filter("kind = 'rate'").select("user_id", "item_id").join(long, "item_id").groupBy("user_id", "axis").agg(F.avg("x").alias("weight"))
+
+
+def plain_features(spark, d):
+    return R.space(spark, d).select("item_id", F.col("vec").cast("array<double>").alias("vec"))
+
+
+def plain_models(spark, d):
+    mean = directions(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("axis", "weight"))).alias("_w")).withColumn(
+        "mean", F.concat(F.array(F.lit(0.0)), F.transform("_w", lambda x: x["weight"])))
+    n = R.events(spark, d).filter("kind = 'rate'").join(R.space(spark, d).select("item_id"), "item_id").groupBy("user_id").agg(F.count("*").alias("n_real"))
+    v = 1.0 / (1 + F.col("n_real"))
+    cov = F.transform(F.sequence(F.lit(0), F.lit(65 * 65 - 1)), lambda i: F.when(i % 66 == 0, v).otherwise(0.0))
+    return cut(mean.join(n, "user_id").select("user_id", "mean", cov.alias("cov"), F.lit(40.0).alias("alpha"), F.lit(4.0).alias("beta"), F.col("n_real").cast("double").alias("n_obs"),
+                                              "n_real", (0.3 + v).alias("y_mean"), F.lit(0.0).alias("log_evidence"), F.lit(0).alias("n_rff"), F.lit(1.0).alias("gamma")))
+
+
+def logged_pairs(spark, d):
+    return R.events(spark, d).select("user_id", "item_id").distinct()
+
+
+def tail_sql(z):
+    """P(Z > z) of a standard normal: its central half from the density times sum |z|^(2k+1) / (2k+1)!!."""
+    z = f"least(greatest({z}, -8.0), 8.0)"
+    a = f"greatest(abs({z}), 1e-12)"
+    return (f"(0.5 - sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 160), "
+            f"lambda k: exp((2 * k + 1) * ln({a}) - lgamma(2 * k + 2) + k * ln(2.0) + lgamma(k + 1)))))")
+
+
+@query("predict_pairs", sql(f"WITH {PLAIN} SELECT user_id, item_id, round(mean, 6) AS mean, round(sd, 6) AS sd FROM pp", "log", "space"))
+def _(spark, d):
+    p = K.predict_pairs(logged_pairs(spark, d), plain_features(spark, d), plain_models(spark, d))
+    return p.select("user_id", "item_id", r6("mean"), r6("sd"))
+
+
+@query("predict_pairs_fitted")
 def _(spark, d):
     feats = features(spark, d)
-    p = K.predict_pairs(R.events(spark, d).select("user_id", "item_id").distinct(), feats, models(spark, d, feats))
+    p = K.predict_pairs(logged_pairs(spark, d), feats, models(spark, d, feats))
     return p.select("user_id", "item_id", r6("mean"), r6("sd"))
 
 
+PLANE = f"""WITH {LABELS}, x AS (SELECT user_id, greatest(CASE WHEN weak THEN 0.5 ELSE 1.0 END * exp(-ln(2.0) * age / 1100.0), 1e-3) AS w, reward AS y, CAST(vec[1] AS DOUBLE) AS a, CAST(vec[2] AS DOUBLE) AS b, weak FROM lab JOIN space USING (item_id)),
+  m AS (SELECT user_id, count(*) AS n, sum(w) AS s0, sum(w * a) AS sa, sum(w * b) AS sb, sum(w * a * a) AS saa, sum(w * a * b) AS sab, sum(w * b * b) AS sbb, sum(w * y) AS sy, sum(w * y * a) AS sya, sum(w * y * b) AS syb, sum(w * y * y) AS syy
+    FROM x GROUP BY 1 HAVING count(*) FILTER (WHERE NOT weak) >= 3),
+  g AS (SELECT user_id, n, sy / s0 AS ym, n / s0 * s0 + 10 AS a11, n / s0 * sa AS a12, n / s0 * sb AS a13, n / s0 * saa + 10 AS a22, n / s0 * sab AS a23, n / s0 * sbb + 10 AS a33,
+    n / s0 * (sya - sy / s0 * sa) AS r2, n / s0 * (syb - sy / s0 * sb) AS r3, n / s0 * (syy - sy * sy / s0) AS yy FROM m),
+  i AS (SELECT *, a22 * a33 - a23 * a23 AS i11, a13 * a23 - a12 * a33 AS i12, a12 * a23 - a13 * a22 AS i13, a11 * a33 - a13 * a13 AS i22, a12 * a13 - a11 * a23 AS i23, a11 * a22 - a12 * a12 AS i33 FROM g),
+  c AS (SELECT *, a11 * i11 + a12 * i12 + a13 * i13 AS det FROM i),
+  s AS (SELECT *, (i12 * r2 + i13 * r3) / det AS c1, (i22 * r2 + i23 * r3) / det AS c2, (i23 * r2 + i33 * r3) / det AS c3, 3 - 10 * (i11 + i22 + i33) / det AS known FROM c),
+  f AS (SELECT *, yy - c2 * r2 - c3 * r3 - 10 * (c1 * c1 + c2 * c2 + c3 * c3) AS left_, c1 * c1 + c2 * c2 + c3 * c3 AS cc FROM s),
+  b AS (SELECT *, least(greatest(greatest(n - known, 1e-6) / greatest(left_, 1e-12), 1e-4), 1e6) AS beta FROM f)
+SELECT user_id, CAST(n AS DOUBLE) AS n_obs, round(c1, 6) AS w0, round(c2, 6) AS w1, round(c3, 6) AS w2, round(beta, 4) AS beta, round(ym, 6) AS y_mean,
+  round(0.5 * (3 * ln(10.0) - ln(det) + n * ln(beta / (2 * pi())) - beta * (greatest(left_, 1e-12) + 10 * cc)), 5) AS log_evidence FROM b"""
+
+
+@query("fit_taste_plane", sql(PLANE, "log", "space"))
+def _(spark, d):
+    """The fit on two features, a 3 x 3 solve that SQL can write out."""
+    feats = cut(R.space(spark, d).select("item_id", F.slice(F.col("vec").cast("array<double>"), 1, 2).alias("vec")))
+    m = K.fit_taste(labels(spark, d), feats, None, allow_rff=False)
+    return m.select("user_id", "n_obs", *[r6(F.col("mean")[k], f"w{k}") for k in range(3)], F.round("beta", 4).alias("beta"), r6("y_mean"), F.round("log_evidence", 5).alias("log_evidence"))
+
+
 @query("thompson_scores")
 def _(spark, d):
     feats = features(spark, d)
     return K.thompson_scores(models(spark, d, feats), feats, 10, F.lit("s1")).select("user_id", "item_id", "rank")
 
 
-@query("ucb_scores")
+@query("ucb_scores", sql(f"WITH {PLAIN} SELECT user_id, item_id, round(mean + sd, 6) AS score FROM pp", "log", "space"))
 def _(spark, d):
-    feats = features(spark, d)
-    p = K.ucb_scores(R.events(spark, d).select("user_id", "item_id").distinct(), feats, models(spark, d, feats))
+    p = K.ucb_scores(logged_pairs(spark, d), plain_features(spark, d), plain_models(spark, d))
     return p.select("user_id", "item_id", r6("score"))
 
 
-@query("like_probability")
+@query("like_probability", f"SELECT event_id, round({tail_sql('((0.75 - value / 50) / 0.2)')}, 6) AS p FROM events")
 def _(spark, d):
     e = R.table(spark, d, "events")
     return e.select("event_id", r6(K.like_probability(F.col("value") / 50, F.lit(0.2)), "p"))
@@ -331,9 +401,9 @@ def _(spark, d):
     return R.table(spark, d, "events").select("event_id", low.alias("low"), high.alias("high"))
 
 
-@query("taste_direction")
+@query("taste_direction", sql(f"WITH {AXES} SELECT user_id, axis, round(weight, 6) AS weight FROM di", "log", "space"))
 def _(spark, d):
-    return K.taste_direction(models(spark, d), 69).select("user_id", "axis", r6("weight"))
+    return K.taste_direction(plain_models(spark, d), 64).select("user_id", F.col("axis").cast("long").alias("axis"), r6("weight"))
 
 
 @query("surface_preferences")
@@ -455,11 +525,22 @@ def _(spark, d):
     return _recommend(spark, d, strategy="ucb", moods=moods, filters={"kind": "movie"})
 
 
-@query("produce_slate")
+@query("produce_slate", sql(f"""WITH {RANKED}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id, language ORDER BY rank) > 2 AS ov FROM rk),
+  p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ov, rank) - 1 AS position FROM o)
+SELECT user_id, item_id, 'slate-' || user_id AS slate_id, position, 'bayesian-mean-v1:both' AS policy, strftime(TIMESTAMP '{R.AS_OF}', '%Y-%m-%d') AS day FROM p WHERE position < 10""", "titles", "ratings"))
 def _(spark, d):
-    slate = _recommend(spark, d, strategy="mean")
+    """The ranked lines of each customer as a slate under the language quota, logged as shown."""
+    slate = L.language_quota(ranked(spark, d), 10, 0.25).withColumns({"propensity": F.lit(1.0), "explored": F.lit(False)})
     out = L.produce_slate(slate, L.policy_label("mean", None), F.concat(F.lit("slate-"), F.col("user_id").cast("string")), R.as_of())
-    return out.select("user_id", "item_id", "slate_id", "position", "policy")
+    return out.select("user_id", "item_id", "slate_id", F.col("position").cast("long").alias("position"), "policy", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+
+
+@query("judge_plain", sql(f"""WITH {PLAIN}, t AS (SELECT *, {tail_sql('((0.75 - mean) / greatest(sd, 1e-6))')} AS p FROM pp)
+SELECT user_id, item_id, round(least(greatest(mean * 10, 0.0), 10.0), 5) AS score, round(least(greatest((mean - 1.645 * sd) * 10, 0.0), 10.0), 5) AS interval_low,
+  round(least(greatest((mean + 1.645 * sd) * 10, 0.0), 10.0), 5) AS interval_high, round(p, 6) AS like_probability FROM t""", "log", "space"))
+def _(spark, d):
+    j = L.judge(logged_pairs(spark, d), plain_features(spark, d), plain_models(spark, d))
+    return j.select("user_id", "item_id", *[F.round(c, 5).alias(c) for c in ("score", "interval_low", "interval_high")], r6("like_probability"))
 
 
 @query("judge")
@@ -491,16 +572,25 @@ def _pool(spark, d, feats):
     return cut(C.recognisable_pool(known, least=10, min_titles=3).select("item_id").join(feats, "item_id"))
 
 
-@query("information_gain")
+GAINS = PLAIN + """, pool AS (SELECT item_id, x, e FROM dv JOIN titles USING (item_id) WHERE imdb_votes >= 3000), sd AS (SELECT DISTINCT user_id, item_id FROM log WHERE kind = 'rate'),
+  qq AS (SELECT p.item_id, any_value(p.e) AS e, avg(pow(1 + list_dot_product(p.x, r.x), 2)) AS q FROM pool p, dv r GROUP BY 1),
+  ga AS (SELECT user_id, item_id, v, e, q FROM plain, qq WHERE (user_id, item_id) NOT IN (SELECT user_id, item_id FROM sd))"""
+
+
+def _gain_inputs(spark, d):
+    feats = plain_features(spark, d)
+    pool = R.titles(spark, d).filter("imdb_votes >= 3000").select("item_id").join(feats, "item_id")
+    return plain_models(spark, d), cut(pool), R.events(spark, d).filter("kind = 'rate'").select("user_id", "item_id").distinct()
+
+
+@query("information_gain", sql(f"WITH {GAINS} SELECT user_id, item_id, round(0.5 * ln(1 + 4 * v * e), 6) AS gain FROM ga", "titles", "log", "space"))
 def _(spark, d):
-    feats = features(spark, d)
-    return Q.information_gain(models(spark, d, feats), _pool(spark, d, feats), E.already_asked(R.events(spark, d))).select("user_id", "item_id", r6("gain"))
+    return Q.information_gain(*_gain_inputs(spark, d)).select("user_id", "item_id", r6("gain"))
 
 
-@query("variance_reduction")
+@query("variance_reduction", sql(f"WITH {GAINS} SELECT user_id, item_id, round(4 * v * v * q / (1 + 4 * v * e), 6) AS gain FROM ga", "titles", "log", "space"))
 def _(spark, d):
-    feats = features(spark, d)
-    return Q.variance_reduction(models(spark, d, feats), _pool(spark, d, feats), E.already_asked(R.events(spark, d)), feats).select("user_id", "item_id", r6("gain"))
+    return Q.variance_reduction(*_gain_inputs(spark, d), plain_features(spark, d)).select("user_id", "item_id", r6("gain"))
 
 
 @query("next_questions")
@@ -539,16 +629,6 @@ def _(spark, d):
     return D.log_odds_terms(poles, background, ("lang",)).select("lang", F.col("rank").cast("long").alias("rank"), r6("z"))
 
 
-AXES = """ax AS (SELECT item_id, unnest(generate_series(0, 63)) AS axis, unnest(vec) AS x FROM space), sp AS (SELECT axis, stddev_pop(x) AS spread FROM ax GROUP BY 1),
-  di AS (SELECT l.user_id, axis, avg(x) AS weight FROM log l JOIN ax USING (item_id) WHERE kind = 'rate' GROUP BY 1, 2)"""
-
-
-def directions(spark, d):
-    """Mean rated vector per user as a direction."""
-    long = R.space(spark, d).select("item_id", F.posexplode(V.doubles(F.col("vec"))).alias("axis", "x"))
-    return R.events(spark, d).filter("kind = 'rate'").select("user_id", "item_id").join(long, "item_id").groupBy("user_id", "axis").agg(F.avg("x").alias("weight"))
-
-
 @query("axis_strength", sql(f"""WITH {AXES} SELECT user_id, axis, rank, round(st, 6) AS strength FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY st DESC, axis) AS rank FROM (SELECT user_id, axis, abs(weight) * spread AS st FROM di JOIN sp USING (axis))) WHERE rank <= 6""", "log", "space"))
 def _(spark, d):
     return D.axis_strength(directions(spark, d), R.space(spark, d)).select("user_id", F.col("axis").cast("long").alias("axis"), F.col("rank").cast("long").alias("rank"), r6("strength"))
