@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -263,21 +265,50 @@ def evaluate_arms(history: DataFrame, items: DataFrame, arms: tuple = tuple(ARMS
 # --- resampling ---------------------------------------------------------------------
 
 
-def _draw(seed: int, *cols: Column) -> Column:
-    """A number from a hash, the same in any engine with md5."""
-    return F.conv(F.substring(S.hash_order(seed, *cols), 1, 8), 16, 10).cast("bigint")
+#: A round counts a row as often as a Poisson variable of mean 1 says: the value whose bounds its
+#: 24-bit draw falls between. The draw is a hash of (seed, round, row), the same in any engine.
+POISSON_BOUNDS = [int(sum(1 / math.factorial(k) for k in range(n + 1)) / math.e * (1 << 24)) for n in range(10)]
+DRAW_FACTORS = (0x1B873593, 0x2545F491, 0x7FEB352D, 0x2C1B3C6D)
+_ROWS_AT_ONCE = 64
+
+
+def poisson_counts(rows: np.ndarray, rounds: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Counts (rows x rounds)."""
+    row, turn, first, second = DRAW_FACTORS
+    low = np.int64(0xFFFFFFFF)
+    x = ((rows.astype(np.int64) & 0x7FFFFFFF)[:, None] * row + (rounds.astype(np.int64) * turn + seed)[None, :]) & low
+    x = ((x ^ (x >> 16)) * first) & low
+    x = ((x ^ (x >> 15)) * second) & low
+    return np.searchsorted(np.array(POISSON_BOUNDS), (x ^ (x >> 16)) >> 8, "right").astype(np.int8)
 
 
 def resampled_means(values: DataFrame, iters: int, keys: list[str] | None = None, seed: int = 0) -> DataFrame:
-    """Bootstrap means: values(keys, idx 0.., v) -> (keys, iter, mean). Draws are dealt as rows."""
+    """Poisson-bootstrap means: values(keys, idx, v) -> (keys, iter, mean).
+
+    Each task adds its rows into one vector of sums and one of counts per key, so what is
+    shuffled is keys x tasks x rounds, whatever the number of rows. A round that counts no row
+    has no mean.
+    """
     keys = keys or []
-    sizes = values.groupBy(*keys).agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1)))).withColumn(
-        "_d", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    draws = draws.withColumn("idx", F.pmod(_draw(seed, F.col("iter"), F.col("_d")), F.col("n"))).select(*keys, "iter", "idx")
-    # The same index drawn often in one round travels once, with its count.
-    draws = draws.groupBy(*keys, "iter", "idx").agg(F.count("*").alias("c"))
-    return draws.join(values, [*keys, "idx"]).groupBy(*keys, "iter").agg((F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("mean"))
+    rows = values.select(*keys, "idx", "v")
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("iter", T.IntegerType()), T.StructField("s", T.DoubleType()), T.StructField("c", T.LongType())])
+    rounds = np.arange(iters)
+
+    def run(batches):
+        total: dict = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, sort=False) if keys else [((), pdf)]:
+                sums, counts = total.setdefault(key, (np.zeros(iters), np.zeros(iters, np.int64)))
+                idx, v = part["idx"].to_numpy(), part["v"].to_numpy(float)
+                for k in range(0, len(idx), _ROWS_AT_ONCE):
+                    c = poisson_counts(idx[k:k + _ROWS_AT_ONCE], rounds, seed)
+                    sums += v[k:k + _ROWS_AT_ONCE] @ c
+                    counts += c.sum(axis=0, dtype=np.int64)
+        for key, (sums, counts) in total.items():
+            yield pd.DataFrame({**dict(zip(keys, key)), "iter": rounds.astype(np.int32), "s": sums, "c": counts})[schema.names]
+
+    return rows.mapInPandas(run, schema).groupBy(*keys, "iter").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).filter("c > 0").select(
+        *keys, "iter", (F.col("s") / F.col("c")).alias("mean"))
 
 
 def paired_bootstrap(metrics: DataFrame, a: str, b: str, metric: str = "ndcg", iters: int = 10_000, seed: int = 0) -> DataFrame:
@@ -285,7 +316,7 @@ def paired_bootstrap(metrics: DataFrame, a: str, b: str, metric: str = "ndcg", i
     diff = metrics.filter(F.col("arm").isin(a, b)).groupBy("user_id").agg(
         F.max(F.when(F.col("arm") == a, F.col(metric))).alias("x"), F.max(F.when(F.col("arm") == b, F.col(metric))).alias("y")).select(
         "user_id", (F.col("x") - F.col("y")).alias("v")).filter("v is not null")
-    placed = cut(running_totals(diff, [], [F.asc("user_id")], {}).withColumnRenamed("before", "idx"))
+    placed = cut(diff.withColumn("idx", F.col("user_id").cast("long")))
     boots = resampled_means(placed.select("idx", "v"), iters, seed=seed).agg(F.avg((F.col("mean") <= 0).cast("double")).alias("p")).scalar()
     return placed.agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("delta"), F.count("*").alias("n")).withColumn("p", F.coalesce(boots, F.lit(1.0)))
 

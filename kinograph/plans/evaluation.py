@@ -194,13 +194,16 @@ def _(spark, d):
 
 
 @query("paired_bootstrap", sql(f"""WITH {SLATES}, m AS (SELECT user_id, arm, coalesce(sum(rel / log2(rank + 1.0)) / max(ideal), 0.0) AS ndcg {PER}),
-  df AS (SELECT user_id, max(CASE WHEN arm = 'a' THEN ndcg END) - max(CASE WHEN arm = 'b' THEN ndcg END) AS v FROM m GROUP BY 1), ix AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS idx, v, count(*) OVER () AS n FROM df),
-  dr AS (SELECT i.iter, CAST('0x' || substr(md5('0-' || i.iter || '-' || idx), 1, 8) AS BIGINT) % n AS pick FROM ix, (SELECT unnest(generate_series(0, 199)) AS iter) i),
-  bo AS (SELECT dr.iter, avg(v) AS mean FROM dr JOIN ix ON ix.idx = dr.pick GROUP BY 1)
-SELECT round(avg(v), 9) AS delta, count(*) AS n, round((SELECT avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END) FROM bo), 9) AS p FROM df""", "ratings"))
+  df AS (SELECT user_id, max(CASE WHEN arm = 'a' THEN ndcg END) - max(CASE WHEN arm = 'b' THEN ndcg END) AS v FROM m GROUP BY 1),
+  d0 AS (SELECT i.iter, v, (user_id * {P.DRAW_FACTORS[0]} + i.iter * {P.DRAW_FACTORS[1]}) & 4294967295 AS x FROM df, (SELECT unnest(generate_series(0, 9999)) AS iter) i),
+  d1 AS (SELECT iter, v, (xor(x, x >> 16) * {P.DRAW_FACTORS[2]}) & 4294967295 AS x FROM d0), d2 AS (SELECT iter, v, (xor(x, x >> 15) * {P.DRAW_FACTORS[3]}) & 4294967295 AS x FROM d1),
+  du AS (SELECT iter, v, xor(x, x >> 16) >> 8 AS u FROM d2), d3 AS (SELECT iter, v, {" + ".join(f"CASE WHEN u >= {b} THEN 1 ELSE 0 END" for b in P.POISSON_BOUNDS)} AS c FROM du),
+  bo AS (SELECT iter, sum(c * v) / sum(c) AS mean FROM d3 GROUP BY 1 HAVING sum(c) > 0)
+SELECT round(avg(v), 9) AS delta, count(*) AS n, round((SELECT avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END) FROM bo), 3) AS p FROM df""", "ratings"))
 def _(spark, d):
-    out = P.paired_bootstrap(P.ndcg_at_k(slates(spark, d), _rel(spark, d)), "a", "b", iters=200)
-    return out.select(F.round("delta", 9).alias("delta"), "n", F.round("p", 9).alias("p"))
+    """At the operator's 10,000 rounds."""
+    out = P.paired_bootstrap(P.ndcg_at_k(slates(spark, d), _rel(spark, d)), "a", "b")
+    return out.select(F.round("delta", 9).alias("delta"), "n", F.round("p", 3).alias("p"))
 
 
 @query("ranking_metrics", sql(f"""WITH {SLATES}, tp AS (SELECT item_id FROM titles ORDER BY coalesce(imdb_votes, 0) DESC, item_id LIMIT 200),
@@ -392,13 +395,13 @@ def summary_cases(spark, d):
 @query("validation_summary", f"""WITH {SUMMARY}, a AS (SELECT user_id, count(*) AS completed, avg(abs(fs - reward)) AS full_mae, avg(abs(rs - reward)) AS ridge_mae, avg((fs - hit) * (fs - hit)) AS full_brier, avg(CASE WHEN f <= k THEN hit END) AS full_top10, avg(CASE WHEN r <= k THEN hit END) AS ridge_top10 FROM c GROUP BY 1)
 SELECT user_id, completed, what, round(value, 9) AS value FROM (SELECT user_id, completed, unnest(['full_mae', 'ridge_mae', 'full_brier', 'full_top10', 'ridge_top10', 'top10_lift']) AS what, unnest([full_mae, ridge_mae, full_brier, full_top10, ridge_top10, lift]) AS value FROM a JOIN lf USING (user_id))""")
 def _(spark, d):
-    out = P.validation_summary(summary_cases(spark, d), iters=20)
+    out = P.validation_summary(summary_cases(spark, d))
     return out.select("user_id", "completed", "what", F.round("value", 9).alias("value"))
 
 
 @query("validation_decision")
 def _(spark, d):
-    return P.validation_summary(_reveal_sealed(spark, d), iters=200).select("user_id", "what", r6("low"), r6("high"), "decision", "status")
+    return P.validation_summary(_reveal_sealed(spark, d)).select("user_id", "what", r6("low"), r6("high"), "decision", "status")
 
 
 def _reveal_sealed(spark, d):
