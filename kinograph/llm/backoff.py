@@ -6,7 +6,7 @@ joined to it, so each n-gram gets its count in the corpus. The counts return to
 are scored and summed per document.
 
 A run is a sorted array of 64-bit n-gram numbers with its counts, not a row per n-gram: only the
-gaps between numbers travel, byte by byte, which halves what is shuffled. An n-gram enters a
+gaps between numbers travel, byte by byte and compressed, which halves what is shuffled. An n-gram enters a
 partition at most once per slab, so no word, however common, weighs on one task.
 """
 
@@ -36,14 +36,19 @@ class _Words(dict):
 _KNOWN = _Words()
 
 
+_CODEC = "zstd"
+
+
 def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together, so that empty high bytes compress away."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    """Bytes of equal weight together, so that empty high bytes compress away; length first."""
+    data = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(x).to_bytes(8, "little") + pa.Codec(_CODEC, compression_level=1).compress(data, asbytes=True)
 
 
 def _whole(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    size, n = np.dtype(kind).itemsize, int.from_bytes(data[:8], "little")
+    flat = pa.decompress(data[8:], size * n, codec=_CODEC) if n else b""
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,7 +61,7 @@ def grams(words: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     total = words.copy()
     for back in range(1, n):
         total[back:] = _mix(total[back:] + words[:-back] * _P[back])
-    total = _mix(total + _P[0] * np.uint64(n))
+    total = _mix(total + np.uint64(int(_P[0]) * n % (1 << 64)))
     total[total == 0] = 1
     place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     total[place < n - 1] = 0
@@ -71,12 +76,15 @@ def _slabs(size: int):
 
         def flush():
             words = np.concatenate([h[3] for h in held])
-            vocabulary, codes = np.unique(words, return_inverse=True)
+            vocabulary, codes, often = np.unique(words, return_inverse=True, return_counts=True)
+            common = np.argsort(-often, kind="stable")  # small codes for common words
+            rank = np.empty(len(common), "<u4")
+            rank[common] = np.arange(len(common), dtype="<u4")
             lengths = [len(h[3]) for h in held]
             return pa.RecordBatch.from_arrays([
                 pa.array([held[0][0]], pa.int64()), pa.array([[h[1] for h in held]], pa.list_(kind)),
-                pa.array([[h[2] for h in held]], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([_planes(np.diff(vocabulary, prepend=np.uint64(0)))], pa.binary()),
-                pa.array([_planes(codes.astype("<u4"))], pa.binary())],
+                pa.array([[h[2] for h in held]], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([_planes(vocabulary[common])], pa.binary()),
+                pa.array([_planes(rank[codes])], pa.binary())],
                 names=["slab", "doc_ids", "hashes", "lengths", "vocabulary", "codes"])
 
         for batch in batches:
@@ -84,7 +92,7 @@ def _slabs(size: int):
             for rid, doc, th, data in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(),
                                           batch.column("text_hash").to_pylist(), rows.utf8(batch.column("text"))):
                 w = data.lower().split() if data else []
-                if len(_KNOWN) > 1_000_000:
+                if len(_KNOWN) > 400_000:
                     _KNOWN.clear()
                 held.append((rid, doc, th, np.fromiter(map(_KNOWN.__getitem__, w), np.uint64, len(w))))
                 total += len(w)
@@ -97,7 +105,7 @@ def _slabs(size: int):
 
 
 def _words_of(vocabulary: bytes, codes: bytes) -> np.ndarray:
-    return np.cumsum(_whole(vocabulary, "<u8"), dtype=np.uint64)[_whole(codes, "<u4")]
+    return _whole(vocabulary, "<u8")[_whole(codes, "<u4")]
 
 
 def _explode(order: int, parts: int):
@@ -177,7 +185,7 @@ def _score(order: int, alpha: float, least: int, total: int, names):
 
 
 def backoff_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT,
-                   slab_words: int = 1 << 21, parts: int | None = None) -> DataFrame:
+                   slab_words: int = 1 << 20, parts: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, n_words, log_score.
 
     ``log_score`` sums, over the words of the whole text (ASCII-lower-cased, cut at white space), the
