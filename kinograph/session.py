@@ -24,6 +24,7 @@ def get_session(app: str = "kinograph", cpus: int | str | None = None) -> SparkS
         .config("spark.driver.memory", os.environ.get("BENCH_MEM", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.executorEnv.OMP_NUM_THREADS", "1")
         .getOrCreate()
     )

@@ -35,31 +35,38 @@ def run_batches(stream: DataFrame, sink, checkpoint: str, mode: str = "append"):
     return query
 
 
+def _unseen(rows: DataFrame, have: DataFrame) -> DataFrame:
+    """The rows whose natural key ``have`` lacks; nulls match nulls."""
+    a, b = rows.alias("a"), have.select(*E.NATURAL_KEY).alias("b")
+    same = F.lit(True)
+    for c in E.NATURAL_KEY:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, same, "left_anti")
+
+
 def event_sink(log: str, late: str, schema: T.StructType, delay_days: int):
-    """A batch function that appends new events once.
+    """A batch function that adds new events once.
 
     Rows older than the log's newest day minus the delay go to the side table. The rest are
     checked against the log days at or after that mark only, which partition pruning keeps
-    small; a repeated batch finds its own rows and adds nothing.
+    small. Both tables are written by batch in overwrite mode and checked against other batches
+    alone, so a retried batch replaces its own first attempt and a repeat adds nothing to either.
     """
-    stored = T.StructType([*schema.fields, T.StructField("day", T.DateType())])
+    stored = T.StructType([*schema.fields, T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())])
+    aside = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
 
-    def sink(batch: DataFrame, _id: int) -> None:
+    def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        have = _existing(spark, log, stored)
+        have = _existing(spark, log, stored).filter(F.col("batch") != batch_id)
         newest = have.agg(F.max("day").alias("d")).head()["d"]
         rows = batch.dropDuplicates([c for c in E.NATURAL_KEY]).withColumn("day", F.to_date("ts"))
-        fresh, mark = rows, None
+        fresh, seen = rows, have
         if newest is not None:
             mark = F.date_sub(F.lit(newest), delay_days)
-            fresh = rows.filter(F.col("day") >= mark)
-            rows.filter(F.col("day") < mark).write.mode("append").parquet(late)
-        seen = have if mark is None else have.filter(F.col("day") >= mark)
-        a, b = fresh.alias("a"), seen.select(*E.NATURAL_KEY).alias("b")
-        same = F.lit(True)
-        for c in E.NATURAL_KEY:
-            same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-        a.join(b, same, "left_anti").write.mode("append").partitionBy("day").parquet(log)
+            fresh, seen = rows.filter(F.col("day") >= mark), have.filter(F.col("day") >= mark)
+            kept_aside = _existing(spark, late, aside).filter(F.col("batch") != batch_id)
+            _unseen(rows.filter(F.col("day") < mark).drop("day"), kept_aside).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+        _unseen(fresh, seen).write.mode("overwrite").partitionBy("day").parquet(f"{log}/batch={batch_id}")
     return sink
 
 
@@ -68,19 +75,36 @@ def stream_events(stream: DataFrame, log: str, late: str, checkpoint: str, delay
     return run_batches(stream, event_sink(log, late, stream.schema, delay_days), checkpoint)
 
 
-def _changes(path: str):
+#: Batches of a change log after which it is folded into one table of current rows.
+COMPACT_EVERY = 20
+
+
+def _current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest change per key: of the newest fold, and of the batches after it."""
+    log = spark.read.parquet(path)
+    upto = log.filter("fold = 1").agg(F.coalesce(F.max("batch"), F.lit(-1)).alias("b")).scalar()
+    live = log.filter(((F.col("fold") == 1) & (F.col("batch") == upto)) | ((F.col("fold") == 0) & (F.col("batch") > upto)))
+    rest = [c for c in log.columns if c not in (*keys, "batch", "fold")]
+    return live.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+
+
+def _changes(path: str, keys: list[str] | None = None, every: int = COMPACT_EVERY):
     def sink(batch: DataFrame, batch_id: int) -> None:
         # Overwriting the batch's own folder makes a retry harmless.
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if keys is None:
+            batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            return
+        batch.write.mode("overwrite").parquet(f"{path}/fold=0/batch={batch_id}")
+        if (batch_id + 1) % every == 0:
+            _current(batch.sparkSession, path, keys).write.mode("overwrite").parquet(f"{path}/fold=1/batch={batch_id}")
     return sink
 
 
-def keep_current(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
-    """Run an update-mode aggregate and return its current rows: the newest change per key."""
-    run_batches(stream, _changes(path), checkpoint, "update")
-    log = stream.sparkSession.read.parquet(path)
-    rest = [c for c in log.columns if c not in keys and c != "batch"]
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+def keep_current(stream: DataFrame, path: str, checkpoint: str, keys: list[str], every: int = COMPACT_EVERY) -> DataFrame:
+    """Run an update-mode aggregate and return its current rows. Every ``every`` batches the
+    change log is folded, so a read takes one fold and fewer than that many batches."""
+    run_batches(stream, _changes(path, keys, every), checkpoint, "update")
+    return _current(stream.sparkSession, path, keys)
 
 
 def stream_latest_verdict(events: DataFrame) -> DataFrame:

@@ -249,6 +249,20 @@ def test_late_events_go_aside_and_repeats_vanish(spark):
     sink(events(spark, rows[:2]), 2)
     assert sorted(r.item_id for r in spark.read.parquet(log).collect()) == [5, 6]
     assert [r.item_id for r in spark.read.parquet(late).collect()] == [7]
+    # A retried batch and a repeat in a new one leave both tables as they are.
+    sink(events(spark, rows[:1] + rows[1:2] * 2 + rows[2:]), 1)
+    sink(events(spark, rows), 3)
+    assert sorted(r.item_id for r in spark.read.parquet(log).collect()) == [5, 6]
+    assert [r.item_id for r in spark.read.parquet(late).collect()] == [7]
+
+
+def test_change_log_folds(spark):
+    path = scratch(spark, "changes")
+    sink = W._changes(path, ["k"], every=2)
+    for batch, rows in enumerate([[(1, "a"), (2, "a")], [(1, "b")], [(3, "c")], [(2, "d"), (3, "d")], [(1, "e")]]):
+        sink(spark.createDataFrame(rows, "k long, v string"), batch)
+    assert {r.k: r.v for r in W._current(spark, path, ["k"]).collect()} == {1: "e", 2: "d", 3: "d"}
+    assert spark.read.parquet(path).filter("fold = 1").count() == 5
 
 
 def test_cache_never_encodes_twice(spark):
