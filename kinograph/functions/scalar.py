@@ -117,8 +117,9 @@ def _blank_null(text: Column) -> Column:
     return F.nullif(F.trim(F.coalesce(text, F.lit(""))), F.lit(""))
 
 
-def item_card() -> Column:
-    """The prose card of a title, from the catalogue columns."""
+def item_card(overview: int = 900, keywords: int = 18, cast: int = 5, directors: int = 2) -> Column:
+    """The prose card of a title, from the catalogue columns. A card is defined by how much of
+    each it takes; encoders read cards of one size."""
     title = F.coalesce(F.nullif("title", F.lit("")), F.nullif("original_title", F.lit("")), F.lit("Untitled"))
     original = F.col("original_title")
     series = F.when(F.col("kind") == "tv", F.lit("series")).otherwise(F.lit("film"))
@@ -141,16 +142,16 @@ def item_card() -> Column:
 
     credits = F.concat_ws(
         ". ",
-        listed(F.slice(_present(F.col("directors")), 1, 2), "Directed by ", " and "),
-        listed(F.slice(_present(F.col("cast_names")), 1, 5), "starring ", ", "),
+        listed(F.slice(_present(F.col("directors")), 1, directors), "Directed by ", " and "),
+        listed(F.slice(_present(F.col("cast_names")), 1, cast), "starring ", ", "),
     )
     genres = listed(F.array_distinct(_present(F.col("genres"))), "Genre: ", ", ")
-    themes = listed(F.array_distinct(F.slice(_present(F.col("keywords")), 1, 18)), "Themes: ", ", ")
+    themes = listed(F.array_distinct(F.slice(_present(F.col("keywords")), 1, keywords)), "Themes: ", ", ")
     tagline = F.regexp_replace(_blank_null(F.col("tagline")), r"\.+$", "")
     dot = F.lit(".")
     return F.concat_ws(
         "\n", head, F.concat(F.nullif(credits, F.lit("")), dot), F.concat(genres, dot),
-        F.concat(themes, dot), F.concat(tagline, dot), F.substring(_blank_null(F.col("overview")), 1, 900),
+        F.concat(themes, dot), F.concat(tagline, dot), F.substring(_blank_null(F.col("overview")), 1, overview),
     )
 
 
@@ -198,18 +199,13 @@ def match_label(title: Column, original: Column, year: Column, language: Column,
 def split_year(query: Column) -> tuple[Column, Column]:
     """Trailing 19xx/20xx: the title without it, and the year."""
     trimmed = F.trim(query)
-    pattern = r"[\s(\[]+((?:19|20)\d{2})[\s)\]]*$"
-    year = F.nullif(F.regexp_extract(trimmed, pattern, 1), F.lit("")).try_cast("int")
-    return F.trim(F.regexp_replace(trimmed, pattern, "")), year
+    year = F.nullif(F.regexp_extract(trimmed, dims.TRAILING_YEAR, 1), F.lit("")).try_cast("int")
+    return F.trim(F.regexp_replace(trimmed, dims.TRAILING_YEAR, "")), year
 
 
 def strip_edition(title: Column) -> Column:
     """All trailing edition markers, in one pass through a repeated group."""
-    marker = (
-        r"\s*[:(\-–—]?\s*(reloaded version|extended (cut|version)|director'?s cut|"
-        r"based on a true story|limited series)\s*\)?\s*"
-    )
-    return F.trim(F.regexp_replace(title, f"(?i)({marker})+$", ""))
+    return F.trim(F.regexp_replace(title, f"(?i)({dims.EDITION_MARKER})+$", ""))
 
 
 def hash_order(seed: int | str, *cols: Column) -> Column:

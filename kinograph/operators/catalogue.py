@@ -121,8 +121,8 @@ def lean_projection(titles: DataFrame) -> DataFrame:
     return titles.select(*LEAN)
 
 
-def present(titles: DataFrame) -> DataFrame:
-    """Display columns."""
+def present(titles: DataFrame, overview: int = 260) -> DataFrame:
+    """Display columns; the overview is shown up to so many characters."""
     empty = F.array().cast("array<string>")
     return titles.select(
         "item_id", "title",
@@ -132,7 +132,7 @@ def present(titles: DataFrame) -> DataFrame:
         F.slice(F.coalesce("genres", empty), 1, 3).alias("genres"),
         F.slice(F.coalesce("directors", empty), 1, 2).alias("directors"),
         F.col("imdb_rating").alias("rating"), F.col("imdb_votes").alias("votes"),
-        F.nullif(F.substring(F.coalesce("overview", F.lit("")), 1, 260), F.lit("")).alias("overview"),
+        F.nullif(F.substring(F.coalesce("overview", F.lit("")), 1, overview), F.lit("")).alias("overview"),
         F.when(F.col("poster_path") != "", F.concat(F.lit(dims.POSTER_BASE), "poster_path")).alias("poster"),
     )
 
@@ -474,8 +474,11 @@ def integrity_report(titles: DataFrame, events: DataFrame, space: DataFrame) ->
 
 
 def recognisable_pool(titles: DataFrame, quantile: float = dims.POOL_QUANTILE, least: int = dims.POOL_MIN,
-                      min_titles: int = dims.POOL_MIN_TITLES, cap: int | None = None, languages=()) -> DataFrame:
-    """Titles people plausibly know: per language the top vote quantile, topped up, capped.
+                      min_titles: int = dims.POOL_MIN_TITLES, cap: int | None | str = "by-language", languages=()) -> DataFrame:
+    """Titles people plausibly know: per language the top vote quantile, topped up.
+
+    ``cap`` bounds a language's pool: a number, None for no bound, or ``by-language`` for the
+    documented sizes of priority and other languages.
 
     The vote rule is a threshold per language found from a (language, votes) histogram
     that combines map-side; the rank filter below it is cut before its shuffle, so one
@@ -489,10 +492,15 @@ def recognisable_pool(titles: DataFrame, quantile: float = dims.POOL_QUANTILE, l
         F.sum("n").alias("titles"), F.expr(f"percentile(imdb_votes, {quantile}, n)").alias("floor"))
     at_floor = bins.join(rule, "language").filter(F.col("titles") >= min_titles).groupBy("language", "floor").agg(
         F.sum(F.when(F.col("imdb_votes") >= F.col("floor"), F.col("n")).otherwise(0)).alias("above"))
-    room = F.lit(cap) if cap else F.when(
-        F.col("language").isin(*dims.PRIORITY_LANGUAGES), dims.POOL_CAP_PRIORITY).otherwise(dims.POOL_CAP_OTHER)
+    unbounded = 2**31 - 1
+    if cap == "by-language":
+        most = dims.POOL_CAP_PRIORITY
+        room = F.when(F.col("language").isin(*dims.PRIORITY_LANGUAGES), most).otherwise(dims.POOL_CAP_OTHER)
+    else:
+        most = unbounded if cap is None else cap
+        room = F.lit(most)
     limits = at_floor.withColumn("want", F.least(F.when(F.col("above") < least, F.lit(least)).otherwise(F.col("above")), room))
-    ranked = top_per_key(voted, ["language"], [F.desc("imdb_votes"), F.asc("item_id")], cap or dims.POOL_CAP_PRIORITY, "_rn")
+    ranked = top_per_key(voted, ["language"], [F.desc("imdb_votes"), F.asc("item_id")], most, "_rn")
     return ranked.join(limits.select("language", "want"), "language").filter(F.col("_rn") <= F.col("want")).drop("_rn", "want")
 
 

@@ -227,7 +227,7 @@ def rated_titles(events: DataFrame, titles: DataFrame, limit: int = 200) -> Data
         .agg(F.max_by(F.struct("value", "context", "ts", "event_id"), newest()).alias("_r")).select("user_id", "item_id", "_r.*")
         .join(titles.select("item_id"), "item_id", "left_semi")
     )
-    return _latest_per_user(last, min(max(limit, 1), 500)).join(titles, "item_id").withColumn("verdict", field("verdict"))
+    return _latest_per_user(last, limit).join(titles, "item_id").withColumn("verdict", field("verdict"))
 
 
 def last_slate_item(queries: DataFrame, impressions: DataFrame) -> DataFrame:

@@ -138,15 +138,9 @@ def needs_compaction(cache: DataFrame, live: DataFrame) -> DataFrame:
     return rows.withColumn("live", keys["live"]).withColumn("due", F.col("cached") > 2 * F.greatest("live", F.lit(1)))
 
 
-QUERY_PROMPT = (
-    "Instruct: Given a description of someone's taste in film and television, "
-    "retrieve titles that would satisfy it.\nQuery: "
-)
-
-
 def embed_query(queries: DataFrame, encoder, art: Fusion | None = None) -> DataFrame:
     """Free-text moods as vectors, in the fused space when ``art`` is given."""
-    vecs = encode_texts(queries.withColumn("card", F.concat(F.lit(QUERY_PROMPT), F.col("query"))), encoder).drop("card")
+    vecs = encode_texts(queries.withColumn("card", F.concat(F.lit(dims.QUERY_PROMPT), F.col("query"))), encoder).drop("card")
     return project(vecs, art) if art is not None else vecs
 
 
