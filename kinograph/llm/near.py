@@ -42,9 +42,6 @@ class _Words(dict):
         return value
 
 
-_KNOWN = _Words()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -57,9 +54,10 @@ def shingles(data: bytes | None, width: int = 3) -> np.ndarray:
     w = data.lower().split() if data else []
     if not w:
         return np.empty(0, np.uint64)
-    if len(_KNOWN) > 1_000_000:
-        _KNOWN.clear()
-    h = np.fromiter(map(_KNOWN.__getitem__, w), np.uint64, len(w))
+    known = rows.worker_cache("near", _Words)
+    if len(known) > 500_000:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
     if len(w) < width:
         return np.array([xxhash.xxh64_intdigest(b" ".join(w), seed=len(w))], np.uint64)
     total = np.zeros(len(w) - width + 1, np.uint64)

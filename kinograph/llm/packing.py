@@ -110,18 +110,11 @@ class WordIds:
         return [b"".join(map(get, c)) for c in chunks]
 
 
-_WORKER: dict = {}
-
-
 def _pack(tokenizer, capacity: int, slots: int, step: int, kinds):
     def run(batches):
         from pyspark import TaskContext
 
-        key = hash(tokenizer.value)
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = WordIds(tokenizer.value)
-        ids = _WORKER[key]
+        ids = rows.worker_cache(("packing", hash(tokenizer.value)), lambda: WordIds(tokenizer.value))
         bins = OpenBins(capacity, slots, TaskContext.get().partitionId() << 33)
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:

@@ -26,6 +26,18 @@ def utf8(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
+_CACHE: dict = {}
+
+
+def worker_cache(owner, make):
+    """What an operator remembers between the tasks of a Python worker. A worker holds one such
+    cache: when the next operator asks, the last one's is dropped, so caches never add up."""
+    if owner not in _CACHE:
+        _CACHE.clear()
+        _CACHE[owner] = make()
+    return _CACHE[owner]
+
+
 def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns an operator reads, under names of its own, plus ``text_hash``: with it a
     verdict finds its row again even where ids are null or used twice."""
