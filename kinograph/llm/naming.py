@@ -112,7 +112,8 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", bl
     """
     found = rows.land(identities(docs, id, text, block_bytes), "identities")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
-    groups = found.groupBy("n", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # Landed, so that the join below reads two shuffles and a large group's rows can be split.
+    groups = rows.land(found.groupBy("n", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
     return found.join(groups, ["n", "name"]).select(
         "doc_id", "text_hash", F.col("first.doc_id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("first.rid")).alias("kept"), F.col("sha").alias("text_sha256"))

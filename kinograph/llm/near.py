@@ -213,9 +213,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     order = ["family", "i", "j", "node"]
     links = paired.repartition(*[F.col(c) for c in order[:3]]).sortWithinPartitions(*order).mapInArrow(_confirm(similarity), "a long, b long")
     root = rows.land(graph.components(links, "a", "b"), "roots")
-    labelled = base.join(classes.select("set_key", "node"), "set_key", "left").join(root, "node", "left").withColumn(
-        "component", F.coalesce("root", "node", "rid")).select("rid", "doc_id", "text_hash", "n", "component")
-    first = labelled.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))
+    labelled = rows.land(base.join(classes.select("set_key", "node"), "set_key", "left").join(root, "node", "left").withColumn(
+        "component", F.coalesce("root", "node", "rid")).select("rid", "doc_id", "text_hash", "n", "component"), "labelled")
+    # Landed, so that the join below reads two shuffles and a large component's rows can be split.
+    first = rows.land(labelled.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")), "first")
     return labelled.join(first, "component").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("rid") == F.col("first.rid")).alias("kept"))
 
