@@ -33,9 +33,6 @@ class _Words(dict):
         return value
 
 
-_KNOWN = _Words()
-
-
 _CODEC = "zstd"
 
 
@@ -92,9 +89,10 @@ def _slabs(size: int):
             for rid, doc, th, data in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(),
                                           batch.column("text_hash").to_pylist(), rows.utf8(batch.column("text"))):
                 w = data.lower().split() if data else []
-                if len(_KNOWN) > 400_000:
-                    _KNOWN.clear()
-                held.append((rid, doc, th, np.fromiter(map(_KNOWN.__getitem__, w), np.uint64, len(w))))
+                known = rows.worker_cache("backoff", _Words)
+                if len(known) > 300_000:
+                    known.clear()
+                held.append((rid, doc, th, np.fromiter(map(known.__getitem__, w), np.uint64, len(w))))
                 total += len(w)
                 if total >= size:
                     yield flush()
@@ -193,12 +191,12 @@ def backoff_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", orde
     at least ``min_count`` times, times ``alpha`` for each shorter step; single words count from one, over
     all words. The first words of a text have shorter n-grams only. Null and empty texts have no words
     and score 0. Repeated rows and null ids are rows like others; other columns are not read; an empty
-    table gives no rows. ``parts`` count tables (default: the session's shuffle partitions) bound a
-    task's memory. ``docs`` is read twice and must read the same, as a stored table does; where numbers of
+    table gives no rows. ``parts`` count tables (default: three times the session's shuffle partitions)
+    bound a task's memory. ``docs`` is read twice and must read the same, as a stored table does; where numbers of
     n-grams differ it stops.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = rows.keyed(docs, id, text).withColumn("rid", F.monotonically_increasing_id())
     kind = dict(base.dtypes)["doc_id"]
     slabs = base.mapInArrow(_slabs(slab_words), _SLAB.format(id=kind))
