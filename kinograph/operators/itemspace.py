@@ -83,15 +83,19 @@ def factor_coverage(attached: DataFrame) -> DataFrame:
 
 
 def hashed_encoder(width: int = 256):
-    """Default encoder: signed hashed words. Any callable texts -> matrix can replace it."""
+    """Default encoder: signed hashed words, by a hash any engine has. Any callable texts -> matrix
+    can replace it."""
     def encode(texts) -> np.ndarray:
-        from zlib import crc32
+        from hashlib import md5
 
-        out = np.zeros((len(texts), width))
+        out, known = np.zeros((len(texts), width)), {}
         for i, text in enumerate(texts):
             for word in (text or "").lower().split():
-                h = crc32(word.encode())
-                out[i, (h >> 1) % width] += 1.0 if h & 1 else -1.0
+                if word not in known:
+                    h = int(md5(word.encode()).hexdigest()[:8], 16)
+                    known[word] = ((h >> 1) % width, 1.0 if h & 1 else -1.0)
+                place, sign = known[word]
+                out[i, place] += sign
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
     encode.name, encode.width = "hashed", width
     return encode

@@ -70,8 +70,9 @@ def _(spark, d):
     return out.select(F.unix_micros("start").alias("start"), "kind", "source", "n")
 
 
-@query("stream_new_items")
+@query("stream_new_items", sql("SELECT item_id, 32 AS width FROM titles", "titles"))
 def _(spark, d):
+    """The catalogue arrives twice; each item is placed once."""
     content, factors = _blocks(spark, d)
     _space, art = I.fuse_space(content, factors, dim=32, rank=16)
     t = R.titles(spark, d)

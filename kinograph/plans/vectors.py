@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import dims
 from ..functions import scalar as S
 from ..functions import vectors as V
 from ..operators import catalogue as C
@@ -65,7 +66,8 @@ def _(spark, d):
     return I.exclude_holdout(r, I.choose_holdout(r, 100)).select("user_id", "movie_id", "rating")
 
 
-@query("als_factors")
+# Where values are open (any rotation or draw is right) the checks are sets, widths and norms.
+@query("als_factors", sql("SELECT DISTINCT movie_id, 16 AS width FROM ratings", "ratings"))
 def _(spark, d):
     f = I.als_factors(I.interaction_matrix(R.ratings(spark, d)), rank=16, iterations=6)
     return f.select("movie_id", F.size("vec").alias("width"))
@@ -123,7 +125,7 @@ def _(spark, d):
     return f.select("item_id", F.size("vec").cast("long").alias("width"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@query("random_fourier_features")
+@query("random_fourier_features", sql("SELECT item_id, 64 + 5 + 128 AS width FROM space", "space"))
 def _(spark, d):
     return I.random_fourier_features(I.feature_vectors(R.titles(spark, d), R.space(spark, d)).select("item_id", "vec"), 128, 0.5).select("item_id", F.size("vec").alias("width"))
 
@@ -170,10 +172,17 @@ def _(spark, d):
     return I.compact_cache(_cache(spark, d, enc), live, 64).agg(F.count("*").alias("kept"))
 
 
-@query("embed_query")
+PROMPT = dims.QUERY_PROMPT.replace("'", "''")
+
+
+@query("embed_query", rf"""WITH w AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex(lower('{PROMPT}' || coalesce(text, '')), '\s+'), lambda x: x <> '')) AS word FROM conversations WHERE role = 'user'),
+  h AS (SELECT conv_id, turn, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) AS h FROM w), b AS (SELECT conv_id, turn, (h >> 1) % 256 AS pos, sum(CASE WHEN h & 1 = 1 THEN 1.0 ELSE -1.0 END) AS x FROM h GROUP BY ALL),
+  n AS (SELECT conv_id, turn, sqrt(sum(x * x)) AS n FROM b GROUP BY ALL)
+SELECT conv_id, turn, pos, round(x / n, 6) AS x FROM b JOIN n USING (conv_id, turn) WHERE x <> 0""")
 def _(spark, d):
     q = R.table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
-    return I.embed_query(q, I.hashed_encoder(64)).select("conv_id", "turn", F.size("vec").alias("width"))
+    v = I.embed_query(q, I.hashed_encoder()).select("conv_id", "turn", F.posexplode("vec").alias("p", "x")).filter("x != 0")
+    return v.select("conv_id", "turn", F.col("p").cast("long").alias("pos"), r6("x"))
 
 
 def _blocks(spark, d):
@@ -185,7 +194,7 @@ def _blocks(spark, d):
     return content, factors
 
 
-@query("reduce_factors")
+@query("reduce_factors", sql("SELECT item_id, 16 AS width FROM space JOIN titles USING (item_id) WHERE movielens_id IS NOT NULL", "titles", "space"))
 def _(spark, d):
     return I.reduce_factors(_blocks(spark, d)[1], 16).select("item_id", F.size("vec").alias("width"))
 
@@ -199,13 +208,13 @@ def _(spark, d):
     return spark.createDataFrame(rows, "input int, output int, value double, intercept double, alpha double, r2 double")  # width x width, not rows
 
 
-@query("fuse_space")
+@query("fuse_space", sql("SELECT item_id, 32 AS width, 1.0 AS length FROM titles", "titles"))
 def _(spark, d):
     space, _art = I.fuse_space(*_blocks(spark, d), dim=32, rank=16)
     return space.select("item_id", F.size("vec").alias("width"), r6(V.norm(F.col("vec")), "length"))
 
 
-@query("project")
+@query("project", "SELECT doc_id AS item_id, 32 AS width, 1.0 AS length FROM documents")
 def _(spark, d):
     content, factors = _blocks(spark, d)
     _space, art = I.fuse_space(content, factors, dim=32, rank=16)
@@ -213,7 +222,7 @@ def _(spark, d):
     return I.project(new, art).select("item_id", F.size("vec").alias("width"), r6(V.norm(F.col("vec")), "length"))
 
 
-@query("place_new_items")
+@query("place_new_items", sql("SELECT item_id, 32 AS width FROM titles WHERE tmdb_id IS NULL", "titles"))
 def _(spark, d):
     content, factors = _blocks(spark, d)
     space, art = I.fuse_space(content, factors, dim=32, rank=16)
