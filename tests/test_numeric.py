@@ -196,11 +196,41 @@ def test_volume_greedy_is_greedy_determinant(world):
     assert N.volume_greedy(v, q, 5) == picks
 
 
+def test_lazy_greedy_is_the_plain_greedy():
+    for either in (False, True):
+        value, unit_ = RNG.normal(size=60), unit(RNG.normal(size=(60, 4)))
+        value[10:20] = value[10]
+        unit_[10:20] = unit_[10]
+        picks = []
+        for _ in range(12):
+            alike = unit_ @ unit_[picks].T if picks else np.zeros((60, 1))
+            net = value - 0.7 * np.maximum(0.0, (np.abs(alike) if either else alike).max(axis=1))
+            net[picks] = -np.inf
+            picks.append(int(np.argmax(np.round(net, 12))))
+        assert N.diverse_greedy(value, unit_, 12, 0.7, either) == picks
+
+
+def test_regression_is_stationary():
+    x = np.hstack([np.ones((80, 1)), RNG.normal(size=(80, 3))])
+    y = x @ np.array([0.1, 1.0, -0.5, 0.0]) + 0.3 * RNG.normal(size=80)
+    mean, cov, a, b, evidence = N.bayes_ridge(x.T @ x, x.T @ y, y @ y, 80.0, None)
+    assert np.allclose(cov, np.linalg.inv(a * np.eye(4) + b * x.T @ x)) and np.allclose(mean, b * cov @ x.T @ y)
+    s = np.eye(80) / b + x @ x.T / a
+    assert np.isclose(evidence, -0.5 * (np.linalg.slogdet(2 * np.pi * s)[1] + y @ np.linalg.solve(s, y)))
+    known = 4 - a * np.trace(cov)
+    assert np.isclose(a, known / (mean @ mean), rtol=1e-4) and np.isclose(b, (80 - known) / ((y - x @ mean) ** 2).sum(), rtol=1e-4)
+
+
+def test_poisson_counts_have_mean_and_spread_one():
+    c = P.poisson_counts(np.arange(2000), np.arange(500)).astype(float)
+    assert abs(c.mean() - 1) < 0.01 and abs(c.var() - 1) < 0.02 and abs(np.corrcoef(c[:, 0], c[:, 1])[0, 1]) < 0.1
+
+
 def test_variance_reduction_is_the_explicit_update(world):
     model = K.fit_taste(world["sl"].filter("user_id = 1"), world["feats"], None, allow_rff=False)
     r = model.head()
     none = world["sl"].filter("1 = 0").select("user_id", "item_id")
-    got = Q.variance_reduction(model, world["feats"], none, world["feats"], world["n"]).toPandas().sort_values("item_id")
+    got = Q.variance_reduction(model, world["feats"], none, world["feats"]).toPandas().sort_values("item_id")
     phi = np.hstack([np.ones((world["n"], 1)), world["vec"]])
     s = np.reshape(r.cov, (phi.shape[1],) * 2)
     for i in (0, 17, 63):
