@@ -32,6 +32,17 @@ def input_fingerprint(spark: SparkSession, version: int, sources: dict[str, str]
     return spark.createDataFrame([("\n".join(parts),)], "inputs string").withColumn("fingerprint", F.sha2("inputs", 256))
 
 
+def content_fingerprint(sources: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
+    """Per source its rows and an order-free checksum of its key columns, stated so that any
+    engine with md5 gets the same: what a stage compares when file times do not tell."""
+    out = None
+    for name, df in sorted(sources.items()):
+        h = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in keys[name]])), 1, 8), 16, 10).cast("bigint")
+        row = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("bigint").alias("checksum")).withColumn("source", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def stage_is_current(recorded: DataFrame, fingerprint: DataFrame) -> DataFrame:
     return fingerprint.join(recorded.select("fingerprint").distinct().withColumn("_r", F.lit(True)), "fingerprint", "left").withColumn(
         "current", F.coalesce("_r", F.lit(False))).drop("_r")

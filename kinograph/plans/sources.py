@@ -205,9 +205,11 @@ def _(spark, d):
     return snapshot.read_snapshot(spark, path).select("item_id", "imdb_id", "title", F.col("year").cast("double").alias("year"), F.col("end_year").cast("string").alias("end_year"), F.round("quality", 9).alias("quality"))
 
 
-@query("input_fingerprint")
+@query("input_fingerprint", """SELECT 'lineitem' AS source, count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey), 1, 8) AS BIGINT)) AS BIGINT) AS checksum FROM lineitem
+UNION ALL SELECT 'orders', count(*), CAST(sum(CAST('0x' || substr(md5(o_orderkey || '|' || o_orderstatus), 1, 8) AS BIGINT)) AS BIGINT) FROM orders""")
 def _(spark, d):
-    return L.input_fingerprint(spark, 1, {"lineitem": f"{d}/lineitem.parquet", "orders": f"{d}/orders.parquet"}, {"min_votes": 50})
+    tables = {"lineitem": R.table(spark, d, "lineitem"), "orders": R.table(spark, d, "orders")}
+    return L.content_fingerprint(tables, {"lineitem": ["l_orderkey", "l_linenumber", "l_partkey"], "orders": ["o_orderkey", "o_orderstatus"]})
 
 
 @query("manifest", "SELECT 'lineitem' AS artefact, count(*) AS rows FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders")

@@ -415,9 +415,15 @@ def _(spark, d):
     return K.taste_direction(plain_models(spark, d), 64).select("user_id", F.col("axis").cast("long").alias("axis"), r6("weight"))
 
 
-@query("surface_preferences")
-def _(spark, d):
-    return K.surface_preferences(models(spark, d), 64).select("user_id", "name", r6("weight"))
+@query("surface_preferences", sql(f"""WITH {SIDE}, m AS (SELECT user_id, {", ".join(f"avg(s{i}) AS s{i}" for i in range(5))} FROM log JOIN si USING (item_id) WHERE kind = 'rate' GROUP BY 1)
+{" UNION ALL ".join(f"SELECT user_id, '{name}' AS name, round(s{i}, 6) AS weight FROM m" for i, name in enumerate(dims.SIDE_FEATURES))}""", "titles", "log", "space"))
+def _(spark, d):
+    """The side part of a model whose weights are the mean rated feature vector."""
+    long = features(spark, d).select("item_id", F.posexplode("vec").alias("axis", "x"))
+    mean = R.events(spark, d).filter("kind = 'rate'").select("user_id", "item_id").join(long, "item_id").groupBy("user_id", "axis").agg(F.avg("x").alias("x"))
+    model = mean.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("axis", "x"))).alias("w")).select(
+        "user_id", F.concat(F.array(F.lit(0.0)), F.transform("w", lambda v: v["x"])).alias("mean"), F.lit(0).alias("n_rff"))
+    return K.surface_preferences(model, 64).select("user_id", "name", r6("weight"))
 
 
 @query("ridge_baseline")
