@@ -134,11 +134,17 @@ def match_fuzzy(searches: DataFrame, titles: DataFrame, limit: int | None = None
     rare = wanted.withColumn("_r", F.row_number().over(Window.partitionBy("search_id").orderBy("_n", "gram"))).filter(F.col("_r") <= RARE_GRAMS)
     far = rare.select("search_id", "gram").join(index, "gram").select("search_id", "item_id").distinct().join(
         asked.drop("prefix"), "search_id").join(titles, "item_id").filter(able)
-    # Similarity is costly per pair: deal pairs evenly, whatever query they belong to.
-    pairs = B.spread(near.unionByName(far.select(*near.columns)).dropDuplicates(["search_id", "item_id"]), "search_id", "item_id")
-    sim = F.greatest(X.similarity(F.col("norm"), F.coalesce("norm_title", F.lit(""))),
-                     X.similarity(F.col("norm"), F.coalesce("norm_original", F.lit(""))))
-    return _best(pairs.withColumn("score", sim * 0.9 + _bonus()).filter(F.col("score") >= floor), limit)
+    pairs = cut(near.unionByName(far.select(*near.columns)).dropDuplicates(["search_id", "item_id"]))
+    # Similarity is costly and names repeat: each pair of strings is compared once, dealt evenly.
+    forms = F.array_distinct(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in ("norm_title", "norm_original")]))
+    alike = B.spread(pairs.select("norm", F.explode(forms).alias("form")).distinct(), "norm", "form").withColumn(
+        "_s", X.similarity(F.col("norm"), F.col("form")))
+    alike = cut(alike)
+    for c in ("norm_title", "norm_original"):
+        pairs = pairs.withColumn("_form", F.coalesce(F.col(c), F.lit(""))).join(
+            alike.select("norm", F.col("form").alias("_form"), F.col("_s").alias(f"_s_{c}")), ["norm", "_form"]).drop("_form")
+    scored = pairs.withColumn("score", F.greatest("_s_norm_title", "_s_norm_original") * 0.9 + _bonus()).drop("_s_norm_title", "_s_norm_original")
+    return _best(scored.select(*near.columns, "score").filter(F.col("score") >= floor), limit)
 
 
 def search_titles(queries: DataFrame, titles: DataFrame, limit: int = 8) -> DataFrame:
