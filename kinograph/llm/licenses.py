@@ -116,8 +116,9 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", temp
         F.col("dir").alias("at"), "own.license", (-F.col("own.minus")).alias("score"))
     # Directories, not files, look for their ancestors, so that a directory with many files asks once.
     asked = files_.filter("best is null and path is not null").select("dir").distinct()
-    given_down = asked.select("dir", F.explode(ancestors(F.col("dir"))).alias("at")).join(owners, "at").groupBy("dir").agg(
-        F.max(F.struct(F.length("at").alias("depth"), "license", "score")).alias("down"))
+    # Landed, so that the last join can split a directory with very many files or send its few rows round.
+    given_down = rows.land(asked.select("dir", F.explode(ancestors(F.col("dir"))).alias("at")).join(owners, "at").groupBy("dir").agg(
+        F.max(F.struct(F.length("at").alias("depth"), "license", "score")).alias("down")), "inherited")
     own, down = F.col("best").isNotNull(), F.col("down").isNotNull() & F.col("path").isNotNull()
     return files_.join(given_down, "dir", "left").select(
         "path", F.when(own, F.col("best.license")).when(down, F.col("down.license")).alias("license"),
