@@ -82,8 +82,9 @@ class WordIds:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def learn(self, chunks: list[bytes]) -> None:
-        """ASCII punctuation behind an ASCII letter, up to the chunk's end, is a token run of its own."""
-        parts = {c: m.groups() for c in chunks if (m := _TAIL.fullmatch(c))}
+        """ASCII punctuation behind an ASCII letter, up to the chunk's end, is a token run of its own,
+        unless a special token such as <|endoftext|> reaches into it: such chunks stay whole."""
+        parts = {c: m.groups() for c in chunks if b"<|" not in c and (m := _TAIL.fullmatch(c))}
         new = {x for ab in parts.values() for x in ab}.union(c for c in chunks if c not in parts).difference(self.known)
         words, others = [], []
         for c in new:

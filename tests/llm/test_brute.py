@@ -139,6 +139,15 @@ def test_packing(spark, documents):
     assert len(bins) <= tokens / 4096 * 1.02 + 8
 
 
+def test_special_tokens_at_a_chunks_end():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(packing.tokenizer_json())
+    said = ["<|endoftext|>", "see<|endoftext|>.", "a <|startoftext|>, b", "x<|endoftext|><|startoftext|>!?", "no<|endoftext", "a|>. see."]
+    got = packing.WordIds(packing.tokenizer_json()).of([t.encode() for t in said])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in said]
+
+
 def test_open_bins_close_the_fullest():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (6, 7)] == [(0, 0), (1, 0)]
