@@ -1,6 +1,6 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Lines of files and whole licence files are compared with the templates. Whether a line can reach the
+Lines of files, and licence files also as a whole, are compared with the templates. Whether a line can reach the
 threshold at all is decided first, by the terms that carry a template's weight: a line without any of
 them stays below it, whatever else it holds. So only such lines are ever taken apart. Everything runs
 in DataFrame functions.
@@ -72,11 +72,12 @@ def ancestors(directory: Column) -> Column:
 
 
 def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES, least: float = LEAST,
-                  licence_file: Column | None = None) -> DataFrame:
+                  licence_file: Column | None = None, whole_only: bool = False) -> DataFrame:
     """One row per row of ``files``: path, license, score, origin.
 
     ``origin`` is ``file`` for a licence file (by its name, or as ``licence_file`` says) whose whole
-    text matches, ``header`` for another file with a matching line, ``inherited`` where the nearest
+    text or one line of it matches (with ``whole_only`` the whole text alone is compared), ``header``
+    for another file with a matching line, ``inherited`` where the nearest
     directory above with a matching licence file gives it, else null, as are ``license`` and
     ``score`` then. The best cosine of at least ``least`` counts; ties go to the template named
     first. A directory with several licence files takes the best match, then the smallest path. A
@@ -98,7 +99,8 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", temp
     telling = rf"(?i)(?<![a-z0-9])(?:{'|'.join(anchors(weights, least))})(?![a-z0-9])"
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(telling))
     none = F.array().cast("array<string>")
-    units = F.when(F.col("text").isNull() | ~F.col("text").rlike(telling), none).when(F.col("is_file"), F.array("text")).otherwise(lines)
+    units = F.when(F.col("text").isNull() | ~F.col("text").rlike(telling), none).when(
+        F.col("is_file"), F.array("text") if whole_only else F.array_distinct(F.concat(F.array("text"), lines))).otherwise(lines)
     held = rows.land(given.select(F.monotonically_increasing_id().alias("row"), "path", "is_file",
                                   F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "/+", "/").alias("dir"), units.alias("units")), "units")
     # Term counts of each unit, weighted; dot products with all templates in one pass.
@@ -128,10 +130,11 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", temp
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     """Licences of all documents. A source is a directory of English texts with one below it for each
-    other language; a text of at most 300 characters is taken for a notice about its directory."""
+    other language; a text of at most 300 characters is taken for a notice about its directory, and
+    compared as a whole only, as OP4_SQL says."""
     docs = rows.table(spark, sf_dir, "documents")
     place = F.concat_ws("/", "source", F.when(F.col("lang") != "en", F.col("lang")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return scan_licenses(docs.withColumn("path", place), licence_file=F.length("text") <= 300)
+    return scan_licenses(docs.withColumn("path", place), licence_file=F.length("text") <= 300, whole_only=True)
 
 
 _VALUES = ", ".join(f"({k}, '{name}', '{text.lower()}')" for k, (name, text) in enumerate(TEMPLATES))

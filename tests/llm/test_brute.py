@@ -278,6 +278,17 @@ def test_licences(spark):
                    None: ("All-rights-reserved", "header"), "LICENSE.txt": (None, None)}
 
 
+def test_licence_files_are_compared_line_by_line_too(spark):
+    said = "x = 1\nAll rights reserved.\nwe went home over the hill and found that the old dog had eaten every cake"
+    files = [("r/LICENSE", said), ("r/a.py", "nothing"), ("q/a.py", said), ("p/COPYING", licenses.TEMPLATES[1][1].replace(", ", ",\n"))]
+    given = spark.createDataFrame(files, "path string, text string")
+    got = {r.path: (r.license, r.origin) for r in licenses.scan_licenses(given).collect()}
+    assert got == {"r/LICENSE": ("All-rights-reserved", "file"), "r/a.py": ("All-rights-reserved", "inherited"),
+                   "q/a.py": ("All-rights-reserved", "header"), "p/COPYING": ("MIT", "file")}
+    whole = {r.path: r.license for r in licenses.scan_licenses(given, whole_only=True).collect()}
+    assert whole["r/LICENSE"] is whole["r/a.py"] is None and whole["p/COPYING"] == "MIT"
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     stages = dict(corpus_pipeline.STAGES)
     docs = rows.table(spark, DATA, "documents")
