@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +17,8 @@ from ..session import cut, top_per_key
 from . import blocks as B
 
 MATCH = ("item_id", "title", "original_title", "year", "kind", "language", "imdb_votes")
-#: The least score of a similarity match, and how many of a query's rarest character grams find candidates.
-FUZZY_FLOOR, RARE_GRAMS = 0.45, 2
+#: The least score of a similarity match.
+FUZZY_FLOOR = 0.45
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
@@ -106,45 +111,78 @@ def match_contains(searches: DataFrame, titles: DataFrame, limit: int | None = N
     return _best(hits.drop("_raw", "_lt", "_lo").withColumn("score", best + _bonus()).filter(F.col("score") > 0), limit)
 
 
-def _similarity_bound(other: str) -> Column:
-    """No string of ``other``'s length can be more similar to the query than this."""
-    a, b = F.length("norm"), F.length(F.coalesce(F.col(other), F.lit("")))
-    return 2.0 * F.least(a, b) / F.greatest(a + b, F.lit(1))
+#: Distinct queries and title forms that meet in one task row; kinds of characters told apart by the bound.
+BLOCK_NORMS, BLOCK_FORMS, CHARS = 512, 2048, 64
+
+
+def _char_counts(texts: list[str]) -> np.ndarray:
+    """Characters by code modulo CHARS: what two strings share here is at least what they share."""
+    return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), "<u4") % CHARS, minlength=CHARS) for t in texts]).astype(np.int32)
+
+
+def _similar(floor: float):
+    """Pairs of a block of queries and a block of title forms that can reach the floor, compared. A
+    ratio is at most twice the shared characters over both lengths; no other pair is left out."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for asked, forms in zip(pdf["asked"], pdf["forms"]):
+                norms = [r["text"] for r in asked]
+                counts, sizes = _char_counts(norms), np.array([len(x) for x in norms])
+                lifts = np.array([r["lift"] for r in asked])
+                found = []
+                for r, own in zip(forms, _char_counts([r["text"] for r in forms])):
+                    form = r["text"]
+                    least = (floor - lifts - r["lift"]) / 0.9 - 1e-9
+                    hits = np.flatnonzero(2.0 * np.minimum(counts, own).sum(1) >= least * (sizes + len(form)))
+                    matcher = SequenceMatcher(None, "", form)
+                    for k in hits.tolist():
+                        matcher.set_seq1(norms[k])
+                        if (ratio := matcher.ratio()) >= least[k]:
+                            found.append((norms[k], form, ratio))
+                yield pd.DataFrame(found, columns=["norm", "form", "_s"])
+    return run
+
+
+def _blocks(texts: DataFrame, size: int, least: int, name: str) -> DataFrame:
+    """(text, lift) rows as one array per block of about ``size``, in ``least`` blocks if there are as many rows."""
+    n = texts.count()
+    blocks = max(1, -(-n // size), min(least, n))
+    return texts.groupBy(F.pmod(F.xxhash64("text"), F.lit(blocks)).alias(f"_{name}")).agg(F.collect_list(F.struct("text", "lift")).alias(name))
 
 
 def match_fuzzy(searches: DataFrame, titles: DataFrame, limit: int | None = None, floor: float = FUZZY_FLOOR) -> DataFrame:
     """Tier 3: sequence similarity, from a score of ``floor`` up.
 
-    Candidates share the query's first characters, or one of its ``RARE_GRAMS`` rarest
-    character grams, which a slip in the first letters does not touch. Pairs whose lengths
-    alone keep them below the floor never reach the comparison; no pool is cut by votes.
+    Candidates share the query's first characters or any of its grams of three letters; where no
+    title of the wanted kind shares the first characters, every title is one. No candidate is lost:
+    every distinct query meets every distinct title form in blocks, and only pairs whose lengths,
+    characters and largest possible bonus keep them below the floor are not compared.
     """
-    asked = searches.filter(~((F.length("norm") <= 4) & F.col("norm").rlike(r"^\d+$"))).withColumn(
-        "prefix", F.substring(F.split("norm", " ")[0], 1, 4))
     starts = F.array_distinct(F.array_compact(F.array(*[
         F.when(F.length(c) >= n, F.substring(F.lower(c), 1, n)) for c in ("title", "original_title") for n in (1, 2, 3, 4)])))
-    bound = F.greatest(_similarity_bound("norm_title"), _similarity_bound("norm_original"))
-    able = _fits(with_year=False) & (bound * 0.9 + _bonus() >= floor)
-    near = asked.join(titles.withColumn("prefix", F.explode(starts)), "prefix").filter(able).drop("prefix")
-    empty = F.array().cast("array<string>")
-    grams = F.array_distinct(F.concat(*[F.coalesce(_grams(F.col(c), 3), empty) for c in ("norm_title", "norm_original")]))
-    index = titles.select("item_id", F.explode(grams).alias("gram"))
-    freq = index.groupBy("gram").agg(F.count("*").alias("_n"))
-    wanted = asked.select("search_id", F.explode(_grams(F.col("norm"), 3)).alias("gram")).join(freq, "gram")
-    rare = wanted.withColumn("_r", F.row_number().over(Window.partitionBy("search_id").orderBy("_n", "gram"))).filter(F.col("_r") <= RARE_GRAMS)
-    far = rare.select("search_id", "gram").join(index, "gram").select("search_id", "item_id").distinct().join(
-        asked.drop("prefix"), "search_id").join(titles, "item_id").filter(able)
-    pairs = cut(near.unionByName(far.select(*near.columns)).dropDuplicates(["search_id", "item_id"]))
-    # Similarity is costly and names repeat: each pair of strings is compared once, dealt evenly.
-    forms = F.array_distinct(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in ("norm_title", "norm_original")]))
-    alike = B.spread(pairs.select("norm", F.explode(forms).alias("form")).distinct(), "norm", "form").withColumn(
-        "_s", X.similarity(F.col("norm"), F.col("form")))
-    alike = cut(alike)
-    for c in ("norm_title", "norm_original"):
-        pairs = pairs.withColumn("_form", F.coalesce(F.col(c), F.lit(""))).join(
-            alike.select("norm", F.col("form").alias("_form"), F.col("_s").alias(f"_s_{c}")), ["norm", "_form"]).drop("_form")
-    scored = pairs.withColumn("score", F.greatest("_s_norm_title", "_s_norm_original") * 0.9 + _bonus()).drop("_s_norm_title", "_s_norm_original")
-    return _best(scored.select(*near.columns, "score").filter(F.col("score") >= floor), limit)
+    begun = titles.select("kind", F.explode(starts).alias("_prefix"))
+    begun = begun.select("_prefix", F.explode(F.array(F.lit(""), F.coalesce("kind", F.lit("")))).alias("_kind")).distinct().withColumn("_block", F.lit(True))
+    asked = searches.filter(~((F.length("norm") <= 4) & F.col("norm").rlike(r"^\d+$"))).withColumns({
+        "_prefix": F.substring(F.split("norm", " ")[0], 1, 4), "_kind": F.coalesce("want_kind", F.lit(""))}).join(begun, ["_prefix", "_kind"], "left")
+    named = titles.withColumns({"_nt": F.coalesce("norm_title", F.lit("")), "_no": F.coalesce("norm_original", F.lit(""))})
+    dated = F.when(F.coalesce("want_year", F.lit(0)) != 0, 0.10).otherwise(0.0)
+    norms = cut(asked.groupBy(F.col("norm").alias("text")).agg(F.max(dated).alias("lift")))
+    forms = cut(named.select(F.explode(F.array_distinct(F.array("_nt", "_no"))).alias("text"), S.popularity_bonus(F.col("imdb_votes")).alias("_b")).groupBy(
+        "text").agg(F.max("_b").alias("lift")))
+    tasks = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = B.spread(_blocks(norms, BLOCK_NORMS, 1, "asked").crossJoin(_blocks(forms, BLOCK_FORMS, tasks, "forms")), "_asked", "_forms")
+    alike = cut(met.select("asked", "forms").mapInPandas(_similar(floor), "norm string, form string, _s double"))
+    # A title's similarity is that of its better form; equal names are joined once.
+    names = named.select("_nt", "_no").distinct().withColumn("form", F.explode(F.array_distinct(F.array("_nt", "_no"))))
+    none = F.array().cast("array<string>")
+    grams = F.concat(*[F.coalesce(_grams(F.col(c), 3), none) for c in ("_nt", "_no")])
+    best = alike.join(names, "form").groupBy("norm", "_nt", "_no").agg(F.max("_s").alias("_s")).withColumn(
+        "_shared", F.arrays_overlap(F.coalesce(_grams(F.col("norm"), 3), none), grams))
+    same_start = F.startswith(F.lower("title"), F.col("_prefix")) | F.startswith(F.lower("original_title"), F.col("_prefix"))
+    pairs = asked.join(best, "norm").join(named, ["_nt", "_no"]).filter(_fits(with_year=False)).filter(
+        F.col("_shared") | F.col("_block").isNull() | F.coalesce(same_start, F.lit(False)))
+    scored = pairs.withColumn("score", F.col("_s") * 0.9 + _bonus())
+    return _best(scored.select(*searches.columns, *titles.columns, "score").filter(F.col("score") >= floor), limit)
 
 
 def search_titles(queries: DataFrame, titles: DataFrame, limit: int = 8) -> DataFrame:

@@ -312,3 +312,34 @@ def test_best_containment_hit_may_be_the_least_known(spark):
     asked = spark.createDataFrame([(1, "Harbour Lights"), (2, "Xarbour Lights 2")], "query_id long, query string")
     first = {r["query"]: r.item_id for r in M.search_titles(asked, titles).filter("rank = 1").collect()}
     assert first["Harbour Lights"] == 999 and first["Xarbour Lights 2"] == 999
+
+
+def test_similarity_search_against_brute_force(spark):
+    named = [("Shadowland Avenue", None), ("Qhapter One", "Qhadowy Qharm"), ("Night Train", "Der Nachtzug"), ("The Long Way Home", "The Long Way Home"),
+             ("Qh", "Hadow"), ("Midnight Rain", None), ("Xong Wax", "Lxng"), ("", None), (None, "Shadow Land"), ("1917", "1917")]
+    titles = spark.createDataFrame(
+        [(k, t, o, 1990 + k if k % 3 else None, "tv" if k == 2 else "movie", "en", 10 ** (k % 7) if k % 4 else None) for k, (t, o) in enumerate(named)],
+        "item_id long, title string, original_title string, year int, kind string, language string, imdb_votes long")
+    asked = ["Qhadowland Avenue", "Xong Wax Home (1993)", "Mibnight Tain", "igtht Train", "Hsadowland", "zzz"]
+    queries = spark.createDataFrame([(k, q, "movie" if q.startswith("ig") else None) for k, q in enumerate(asked)], "query_id long, query string, kind string")
+    searches, forms = M.prepare_queries(queries), M.prepare_titles(titles)
+    def grams(x):
+        return {x[k:k + 3] for k in range(len(x or "") - 2)}
+
+    want = {}
+    for s in searches.collect():
+        fit = [t for t in forms.collect() if s.want_kind in (None, t.kind)]
+        first = s.norm.split(" ")[0][:4]
+        block = [t for t in fit if any(x and x.lower().startswith(first) for x in (t.title, t.original_title))]
+        for t in fit:
+            if not block or t in block or grams(s.norm) & (grams(t.norm_title) | grams(t.norm_original)):
+                alike = max(SequenceMatcher(None, s.norm, f or "").ratio() for f in (t.norm_title, t.norm_original))
+                bonus = 0.06 * min(1.0, math.log1p(t.imdb_votes or 0) / math.log1p(500_000))
+                bonus += (0.10 if s.want_year == t.year else 0.03) if s.want_year and t.year else 0.0
+                if alike * 0.9 + bonus >= M.FUZZY_FLOOR:
+                    want[s.query, s.attempt, t.item_id] = pytest.approx(alike * 0.9 + bonus)
+    rows = M.match_fuzzy(searches, forms).collect()
+    assert {(r.query, r.attempt, r.item_id): r.score for r in rows} == want and len(rows) == len(want)
+    assert ("Qhadowland Avenue", 1, 0) in want
+    best = M.match_fuzzy(searches, forms, limit=1).collect()
+    assert len(best) == len({(q, a) for q, a, _ in want})
