@@ -262,6 +262,18 @@ def test_chat_round_trip_and_rewriting_templates(spark):
     assert "".join(r.span for r in spans) == chat.marked_turns([("user", f"said {k}") for k in range(200)]) and not any(r.rewrites for r in spans)
 
 
+def test_templates_that_drop_turns_of_long_conversations(spark):
+    def latest(turns):  # sums up what is older once there are more than 70 turns
+        return "".join(f"{t};" for t in (["..."] + [t for _, t in turns[-35:]] if len(turns) > 70 else [t for _, t in turns]))
+
+    given = spark.createDataFrame([(1, k, "user", f"said {k}") for k in range(200)], "conv_id long, turn long, role string, text string")
+    assert [r.rewrites for r in chat.format_turns(given, latest).collect()] == [False] * 70 + [True] * 130
+    numbered = chat.format_turns(given, lambda turns: "".join(f"{k}: {t};" for k, (_, t) in enumerate(turns))).collect()
+    assert [r.span for r in numbered] == [f"{k}: said {k};" for k in range(200)] and not any(r.rewrites for r in numbered)
+    whole, window = (chat.format_turns(given, keep=keep).collect() for keep in (None, 32))
+    assert whole == window
+
+
 def test_backoff_by_hand(spark):
     given = spark.createDataFrame([(1, "a b c"), (2, "a b d"), (3, "a b c")], "doc_id long, text string")
     got = {r.doc_id: r.log_score for r in backoff.backoff_scores(given, slab_words=4).collect()}
