@@ -96,8 +96,9 @@ def phrases_of(items: list[tuple[str, bytes | None]], width: int) -> list[tuple[
 
 
 def _places(phrase, lists, slack: int):
-    """Starts of the phrase, or with ``slack`` starts from which its words follow in order with at
-    most so many others between neighbours; the rarest terms are intersected first."""
+    """Starts and lengths of the phrase; the rarest terms are intersected first. With ``slack`` all
+    starts from which its words follow in order with at most so many others between neighbours, each
+    with its longest match, inside of which all its others lie."""
     got = []
     for offset, term in enumerate(phrase):
         post = lists.get(term)
@@ -116,25 +117,16 @@ def _places(phrase, lists, slack: int):
             k[k == len(post)] = 0
             starts = starts[post[k] == want]
         return starts, np.full(len(starts), len(phrase), np.int64)
-    # Proximity: both sides grow from the rarest term; each word takes the nearest place that fits.
-    rare = min(range(len(got)), key=lambda k: got[k][0])
-    low = high = got[rare][2]
-    alive = np.arange(len(low))
-    for step in (1, -1):
-        at = got[rare][2][alive].copy()
-        for k in (range(rare + 1, len(got)) if step == 1 else range(rare - 1, -1, -1)):
-            post = got[k][2]
-            j = np.searchsorted(post, at, "right") if step == 1 else np.searchsorted(post, at, "left") - 1
-            ok = (j < len(post)) & (j >= 0)
-            nxt = post[np.clip(j, 0, len(post) - 1)]
-            ok &= np.abs(nxt - at) <= slack + 1
-            alive, at = alive[ok], nxt[ok]
-            if step == -1:
-                high = high[ok]
-        if step == 1:
-            high = at
-    low = at
-    return low, high - low + 1
+    # Proximity, from the last term back: the places from which the rest follows, and the furthest end
+    # from each. Ends grow with places, so the furthest place in reach of the next term leads to it.
+    reach = end = got[-1][2]
+    for _, _, post in got[-2::-1]:
+        if not len(reach):
+            break
+        j = np.searchsorted(reach, post + slack + 1, "right") - 1
+        ok = (j >= 0) & (reach[j] > post)
+        reach, end = post[ok], end[j[ok]]
+    return reach, end - reach + 1
 
 
 def _search(phrases, slack: int, kind: pa.DataType, spans: bool):
@@ -148,8 +140,11 @@ def _search(phrases, slack: int, kind: pa.DataType, spans: bool):
                 terms = batch.column("terms")[row].as_py()
                 ends = batch.column("ends")[row].as_py()
                 places = np.frombuffer(batch.column("places")[row].as_buffer(), "<i4").astype(np.int64) if terms else np.empty(0, np.int64)
-                lists = {t: places[a:b] for t, a, b in zip(terms, [0, *ends], ends)}
                 start = docs.field("start").to_numpy()
+                if slack:  # texts move apart, so that no match runs into the next one
+                    places = places + slack * (np.searchsorted(start, places, "right") - 1)
+                    start = start + slack * np.arange(len(start))
+                lists = {t: places[a:b] for t, a, b in zip(terms, [0, *ends], ends)}
                 count = docs.field("n_words").to_numpy()
                 hit = np.zeros(int(start[-1] + count[-1]) + 2, np.int32)
                 found: dict[int, set] = {}
@@ -164,7 +159,7 @@ def _search(phrases, slack: int, kind: pa.DataType, spans: bool):
                     np.add.at(hit, at, 1)
                     np.add.at(hit, at + length, -1)
                     for doc in np.unique(owner):
-                        found.setdefault(int(doc), set()).update(i for _, i in owners)
+                        found.setdefault(int(doc), set()).update(i for _, i in owners if i is not None)
                     if spans:
                         for a, n, doc in zip(at.tolist(), length.tolist(), owner.tolist()):
                             where.setdefault(doc, []).extend({"item": i, "phrase": p, "start": a - int(start[doc]), "length": n} for p, i in owners)

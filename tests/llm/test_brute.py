@@ -164,6 +164,38 @@ def test_phrases_and_proximity(spark):
     assert close == {1: [(1, 2), (5, 2)], 2: [(2, 3)], 3: [(0, 2)], 4: []}
 
 
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(7)
+    given = [(0, "a x b y z c"), (1, "a b x b y z c"), (2, "b b c"), (3, "a b"), (4, "c"), (5, None)] + [
+        (k, " ".join(rng.choice("abcx") for _ in range(rng.randrange(14)))) for k in range(6, 40)]
+    phrases = [(f"i{k}", tuple(w.encode() for w in p)) for k, p in enumerate(("abc", "bc", "aba", "cab", "bb", "a"))]
+    index = decontaminate.build_index(spark.createDataFrame(given, "doc_id long, text string"))
+
+    def ends(w, phrase, at, slack):  # of all matches whose first word is at this place
+        if len(phrase) == 1:
+            return {at}
+        return {e for q in range(at + 1, min(len(w), at + slack + 2)) if w[q] == phrase[1] for e in ends(w, phrase[1:], q, slack)}
+
+    for slack in (1, 2, 3):
+        got = {r.doc_id: r for r in decontaminate.search(index, phrases, slack).collect()}
+        for doc, text in given:
+            w, want, covered = decontaminate.words((text or "").encode()), set(), set()
+            for item, phrase in phrases:
+                for at in (k for k, x in enumerate(w) if x == phrase[0]):
+                    if found := ends(w, phrase, at, slack):
+                        want.add((item, at, max(found) - at + 1))
+                        covered |= set(range(at, max(found) + 1))
+            assert {(s["item"], s.start, s.length) for s in got[doc].spans} == want
+            assert got[doc].n_hit == len(covered) and got[doc]["items"] == sorted({i for i, *_ in want})
+
+
+def test_null_item_ids_own_nothing(spark):
+    docs = spark.createDataFrame([(1, "two words here"), (2, "three more")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "two words"), ("x", "two words"), (None, "more")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (2, ["x"]), 2: (1, [])}
+
+
 def test_item_blocks_agree(spark):
     docs, items = rows.table(spark, DATA, "documents"), rows.table(spark, DATA, "benchmark")
     def found(**kw):
