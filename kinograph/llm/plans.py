@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import backoff, chat, decontaminate, gam, infill, licenses, naming, near, packing, shards, toxicity
+from . import backoff, chat, decontaminate, gam, infill, licenses, naming, near, packing, prefixes, shards, simhash, toxicity
 
 QUERIES = {
     "op1_karmarkar_karp": shards.op1_karmarkar_karp,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_best_fit": packing.op8_best_fit,
     "op9_additive_quality": gam.op9_additive_quality,
     "op10_block_naming": naming.op10_block_naming,
+    "op11_radix_tree": prefixes.op11_radix_tree,
+    "op12_trie_join": simhash.op12_trie_join,
     "op13_seekable_frames": infill.op13_seekable_frames,
 }
 SQL = {
@@ -24,5 +26,6 @@ SQL = {
     "op6_incremental_rendering": chat.OP6_SQL,
     "op7_positional_index": decontaminate.OP7_SQL,
     "op10_block_naming": naming.OP10_SQL,
+    "op11_radix_tree": prefixes.OP11_SQL,
     "op13_seekable_frames": infill.OP13_SQL,
 }
