@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..functions import alike
 from ..functions import scalar as S
 from ..functions import text as X
 from ..session import cut, top_per_key
@@ -111,83 +110,123 @@ def match_contains(searches: DataFrame, titles: DataFrame, limit: int | None = N
     return _best(hits.drop("_raw", "_lt", "_lo").withColumn("score", best + _bonus()).filter(F.col("score") > 0), limit)
 
 
-#: Distinct queries and title forms that meet in one task row; kinds of characters told apart by the bound.
-BLOCK_NORMS, BLOCK_FORMS, CHARS = 512, 2048, 64
-
-
-def _char_counts(texts: list[str]) -> np.ndarray:
-    """Characters by code modulo CHARS: what two strings share here is at least what they share."""
-    return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), "<u4") % CHARS, minlength=CHARS) for t in texts]).astype(np.int32)
-
-
-def _similar(floor: float):
-    """Pairs of a block of queries and a block of title forms that can reach the floor, compared. A
-    ratio is at most twice the shared characters over both lengths; no other pair is left out."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for asked, forms in zip(pdf["asked"], pdf["forms"]):
-                norms = [r["text"] for r in asked]
-                counts, sizes = _char_counts(norms), np.array([len(x) for x in norms])
-                lifts = np.array([r["lift"] for r in asked])
-                found = []
-                for r, own in zip(forms, _char_counts([r["text"] for r in forms])):
-                    form = r["text"]
-                    least = (floor - lifts - r["lift"]) / 0.9 - 1e-9
-                    hits = np.flatnonzero(2.0 * np.minimum(counts, own).sum(1) >= least * (sizes + len(form)))
-                    matcher = SequenceMatcher(None, "", form)
-                    for k in hits.tolist():
-                        matcher.set_seq1(norms[k])
-                        if (ratio := matcher.ratio()) >= least[k]:
-                            found.append((norms[k], form, ratio))
-                yield pd.DataFrame(found, columns=["norm", "form", "_s"])
-    return run
-
-
-def _blocks(texts: DataFrame, size: int, least: int, name: str) -> DataFrame:
-    """(text, lift) rows as one array per block of about ``size``, in ``least`` blocks if there are as many rows."""
-    n = texts.count()
-    blocks = max(1, -(-n // size), min(least, n))
-    return texts.groupBy(F.pmod(F.xxhash64("text"), F.lit(blocks)).alias(f"_{name}")).agg(F.collect_list(F.struct("text", "lift")).alias(name))
-
-
-def match_fuzzy(searches: DataFrame, titles: DataFrame, limit: int | None = None, floor: float = FUZZY_FLOOR) -> DataFrame:
-    """Tier 3: sequence similarity, from a score of ``floor`` up.
-
-    Candidates share the query's first characters or any of its grams of three letters; where no
-    title of the wanted kind shares the first characters, every title is one. No candidate is lost:
-    every distinct query meets every distinct title form in blocks, and only pairs whose lengths,
-    characters and largest possible bonus keep them below the floor are not compared.
-    """
+#: Distinct queries and title forms of a block; characters of a band of lengths.
+BLOCK_NORMS, BLOCK_FORMS, BAND = 512, 2048, 4
+#: Seeds of a search: its rarest grams of these lengths, each held by at most so many forms.
+SEED_GRAMS, SEED_LENGTHS, SEED_FORMS = 4, (8, 5, 3), 128
+#: The most a title's fame adds to its score, and what its similarity counts.
+FAME, SCALE = 0.06, 0.9
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of queries and of title forms to the pairs that can reach the queries' scores."""
+    for batch in batches:
+        asked, forms = batch.column("asked"), batch.column("forms")
+        for k in range(batch.num_rows):
+            left, right = asked[k].values, forms[k].values
+            norms, texts = left.field("text").to_pylist(), right.field("text").to_pylist()
+            i, j, same = alike.near_pairs(norms, left.field("least").to_numpy(), texts, right.field("lift").to_numpy(), SCALE)
+            yield pa.RecordBatch.from_arrays(
+                [left.field("text").take(pa.array(i)), right.field("text").take(pa.array(j)), pa.array(same, pa.float64())], names=["norm", "form", "_s"])
+
+
+def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        same = alike.pair_ratios(batch.column("norm").to_pylist(), batch.column("form").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("norm"), batch.column("form"), pa.array(same, pa.float64())], names=["norm", "form", "_s"])
+
+
+_ALIKE = "norm string, form string, _s double"
+
+
+def _blocked(texts: DataFrame, size: int, *cols: str) -> DataFrame:
+    """(band, block, rows): the rows of each band of lengths in blocks of ``size`` in the mean, dealt by
+    hash of distinct texts."""
+    sizes = texts.groupBy("band").agg(F.ceil(F.count("*") / size).alias("_n"))
+    return texts.join(sizes, "band").groupBy("band", F.pmod(F.xxhash64("text"), F.col("_n")).alias("block")).agg(
+        F.collect_list(F.struct("text", *cols)).alias("rows"))
+
+
+def _alike(norms: DataFrame, forms: DataFrame) -> DataFrame:
+    """Pairs of distinct ``norms`` (text, least: the score to reach without the title's fame) and
+    ``forms`` (text, lift: its fame). They meet in the bands of lengths whose shorter string could be matched whole and
+    reach the score; a bound on shared characters then decides which pairs are compared."""
+    tight = F.greatest((F.col("least") - FAME) / SCALE, F.lit(0.02))
+    low, high = F.length("text") * tight / (2 - tight), F.length("text") * (2 - tight) / tight
+    banded = forms.withColumn("band", F.floor(F.length("text") / BAND))
+    last = F.lit(banded.agg(F.max("band")).first()[0] or 0)
+    bands = F.sequence(F.least(F.floor(F.ceil(low - 1e-6) / BAND), last), F.least(F.floor(F.floor(high + 1e-6) / BAND), last))
+    asked = _blocked(norms.withColumn("band", F.explode(bands)), BLOCK_NORMS, "least").withColumnsRenamed({"block": "_q", "rows": "asked"})
+    given = _blocked(banded, BLOCK_FORMS, "lift").withColumnsRenamed({"block": "_f", "rows": "forms"})
+    return B.spread(asked.join(given, "band"), "band", "_q", "_f").select("asked", "forms").mapInArrow(_near, _ALIKE)
+
+
+def _seeds(norms: DataFrame, forms: DataFrame) -> DataFrame:
+    """Some likely pairs: they share one of a query's rarest grams. What they miss is only speed."""
+    none = F.array().cast("array<string>")
+
+    def grams(df, name):
+        every = F.concat(*[F.coalesce(_grams(F.col("text"), n), none) for n in SEED_LENGTHS])
+        return df.select(F.col("text").alias(name), F.explode(every).alias("gram"))
+
+    index = grams(forms, "form")
+    rare = index.groupBy("gram").agg(F.count("*").alias("_n")).filter(F.col("_n") <= SEED_FORMS)
+    wanted = top_per_key(grams(norms, "norm").join(rare, "gram"), ["norm"], [F.col("_n"), F.col("gram")], SEED_GRAMS, "_r").select("norm", "gram")
+    pairs = wanted.join(index, "gram").select("norm", "form").distinct()
+    return B.spread(pairs, "norm", "form").mapInArrow(_ratios, _ALIKE)
+
+
+def _similarity_hits(asked: DataFrame, named: DataFrame, alike_: DataFrame, same_start: bool) -> DataFrame:
+    """Searches and titles by the similarity of the title's better form, scored."""
+    # Equal names are joined once.
+    names = named.select("_nt", "_no").distinct().withColumn("form", F.explode(F.array_distinct(F.array("_nt", "_no"))))
+    best = alike_.join(names, "form").groupBy("norm", "_nt", "_no").agg(F.max("_s").alias("_s"))
+    pairs = asked.join(best, "norm").join(named, ["_nt", "_no"]).filter(_fits(with_year=False))
+    if same_start:
+        starts = F.startswith(F.lower("title"), F.col("_prefix")) | F.startswith(F.lower("original_title"), F.col("_prefix"))
+        pairs = pairs.filter(F.col("_block").isNull() | F.coalesce(starts, F.lit(False)))
+    return pairs.withColumn("score", F.col("_s") * SCALE + _bonus())
+
+
+def _started(asked: DataFrame, titles: DataFrame) -> DataFrame:
+    """Each search's first letters, and whether a title of its kind starts with them."""
     starts = F.array_distinct(F.array_compact(F.array(*[
         F.when(F.length(c) >= n, F.substring(F.lower(c), 1, n)) for c in ("title", "original_title") for n in (1, 2, 3, 4)])))
     begun = titles.select("kind", F.explode(starts).alias("_prefix"))
     begun = begun.select("_prefix", F.explode(F.array(F.lit(""), F.coalesce("kind", F.lit("")))).alias("_kind")).distinct().withColumn("_block", F.lit(True))
-    asked = searches.filter(~((F.length("norm") <= 4) & F.col("norm").rlike(r"^\d+$"))).withColumns({
-        "_prefix": F.substring(F.split("norm", " ")[0], 1, 4), "_kind": F.coalesce("want_kind", F.lit(""))}).join(begun, ["_prefix", "_kind"], "left")
-    named = titles.withColumns({"_nt": F.coalesce("norm_title", F.lit("")), "_no": F.coalesce("norm_original", F.lit(""))})
+    return asked.withColumns({"_prefix": F.substring(F.split("norm", " ")[0], 1, 4), "_kind": F.coalesce("want_kind", F.lit(""))}).join(
+        begun, ["_prefix", "_kind"], "left")
+
+
+def match_fuzzy(searches: DataFrame, titles: DataFrame, limit: int | None = None, floor: float = FUZZY_FLOOR, same_start: bool = False) -> DataFrame:
+    """Tier 3: sequence similarity, from a score of ``floor`` up; of each search the best ``limit``.
+
+    Every title that reaches the score is found: strings meet in bands of lengths, and only pairs
+    whose lengths, characters and largest possible bonus keep them below it are not compared. With
+    ``limit``, titles that share rare grams are scored first, and the last score they leave within the
+    limit is what all others have to reach, so near-hopeless pairs drop out by length and characters.
+    ``same_start`` keeps titles that start with the query's first letters only, where a title does.
+    """
+    searches = searches.filter(~((F.length("norm") <= 4) & F.col("norm").rlike(r"^\d+$")))
+    asked = cut(_started(searches, titles) if same_start else searches)
+    named = cut(titles.withColumns({"_nt": F.coalesce("norm_title", F.lit("")), "_no": F.coalesce("norm_original", F.lit(""))}))
     dated = F.when(F.coalesce("want_year", F.lit(0)) != 0, 0.10).otherwise(0.0)
-    norms = cut(asked.groupBy(F.col("norm").alias("text")).agg(F.max(dated).alias("lift")))
+    norms = asked.groupBy(F.col("norm").alias("text")).agg(F.min(floor - dated).alias("least"))
     forms = cut(named.select(F.explode(F.array_distinct(F.array("_nt", "_no"))).alias("text"), S.popularity_bonus(F.col("imdb_votes")).alias("_b")).groupBy(
         "text").agg(F.max("_b").alias("lift")))
-    tasks = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = B.spread(_blocks(norms, BLOCK_NORMS, 1, "asked").crossJoin(_blocks(forms, BLOCK_FORMS, tasks, "forms")), "_asked", "_forms")
-    alike = cut(met.select("asked", "forms").mapInPandas(_similar(floor), "norm string, form string, _s double"))
-    # A title's similarity is that of its better form; equal names are joined once.
-    names = named.select("_nt", "_no").distinct().withColumn("form", F.explode(F.array_distinct(F.array("_nt", "_no"))))
-    none = F.array().cast("array<string>")
-    grams = F.concat(*[F.coalesce(_grams(F.col(c), 3), none) for c in ("_nt", "_no")])
-    best = alike.join(names, "form").groupBy("norm", "_nt", "_no").agg(F.max("_s").alias("_s")).withColumn(
-        "_shared", F.arrays_overlap(F.coalesce(_grams(F.col("norm"), 3), none), grams))
-    same_start = F.startswith(F.lower("title"), F.col("_prefix")) | F.startswith(F.lower("original_title"), F.col("_prefix"))
-    pairs = asked.join(best, "norm").join(named, ["_nt", "_no"]).filter(_fits(with_year=False)).filter(
-        F.col("_shared") | F.col("_block").isNull() | F.coalesce(same_start, F.lit(False)))
-    scored = pairs.withColumn("score", F.col("_s") * 0.9 + _bonus())
+    if limit is not None:
+        seen = _similarity_hits(asked, named, _seeds(norms, forms), same_start)
+        last = top_per_key(seen, ["search_id"], [F.desc("score"), F.asc("item_id")], limit, "_r").groupBy("search_id").agg(
+            F.count("*").alias("_n"), F.min("score").alias("_last")).filter(F.col("_n") == limit).select("search_id", "_last")
+        norms = asked.join(last, "search_id", "left").groupBy(F.col("norm").alias("text")).agg(
+            F.min(F.greatest(F.lit(floor), F.coalesce("_last", F.lit(floor))) - dated).alias("least"))
+    scored = _similarity_hits(asked, named, cut(_alike(cut(norms), forms)), same_start)
     return _best(scored.select(*searches.columns, *titles.columns, "score").filter(F.col("score") >= floor), limit)
 
 
-def search_titles(queries: DataFrame, titles: DataFrame, limit: int = 8) -> DataFrame:
+def search_titles(queries: DataFrame, titles: DataFrame, limit: int = 8, same_start: bool = False) -> DataFrame:
     """The cascade: exact, else containment scoring 0.80 or more, else the best of
-    containment and similarity from 0.45 up."""
+    containment and similarity from 0.45 up; ``same_start`` as in ``match_fuzzy``."""
     # Each of these feeds several tiers; a reliable checkpoint computes it once.
     searches, forms = cut(prepare_queries(queries)), cut(prepare_titles(titles))
     exact = cut(match_exact(searches, forms, limit))
@@ -197,7 +236,7 @@ def search_titles(queries: DataFrame, titles: DataFrame, limit: int = 8) -> Data
     open_ = rest.join(settled, "search_id", "left_anti")
     numeric = (F.length("norm") <= 4) & F.col("norm").rlike(r"^\d+$")
     # A second attempt only stands in when the first found nothing in the first two tiers.
-    fuzzy = cut(match_fuzzy(cut(open_), forms, limit))
+    fuzzy = cut(match_fuzzy(cut(open_), forms, limit, same_start=same_start))
     keep = ["query", "want_kind", "attempt", "search_id", *MATCH, "score"]
     found = (
         exact.withColumn("tier", F.lit(1)).select(*keep, "tier")
@@ -233,11 +272,11 @@ def confident_match(hits: DataFrame, keys: tuple = ("query", "want_kind")) -> Da
                       F.when(sure, F.col("_a.item_id")).alias("item_id"))
 
 
-def resolve_batch(queries: DataFrame, titles: DataFrame) -> DataFrame:
+def resolve_batch(queries: DataFrame, titles: DataFrame, same_start: bool = False) -> DataFrame:
     """Every query with its confident item, or the label of the closest title."""
     kind = F.col("kind") if "kind" in queries.columns else F.lit(None).cast("string")
     asked = queries.withColumn("want_kind", F.when(kind.isin("movie", "tv"), kind))
-    hits = cut(search_titles(queries, titles, limit=6))
+    hits = cut(search_titles(queries, titles, 6, same_start))
     closest = hits.filter(F.col("rank") == 1).select(
         F.col("query").alias("_q"), F.col("want_kind").alias("_k"),
         S.match_label(F.col("title"), F.col("original_title"), F.col("year"), F.col("language"), F.col("kind")).alias("closest"))

@@ -5,6 +5,7 @@ import json
 import math
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ CATALOGUE = [
 ASKED = ["the matrix", "Matrix (1999)", "amelie", "99", "drishyam", "Blade Runner 2049", "Kumbalanki Nights", "Dark 2018", "dark", "zzzz qqq", "drish", "", "  Vikram "]
 
 
-def brute_search(query, kind=None, limit=8):
+def brute_search(query, kind=None, limit=8, same_start=True):
     """The cascade written out row by row."""
     import re
     import unicodedata
@@ -169,6 +170,7 @@ def brute_search(query, kind=None, limit=8):
     first = n.split(" ")[0][:4]
     block = [r for r in CATALOGUE if (not kind or r[4] == kind)]
     near = [r for r in block if any(t and t.lower().startswith(first) for t in r[1:3])] or block
+    near = near if same_start else block
     pool = {r[0]: (s, r) for s, r in two}
     for r in near:
         s = max(SequenceMatcher(None, n, norm(t)).ratio() for t in r[1:3] if t) * 0.9 + bonus(r, year)
@@ -177,13 +179,14 @@ def brute_search(query, kind=None, limit=8):
     return rank([h for h in pool.values() if h[0] >= 0.45])
 
 
-def test_search_cascade_equals_brute_force(spark):
+@pytest.mark.parametrize("same_start", [True, False])
+def test_search_cascade_equals_brute_force(spark, same_start):
     titles = spark.createDataFrame(CATALOGUE, "item_id long, title string, original_title string, year int, kind string, language string, imdb_votes long")
     asked = [(q, None) for q in ASKED] + [("dark", "tv"), ("drishyam", "tv")]
     queries = spark.createDataFrame([(i, q, k) for i, (q, k) in enumerate(asked)], "query_id long, query string, kind string")
-    got = M.search_titles(queries, titles).toPandas()
+    got = M.search_titles(queries, titles, same_start=same_start).toPandas()
     for q, k in asked:
-        want = brute_search(q, k)
+        want = brute_search(q, k, same_start=same_start)
         mine = got[(got["query"] == q) & (got.want_kind.isna() if k is None else got.want_kind == k)].sort_values("rank")
         assert list(mine.item_id) == [r[0] for _, r in want], q
         assert all(abs(a - b) < 1e-9 for a, b in zip(mine.score, [s for s, _ in want])), q
@@ -323,23 +326,70 @@ def test_similarity_search_against_brute_force(spark):
     asked = ["Qhadowland Avenue", "Xong Wax Home (1993)", "Mibnight Tain", "igtht Train", "Hsadowland", "zzz"]
     queries = spark.createDataFrame([(k, q, "movie" if q.startswith("ig") else None) for k, q in enumerate(asked)], "query_id long, query string, kind string")
     searches, forms = M.prepare_queries(queries), M.prepare_titles(titles)
-    def grams(x):
-        return {x[k:k + 3] for k in range(len(x or "") - 2)}
-
-    want = {}
+    want, blocked = {}, set()
     for s in searches.collect():
         fit = [t for t in forms.collect() if s.want_kind in (None, t.kind)]
         first = s.norm.split(" ")[0][:4]
         block = [t for t in fit if any(x and x.lower().startswith(first) for x in (t.title, t.original_title))]
         for t in fit:
-            if not block or t in block or grams(s.norm) & (grams(t.norm_title) | grams(t.norm_original)):
-                alike = max(SequenceMatcher(None, s.norm, f or "").ratio() for f in (t.norm_title, t.norm_original))
-                bonus = 0.06 * min(1.0, math.log1p(t.imdb_votes or 0) / math.log1p(500_000))
-                bonus += (0.10 if s.want_year == t.year else 0.03) if s.want_year and t.year else 0.0
-                if alike * 0.9 + bonus >= M.FUZZY_FLOOR:
-                    want[s.query, s.attempt, t.item_id] = pytest.approx(alike * 0.9 + bonus)
+            same = max(SequenceMatcher(None, s.norm, f or "").ratio() for f in (t.norm_title, t.norm_original))
+            bonus = 0.06 * min(1.0, math.log1p(t.imdb_votes or 0) / math.log1p(500_000))
+            bonus += (0.10 if s.want_year == t.year else 0.03) if s.want_year and t.year else 0.0
+            if same * 0.9 + bonus >= M.FUZZY_FLOOR:
+                want[s.query, s.attempt, t.item_id] = pytest.approx(same * 0.9 + bonus)
+                if not block or t in block:
+                    blocked.add((s.query, s.attempt, t.item_id))
     rows = M.match_fuzzy(searches, forms).collect()
     assert {(r.query, r.attempt, r.item_id): r.score for r in rows} == want and len(rows) == len(want)
     assert ("Qhadowland Avenue", 1, 0) in want
-    best = M.match_fuzzy(searches, forms, limit=1).collect()
-    assert len(best) == len({(q, a) for q, a, _ in want})
+    assert {(r.query, r.attempt, r.item_id) for r in M.match_fuzzy(searches, forms, same_start=True).collect()} == blocked < want.keys()
+    for limit in (1, 2, 5):
+        best = M.match_fuzzy(searches, forms, limit=limit).collect()
+        assert len(best) == sum(min(limit, sum(k[:2] == s for k in want)) for s in {k[:2] for k in want})
+        for r in best:
+            assert r.score == want[r.query, r.attempt, r.item_id]
+            assert sum(k[:2] == (r.query, r.attempt) and v.expected > r.score + 1e-9 for k, v in want.items()) < limit
+
+
+def test_similarity_join_finds_slips_in_every_place(spark):
+    """Each title with one letter exchanged, dropped, doubled or added in each place finds that title,
+    and the best of all titles are those of comparing all pairs."""
+    rng = np.random.default_rng(7)
+    words = ["harbour", "light", "winter", "amber", "fox", "ninth", "gate", "quiet", "ember", "vow"]
+    names = sorted({" ".join(rng.choice(words, rng.integers(1, 4), replace=False)) for _ in range(120)})
+    titles = spark.createDataFrame([(k, n, None, None, "movie", "en", 0) for k, n in enumerate(names)],
+                                   "item_id long, title string, original_title string, year int, kind string, language string, imdb_votes long")
+    asked = []
+    for n in names[::8]:
+        for k in range(len(n)):
+            asked += [n[:k] + "z" + n[k + 1:], n[:k] + n[k + 1:], n[:k] + n[k] + n[k:], n[:k] + "q" + n[k:]]
+    queries = spark.createDataFrame([(k, q) for k, q in enumerate(sorted(set(asked)))], "query_id long, query string")
+    searches, forms = M.prepare_queries(queries), M.prepare_titles(titles)
+    got = {}
+    for r in M.match_fuzzy(searches, forms, limit=3).collect():
+        got.setdefault(r["query"], []).append(round(r.score, 9))
+    for q in asked:
+        norm = searches_norm(q)
+        scores = sorted((0.9 * SequenceMatcher(None, norm, n).ratio() for n in names), reverse=True)
+        assert sorted(got.get(q, []), reverse=True) == [round(x, 9) for x in scores[:3] if x >= M.FUZZY_FLOOR], q
+
+
+def searches_norm(q):
+    return " ".join(q.split())
+
+
+def test_pair_kernel_equals_sequence_matcher():
+    from kinograph.functions import alike
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdeé 漢"), rng.integers(0, 25))) for _ in range(120)] + ["ab" * 120, "z" * 210 + "abc"]
+    need, lift = rng.uniform(0.2, 0.9, len(texts)), rng.uniform(0, 0.06, len(texts))
+    i, j, same = alike.near_pairs(texts, need, texts[::-1], lift)
+    got = {(a, b): s for a, b, s in zip(i.tolist(), j.tolist(), same.tolist())}
+    for a, x in enumerate(texts):
+        for b, y in enumerate(texts[::-1]):
+            ratio = SequenceMatcher(None, x, y).ratio()
+            if 0.9 * ratio + lift[b] >= need[a] + 1e-9:
+                assert got[a, b] == pytest.approx(ratio)
+            elif 0.9 * ratio + lift[b] < need[a] - 1e-6:
+                assert (a, b) not in got
