@@ -19,6 +19,7 @@ from ..functions import vectors as V
 from ..session import cut, running_totals
 from . import blocks as B
 from . import taste as K
+from . import timeline
 
 # --- replayed users -----------------------------------------------------------------
 
@@ -353,20 +354,12 @@ def _walk(seq: DataFrame, features: DataFrame, capacity: tuple, penalty) -> Data
     lifted = K._lifted(rows.select("user_id", "seg", "step", "reward", "vec"), capacity, 0)
     lifted = cut(lifted)
     parts = B.moments(lifted.select("user_id", "seg", F.lit(1.0).alias("w"), F.col("reward").alias("y"), F.lit(1.0).alias("cnt"), "vec"), ["user_id", "seg"])
-    start = T.StructType([seq.schema["user_id"], T.StructField("seg", T.IntegerType()), T.StructField("n", T.DoubleType()), T.StructField("packed", T.ArrayType(T.DoubleType()))])
-
-    def sum_up(batches):
-        user, total, n = None, 0.0, 0.0
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.user_id != user:
-                    user, total, n = r.user_id, np.zeros(len(r.packed)), 0.0
-                out.append((r.user_id, r.seg, n, total))
-                total, n = total + np.asarray(r.packed), n + r.n
-            yield pd.DataFrame(out, columns=start.names)
-
-    starts = B.spread(parts, "user_id").sortWithinPartitions("user_id", "seg").mapInPandas(sum_up, start)
+    sums = cut(timeline.earlier_sums(parts.select("user_id", F.col("seg").cast("long").alias("g"), F.concat("packed", F.array("n")).alias("packed")), ["user_id"]))
+    starts = None
+    for (level,) in sorted(sums.select("level").distinct().collect()):
+        up = lifted.select("user_id", "seg").distinct().withColumn("g", F.floor(F.col("seg") / timeline.FAN**level).cast("long"))
+        some = up.join(sums.filter(F.col("level") == level).drop("level"), ["user_id", "g"]).select("user_id", "seg", "packed")
+        starts = some if starts is None else starts.unionByName(some)
     schema = T.StructType([seq.schema["user_id"], T.StructField("step", T.LongType()), T.StructField("actual", T.DoubleType()), T.StructField("predicted", T.DoubleType()),
                            T.StructField("sd", T.DoubleType()), T.StructField("evidence", T.DoubleType()), T.StructField("width", T.IntegerType()), T.StructField("gamma", T.DoubleType())])
 
@@ -375,7 +368,10 @@ def _walk(seq: DataFrame, features: DataFrame, capacity: tuple, penalty) -> Data
             return pd.DataFrame([], columns=schema.names)
         rp = rp.sort_values("step", ignore_index=True)
         aug = N.augmented(B._stack(rp["vec"]), rp["reward"].to_numpy(float))
-        m, n, out = N.unpack(sp["packed"].iloc[0], aug.shape[1]), float(sp["n"].iloc[0]), []
+        m, n, out = np.zeros((aug.shape[1],) * 2), 0.0, []
+        for packed in sp["packed"]:  # one a level
+            if packed is not None and len(packed):
+                m, n = m + N.unpack(packed[:-1], aug.shape[1]), n + packed[-1]
         for a, step in zip(aug, rp["step"]):
             f = len(a) - 1
             if step >= (RFF_FROM if width else MIN_TRAIN) and not (width and f > max(8 * n, 64)):
@@ -391,11 +387,20 @@ def _walk(seq: DataFrame, features: DataFrame, capacity: tuple, penalty) -> Data
 
 
 def prequential(sequence: DataFrame, features: DataFrame, penalty: float | None = dims.PENALTY, z: float = 1.6448536269514722,
-                lifts: bool = True) -> DataFrame:
+                lifts: bool = True, serving: DataFrame | None = None, negatives: DataFrame | None = None,
+                half_life: float = dims.HALF_LIFE_DAYS) -> DataFrame:
     """Each verdict predicted from the ones before it, beside the running-mean control.
 
-    ``sequence``: user_id, item_id, step (0-based), reward, earlier_mean.
+    ``sequence``: user_id, item_id, step (0-based), reward, earlier_mean. The plain fit weighs first
+    verdicts alike. With ``serving`` (``timeline.label_changes``; ``sequence`` then has ts too) each
+    step is predicted by the model that would have served at that moment: latest verdicts, skips until a
+    verdict replaces them, fading weights, and ``negatives`` if given.
     """
+    if serving is not None:
+        asked = sequence.filter(F.col("step") >= MIN_TRAIN).withColumn("ask_id", F.col("step"))
+        out = timeline.predict_as_of(serving, asked, features, negatives, penalty, half_life).select(
+            "user_id", F.col("ask_id").alias("step"), F.col("mean").alias("predicted"), "sd")
+        return _beside_control(out.join(sequence.select("user_id", "step", F.col("reward").alias("actual")), ["user_id", "step"]), sequence, z)
     out = _walk(sequence, features, K.CAPACITIES[0], penalty)
     long = sequence.groupBy("user_id").agg(F.max("step").alias("m")).filter(F.col("m") >= RFF_FROM).select("user_id")
     if lifts and long.limit(1).count():
@@ -404,6 +409,10 @@ def prequential(sequence: DataFrame, features: DataFrame, penalty: float | None
             out = out.unionByName(_walk(some, features, capacity, penalty))
         rank = F.struct("evidence", (-F.col("width")).alias("_w"), (-F.col("gamma")).alias("_g"))
         out = out.groupBy("user_id", "step").agg(F.max_by(F.struct("actual", "predicted", "sd"), rank).alias("_b")).select("user_id", "step", "_b.*")
+    return _beside_control(out, sequence, z)
+
+
+def _beside_control(out: DataFrame, sequence: DataFrame, z: float) -> DataFrame:
     control = sequence.select("user_id", "step", F.abs(F.col("earlier_mean") - F.col("reward")).alias("control_error"))
     return out.select("user_id", "step", "actual", "predicted", "sd").join(control, ["user_id", "step"]).withColumns({
         "error": F.abs(F.col("predicted") - F.col("actual")), "inside": F.abs(F.col("predicted") - F.col("actual")) <= F.lit(z) * F.col("sd")})
@@ -499,17 +508,40 @@ def snips(logged: DataFrame, temperature: float = 1.0, least: int = 30, keys: tu
     return out.select(*keys, "n", "logged_value", F.when((F.col("n") >= least) & (F.col("_b") > 0), F.col("_a") / F.col("_b")).alias("estimate"))
 
 
-def off_policy_status(usable: DataFrame, models: DataFrame, features: DataFrame, least: int = 30) -> DataFrame:
-    """Why each user has an estimate or not."""
-    rows = usable.join(features.select("item_id", F.lit(True).alias("_in")), "item_id", "left")
-    s = rows.groupBy("user_id").agg(F.count("*").alias("n_usable"), F.count_if(F.col("_in").isNull()).alias("_out"))
-    s = s.join(models.select("user_id", F.lit(True).alias("_model")), "user_id", "left")
-    ok = cut(s.withColumn("status", F.when(F.col("n_usable") < least, "not-enough-data").when(F.col("_model").isNull(), "no-model")
-                          .when(F.col("_out") > 0, "item-space-changed").otherwise("ok")))
-    good = usable.join(ok.filter("status = 'ok'").select("user_id"), "user_id", "left_semi").withColumn("row_id", F.xxhash64("impression_id", "slate_id", "reward"))
-    scored = K.predict_pairs(good.select("user_id", "item_id", "row_id", "reward", "propensity"), features, models).withColumnRenamed("mean", "score")
-    est = snips(scored, least=least).select("user_id", "logged_value", "estimate")
-    return ok.join(est, "user_id", "left").select(
+def off_policy_status(usable: DataFrame, models: DataFrame | None, features: DataFrame, least: int = 30, per_slate: bool = False,
+                      fit_before: tuple[DataFrame, DataFrame] | None = None, negatives: DataFrame | None = None, space_id: str | None = None) -> DataFrame:
+    """Why each user has an estimate or not, and the estimate.
+
+    ``models`` scores all of a user's logged picks. With ``fit_before`` (changes of
+    ``timeline.label_changes``, impressions with their ts) each pick is scored by the model of what was
+    known before its impression instead; picks without a model yet are left out of the estimate.
+    With ``space_id``, picks whose column space_id differs count as made in another item space, like
+    picks whose item the space no longer holds.
+    """
+    gone = F.col("_in").isNull()
+    if space_id is not None:
+        gone |= ~F.col("space_id").eqNullSafe(F.lit(space_id))
+    picks = cut(usable.withColumn("row_id", F.xxhash64("impression_id", "slate_id", "reward")))
+    rows = picks.join(features.select("item_id", F.lit(True).alias("_in")), "item_id", "left")
+    s = rows.groupBy("user_id").agg(F.count("*").alias("n_usable"), F.count_if(gone).alias("_out"))
+    if fit_before is None:
+        have = models.select("user_id", F.lit(True).alias("_model"))
+    else:
+        changes, shown = fit_before
+        asked = picks.join(shown.select("impression_id", "ts"), "impression_id").select("user_id", "item_id", F.col("row_id").alias("ask_id"), "ts").distinct()
+        known = cut(timeline.predict_as_of(changes, asked, features, negatives).select("user_id", F.col("ask_id").alias("row_id"), F.col("mean").alias("score")))
+        have = known.select("user_id").distinct().withColumn("_model", F.lit(True))
+    ok = cut(s.join(have, "user_id", "left").withColumn(
+        "status", F.when(F.col("n_usable") < least, "not-enough-data").when(F.col("_model").isNull(), "no-model")
+        .when(F.col("_out") > 0, "item-space-changed").otherwise("ok")))
+    good = picks.join(ok.filter("status = 'ok'").select("user_id"), "user_id", "left_semi").select("user_id", "item_id", "slate_id", "row_id", "reward", "propensity")
+    if fit_before is None:
+        scored = K.predict_pairs(good, features, models).withColumnRenamed("mean", "score")
+    else:
+        scored = good.join(known, ["user_id", "row_id"])
+    est = snips(scored, least=least, per_slate=per_slate).select("user_id", "estimate")
+    value = good.groupBy("user_id").agg(F.avg("reward").alias("logged_value"))
+    return ok.join(value, "user_id", "left").join(est, "user_id", "left").select(
         "user_id", "n_usable", F.when((F.col("status") == "ok") & F.col("estimate").isNull(), "estimate-unavailable").otherwise(F.col("status")).alias("status"),
         "logged_value", "estimate", (F.col("estimate") > F.col("logged_value")).alias("better"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as P
 from ..operators import events as E
 from ..operators import taste as K
+from ..operators import timeline as Z
 from ..session import cut
 from . import roles as R
 from .events import LOOSE, SEQ
@@ -296,6 +297,68 @@ def _(spark, d):
     return P.off_policy_status(cut(logged), models(spark, d, feats), feats, least=10).select("user_id", "n_usable", "status", r6("logged_value"), r6("estimate"), "better")
 
 
+# --- models as of a moment ---
+
+
+def as_of_sql(asks: str, events: str) -> str:
+    """Common tables up to ``pr`` (user_id, ask_id, predicted): each ask answered by a regression on two
+    features over the labels known before it, written out as a 3 x 3 solve."""
+    return f"""ask AS ({asks}), le AS ({events}),
+  st AS (SELECT k.user_id, k.ask_id, k.ts, e.item_id, e.value / 10.0 AS y, 1.0 AS base, e.ts AS said FROM ask k JOIN le e ON e.user_id = k.user_id AND e.ts < k.ts AND e.kind = 'rate' AND e.value IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY k.user_id, k.ask_id, e.item_id ORDER BY e.ts DESC, e.event_id DESC) = 1),
+  ra AS (SELECT DISTINCT k.user_id, k.ask_id, e.item_id FROM ask k JOIN le e ON e.user_id = k.user_id AND e.ts < k.ts AND e.kind = 'rate'),
+  we AS (SELECT k.user_id, k.ask_id, k.ts, e.item_id, 0.25 AS y, 0.5 AS base, max(e.ts) AS said FROM ask k JOIN le e ON e.user_id = k.user_id AND e.ts < k.ts AND e.kind IN ('skip', 'dismiss')
+    WHERE (k.user_id, k.ask_id, e.item_id) NOT IN (SELECT user_id, ask_id, item_id FROM ra) GROUP BY ALL),
+  x AS (SELECT user_id, ask_id, greatest(base * exp(-ln(2.0) * date_diff('day', said, ts) / 1100.0), 1e-3) AS w, y, base, CAST(vec[1] AS DOUBLE) AS a, CAST(vec[2] AS DOUBLE) AS b
+    FROM (SELECT * FROM st UNION ALL SELECT * FROM we) JOIN space USING (item_id)),
+  m AS (SELECT user_id, ask_id, count(*) AS n, sum(w) AS s0, sum(w * a) AS sa, sum(w * b) AS sb, sum(w * a * a) AS saa, sum(w * a * b) AS sab, sum(w * b * b) AS sbb, sum(w * y) AS sy, sum(w * y * a) AS sya, sum(w * y * b) AS syb
+    FROM x GROUP BY ALL HAVING count(*) FILTER (WHERE base = 1.0) >= 3),
+  g AS (SELECT user_id, ask_id, sy / s0 AS ym, n + 10 AS a11, n / s0 * sa AS a12, n / s0 * sb AS a13, n / s0 * saa + 10 AS a22, n / s0 * sab AS a23, n / s0 * sbb + 10 AS a33,
+    n / s0 * (sya - sy / s0 * sa) AS r2, n / s0 * (syb - sy / s0 * sb) AS r3 FROM m),
+  i AS (SELECT *, a22 * a33 - a23 * a23 AS i11, a13 * a23 - a12 * a33 AS i12, a12 * a23 - a13 * a22 AS i13, a11 * a33 - a13 * a13 AS i22, a12 * a13 - a11 * a23 AS i23, a11 * a22 - a12 * a12 AS i33 FROM g),
+  c AS (SELECT *, a11 * i11 + a12 * i12 + a13 * i13 AS det FROM i),
+  pr AS (SELECT c.user_id, c.ask_id, k.item_id, (i12 * r2 + i13 * r3) / det + (i22 * r2 + i23 * r3) / det * CAST(vec[1] AS DOUBLE) + (i23 * r2 + i33 * r3) / det * CAST(vec[2] AS DOUBLE) + ym AS predicted
+    FROM c JOIN ask k USING (user_id, ask_id) JOIN space USING (item_id))"""
+
+
+def plane(spark, d):
+    """The first two features of each item."""
+    return cut(R.space(spark, d).select("item_id", F.slice(F.col("vec").cast("array<double>"), 1, 2).alias("vec")))
+
+
+@query("prequential_serving", sql(f"""WITH {SEQ}, {as_of_sql("SELECT user_id, step AS ask_id, item_id, ts FROM seq WHERE step >= 5", "SELECT * FROM log")}
+SELECT pr.user_id, step, round(predicted, 6) AS predicted, round(abs(predicted - reward), 6) AS error, round(abs(earlier - reward), 6) AS control_error FROM pr JOIN seq ON seq.user_id = pr.user_id AND step = ask_id""", "log", "space"))
+def _(spark, d):
+    """Each verdict predicted by the model that served at its moment, on two features."""
+    feats = plane(spark, d)
+    changes = Z.label_changes(Z.label_lives(R.events(spark, d), feats))
+    return P.prequential(_sequence(spark, d), feats, serving=changes).select("user_id", "step", r6("predicted"), r6("error"), r6("control_error"))
+
+
+#: Verdicts of the web page only, so that some users have too few of them for a model.
+WEB = "SELECT * FROM log WHERE kind <> 'rate' OR source = 'web'"
+
+
+@query("off_policy_as_of", sql(f"""WITH im AS (SELECT user_id, item_id, slate_id, impression_id, ts, propensity, least(score / 50, 1.0) AS reward, CASE WHEN ts < TIMESTAMP '2024-01-03' THEN 'before' ELSE 'now' END AS space_id FROM impressions),
+  {as_of_sql("SELECT user_id, impression_id AS ask_id, item_id, ts FROM im", WEB)},
+  us AS (SELECT im.user_id, count(*) AS n_usable, count(*) FILTER (im.space_id <> 'now' OR sp.item_id IS NULL) AS gone, avg(reward) AS logged FROM im LEFT JOIN space sp ON sp.item_id = im.item_id GROUP BY 1),
+  sc AS (SELECT im.user_id, slate_id, reward, propensity, predicted AS score FROM im JOIN pr ON pr.user_id = im.user_id AND ask_id = impression_id),
+  e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY user_id, slate_id)) AS e FROM sc), w AS (SELECT *, e / sum(e) OVER (PARTITION BY user_id, slate_id) / greatest(propensity, 1e-6) AS w FROM e),
+  q AS (SELECT user_id, quantile_cont(w, 0.99) AS q, count(*) AS n FROM w GROUP BY 1), es AS (SELECT user_id, n, sum(least(w, q) * reward) / sum(least(w, q)) AS estimate FROM w JOIN q USING (user_id) GROUP BY ALL)
+SELECT user_id, n_usable, CASE WHEN n_usable < 10 THEN 'not-enough-data' WHEN es.n IS NULL THEN 'no-model' WHEN gone > 0 THEN 'item-space-changed' WHEN es.n < 10 THEN 'estimate-unavailable' ELSE 'ok' END AS status,
+  CASE WHEN n_usable >= 10 AND es.n IS NOT NULL AND gone = 0 THEN round(logged, 6) END AS logged_value, CASE WHEN n_usable >= 10 AND gone = 0 AND es.n >= 10 THEN round(estimate, 6) END AS estimate,
+  CASE WHEN n_usable >= 10 AND gone = 0 AND es.n >= 10 THEN estimate > logged END AS better FROM us LEFT JOIN es USING (user_id)""", "log", "impressions", "space"))
+def _(spark, d):
+    """Every view as a pick, scored by what was known before it; softmax inside its slate."""
+    feats, events = plane(spark, d), R.events(spark, d).filter("kind <> 'rate' or source = 'web'")
+    shown = R.impressions(spark, d)
+    space_id = F.when(F.col("ts") < F.lit("2024-01-03").cast("timestamp_ntz"), "before").otherwise("now")
+    usable = shown.select("user_id", "item_id", "slate_id", "impression_id", "propensity", F.least(F.col("score") / 50, F.lit(1.0)).alias("reward"), space_id.alias("space_id"))
+    changes = Z.label_changes(Z.label_lives(events, feats))
+    out = P.off_policy_status(cut(usable), None, feats, 10, True, (changes, shown.select("impression_id", "ts")), space_id="now")
+    return out.select("user_id", "n_usable", "status", r6("logged_value"), r6("estimate"), "better")
+
+
 # --- sealed predictions ---
 
 

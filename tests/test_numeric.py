@@ -12,6 +12,7 @@ from kinograph.operators import evaluation as P
 from kinograph.operators import itemspace as I
 from kinograph.operators import slates as L
 from kinograph.operators import taste as K
+from kinograph.operators import timeline as Z
 from kinograph.session import global_index, running_totals
 
 RNG = np.random.default_rng(7)
@@ -308,6 +309,7 @@ def test_thompson_draws_follow_the_posterior(spark, world):
 
 def test_prequential_refits_each_step(spark, world, monkeypatch):
     monkeypatch.setattr(P, "SEGMENT", 7)
+    monkeypatch.setattr(P.timeline, "FAN", 2)  # six segments: three levels of sums
     lab = world["labels"].query("user_id in (1, 4)").copy()
     lab["step"] = lab.groupby("user_id").cumcount().astype("int64")
     lab["earlier_mean"] = lab.groupby("user_id").reward.transform(lambda s: s.shift().expanding().mean())
@@ -398,3 +400,126 @@ def test_student_tail():
 def test_like_probability(spark):
     row = spark.range(1).select(K.like_probability(F.lit(0.75), F.lit(0.1)).alias("a"), K.like_probability(F.lit(0.85), F.lit(0.1)).alias("b")).head()
     assert abs(row.a - 0.5) < 1e-12 and abs(row.b - 0.8413447) < 1e-6
+
+
+# --- models as of a moment ---
+
+DAY0 = pd.Timestamp("2020-01-01")
+
+
+def frame(spark, rows, schema):
+    plain = lambda v: v.to_pydatetime() if isinstance(v, pd.Timestamp) else None if isinstance(v, float) and v != v else v
+    return spark.createDataFrame([tuple(plain(v) for v in r) for r in rows], schema)
+
+
+LOG = "event_id long, user_id long, item_id long, kind string, value double, ts timestamp_ntz"
+
+
+def log_of(rng, n_items, n, users):
+    rows = []
+    for k in range(n):
+        kind = rng.choice(["rate", "rate", "rate", "skip", "dismiss", "seen"])
+        rows.append((k, int(rng.choice(users)), int(rng.integers(0, n_items)), str(kind), float(rng.integers(0, 11)) if kind == "rate" and rng.random() < 0.9 else None,
+                     DAY0 + pd.Timedelta(hours=int(rng.integers(0, 24 * 400)))))
+    return pd.DataFrame(rows, columns=["event_id", "user_id", "item_id", "kind", "value", "ts"])
+
+
+def labels_at(log, user, ts, half_life):
+    """What is known strictly before ``ts``, written out row by row."""
+    past = log[(log.user_id == user) & (log.ts < ts)].sort_values(["ts", "event_id"])
+    out = {}
+    for r in past[past.kind.isin(["skip", "dismiss"])].itertuples():
+        if not ((past.kind == "rate") & (past.item_id == r.item_id)).any():
+            out[r.item_id] = (0.25, 0.5, r.ts, True)
+    for r in past[(past.kind == "rate") & past.value.notna()].itertuples():
+        out[r.item_id] = (r.value / 10.0, 1.0, r.ts, False)
+    days = {i: (ts.normalize() - v[2].normalize()).days for i, v in out.items()}
+    return {i: (v[0], max(v[1] * (0.5 ** (days[i] / half_life) if half_life else 1.0), 1e-3), v[3]) for i, v in out.items()}
+
+
+@pytest.mark.parametrize("half_life,with_negatives", [(1100.0, False), (20.0, False), (0.0, True), (300.0, True)])
+def test_models_as_of_equal_refits(spark, world, monkeypatch, half_life, with_negatives):
+    monkeypatch.setattr(Z, "SEGMENT", 5)
+    monkeypatch.setattr(Z, "FAN", 3)
+    rng = np.random.default_rng(11)
+    log = log_of(rng, 30, 260, [1, 2, 3])
+    log.loc[len(log)] = (9999, 7, 3, "rate", 5.0, DAY0)
+    events = frame(spark, log.itertuples(index=False), LOG)
+    negatives = spark.createDataFrame([(i,) for i in (0, 3, 50, 51, 52)], "item_id long") if with_negatives else None
+    changes = Z.label_changes(Z.label_lives(events, world["feats"]), negatives, half_life)
+    asks = [(k, int(rng.choice([1, 2, 3, 7])), int(rng.integers(0, 100)), DAY0 + pd.Timedelta(hours=int(rng.integers(0, 24 * 420)))) for k in range(80)]
+    asks += [(100 + k, int(r.user_id), int(r.item_id), r.ts) for k, r in enumerate(log.head(20).itertuples())]  # at the very moment of a verdict
+    asked = frame(spark, asks, "ask_id long, user_id long, item_id long, ts timestamp_ntz")
+    got = {r.ask_id: r for r in Z.predict_as_of(changes, asked, world["feats"], negatives, half_life=half_life).collect()}
+    seen = 0
+    for ask, user, item, ts in asks:
+        known = labels_at(log, user, ts, half_life)
+        said = sum(not v[2] for v in known.values())
+        if said < 3:
+            assert ask not in got
+            continue
+        rows = [(world["vec"][i], y, w) for i, (y, w, _) in known.items()]
+        if with_negatives:
+            rows += [(world["vec"][i], 0.15, 0.3) for i in (0, 3, 50, 51, 52) if i not in known]
+        x, y, w = (np.array(c) for c in zip(*rows))
+        m, s, b, ym = direct_fit(x, y, w)
+        phi = np.append(1.0, world["vec"][item])
+        assert abs(got[ask].mean - (phi @ m + ym)) < 1e-6 and abs(got[ask].sd - np.sqrt(phi @ s @ phi + 1 / b)) < 1e-5
+        assert got[ask].verdicts == said
+        seen += 1
+    assert seen == len(got) > 50
+
+
+def test_serving_validation_and_picks_before_their_impression(spark, world):
+    rng = np.random.default_rng(5)
+    log = log_of(rng, 100, 300, [1, 2])
+    extra = pd.DataFrame([(2000 + k, 3, k, "rate", 7.0, DAY0 + pd.Timedelta(days=390)) for k in range(2)]  # two verdicts: never a model
+                         + [(2100 + k, u, k, "rate", float(k), DAY0 + pd.Timedelta(days=200)) for u in (4, 5) for k in range(6)], columns=log.columns)
+    log = pd.concat([log, extra], ignore_index=True)
+    events = frame(spark, log.itertuples(index=False), LOG)
+    changes = Z.label_changes(Z.label_lives(events, world["feats"]))
+    from kinograph.operators import events as E
+
+    seq = E.first_verdict_sequence(events, world["feats"])
+    got = P.prequential(seq, world["feats"], serving=changes).toPandas()
+    steps = seq.toPandas()
+    assert set(got.user_id) == {1, 2} and got.step.min() >= 5  # users 4 and 5 said all at one moment
+    for r in got.itertuples():
+        step = steps[(steps.user_id == r.user_id) & (steps.step == r.step)].iloc[0]
+        known = labels_at(log, r.user_id, step.ts, 1100.0)
+        x, y, w = (np.array(c) for c in zip(*((world["vec"][i], v, k) for i, (v, k, _) in known.items())))
+        m, *_, ym = direct_fit(x, y, w)
+        assert abs(r.predicted - (np.append(1.0, world["vec"][step.item_id]) @ m + ym)) < 1e-6
+    picks = []
+    for u, n, day in ((1, 12, 300), (2, 12, 300), (3, 12, 300), (4, 12, 300), (5, 4, 300), (6, 2, 300)):
+        picks += [(u, 1000 * u + k, f"{u}-{k // 3}", int(rng.integers(0, 100)), float(rng.uniform(0.1, 0.9)), float(rng.uniform()), DAY0 + pd.Timedelta(days=day, hours=k)) for k in range(n)]
+    picks += [(5, 5100 + k, f"5-{k}", k, 0.5, 0.5, DAY0 + pd.Timedelta(days=100)) for k in range(8)]  # before user 5's verdicts
+    usable = spark.createDataFrame([(p[0], p[1], p[2], p[3], p[4], p[5], "old" if p[0] == 2 and p[1] == 2003 else "now") for p in picks],
+                                   "user_id long, impression_id long, slate_id string, item_id long, propensity double, reward double, space_id string")
+    shown = frame(spark, [(p[1], p[6]) for p in picks], "impression_id long, ts timestamp_ntz")
+    out = {r.user_id: r for r in P.off_policy_status(usable, None, world["feats"], 6, True, (changes, shown), space_id="now").collect()}
+    assert {u: r.status for u, r in out.items()} == {1: "ok", 2: "item-space-changed", 3: "no-model", 4: "ok", 5: "estimate-unavailable", 6: "not-enough-data"}
+    for u in (1, 4):
+        rows = []
+        for p in (p for p in picks if p[0] == u):
+            known = labels_at(log, u, p[6], 1100.0)
+            x, y, w = (np.array(c) for c in zip(*((world["vec"][i], v, k) for i, (v, k, _) in known.items())))
+            m, *_, ym = direct_fit(x, y, w)
+            rows.append((p[2], p[4], p[5], np.append(1.0, world["vec"][p[3]]) @ m + ym))
+        df = pd.DataFrame(rows, columns=["slate", "p", "reward", "score"])
+        e = np.exp(df.score - df.groupby("slate").score.transform("max"))
+        w = e / e.groupby(df.slate).transform("sum") / np.maximum(df.p, 1e-6)
+        c = np.minimum(w, np.quantile(w, 0.99))
+        assert out[u].estimate == pytest.approx((c * df.reward).sum() / c.sum(), abs=1e-6) and out[u].logged_value == pytest.approx(df.reward.mean())
+
+
+@pytest.mark.parametrize("n,fan", [(1, 2), (5, 2), (64, 4), (130, 4)])
+def test_sums_in_levels(spark, n, fan):
+    rng = np.random.default_rng(n)
+    data = rng.normal(size=(n, 3))
+    parts = spark.createDataFrame([(1, k, None if k % 5 == 2 else data[k].tolist()) for k in range(n)] + [(2, 0, [1.0, 1.0, 1.0])], "user_id long, g long, packed array<double>")
+    data[2::5] = 0.0
+    got = Z.earlier_sums(parts, ["user_id"], fan).filter("user_id = 1").collect()
+    for s in range(n):
+        total = sum((np.asarray(r.packed) for r in got if r.packed is not None and r.g == s // fan**r.level), np.zeros(3))
+        assert np.allclose(total, data[:s].sum(0))
