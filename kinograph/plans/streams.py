@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import itemspace as I
 from ..session import cut, scratch
+from ..streaming import jobs as J
 from ..streaming import streams as W
 from . import roles as R
 from .events import LATEST, LOOSE, WATCH, micros
@@ -30,6 +31,15 @@ def _(spark, d):
     return spark.read.parquet(log).select("user_id", "item_id", "kind", micros("ts").alias("ts"))
 
 
+@query("stream_events_within", sql("SELECT user_id, item_id, kind, epoch_us(ts) AS ts FROM log", "log"))
+def _(spark, d):
+    """Every event arrives twice; the state store lets the first through."""
+    ev = R.events(spark, d)
+    log = scratch(spark, "log")
+    W.stream_events_within(_stream(spark, ev.unionByName(ev), "twice"), log, scratch(spark, "cp"), "60 days")
+    return spark.read.parquet(log).select("user_id", "item_id", "kind", micros("ts").alias("ts"))
+
+
 @query("stream_latest_verdict", sql(f"WITH {LATEST} SELECT user_id, item_id, value FROM lr", "log"))
 def _(spark, d):
     agg = W.stream_latest_verdict(_stream(spark, R.events(spark, d), "events"))
@@ -63,6 +73,37 @@ def _(spark, d):
     return W.keep_current(agg, scratch(spark, "jobs"), scratch(spark, "cp"), ["job_id"]).select("job_id", "state", "wrong", "asked")
 
 
+WATCHED = """WITH jl AS (SELECT o_custkey AS job, o_orderdate AS t, o_orderstatus AS s, substr(o_orderpriority, 1, 1) AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+  jk AS (SELECT job, n, epoch_ms(CAST(t AS TIMESTAMP)) AS t, CASE WHEN n = 1 THEN 'request' WHEN p = '1' THEN 'state' WHEN p = '2' THEN 'offer' WHEN p = '4' THEN 'wrong' ELSE 'other' END AS kind,
+    CASE s WHEN 'F' THEN 'paused' WHEN 'O' THEN 'downloading' ELSE 'failed' END AS state FROM jl WHERE job % 10 <> 3),
+  jg AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY job ORDER BY n), (SELECT max(t) - 36 * 3600000 FROM jk)) - t AS gap, max(CASE WHEN kind = 'state' THEN n END) OVER (PARTITION BY job) AS said FROM jk),
+  js AS (SELECT job, coalesce(max(CASE WHEN n = said THEN state END), 'queued') AS state, coalesce(max(gap) FILTER (n >= said), 0) AS longest, arg_max(gap, n) AS silent, max(t) AS updated,
+    count(*) FILTER (kind = 'wrong') AS wrong, bool_or(kind = 'offer') AS asked FROM jg GROUP BY 1)
+SELECT 'job-' || job AS job_id, CASE WHEN state = 'paused' AND longest > 86400000 THEN 'cancelled' ELSE state END AS state,
+  CASE WHEN state = 'paused' AND longest > 86400000 THEN 'cancelled' WHEN state = 'downloading' AND silent > 30000 THEN 'interrupted' ELSE state END AS status,
+  CASE WHEN state = 'paused' AND longest > 86400000 THEN 'no choice within a day' WHEN state <> 'queued' THEN 'r' END AS reason, updated, wrong, asked FROM js"""
+
+
+def _standing(df):
+    return df.select("job_id", "state", "status", "reason", F.unix_millis("updated").alias("updated"), "wrong", "asked")
+
+
+@query("watch_jobs", WATCHED)
+def _(spark, d):
+    """The lines in order of time; at the end the watermark stands 36 hours before the newest."""
+    lines = parsed_jobs(spark, d)
+    path = W.land_in_order(cut(lines), "lines", "unix_seconds(to_timestamp(at))")
+    stream = W.file_stream(spark, path, lines.schema)
+    return _standing(W.keep_current(J.watch_jobs(stream, delay="36 hours"), scratch(spark, "jobs"), scratch(spark, "cp"), ["job_id"]))
+
+
+@query("job_standing", WATCHED)
+def _(spark, d):
+    lines = cut(parsed_jobs(spark, d))
+    until = lines.agg((F.max(F.to_timestamp("at")) - F.expr("INTERVAL 36 HOURS")).alias("u")).scalar()
+    return _standing(J.job_standing(lines, until))
+
+
 @query("stream_event_counts", sql("SELECT epoch_us(date_trunc('day', ts)) AS start, kind, source, count(*) AS n FROM log GROUP BY 1, 2, 3", "log"))
 def _(spark, d):
     agg = W.stream_event_counts(_stream(spark, R.events(spark, d), "events"), delay="60 days")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,29 +49,40 @@ def _unseen(rows: DataFrame, have: DataFrame) -> DataFrame:
 def event_sink(log: str, late: str, schema: T.StructType, delay_days: int):
     """A batch function that adds new events once.
 
-    Rows older than the log's newest day minus the delay go to the side table. The rest are
-    checked against the log days at or after that mark only, which partition pruning keeps
-    small. Both tables are written by batch in overwrite mode and checked against other batches
-    alone, so a retried batch replaces its own first attempt and a repeat adds nothing to either.
+    Rows older than the newest day of earlier batches minus the delay go to the side table. The rest
+    are checked against the log days at or after that mark only, which partition pruning keeps
+    small; the newest day itself is kept beside the log, one row a batch, so no batch reads the log for
+    it. Both tables are written by batch in overwrite mode and checked against other batches alone, so a
+    retried batch replaces its own first attempt and a repeat adds nothing to either.
     """
     stored = T.StructType([*schema.fields, T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())])
     aside = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    marks = T.StructType([T.StructField("newest", T.DateType()), T.StructField("batch", T.LongType())])
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        have = _existing(spark, log, stored).filter(F.col("batch") != batch_id)
-        newest = have.agg(F.max("day").alias("d")).head()["d"]
+        newest = _existing(spark, f"{log}-marks", marks).filter(F.col("batch") < batch_id).agg(F.max("newest").alias("d")).head()["d"]
         rows = batch.dropDuplicates([c for c in E.NATURAL_KEY]).withColumn("day", F.to_date("ts"))
+        have = _existing(spark, log, stored).filter(F.col("batch") != batch_id)
         fresh, seen = rows, have
         if newest is not None:
-            mark = F.date_sub(F.lit(newest), delay_days)
+            mark = F.lit(newest - dt.timedelta(days=delay_days))
             fresh, seen = rows.filter(F.col("day") >= mark), have.filter(F.col("day") >= mark)
             kept_aside = _existing(spark, late, aside).filter(F.col("batch") != batch_id)
             _unseen(rows.filter(F.col("day") < mark).drop("day"), kept_aside).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
         _unseen(fresh, seen).write.mode("overwrite").partitionBy("day").parquet(f"{log}/batch={batch_id}")
+        rows.agg(F.greatest(F.max("day"), F.lit(newest)).alias("newest")).filter("newest is not null").write.mode("overwrite").parquet(f"{log}-marks/batch={batch_id}")
     return sink
 
 
+def stream_events_within(stream: DataFrame, log: str, checkpoint: str, delay: str = "30 days"):
+    """Ingest events into the log, each natural key once among those less than ``delay`` apart, from the
+    state store alone: keys leave it as the watermark passes them, and the log is never read. Rows
+    older than the watermark are dropped."""
+    once = stream.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", delay).dropDuplicatesWithinWatermark(list(E.NATURAL_KEY)).drop("_at")
+    return run_batches(once, _changes(log), checkpoint)
+
+
 def stream_events(stream: DataFrame, log: str, late: str, checkpoint: str, delay_days: int = 30):
     """Ingest events into the log, each natural key once."""
     return run_batches(stream, event_sink(log, late, stream.schema, delay_days), checkpoint)
@@ -167,3 +180,14 @@ def land_stream(df: DataFrame, name: str, files: int = 4) -> str:
     path = scratch(df.sparkSession, name)
     df.repartition(files).write.parquet(path)
     return path
+
+
+def land_in_order(df: DataFrame, name: str, by: str, files: int = 4) -> str:
+    """As ``land_stream``, in slices of the number ``by`` (SQL), the least first, so that a stream meets them in order."""
+    path = scratch(df.sparkSession, name)
+    cuts = df.selectExpr(f"percentile_approx({by}, array({', '.join(str(k / files) for k in range(1, files))})) AS c").first()["c"] or []
+    edges = [None, *sorted(set(cuts)), None]
+    for low, high in zip(edges, edges[1:]):
+        part = df if low is None else df.filter(F.expr(by) > F.lit(low))
+        (part if high is None else part.filter(F.expr(by) <= F.lit(high))).coalesce(1).write.mode("append").parquet(path)
+    return path

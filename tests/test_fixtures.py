@@ -20,6 +20,7 @@ from kinograph.operators import itemspace as I
 from kinograph.operators import matching as M
 from kinograph.session import scratch
 from kinograph.sources import dumps, logs, snapshot
+from kinograph.streaming import jobs as J
 from kinograph.streaming import streams as W
 
 
@@ -393,3 +394,75 @@ def test_pair_kernel_equals_sequence_matcher():
                 assert got[a, b] == pytest.approx(ratio)
             elif 0.9 * ratio + lift[b] < need[a] - 1e-6:
                 assert (a, b) not in got
+
+
+# --- jobs watched with timers ---
+
+LINES = "job_id string, line long, at timestamp, kind string, state string, reason string"
+
+
+def _watch(spark, batches, **options):
+    """What each micro-batch says, one a file; files appear one after the other."""
+    path, cp, said = scratch(spark, "lines"), scratch(spark, "cp"), []
+    for batch in batches:
+        spark.createDataFrame(batch, LINES).coalesce(1).write.mode("append").parquet(path)
+        stream = W.file_stream(spark, path, spark.createDataFrame([], LINES).schema)
+        W.run_batches(J.watch_jobs(stream, **options), lambda df, i: said.append([(r.job_id, r.state, r.status) for r in df.collect()]), cp, "update")
+    return [row for rows in said for row in sorted(rows)]
+
+
+def test_watched_jobs_expire_and_fall_silent_by_the_clock(spark):
+    import datetime as dt
+
+    t = lambda h, s=0: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h, seconds=s)
+    first = [("a", 1, t(0), "request", None, None), ("a", 2, t(1), "state", "paused", "ask"), ("b", 1, t(0), "request", None, None), ("b", 2, t(2), "state", "paused", "x"),
+             ("c", 1, t(1), "state", "downloading", None), (None, 1, t(1), "state", "paused", None), ("n", 1, None, "state", "paused", None)]
+    said = _watch(spark, [
+        first,
+        [("d", 1, t(3), "request", None, None), ("c", 2, t(1, 20), "log", None, None), ("c", 2, t(1, 20), "wrong", None, None)],
+        [("d", 2, t(27), "log", None, None)],  # the watermark is at 23 h: c has been silent for long
+        [("b", 3, t(24.5), "state", "downloading", "a late answer")],  # late, but before b's pause ends at 26 h
+        [("d", 3, t(60), "log", None, None)],  # a's pause is over, b has fallen silent
+        [("a", 3, t(55), "state", "paused", "too late"), ("c", 3, t(59), "offer", None, None)],  # the first is dropped with the watermark at 56 h
+    ], delay="4 hours")
+    assert said == [("a", "paused", "paused"), ("b", "paused", "paused"), ("c", "downloading", "downloading"), ("c", "downloading", "downloading"), ("d", "queued", "queued"),
+                    ("d", "queued", "queued"), ("c", "downloading", "interrupted"), ("b", "downloading", "downloading"), ("d", "queued", "queued"),
+                    ("a", "cancelled", "cancelled"), ("b", "downloading", "interrupted"), ("c", "downloading", "downloading")]
+
+
+def test_watched_jobs_equal_their_batch_twin(spark):
+    import datetime as dt
+
+    rng = np.random.default_rng(2)
+    lines, clock = [], {}
+    for k in range(300):
+        job = f"j{rng.integers(0, 12)}"
+        at = dt.datetime(2024, 1, 1) + dt.timedelta(hours=3 * k)
+        clock[job] = clock.get(job, 0) + 1
+        kind = str(rng.choice(["state", "state", "offer", "wrong", "log"]))
+        lines.append((job, clock[job], at, kind, str(rng.choice(["paused", "downloading", "done"])) if kind == "state" else None, "r" if kind == "state" else None))
+    df = spark.createDataFrame(lines, LINES)
+    path = W.land_in_order(df, "lines", "unix_seconds(at)", 5)
+    watched = J.watch_jobs(W.file_stream(spark, path, df.schema), delay="10 hours")
+    got = W.keep_current(watched, scratch(spark, "jobs"), scratch(spark, "cp"), ["job_id"])
+    until = F.lit(max(x[2] for x in lines) - dt.timedelta(hours=10))
+    want = J.job_standing(df, until)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert {"cancelled", "interrupted"} <= {r.status for r in want.collect()}
+
+
+def test_event_log_reads_no_old_days(spark):
+    """The newest day comes from the marks beside the log, and only days within the delay are read."""
+    import datetime as dt
+
+    row = lambda k, day: (k, 1, k, "rate", 5.0, "web", dt.datetime(2024, 1, day), "{}")
+    log, late = scratch(spark, "log"), scratch(spark, "late")
+    sink = W.event_sink(log, late, schemas.EVENTS, 5)
+    frame = lambda rows: spark.createDataFrame([dict(zip(("event_id", "user_id", "item_id", "kind", "value", "source", "ts", "context"), r)) for r in rows], schemas.EVENTS)
+    sink(frame([row(1, 1), row(2, 2)]), 0)
+    sink(frame([row(3, 20), row(1, 1)]), 1)
+    for retry in (2, 2):  # the same batch twice changes nothing
+        sink(frame([row(4, 3), row(3, 20), row(5, 19)]), retry)
+    assert sorted(r.event_id for r in spark.read.parquet(log).collect()) == [1, 2, 3, 5]
+    assert [r.event_id for r in spark.read.parquet(late).collect()] == [4]
+    assert str(spark.read.parquet(f"{log}-marks").agg(F.max("newest")).first()[0]) == "2024-01-20"
