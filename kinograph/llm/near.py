@@ -7,8 +7,9 @@ at the link similarity that differ in more places still meet, as it takes one go
 fail with probability 3e-7 at a similarity of 0.85, 6e-5 at 0.8.
 
 Texts that meet form families. Inside a family pairs are ruled out by signature distance and size,
-and confirmed on full shingle sets, in blocks; only a spanning set of links leaves a task. Texts with
-equal shingle sets are one node throughout, so exact copies are never paired.
+and confirmed on full shingle sets, in blocks; only a spanning set of links leaves a task. Blocks are
+compared with each other only for members that are not yet in their family's largest component. Texts
+with equal shingle sets are one node throughout, so exact copies are never paired.
 """
 
 from __future__ import annotations
@@ -27,7 +28,12 @@ from . import graph, rows
 
 CHUNKS, PLACES = 14, 8
 SIZE = CHUNKS * PLACES
-BLOCK = 512
+#: Members of a block of a family, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Bytes of sets after which a batch is handed on.
+_BATCH = 4 << 20
+#: Words whose hashes a worker remembers.
+_KNOWN = 100_000
 _RNG = np.random.default_rng(20_240_501)
 _MUL = _RNG.integers(0, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, SIZE, dtype=np.uint64)
@@ -55,7 +61,7 @@ def shingles(data: bytes | None, width: int = 3) -> np.ndarray:
     if not w:
         return np.empty(0, np.uint64)
     known = rows.worker_cache("near", _Words)
-    if len(known) > 500_000:
+    if len(known) > _KNOWN:
         known.clear()
     h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
     if len(w) < width:
@@ -101,14 +107,19 @@ def _keys(batches):
 
 
 def _sets(width: int):
-    names = ["node", "family", "blocks", "sig", "found"]
+    """Full sets of the members, handed on every few megabytes."""
+    names = ["node", "sig", "found"]
 
     def run(batches):
         for batch in batches:
-            found = [shingles(data, width) for data in rows.utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([
-                *(batch.column(c) for c in names[:3]), pa.array([signature(f).tobytes() for f in found], pa.binary()),
-                pa.array([f.tobytes() for f in found], pa.binary())], names=names)
+            texts, nodes, first, held, size = batch.column("text").cast(pa.binary()), batch.column("node"), 0, [], 0
+            for k in range(batch.num_rows):
+                found = shingles(texts[k].as_py(), width)
+                held.append((signature(found).tobytes(), found.tobytes()))
+                size += found.nbytes
+                if size >= _BATCH or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([nodes.slice(first, len(held)), *(pa.array(c, pa.binary()) for c in zip(*held))], names=names)
+                    first, held, size = k + 1, [], 0
     return run
 
 
@@ -118,68 +129,126 @@ def least_agreement(share: float) -> int:
     return int(SIZE * share - 5.5 * (SIZE * share * (1 - share)) ** 0.5)
 
 
+def _spanning(members: list, num: int, den: int, least: int) -> list:
+    """Links between members (node, side, label, sig, set) that join their labels as far as full sets
+    allow. All pairs if all sides are 0; else those of a side 1 and a side 0. Pairs of one label are
+    never compared, and a link makes two labels one."""
+    nodes = [m[0] for m in members]
+    side, (label, names) = np.array([m[1] for m in members]), _numbered([m[2] for m in members])
+    sigs = np.frombuffer(b"".join(m[3] for m in members), "<u2").reshape(-1, SIZE)
+    sets = [np.frombuffer(m[4], np.uint64) for m in members]
+    size = np.array([len(s) for s in sets])
+    parent = list(range(names))
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    near = []
+    for a in np.flatnonzero(side == side.max()).tolist():
+        b = np.arange(a + 1, len(nodes)) if not side.any() else np.flatnonzero(side == 0)
+        b = b[(np.minimum(size[a], size[b]) * den >= np.maximum(size[a], size[b]) * num) & (label[b] != label[a])]
+        agree = (sigs[b] == sigs[a]).sum(axis=1)
+        b, agree = b[agree >= least], agree[agree >= least]
+        near.append(np.stack([-agree, np.full(len(b), a), b], 1))
+    near = np.concatenate(near)
+    out = []
+    for _, a, b in near[np.argsort(near[:, 0], kind="stable")].tolist():  # the likeliest first
+        x, y = root(label[a]), root(label[b])
+        if x == y:
+            continue
+        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        if both * den >= (size[a] + size[b] - both) * num:
+            out.append((nodes[a], nodes[b]))
+            parent[x] = y
+    return out
+
+
+def _numbered(values: list) -> tuple[np.ndarray, int]:
+    names = {}
+    return np.array([names.setdefault(v, len(names)) for v in values]), len(names)
+
+
 def _confirm(similarity: tuple[int, int]):
-    """Groups come sorted; of each, links that join its nodes as far as full sets allow."""
+    """Groups (family, i, j) come sorted by node and side; a node that comes again is read once."""
     num, den = similarity
     least = least_agreement(num / den)
 
-    def links(nodes, left, sigs, sets):
-        size = np.array([len(s) for s in sets])
-        parent = list(range(len(nodes)))
-
-        def root(k):
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        near = []
-        for a in range(len(nodes)):
-            b = np.arange(a + 1, len(nodes))
-            ok = np.minimum(size[a], size[b]) * den >= np.maximum(size[a], size[b]) * num
-            b = b[ok]
-            agree = (sigs[b] == sigs[a]).sum(axis=1)
-            b, agree = b[agree >= least], agree[agree >= least]
-            near.append(np.stack([-agree, np.full(len(b), a), b], 1))
-        near = np.concatenate(near)
-        out = []
-        for _, a, b in near[np.argsort(near[:, 0], kind="stable")].tolist():  # the likeliest first
-            x, y = root(a), root(b)
-            if x == y:
-                continue
-            if nodes[a] != nodes[b]:
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if both * den < (size[a] + size[b] - both) * num:
-                    continue
-                out.append((nodes[a], nodes[b]))
-            parent[x] = y
-        return out
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):
         key, held = None, []
-
-        def flush():
-            if len(held) < 2:
-                return []
-            return links([h[0] for h in held], None, np.frombuffer(b"".join(h[1] for h in held), "<u2").reshape(-1, SIZE),
-                         [np.frombuffer(h[2], np.uint64) for h in held])
-
-        out = []
         for batch in batches:
-            for family, i, j, node, sig, found in zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j", "node", "sig", "found"))):
+            out = []
+            sigs, sets = batch.column("sig"), batch.column("found")
+            for k, (family, i, j, node, side, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j", "node", "side", "label")))):
                 if (family, i, j) != key:
-                    out += flush()
+                    if len(held) > 1:
+                        out += _spanning(held, num, den, least)
                     key, held = (family, i, j), []
-                held.append((node, sig, found))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
-                out = []
-        out += flush()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+                if not held or held[-1][:2] != (node, side):
+                    held.append((node, side, label, sigs[k].as_py(), sets[k].as_py()))
+            yield batch_of(out)
+        if len(held) > 1:
+            yield batch_of(_spanning(held, num, den, least))
     return run
 
 
+def _compared(docs: DataFrame, places: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+    """Links found in the groups that ``places`` (family, i, j, node, side, label, _id, _hash) names.
+    Each text's set is made once and copied to its node's groups."""
+    places = rows.land(places, "places")
+    nodes = places.groupBy("node").agg(F.first("_id").alias("_id"), F.first("_hash").alias("_hash"))
+    found = docs.join(with_small(nodes, rows.SMALL), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    sets = found.select("node", "text").mapInArrow(_sets(width), "node long, sig binary, found binary")
+    order = ["family", "i", "j", "node", "side"]
+    given = sets.join(with_small(places.drop("_id", "_hash"), rows.SMALL), "node").select(*order, "label", "sig", "found")
+    return given.repartition("family", "i", "j").sortWithinPartitions(*order).mapInArrow(_confirm(similarity), "a long, b long")
+
+
+def _links(docs: DataFrame, members: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+    """Spanning links of families, whose ``members`` are (family, hub, blocks, node, n, _id, _hash).
+
+    A family's members are dealt to blocks; each block is compared within itself and with the family's
+    hub, the member that most others met. That joins most of a large group of near copies. Then, in
+    families with several blocks, only members outside the largest component so far are compared with
+    those of other components, so that a group which has become one is not compared again.
+    """
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
+    members = rows.land(members.select("*", own), "members")
+    block = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    first = rows.land(_compared(docs, members.select(
+        "family", F.explode(block).alias("i"), F.lit(0).alias("j"), "node", F.lit(0).alias("side"), F.col("node").alias("label"), "_id", "_hash"),
+        width, similarity), "links")
+    large = members.filter("blocks > 1")
+    if large.isEmpty():
+        return first
+    root = graph.components(first, "a", "b")
+    named = rows.land(large.join(root, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "named")
+    parts = named.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size"))
+    main = parts.groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    named = named.join(with_small(rows.land(main.select("family", "main"), "main"), rows.SMALL), "family")
+    outside = named.filter("label != main")
+    groups = outside.groupBy("family").agg(_blocks_for("n").alias("groups"))
+    named = rows.land(named.join(with_small(rows.land(groups, "groups"), rows.SMALL), "family"), "open")
+    if named.isEmpty():
+        return first
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("groups")).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    cols = ["family", "i", "j", "node", "side", "label", "_id", "_hash"]
+    outer = named.filter("label != main").withColumns({"i": part, "side": F.lit(1)}).withColumn("j", every("blocks"))
+    inner = named.withColumns({"j": F.col("own"), "side": F.lit(0)}).withColumn("i", every("groups"))
+    return first.unionAll(_compared(docs, outer.select(cols).unionAll(inner.select(cols)), width, similarity))
+
+
+def _blocks_for(n: str):
+    """Blocks of at most ``BLOCK`` members and ``BLOCK_BYTES`` of sets, in the mean."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.col(n) * 8) / BLOCK_BYTES)).cast("int")
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, n_shingles, component_id, kept.
 
@@ -192,26 +261,18 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     base = rows.keyed(docs, id, text).withColumn("rid", F.monotonically_increasing_id())
     schema = _BASE.format(id=dict(base.dtypes)["doc_id"])
     base = rows.land(base.mapInArrow(_sign(width), schema), "signatures")
-    classes = rows.land(base.filter("n > 0").groupBy("set_key").agg(F.min(F.struct("rid", "doc_id", "text_hash", "sig")).alias("r")).select(
-        "set_key", F.col("r.rid").alias("node"), "r.doc_id", "r.text_hash", "r.sig"), "classes")
+    classes = rows.land(base.filter("n > 0").groupBy("set_key").agg(F.min(F.struct("rid", "doc_id", "text_hash", "n", "sig")).alias("r")).select(
+        "set_key", F.col("r.rid").alias("node"), "r.doc_id", "r.text_hash", "r.n", "r.sig"), "classes")
     keys = classes.select("node", "sig").mapInArrow(_keys, "key long, node long")
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first != last")
-    met = keys.join(shared.select("key", "first"), "key").filter("node != first").select("node", "first").distinct()
+    met = rows.land(keys.join(shared.select("key", "first"), "key").filter("node != first").select("node", "first").distinct(), "met")
     family = rows.land(graph.components(met, "node", "first"), "families")
-    blocks = family.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    active = classes.join(family, "node").join(blocks, "root").select(
-        F.col("root").alias("family"), "blocks", "node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    active = with_small(rows.land(active, "active"), rows.SMALL)
-    given = rows.keyed(docs, id, text)
-    found = given.join(active, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select(
-        "node", "family", "blocks", "text")
-    sets = found.mapInArrow(_sets(width), "node long, family long, blocks int, sig binary, found binary")
-    # A member of block k takes part in the tasks of all block pairs (i, j) with k in them.
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    paired = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "sig", "found")
-    order = ["family", "i", "j", "node"]
-    links = paired.repartition(*[F.col(c) for c in order[:3]]).sortWithinPartitions(*order).mapInArrow(_confirm(similarity), "a long, b long")
+    hubs = met.groupBy(F.col("first").alias("node")).agg(F.count(F.lit(1)).alias("meets")).join(family, "node").groupBy("root").agg(
+        F.max_by("node", F.struct("meets", "node")).alias("hub"))
+    placed = rows.land(classes.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n").join(family, "node"), "placed")
+    blocks = rows.land(placed.groupBy("root").agg(_blocks_for("n").alias("blocks")).join(hubs, "root"), "blocks")
+    members = placed.join(with_small(blocks, rows.SMALL), "root").withColumnRenamed("root", "family")
+    links = _links(rows.keyed(docs, id, text), members, width, similarity)
     root = rows.land(graph.components(links, "a", "b"), "roots")
     labelled = rows.land(base.join(classes.select("set_key", "node"), "set_key", "left").join(root, "node", "left").withColumn(
         "component", F.coalesce("root", "node", "rid")).select("rid", "doc_id", "text_hash", "n", "component"), "labelled")

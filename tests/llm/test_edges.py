@@ -16,7 +16,7 @@ ROWS = [
     (7, "é ü ñ <|endoftext|> <|im_end|>", "fr", "b", 4), (8, "one", "en", "b", 3), (9, "two words", "en", "b", 9),
 ]
 #: Names that operators use for columns of their own.
-CLASH = ("rid", "text_hash", "size", "shard", "score", "kept", "node", "family", "n", "row", "label", "name", "bucket", "group", "unit", "key")
+CLASH = ("rid", "text_hash", "size", "shard", "score", "kept", "node", "family", "n", "row", "label", "name", "bucket", "group", "unit", "key", "__hash", "__key", "__n", "hash", "number", "_hash")
 
 
 @pytest.fixture(scope="module")
