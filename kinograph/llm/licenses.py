@@ -72,13 +72,12 @@ def ancestors(directory: Column) -> Column:
 
 
 def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES, least: float = LEAST,
-                  licence_file: Column | None = None, whole_only: bool = False) -> DataFrame:
+                  licence_file: Column | None = None) -> DataFrame:
     """One row per row of ``files``: path, license, score, origin.
 
     ``origin`` is ``file`` for a licence file (by its name, or as ``licence_file`` says) whose whole
-    text or one line of it matches (with ``whole_only`` the whole text alone is compared), ``header``
-    for another file with a matching line, ``inherited`` where the nearest
-    directory above with a matching licence file gives it, else null, as are ``license`` and
+    text or one line of it matches, ``header`` for another file with a matching line, ``inherited``
+    where the nearest directory above with a matching licence file gives it, else null, as are ``license`` and
     ``score`` then. The best cosine of at least ``least`` counts; ties go to the template named
     first. A directory with several licence files takes the best match, then the smallest path. A
     null text matches nothing; a null path has no directory; repeated rows are rows of their own.
@@ -100,7 +99,7 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", temp
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(telling))
     none = F.array().cast("array<string>")
     units = F.when(F.col("text").isNull() | ~F.col("text").rlike(telling), none).when(
-        F.col("is_file"), F.array("text") if whole_only else F.array_distinct(F.concat(F.array("text"), lines))).otherwise(lines)
+        F.col("is_file"), F.array_distinct(F.concat(F.array("text"), lines))).otherwise(lines)
     held = rows.land(given.select(F.monotonically_increasing_id().alias("row"), "path", "is_file",
                                   F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "/+", "/").alias("dir"), units.alias("units")), "units")
     # Term counts of each unit, weighted; dot products with all templates in one pass.
@@ -130,11 +129,10 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", temp
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     """Licences of all documents. A source is a directory of English texts with one below it for each
-    other language; a text of at most 300 characters is taken for a notice about its directory, and
-    compared as a whole only, as OP4_SQL says."""
+    other language; a text of at most 300 characters is taken for a notice about its directory."""
     docs = rows.table(spark, sf_dir, "documents")
     place = F.concat_ws("/", "source", F.when(F.col("lang") != "en", F.col("lang")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return scan_licenses(docs.withColumn("path", place), licence_file=F.length("text") <= 300, whole_only=True)
+    return scan_licenses(docs.withColumn("path", place), licence_file=F.length("text") <= 300)
 
 
 _VALUES = ", ".join(f"({k}, '{name}', '{text.lower()}')" for k, (name, text) in enumerate(TEMPLATES))
@@ -149,7 +147,7 @@ df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(str
 idf AS (SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM vocabulary LEFT JOIN df USING (term), total),
 tweights AS (SELECT k, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS tw FROM tterms JOIN idf USING (term)),
 units AS (SELECT path, is_file, text AS said, 0 AS unit FROM files WHERE is_file
-  UNION ALL SELECT path, is_file, u.said, u.unit FROM (SELECT path, is_file, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) AS unit FROM files WHERE NOT is_file) u),
+  UNION ALL SELECT path, is_file, u.said, u.unit FROM (SELECT path, is_file, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) AS unit FROM files) u),
 uterms AS (SELECT path, unit, term, count(*) AS tf FROM (SELECT path, unit, unnest(string_split_regex(lower(said), '[^a-z0-9]+')) AS term FROM units) WHERE term <> '' GROUP BY ALL),
 uweights AS (SELECT path, unit, term, tf * coalesce(idf, ln(n + 1) + 1) AS w FROM uterms LEFT JOIN idf USING (term), total),
 sizes AS (SELECT path, unit, sqrt(sum(w * w)) AS size FROM uweights GROUP BY ALL),

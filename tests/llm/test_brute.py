@@ -329,8 +329,16 @@ def test_licence_files_are_compared_line_by_line_too(spark):
     got = {r.path: (r.license, r.origin) for r in licenses.scan_licenses(given).collect()}
     assert got == {"r/LICENSE": ("All-rights-reserved", "file"), "r/a.py": ("All-rights-reserved", "inherited"),
                    "q/a.py": ("All-rights-reserved", "header"), "p/COPYING": ("MIT", "file")}
-    whole = {r.path: r.license for r in licenses.scan_licenses(given, whole_only=True).collect()}
-    assert whole["r/LICENSE"] is whole["r/a.py"] is None and whole["p/COPYING"] == "MIT"
+
+
+def test_short_notices_are_compared_line_by_line_too(spark, tmp_path):
+    """A notice of two lines keeps its licence in the query, and hands it down, however short the text is."""
+    given = [(1, "we went home over the hill and found the old dog\nAll rights reserved.", "en", "r"), (2, "nothing to say " * 40, "en", "r"), (3, "nothing", "de", "r"),
+             (4, "nothing", "en", "q"), (5, "x\nLicensed under the Apache License, Version 2.0.\n" + "y " * 400, "en", "q")]
+    spark.createDataFrame(given, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.path: (r.license, r.origin) for r in QUERIES["op4_license_scan"](spark, str(tmp_path)).collect()}
+    assert got == {"r/1.txt": ("All-rights-reserved", "file"), "r/2.txt": ("All-rights-reserved", "inherited"), "r/de/3.txt": ("All-rights-reserved", "inherited"),
+                   "q/4.txt": (None, None), "q/5.txt": ("Apache-2.0", "header")}
 
 
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
