@@ -7,11 +7,12 @@ intersecting lists shifted by the terms' offsets, so no list of one term ever me
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rows
@@ -78,7 +79,8 @@ def _shard(held, ids, hashes, rids, terms):
 def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", terms: list[bytes] | None = None,
                 shard_words: int = 1 << 20) -> DataFrame:
     """Postings of every word, or of ``terms`` only (others cannot be part of a match), as a stored
-    table. Null and empty texts are in it with no words, so every row is found again."""
+    table. Null and empty texts are in it with no words, so every row, repeats included, is found again; an
+    empty table has no shards. Other columns are not read."""
     spark = docs.sparkSession
     base = rows.keyed(docs, id, text).withColumn("rid", F.monotonically_increasing_id())
     kind = dict(base.dtypes)["doc_id"]
@@ -134,6 +136,11 @@ def _search(phrases, slack: int, kind: pa.DataType, spans: bool):
         wanted: dict = {}
         for number, (item, phrase) in enumerate(phrases.value):
             wanted.setdefault(phrase, []).append((number, item))
+        # A phrase is looked for where the term that fewest phrases share is present.
+        shared = Counter(t for phrase in wanted for t in set(phrase))
+        by_term: dict = {}
+        for phrase, owners in wanted.items():
+            by_term.setdefault(min(phrase, key=lambda t: (shared[t], t)), []).append((phrase, owners))
         for batch in batches:
             for row in range(batch.num_rows):
                 docs = batch.column("docs")[row].values
@@ -149,7 +156,7 @@ def _search(phrases, slack: int, kind: pa.DataType, spans: bool):
                 hit = np.zeros(int(start[-1] + count[-1]) + 2, np.int32)
                 found: dict[int, set] = {}
                 where: dict[int, list] = {}
-                for phrase, owners in wanted.items():
+                for phrase, owners in (x for t in terms for x in by_term.get(t, ())):
                     at, length = _places(phrase, lists, slack)
                     if at is None or not len(at):
                         continue
@@ -176,7 +183,9 @@ def _search(phrases, slack: int, kind: pa.DataType, spans: bool):
 def search(index: DataFrame, phrases: list[tuple[str, tuple[bytes, ...]]], slack: int = 0, spans: bool = True) -> DataFrame:
     """Per indexed row: doc_id, text_hash, n_words, n_hit (words inside any match), items (sorted
     names of the phrases' owners) and, on wish, the exact spans. ``slack`` allows so many other words
-    between neighbouring words of a phrase: proximity instead of exact matches."""
+    between neighbouring words of a phrase: proximity instead of exact matches. Repeated rows are found
+    each; equal phrases of several owners hit once and name all of them, owners without a name none; no
+    phrases hit nothing; an empty index gives no rows."""
     kind = next(f.dataType for f in index.schema["docs"].dataType.elementType.fields if f.name == "doc_id").simpleString()
     given = index.sparkSession.sparkContext.broadcast(phrases)
     return index.select("docs", "terms", "ends", "places").mapInArrow(_search(given, slack, kind, spans), HITS.format(id=kind))
@@ -199,32 +208,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id: st
                   spans: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, n_words, n_hit, items.
 
-    The test set is the stated query set: it is read in blocks of ``block_bytes``, so what is
-    broadcast is bounded whatever its size; every block is searched in all documents. Null texts
-    have no words; null item ids own nothing but their words count as hit; repeated rows are rows.
-    Extra columns are not read. With more than one block, n_hit needs all spans: they are merged.
+    The test set is the stated query set: it streams through the driver in blocks of ``block_bytes``,
+    of which two are held at most; every block is searched in all documents. One block indexes its own
+    terms only; for more, one index of all words serves every block, and what each block hits is
+    landed and merged by its spans. Null texts have no words; null item ids own nothing but their words
+    count as hit; repeated rows are rows; an empty table gives no rows, an empty test set no hits. Extra
+    columns are not read.
     """
-    spark, parts = docs.sparkSession, []
-    blocks = list(_sized(_item_blocks(benchmark, item, item_text, block_bytes), spark, width))
-    for phrases in blocks:
-        terms = sorted({w for _, p in phrases for w in p})
-        index = build_index(docs, id, text, terms)
-        parts.append(search(index, phrases, slack, spans or len(blocks) > 1))
-    if len(parts) == 1:
-        return parts[0]
-    return _merged(parts)
-
-
-def _sized(blocks, spark: SparkSession, width: int):
-    for block in blocks:
-        yield phrases_of([(n, d) for n, d in block], width)
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """One row per document from several searches. Rows equal in id and text have equal results."""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    blocks = _item_blocks(benchmark, item, item_text, block_bytes)
+    first = phrases_of(next(blocks), width)
+    more = next(blocks, None)
+    if more is None:
+        return search(build_index(docs, id, text, sorted({w for _, p in first for w in p})), first, slack, spans)
+    index = build_index(docs, id, text)
+    found = [rows.land(search(index, phrases, slack).filter("n_hit > 0"), "hits")
+             for phrases in chain([first], (phrases_of(block, width) for block in chain([more], blocks)))]
+    return _merged(search(index, [], spans=False), found)
+
+
+def _merged(plain: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """One row per document from what several searches hit. Rows equal in id and text have equal results."""
+    every = plain.withColumn("_own", F.lit(1))
+    for hits in found:
+        every = every.unionByName(hits.withColumn("_own", F.lit(0)))
     kind = dict(every.dtypes)["doc_id"]
 
     def covered(spans):
@@ -238,10 +244,9 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
         return pa.array(out, pa.int64())
 
     covered.__annotations__ = {"spans": pa.Array, "return": pa.Array}
-    n = len(parts)
     merged = every.groupBy("doc_id", "text_hash", "n_words").agg(
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), (F.count(F.lit(1)) / n).cast("int").alias("_times"))
+        F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.sum("_own").cast("int").alias("_times"))
     out = merged.withColumn("n_hit", F.arrow_udf(covered, "long")("spans")).withColumn("_t", F.explode(F.sequence(F.lit(1), "_times")))
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "text_hash", "n_words", "n_hit", "items", "spans")
 
