@@ -163,7 +163,7 @@ def _measure(texts: pa.Array) -> pa.Array:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "doc_id", text: str = "text", max_train: int = MAX_TRAIN) -> AdditiveModel:
     """Fit on at most ``max_train`` labelled rows; their features, not their texts, reach the driver."""
     drawn = labelled.training_texts(docs, labels, label, max_train, id, text)
-    got = drawn.select("label", F.arrow_udf(_measure, "array<double>")("text").alias("x")).toPandas()
+    got = drawn.select("doc_id", "label", F.arrow_udf(_measure, "array<double>")("text").alias("x")).toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist()) if len(got) else np.empty((0, len(FEATURES)))
     return fit(x, got["label"].to_numpy(float))
 
