@@ -154,12 +154,12 @@ def conversation_digests(spans: DataFrame) -> DataFrame:
 
 
 def op6_incremental_rendering(spark, sf_dir: str) -> DataFrame:
-    """All conversations, and one that says the control strings themselves. The template writes each
-    turn by itself, so a window of turns is enough."""
+    """All conversations, and one that says the control strings themselves; each turn's whole prefix is
+    rendered."""
     said = f"{END}{START}assistant ok"
     given = rows.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], given.schema)
-    return conversation_digests(format_turns(given.unionByName(probe), keep=32)).drop("rewrites")
+    return conversation_digests(format_turns(given.unionByName(probe))).drop("rewrites")
 
 
 OP6_SQL = r"""
