@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import cut, global_index
 
 
 def source_files(spark: SparkSession, path: str) -> DataFrame:
@@ -56,12 +60,74 @@ def table_digest(df: DataFrame) -> DataFrame:
         "rows", F.concat_ws(":", F.col("rows").cast("string"), F.col("_h").cast("string"), F.sha2(F.lit(",".join(cols)), 256)).alias("digest"))
 
 
-def manifest(tables: dict[str, DataFrame], kind: str, payload: dict, created_at: Column) -> DataFrame:
-    """A provenance record over several tables, one row per table."""
-    spark = next(iter(tables.values())).sparkSession
+#: Rows, then digests, that one digest of the next level stands for.
+BRANCH = 1000
+
+
+def plain_text(name: str, kind: T.DataType) -> Column:
+    """A column as text that any engine writes alike: numbers with a fraction in millionths, times in
+    microseconds, lists comma-joined, the rest as JSON; null is a mark of its own."""
+    c = F.col(name)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        text = F.round(c * 1e6).cast("long").cast("string")
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType)):
+        text = F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * 1e6).cast("long").cast("string")), ",")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        text = F.unix_micros(c.cast("timestamp")).cast("string")
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        text = F.array_join(c, ",")
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        text = F.to_json(c)
+    else:
+        text = c.cast("string")
+    return F.coalesce(text, F.lit("\u2205"))
+
+
+def content_root(df: DataFrame, key: list[str], columns: list[str] | None = None) -> DataFrame:
+    """(rows, root): one digest of a table's content, whatever its files and order of rows.
+
+    Rows in the order of ``key`` (unique) are digested each; runs of ``BRANCH`` digests become one, level
+    by level, so no task holds more than a run. An empty table has the digest of nothing.
+    """
+    columns = columns or df.columns
+    text = F.concat_ws("|", *[plain_text(c, df.schema[c].dataType) for c in columns])
+    level = global_index(df.select(*key, F.md5(text).alias("_digest")), [F.col(c) for c in key], "_place").select("_place", "_digest")
+    rows = level.count()
+    n = max(rows, 1)
+    while True:
+        level = cut(level.groupBy(F.floor(F.col("_place") / BRANCH).cast("long").alias("_run")).agg(F.sort_array(F.collect_list(F.struct("_place", "_digest"))).alias("_all")).select(
+            F.col("_run").alias("_place"), F.sha2(F.array_join("_all._digest", ""), 256).alias("_digest")))
+        n = -(-n // BRANCH)
+        if n == 1:
+            break
+    if not rows:
+        return df.sparkSession.createDataFrame([(0, hashlib.sha256(b"").hexdigest())], "rows long, root string")
+    return level.select(F.lit(rows).cast("long").alias("rows"), F.col("_digest").alias("root"))
+
+
+def space_id(space: DataFrame, vector: str = "vec") -> str:
+    """The name of an item space: which items it holds and where they stand. A new fusion of the same
+    items has another name, which models, impressions and vectors carry."""
+    return "sp-" + content_root(space, ["item_id"], ["item_id", vector]).first()["root"][:16]
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, sha256) of the files below ``path``, read and digested in tasks; one file at a time in
+    each."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select(
+        F.regexp_extract("path", r"([^/]+/)?[^/]+$", 0).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def root_of(roots: dict[str, str]) -> str:
+    """One digest over named digests, in the order of their names."""
+    return hashlib.sha256("\n".join(f"{name}={root}" for name, root in sorted(roots.items())).encode()).hexdigest()
+
+
+def manifest(tables: dict[str, DataFrame], kind: str, payload: dict, created_at: Column, keys: dict[str, list[str]]) -> DataFrame:
+    """A provenance record over several tables, one row per table with its content digest."""
     out = None
     for name, df in sorted(tables.items()):
-        row = table_digest(df).withColumns({"artefact": F.lit(name), "schema": F.lit(df.schema.json())})
+        row = content_root(df, keys[name]).withColumns({"artefact": F.lit(name), "schema": F.lit(df.schema.json())})
         out = row if out is None else out.unionByName(row)
     return out.withColumns({"kind": F.lit(kind), "payload": F.lit(json.dumps(payload, sort_keys=True)), "created_at": created_at}).withColumn(
         "manifest_id", F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(F.concat_ws("|", "payload", "created_at"), 256), 1, 16)))

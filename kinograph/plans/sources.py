@@ -192,10 +192,30 @@ def _(spark, d):
     return logs.read_job_log(spark, landed_jobs(spark, d)).groupBy("job_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query("write_snapshot", sql("SELECT count(*) AS rows, 2 AS schema_version, 24 AS n_columns, true AS named FROM titles", "titles"))
+def root_sql(table: str, key: str, columns: list[tuple[str, str]]) -> str:
+    """Rows and content digest of a table of up to a million rows: rows, runs of a thousand, one."""
+    plain = {"text": "CAST({c} AS VARCHAR)", "number": "CAST(CAST(round({c} * 1e6) AS BIGINT) AS VARCHAR)", "time": "CAST(epoch_us({c}) AS VARCHAR)",
+             "words": "array_to_string({c}, ',')", "numbers": "array_to_string(list_transform({c}, lambda x: CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT)), ',')"}
+    text = ", ".join(f"coalesce({plain[kind].format(c=c)}, '\u2205')" for c, kind in columns)
+    return f"""(SELECT max(n) AS rows, CASE WHEN count(*) = 1 THEN max(run) ELSE sha256(string_agg(run, '' ORDER BY g)) END AS root FROM (
+      SELECT g, sha256(string_agg(h, '' ORDER BY p)) AS run, any_value(n) AS n FROM (
+        SELECT (row_number() OVER (ORDER BY {key}) - 1) // 1000 AS g, row_number() OVER (ORDER BY {key}) AS p, count(*) OVER () AS n, md5(concat_ws('|', {text})) AS h FROM {table}) GROUP BY g))"""
+
+
+TITLE_KINDS = [(c, {"genres": "words", "keywords": "words", "directors": "words", "cast_names": "words", "imdb_rating": "number", "tmdb_rating": "number", "quality": "number",
+                    "enriched_at": "time", "keywords_at": "time"}.get(c, "text")) for c in (
+    "item_id", "imdb_id", "tmdb_id", "movielens_id", "kind", "title", "original_title", "year", "runtime", "genres", "language", "imdb_rating", "imdb_votes", "tmdb_rating",
+    "tmdb_votes", "keywords", "directors", "cast_names", "overview", "tagline", "poster_path", "enriched_at", "keywords_at", "quality")]
+
+
+@query("write_snapshot", sql(f"""WITH t AS {root_sql("titles", "item_id", TITLE_KINDS)}, s AS {root_sql("space", "item_id", [("item_id", "text"), ("vec", "numbers")])}
+SELECT 'titles' AS artefact, t.rows, t.root, 'cat-' || substr(sha256('space=' || s.root || chr(10) || 'titles=' || t.root), 1, 16) AS build_id, 'sp-' || substr(s.root, 1, 16) AS space_id, 24 AS n_columns FROM t, s
+UNION ALL SELECT 'space', s.rows, s.root, 'cat-' || substr(sha256('space=' || s.root || chr(10) || 'titles=' || t.root), 1, 16), 'sp-' || substr(s.root, 1, 16), 24 FROM t, s""", "titles", "space"))
 def _(spark, d):
-    out = snapshot.write_snapshot(R.titles(spark, d), scratch(spark, "snapshot"))
-    return out.select("rows", F.col("schema_version"), F.size("columns").alias("n_columns"), F.col("build_id").startswith("cat-").alias("named"))
+    """Titles and their item space: what each holds, the build's name and the space's, from content alone."""
+    out = snapshot.write_snapshot(R.titles(spark, d), scratch(spark, "snapshot"), space=R.space(spark, d))
+    return out.select(F.explode("contents").alias("c"), "build_id", "space_id", F.size("columns").alias("n_columns")).select(
+        "c.artefact", "c.rows", "c.root", "build_id", "space_id", "n_columns")
 
 
 @query("read_snapshot", sql("SELECT item_id, imdb_id, title, CAST(year AS DOUBLE) AS year, CAST(NULL AS VARCHAR) AS end_year, round(quality, 9) AS quality FROM titles", "titles"))
@@ -212,6 +232,11 @@ def _(spark, d):
     return L.content_fingerprint(tables, {"lineitem": ["l_orderkey", "l_linenumber", "l_partkey"], "orders": ["o_orderkey", "o_orderstatus"]})
 
 
-@query("manifest", "SELECT 'lineitem' AS artefact, count(*) AS rows FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders")
+@query("manifest", f"""WITH l AS {root_sql("lineitem", "l_orderkey, l_linenumber, l_partkey, l_quantity", [("l_orderkey", "text"), ("l_linenumber", "text"), ("l_partkey", "text"), ("l_quantity", "number")])},
+  o AS {root_sql("orders", "o_orderkey", [("o_orderkey", "text"), ("o_orderstatus", "text"), ("o_orderdate", "time")])}
+SELECT 'lineitem' AS artefact, rows, root FROM l UNION ALL SELECT 'orders', rows, root FROM o""")
 def _(spark, d):
-    return L.manifest({"lineitem": R.table(spark, d, "lineitem"), "orders": R.table(spark, d, "orders")}, "check", {"v": 1}, R.as_of()).select("artefact", "rows")
+    lines = R.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("double").alias("l_quantity"))
+    orders = R.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+    keys = {"lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], "orders": ["o_orderkey"]}
+    return L.manifest({"lineitem": lines, "orders": orders}, "check", {"v": 1}, R.as_of(), keys).select("artefact", "rows", "root")

@@ -119,6 +119,64 @@ def test_snapshot_round_trip_and_refusal(spark, tmp_path):
     t.limit(1).write.mode("overwrite").parquet(str(tmp_path / "s" / "titles"))
     with pytest.raises(ValueError, match="digest"):
         snapshot.read_snapshot(spark, str(tmp_path / "s"))
+    none = snapshot.write_snapshot(t.filter("false"), str(tmp_path / "none")).head()
+    assert none.rows == 0 and snapshot.read_snapshot(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_snapshot_names_follow_from_content(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "SLICE", 7)
+    t = spark.createDataFrame([(k, f"tt{k}", f"title {k}") for k in range(40)], "item_id long, imdb_id string, title string")
+    space = spark.createDataFrame([(k, [k / 7, 1.0]) for k in range(40)], "item_id long, vec array<double>")
+    moved = space.withColumn("vec", F.when(F.col("item_id") == 3, F.array(F.lit(0.5), F.lit(1.0))).otherwise(F.col("vec")))
+    write = lambda name, *tables, **more: snapshot.write_snapshot(*tables, **more).head()
+    a = write("a", t, str(tmp_path / "a"), space=space, encodings=space.withColumnRenamed("vec", "content"))
+    b = write("b", t.orderBy(F.desc("item_id")).repartition(5), str(tmp_path / "b"), space=space.repartition(3), encodings=space.withColumnRenamed("vec", "content"))
+    c = write("c", t, str(tmp_path / "c"), space=moved)
+    assert (a.build_id, a.space_id, a.contents) == (b.build_id, b.space_id, b.contents) and [x.artefact for x in a.contents] == ["titles", "space", "encodings"]
+    assert c.space_id != a.space_id and c.build_id != a.build_id and c.contents[0] == a.contents[0]  # the same items in another space
+    assert sorted(snapshot.read_artefact(spark, str(tmp_path / "a"), "space").collect()) == sorted(space.collect())
+    assert len(list((tmp_path / "a" / "titles").glob("slice=*/*.parquet"))) == 6
+    space.filter("item_id between 14 and 19").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "b" / "space" / "slice=2"))  # a row is gone
+    with pytest.raises(ValueError, match="digest: space"):
+        snapshot.read_snapshot(spark, str(tmp_path / "b"))
+
+
+@pytest.mark.parametrize("n,branch", [(0, 4), (1, 4), (4, 4), (5, 4), (70, 4)])
+def test_content_root_in_levels(spark, monkeypatch, n, branch):
+    import hashlib
+
+    from kinograph.operators import lineage as Y
+
+    monkeypatch.setattr(Y, "BRANCH", branch)
+    rows = [(k, f"x{k}" if k % 3 else None, k / 3) for k in range(n)]
+    got = Y.content_root(spark.createDataFrame(rows[::-1], "k long, s string, x double"), ["k"]).first()
+    level = [hashlib.md5(f"{k}|{s or chr(0x2205)}|{math.floor(x * 1e6 + 0.5)}".encode()).hexdigest() for k, s, x in rows]
+    while level and (len(level) > 1 or len(level[0]) == 32):
+        level = [hashlib.sha256("".join(level[i:i + branch]).encode()).hexdigest() for i in range(0, len(level), branch)]
+    assert (got.rows, got.root) == (n, level[0] if level else hashlib.sha256(b"").hexdigest())
+
+
+def test_core_sets_keep_the_volume(spark):
+    """Greedy in shards, then over their picks: nearly the volume of one run over all, in bounded tasks."""
+    from kinograph.operators import coldstart as Q
+
+    rng = np.random.default_rng(4)
+    n, width, k = 600, 8, 6
+    vec = rng.normal(size=(n, width))
+    vec[:, 0] += 2.0
+    vec /= np.linalg.norm(vec, axis=1, keepdims=True)
+    quality = rng.uniform(0.3, 1.0, n)
+    pool = spark.createDataFrame([(i, "en" if i < 560 else "ta", float(quality[i]), vec[i].tolist()) for i in range(n)], "item_id long, language string, quality double, vec array<double>")
+    quotas = spark.createDataFrame([("en", k), ("ta", 3)], "language string, quota int")
+
+    def volume(rows):
+        ids = [r.item_id for r in rows if r.language == "en"]
+        m = vec[ids] * quality[ids][:, None]
+        return len(ids), np.linalg.slogdet(m @ m.T)[1]
+
+    whole, dealt = Q.greedy_dpp(pool, quotas, shard=4096).collect(), Q.greedy_dpp(pool, quotas, shard=64).collect()
+    assert volume(whole)[0] == volume(dealt)[0] == k and volume(dealt)[1] > volume(whole)[1] - 0.5
+    assert {(r.item_id, r.pick) for r in whole if r.language == "ta"} == {(r.item_id, r.pick) for r in dealt if r.language == "ta"}
 
 
 CATALOGUE = [
