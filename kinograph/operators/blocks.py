@@ -18,6 +18,8 @@ from ..functions import kernels as N
 from ..session import top_per_key
 
 BLOCK_QUERIES, BLOCK_ITEMS = 512, 20_000
+#: Shuffle partitions above which moments are summed in two steps.
+TREE_FROM = 64
 
 
 def _stack(column) -> np.ndarray:
@@ -46,16 +48,35 @@ def moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     out = T.StructType([*key_fields, T.StructField("n", T.DoubleType()), T.StructField("packed", T.ArrayType(T.DoubleType()))])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A key's run goes on over batches: its rows wait until their matrix is the smaller form.
+        current, total, n, wait = None, None, 0.0, []
+
+        def folded(rows):
+            m = np.vstack(rows)
+            return N.pack((m[:, :-1] * m[:, -1:]).T @ m[:, :-1])
+
+        def flush():
+            if total is not None:
+                return [(*current, True, n, total + folded([x for x, _ in wait]) if wait else total)]
+            return [(*current, False, float(c), row) for x, cnt in wait for row, c in zip(x, cnt)]
+
         for pdf in batches:
             found = []
             for key, part in pdf.groupby(keys, sort=False, dropna=False):
-                aug = N.augmented(_stack(part["vec"]), part["y"].to_numpy(float))
-                w = part["w"].to_numpy(float)
-                if len(part) > aug.shape[1] // 2:
-                    found.append((*key, True, float(part["cnt"].sum()), N.pack((aug * w[:, None]).T @ aug)))
-                else:
-                    found += [(*key, False, float(c), np.append(a, wi)) for a, wi, c in zip(aug, w, part["cnt"])]
-            yield pd.DataFrame(found, columns=mid.names)
+                if key != current:
+                    if current is not None:
+                        found += flush()
+                    current, total, n, wait = key, None, 0.0, []
+                cnt = part["cnt"].to_numpy(float)
+                wait.append((np.column_stack([N.augmented(_stack(part["vec"]), part["y"].to_numpy(float)), part["w"].to_numpy(float)]), cnt))
+                n += float(cnt.sum())
+                if sum(len(c) for _, c in wait) > wait[0][0].shape[1] // 2:
+                    more = folded([x for x, _ in wait])
+                    total, wait = more if total is None else total + more, []
+            if found:
+                yield pd.DataFrame(found, columns=mid.names)
+        if current is not None:
+            yield pd.DataFrame(flush(), columns=mid.names)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, total, n = None, None, 0.0
@@ -79,8 +100,14 @@ def moments(rows: DataFrame, keys: list[str]) -> DataFrame:
             yield pd.DataFrame([(*current, n, total)], columns=out.names)
 
     slim = rows.select(*keys, F.col("w").cast("double"), F.col("y").cast("double"), F.col("cnt").cast("double"), "vec")
-    folded = slim.sortWithinPartitions(*keys).mapInPandas(fold, mid)
-    return spread(folded, *keys).sortWithinPartitions(*keys).mapInPandas(merge, out)
+    parts = slim.sortWithinPartitions(*keys).mapInPandas(fold, mid)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if tasks > TREE_FROM:
+        # Partial sums first: a key's matrices, one a partition, meet in groups before they meet in one task.
+        salted = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(int(tasks**0.5))))
+        again = spread(salted, *keys, "_salt").sortWithinPartitions(*keys, "_salt").drop("_salt").mapInPandas(merge, out)
+        parts = again.select(*keys, F.lit(True).alias("folded"), F.col("n").alias("cnt"), F.col("packed").alias("payload"))
+    return spread(parts, *keys).sortWithinPartitions(*keys).mapInPandas(merge, out)
 
 
 def one_moment(rows: DataFrame) -> tuple[np.ndarray, float]:

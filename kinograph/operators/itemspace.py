@@ -6,10 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,20 +178,26 @@ def _fixed_signs(components: np.ndarray) -> np.ndarray:
     return components * np.sign(components[top, np.arange(components.shape[1])])
 
 
+def axes_of(moment: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, d×k axes, their variances, largest first) from the moments of [1, x]."""
+    n = moment[0, 0]
+    mean = moment[0, 1:] / n
+    values, axes = np.linalg.eigh(moment[1:, 1:] / n - np.outer(mean, mean))
+    order = np.argsort(-values, kind="stable")[:k]
+    return mean, _fixed_signs(axes[:, order]), np.maximum(values[order], 0.0)
+
+
 def principal_axes(df: DataFrame, k: int, column: str = "vec") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, d×k axes, explained shares) of a vector column."""
-    v = df.select(array_to_vector(F.col(column)).alias("v"))
-    mean = np.asarray(v.agg(Summarizer.mean(F.col("v")).alias("m")).head()["m"].toArray())
-    model = PCA(k=min(k, len(mean)), inputCol="v", outputCol="p").fit(v)
-    return mean, _fixed_signs(model.pc.toArray()), model.explainedVariance.toArray()
+    """(mean, d×k axes, their variances) of a vector column, from one pass for its moments."""
+    rows = df.select(F.lit(1.0).alias("w"), F.lit(0.0).alias("y"), F.lit(1.0).alias("cnt"), F.col(column).alias("vec"))
+    return axes_of(B.one_moment(rows)[0][:-1, :-1], k)
 
 
 def reduce_factors(factors: DataFrame, rank: int = 48) -> DataFrame:
-    """Factors on their leading axes, divided by one global sd."""
-    mean, axes, _ = principal_axes(factors, rank)
-    low = _map_vec(factors, lambda x: (x - mean) @ axes)
-    sd = low.select(F.explode("vec").alias("x")).agg(F.stddev_pop("x").alias("s")).head()["s"] + 1e-9
-    return low.withColumn("vec", F.transform("vec", lambda x: x / sd))
+    """Factors on their leading axes, divided by one global sd, which the axes' variances give."""
+    mean, axes, spread = principal_axes(factors, rank)
+    sd = float(np.sqrt(spread.mean())) + 1e-9
+    return _map_vec(factors, lambda x: (x - mean) @ axes / sd)
 
 
 ALPHAS = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0)
@@ -206,6 +209,10 @@ def fit_imputation(pairs: DataFrame, seed: int = 0, alphas: tuple = ALPHAS) -> t
     One pass gives the moments of each fold; training moments are the total minus the
     fold, and test residuals follow from the fold's own moments, so no row is read again.
     """
+    return _imputation(pairs, seed, alphas)[:4]
+
+
+def _imputation(pairs: DataFrame, seed: int, alphas: tuple = ALPHAS) -> tuple[np.ndarray, np.ndarray, float, float, float]:
     fold = F.pmod(F.xxhash64(F.lit(seed), F.col("item_id")), F.lit(5)).cast("int")
     rows = pairs.select(fold.alias("fold"), F.lit(1.0).alias("w"), F.lit(0.0).alias("y"), F.lit(1.0).alias("cnt"),
                         F.concat(F.col("content").cast("array<double>"), F.col("factor").cast("array<double>")).alias("vec"))
@@ -240,7 +247,7 @@ def fit_imputation(pairs: DataFrame, seed: int = 0, alphas: tuple = ALPHAS) -> t
     mean = total[0, 1:] / total[0, 0]
     c = centred(total, mean)
     coef = np.linalg.solve(c[:dx, :dx] + alphas[best] * np.eye(dx), c[:dx, dx:])
-    return coef, mean[dx:] - mean[:dx] @ coef, alphas[best], float(r2[best])
+    return coef, mean[dx:] - mean[:dx] @ coef, alphas[best], float(r2[best]), float(total[0, 0])
 
 
 def _rows_unit(x: np.ndarray) -> np.ndarray:
@@ -248,10 +255,14 @@ def _rows_unit(x: np.ndarray) -> np.ndarray:
 
 
 def fuse_space(content: DataFrame, factors: DataFrame, dim: int = 192, rank: int = 48, seed: int = 0) -> tuple[DataFrame, Fusion]:
-    """(item vectors, artefact). ``content`` (item_id, vec), ``factors`` (item_id, vec) where known."""
+    """(item vectors, artefact). ``content`` (item_id, vec), ``factors`` (item_id, vec) where known.
+
+    The joint matrix is read twice: one pass for its moments, which give its mean and axes, and one
+    that places the items.
+    """
     low = reduce_factors(factors, rank).select("item_id", F.col("vec").alias("factor"))
     both = content.select("item_id", F.col("vec").alias("content")).join(low, "item_id", "left")
-    coef, intercept, alpha, r2 = fit_imputation(both.filter("factor is not null"), seed)
+    coef, intercept, alpha, r2, known_rows = _imputation(both.filter("factor is not null"), seed)
     sure = max(r2, 0.0)
     schema = T.StructType([content.schema["item_id"], T.StructField("vec", VEC)])
 
@@ -268,10 +279,10 @@ def fuse_space(content: DataFrame, factors: DataFrame, dim: int = 192, rank: int
             yield pd.DataFrame({"item_id": pdf["item_id"], "vec": list(np.hstack([_rows_unit(x), _rows_unit(guess), conf]))})
 
     wide = both.mapInPandas(joint, schema)
-    mean, axes, _ = principal_axes(wide, dim)
+    block, n = B.one_moment(wide.select(F.lit(1.0).alias("w"), F.lit(0.0).alias("y"), F.lit(1.0).alias("cnt"), "vec"))
+    mean, axes, _ = axes_of(block[:-1, :-1], dim)
     space = _map_vec(wide, lambda x: _rows_unit((x - mean) @ axes))
-    share = both.agg(F.avg(F.col("factor").isNotNull().cast("double")).alias("c")).head()["c"]
-    return space, Fusion(coef, intercept, mean, axes, r2, share, alpha)
+    return space, Fusion(coef, intercept, mean, axes, r2, known_rows / max(n, 1.0), alpha)
 
 
 def project(vectors: DataFrame, art: Fusion) -> DataFrame:

@@ -523,3 +523,33 @@ def test_sums_in_levels(spark, n, fan):
     for s in range(n):
         total = sum((np.asarray(r.packed) for r in got if r.packed is not None and r.g == s // fan**r.level), np.zeros(3))
         assert np.allclose(total, data[:s].sum(0))
+
+
+def test_axes_from_one_moment(spark):
+    x = RNG.normal(size=(300, 6)) @ RNG.normal(size=(6, 6)) + 2.0
+    df = spark.createDataFrame(pd.DataFrame({"item_id": range(300), "vec": x.tolist()})).repartition(5)
+    mean, axes, variance = I.principal_axes(df, 4)
+    values, vectors = np.linalg.eigh(np.cov(x.T, ddof=0))
+    assert np.allclose(mean, x.mean(0)) and np.allclose(variance, values[::-1][:4])
+    assert np.allclose(np.abs((axes * vectors[:, ::-1][:, :4]).sum(0)), 1.0)
+    low = np.array([r.vec for r in I.reduce_factors(df, 4).orderBy("item_id").collect()])
+    assert abs(low.std() - 1.0) < 1e-6 and np.allclose(low @ low.T, ((x - mean) @ axes) @ ((x - mean) @ axes).T / variance.mean())
+
+
+@pytest.mark.parametrize("tree", [64, 1])
+def test_moments_over_batches_and_in_groups(spark, monkeypatch, tree):
+    """A run of rows over many batches leaves as one matrix a partition, with and without groups."""
+    monkeypatch.setattr(B, "TREE_FROM", tree)
+    n = 400
+    x, y, w, k = RNG.normal(size=(n, 3)), RNG.normal(size=n), RNG.normal(size=n), RNG.choice([1, 2, 3], n, p=[0.9, 0.09, 0.01])
+    df = spark.createDataFrame(pd.DataFrame({"k": k, "w": w, "y": y, "cnt": np.sign(w), "vec": x.tolist()})).repartition(4)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.k: r for r in B.moments(df, ["k"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert set(got) == set(k.tolist())
+    for key, r in got.items():
+        a = N.augmented(x[k == key], y[k == key])
+        assert np.allclose(N.unpack(r.packed, 5), (a * w[k == key][:, None]).T @ a) and abs(r.n - np.sign(w[k == key]).sum()) < 1e-9
