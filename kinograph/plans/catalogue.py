@@ -457,12 +457,12 @@ def _(spark, d):
     return C.allocate_rounded(weights(spark, d), 61).select("language", F.col("quota").cast("long").alias("quota"))
 
 
-@query("allocate_round_robin", sql("""WITH pools AS (SELECT language, count(*) AS available FROM titles WHERE year > 2020 GROUP BY 1),
+@query("allocate_round_robin", sql("""WITH pools AS (SELECT language, count(*) AS available FROM titles GROUP BY 1),
   o AS (SELECT *, row_number() OVER (ORDER BY available DESC, language) AS ord FROM pools),
   s AS (SELECT language, ord, unnest(generate_series(1, least(4, available))) AS round FROM o)
 SELECT language, count(*) AS quota FROM (SELECT * FROM s ORDER BY round, ord LIMIT 70) GROUP BY 1""", "titles"))
 def _(spark, d):
-    pools = R.titles(spark, d).filter(F.col("year") > 2020).groupBy("language").agg(F.count("*").alias("available"))
+    pools = R.titles(spark, d).groupBy("language").agg(F.count("*").alias("available"))
     return C.allocate_round_robin(pools, 70, 4)
 
 
@@ -477,10 +477,11 @@ ROTATE = QUOTA.format(limit=60) + """, cand AS (SELECT t.*, row_number() OVER (P
 def _(spark, d):
     from pyspark.sql import Window
 
-    quota = C.allocate_largest_remainder(weights(spark, d), 60)
+    limit = 60
+    quota = C.allocate_largest_remainder(weights(spark, d), limit)
     cands = C.feed_candidates(R.titles(spark, d), R.events(spark, d), 2010, 10)
     w = Window.partitionBy("language").orderBy(F.desc("quality"), "item_id")
-    ranked = cands.withColumn("rn", F.row_number().over(w)).filter("rn <= 180").join(quota, "language")
+    ranked = cands.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 3 * limit).join(quota, "language")
     return C.rotate_window(ranked, 2).select("item_id", "language", "place")
 
 

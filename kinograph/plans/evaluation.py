@@ -226,7 +226,7 @@ def _(spark, d):
     """All eight arms on every user's log verdicts as history."""
     hist = E.latest_rating(R.events(spark, d)).select("user_id", "item_id", F.least(F.lit(5.0), F.col("value") + 0.5).alias("rating"))
     hist = hist.join(R.space(spark, d).select("item_id"), "item_id", "left_semi")
-    return P.evaluate_arms(cut(hist), arm_items(spark, d), budget=8)
+    return P.evaluate_arms(cut(hist), arm_items(spark, d))
 
 
 # --- progressive validation ---
@@ -382,7 +382,7 @@ def _(spark, d):
 def _cases(spark, d):
     feats, labs = features(spark, d), labels(spark, d)
     ok = P.seal_candidates(wanted(spark, d), R.titles(spark, d), R.events(spark, d), _old_cases(spark, d), 8).filter("reject is null")
-    ridge = K.ridge_baseline(labs, feats, K.sample_negatives(feats, 200))
+    ridge = K.ridge_baseline(labs, feats, K.sample_negatives(feats))
     return cut(P.seal_predictions(ok, feats, models(spark, d, feats, labs), ridge, R.as_of()))
 
 

@@ -83,15 +83,15 @@ def _(spark, d):
     return _hits(M.match_fuzzy(*_search(spark, d)))
 
 
-@query("confident_match", sql(f"""WITH {ASKED}, h AS (SELECT *, row_number() OVER (PARTITION BY query, want_kind ORDER BY round(score, 9) DESC, item_id) AS rank FROM m2 WHERE attempt = 1),
-  g AS (SELECT query, want_kind, count(*) AS n, max(CASE WHEN rank = 1 THEN score END) AS a, max(CASE WHEN rank = 2 THEN score END) AS b, max(CASE WHEN rank = 1 THEN item_id END) AS best_id FROM h GROUP BY 1, 2)
-SELECT query, want_kind, n, best_id, coalesce(CASE WHEN n = 1 THEN a >= 0.6 ELSE (a >= 0.95 AND a - b >= 0.08) OR (a >= 0.75 AND a - b >= 0.20) END, false) AS confident FROM g""", "titles"))
+@query("confident_match", sql(f"""WITH {ASKED}, h AS (SELECT *, row_number() OVER (PARTITION BY query, want_kind, attempt ORDER BY round(score, 9) DESC, item_id) AS rank FROM m2),
+  g AS (SELECT query, want_kind, attempt, count(*) AS n, max(CASE WHEN rank = 1 THEN score END) AS a, max(CASE WHEN rank = 2 THEN score END) AS b, max(CASE WHEN rank = 1 THEN item_id END) AS best_id FROM h GROUP BY 1, 2, 3)
+SELECT query, want_kind, attempt, n, best_id, coalesce(CASE WHEN n = 1 THEN a >= 0.6 ELSE (a >= 0.95 AND a - b >= 0.08) OR (a >= 0.75 AND a - b >= 0.20) END, false) AS confident FROM g""", "titles"))
 def _(spark, d):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("query", "want_kind").orderBy(F.desc(F.round("score", 9)), "item_id")
-    hits = M.match_contains(*_search(spark, d)).filter("attempt = 1").withColumn("rank", F.row_number().over(w))
-    return M.confident_match(hits).select("query", "want_kind", "n", "best_id", "confident")
+    w = Window.partitionBy("query", "want_kind", "attempt").orderBy(F.desc(F.round("score", 9)), "item_id")
+    hits = M.match_contains(*_search(spark, d)).withColumn("rank", F.row_number().over(w))
+    return M.confident_match(hits, ("query", "want_kind", "attempt")).select("query", "want_kind", "attempt", "n", "best_id", "confident")
 
 
 @query("search_titles")

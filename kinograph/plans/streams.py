@@ -111,13 +111,13 @@ def _(spark, d):
     return out.select(F.unix_micros("start").alias("start"), "kind", "source", "n")
 
 
-@query("stream_new_items", sql("SELECT item_id, 32 AS width FROM titles", "titles"))
+@query("stream_new_items", sql("SELECT item_id, 192 AS width FROM titles", "titles"))
 def _(spark, d):
     """The catalogue arrives twice; each item is placed once."""
     content, factors = _blocks(spark, d)
-    _space, art = I.fuse_space(content, factors, dim=32, rank=16)
+    _space, art = I.fuse_space(content, factors)
     t = R.titles(spark, d)
     path = scratch(spark, "space")
     schema = content.schema
-    W.stream_new_items(_stream(spark, t.unionByName(t), "titles"), path, scratch(spark, "cp"), I.hashed_encoder(48), art, schema)
+    W.stream_new_items(_stream(spark, t.unionByName(t), "titles"), path, scratch(spark, "cp"), I.hashed_encoder(), art, schema)
     return cut(spark.read.parquet(path)).select("item_id", F.size("vec").alias("width"))

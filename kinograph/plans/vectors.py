@@ -164,10 +164,10 @@ def _(spark, d):
     return I.latest_cached_vector(cache, 2).select("key", F.col("vec")[0].alias("first"))
 
 
-@query("compact_cache", "SELECT count(DISTINCT sha1('hashed' || chr(0) || '64' || chr(0) || text)) AS kept FROM documents WHERE source <> 'web' AND lang = 'en'")
+@query("compact_cache", "SELECT count(DISTINCT sha1('hashed' || chr(0) || '64' || chr(0) || text)) AS kept FROM documents WHERE source <> 'web'")
 def _(spark, d):
     enc = I.hashed_encoder(64)
-    live = cards(spark, d).join(R.table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("item_id")), "item_id", "left_semi").select(
+    live = cards(spark, d).select(
         S.card_key(F.col("card"), enc.name, enc.width).alias("key"))
     return I.compact_cache(_cache(spark, d, enc), live, 64).agg(F.count("*").alias("kept"))
 
@@ -188,46 +188,46 @@ def _(spark, d):
 def _blocks(spark, d):
     """Content: hashed title cards. Factors: the given embeddings, known where there is an external id."""
     t = R.titles(spark, d)
-    content = cut(I.encode_texts(t.select("item_id", S.item_card().alias("card")), I.hashed_encoder(48)).select("item_id", "vec"))
+    content = cut(I.encode_texts(t.select("item_id", S.item_card().alias("card")), I.hashed_encoder()).select("item_id", "vec"))
     known = t.filter("movielens_id is not null").select("item_id")
     factors = cut(R.space(spark, d).join(known, "item_id", "left_semi").select("item_id", F.col("vec").cast("array<double>").alias("vec")))
     return content, factors
 
 
-@query("reduce_factors", sql("SELECT item_id, 16 AS width FROM space JOIN titles USING (item_id) WHERE movielens_id IS NOT NULL", "titles", "space"))
+@query("reduce_factors", sql("SELECT item_id, 48 AS width FROM space JOIN titles USING (item_id) WHERE movielens_id IS NOT NULL", "titles", "space"))
 def _(spark, d):
-    return I.reduce_factors(_blocks(spark, d)[1], 16).select("item_id", F.size("vec").alias("width"))
+    return I.reduce_factors(_blocks(spark, d)[1]).select("item_id", F.size("vec").alias("width"))
 
 
 @query("fit_imputation")
 def _(spark, d):
     content, factors = _blocks(spark, d)
-    pairs = content.withColumnRenamed("vec", "content").join(I.reduce_factors(factors, 16).withColumnRenamed("vec", "factor"), "item_id")
+    pairs = content.withColumnRenamed("vec", "content").join(I.reduce_factors(factors).withColumnRenamed("vec", "factor"), "item_id")
     coef, intercept, alpha, r2 = I.fit_imputation(pairs)
     rows = [(i, o, round(float(coef[i, o]), 6), round(float(intercept[o]), 6), float(alpha), round(float(r2), 6)) for i in range(coef.shape[0]) for o in range(coef.shape[1])]
     return spark.createDataFrame(rows, "input int, output int, value double, intercept double, alpha double, r2 double")  # width x width, not rows
 
 
-@query("fuse_space", sql("SELECT item_id, 32 AS width, 1.0 AS length FROM titles", "titles"))
+@query("fuse_space", sql("SELECT item_id, 192 AS width, 1.0 AS length FROM titles", "titles"))
 def _(spark, d):
-    space, _art = I.fuse_space(*_blocks(spark, d), dim=32, rank=16)
+    space, _art = I.fuse_space(*_blocks(spark, d))
     return space.select("item_id", F.size("vec").alias("width"), r6(V.norm(F.col("vec")), "length"))
 
 
-@query("project", "SELECT doc_id AS item_id, 32 AS width, 1.0 AS length FROM documents")
+@query("project", "SELECT doc_id AS item_id, 192 AS width, 1.0 AS length FROM documents")
 def _(spark, d):
     content, factors = _blocks(spark, d)
-    _space, art = I.fuse_space(content, factors, dim=32, rank=16)
-    new = I.encode_texts(cards(spark, d), I.hashed_encoder(48)).select("item_id", "vec")
+    _space, art = I.fuse_space(content, factors)
+    new = I.encode_texts(cards(spark, d), I.hashed_encoder()).select("item_id", "vec")
     return I.project(new, art).select("item_id", F.size("vec").alias("width"), r6(V.norm(F.col("vec")), "length"))
 
 
-@query("place_new_items", sql("SELECT item_id, 32 AS width FROM titles WHERE tmdb_id IS NULL", "titles"))
+@query("place_new_items", sql("SELECT item_id, 192 AS width FROM titles WHERE tmdb_id IS NULL", "titles"))
 def _(spark, d):
     content, factors = _blocks(spark, d)
-    space, art = I.fuse_space(content, factors, dim=32, rank=16)
+    space, art = I.fuse_space(content, factors)
     have = space.join(R.titles(spark, d).filter("tmdb_id is not null").select("item_id"), "item_id", "left_semi")
-    return I.place_new_items(R.titles(spark, d), have, I.hashed_encoder(48), art).select("item_id", F.size("vec").alias("width"))
+    return I.place_new_items(R.titles(spark, d), have, I.hashed_encoder(), art).select("item_id", F.size("vec").alias("width"))
 
 
 # --- taste ---
@@ -241,23 +241,23 @@ def labels(spark, d):
     return cut(E.label_weights(E.build_labels(R.events(spark, d), R.space(spark, d), R.as_of())))
 
 
-def models(spark, d, feats=None, labs=None, count=200):
+def models(spark, d, feats=None, labs=None):
     feats = feats if feats is not None else features(spark, d)
     labs = labs if labs is not None else labels(spark, d)
-    return cut(K.fit_taste(labs, feats, K.sample_negatives(feats, count)))
+    return cut(K.fit_taste(labs, feats, K.sample_negatives(feats)))
 
 
-SAMPLE = "neg AS (SELECT item_id FROM space ORDER BY md5('0-' || item_id), item_id LIMIT 200)"
+SAMPLE = "neg AS (SELECT item_id FROM space ORDER BY md5('0-' || item_id), item_id LIMIT 1000)"
 
 
 @query("sample_negatives", sql(f"WITH {SAMPLE} SELECT item_id FROM neg", "space"))
 def _(spark, d):
-    return K.sample_negatives(R.space(spark, d), 200)
+    return K.sample_negatives(R.space(spark, d))
 
 
 @query("user_negatives", sql(f"WITH {LABELS}, {SAMPLE} SELECT user_id, item_id FROM lab WHERE item_id IN (SELECT item_id FROM neg)", "log", "space"))
 def _(spark, d):
-    return K.user_negatives(K.sample_negatives(R.space(spark, d), 200), labels(spark, d))
+    return K.user_negatives(K.sample_negatives(R.space(spark, d)), labels(spark, d))
 
 
 @query("vote_floors", sql(f"""WITH {LABELS}, v AS (SELECT item_id, coalesce(imdb_votes, 0) AS votes FROM titles),
@@ -268,11 +268,11 @@ def _(spark, d):
 
 
 @query("sample_popular_negatives", sql("""WITH q AS (SELECT DISTINCT 100.0 * l_linenumber + 2800 AS floor FROM lineitem), v AS (SELECT item_id, coalesce(imdb_votes, 0) AS votes FROM titles),
-  c AS (SELECT floor, item_id, votes >= floor AS above FROM q, v), n AS (SELECT floor, count(*) FILTER (WHERE above) >= 80 AS use FROM c GROUP BY 1)
-SELECT CAST(floor AS DOUBLE) AS floor, item_id FROM (SELECT c.floor, item_id, row_number() OVER (PARTITION BY c.floor ORDER BY md5('0-' || item_id), item_id) AS rn FROM c JOIN n USING (floor) WHERE above OR NOT use) WHERE rn <= 40""", "titles"))
+  c AS (SELECT floor, item_id, votes >= floor AS above FROM q, v), n AS (SELECT floor, count(*) FILTER (WHERE above) >= 2000 AS use FROM c GROUP BY 1)
+SELECT CAST(floor AS DOUBLE) AS floor, item_id FROM (SELECT c.floor, item_id, row_number() OVER (PARTITION BY c.floor ORDER BY md5('0-' || item_id), item_id) AS rn FROM c JOIN n USING (floor) WHERE above OR NOT use) WHERE rn <= 1000""", "titles"))
 def _(spark, d):
     floors = R.table(spark, d, "lineitem").select((F.col("l_linenumber") * 100.0 + 2800).alias("floor")).distinct()
-    return K.sample_popular_negatives(floors, R.titles(spark, d), 40)
+    return K.sample_popular_negatives(floors, R.titles(spark, d))
 
 
 @query("gram", sql(f"""WITH {LABELS}, x AS (SELECT user_id, greatest(CASE WHEN weak THEN 0.5 ELSE 1.0 END * exp(-ln(2.0) * age / 1100.0), 1e-3) AS w, reward AS y, vec[1] AS a, vec[64] AS b FROM lab JOIN space USING (item_id))
@@ -294,13 +294,13 @@ def _(spark, d):
 @query("select_capacity")
 def _(spark, d):
     feats = features(spark, d)
-    m = K.fit_taste(labels(spark, d), feats, K.sample_negatives(feats, 200), rff_gate=30)
+    m = K.fit_taste(labels(spark, d), feats, K.sample_negatives(feats), rff_gate=30)
     return m.select("user_id", "n_real", "n_rff", "gamma", r6("log_evidence"))
 
 
 @query("fit_taste_popular")
 def _(spark, d):
-    m = K.fit_taste_popular(labels(spark, d), features(spark, d), R.titles(spark, d), 40)
+    m = K.fit_taste_popular(labels(spark, d), features(spark, d), R.titles(spark, d))
     return m.select("user_id", "n_obs", r6("beta"))
 
 
@@ -429,7 +429,7 @@ def _(spark, d):
 @query("ridge_baseline")
 def _(spark, d):
     feats = features(spark, d)
-    return K.ridge_baseline(labels(spark, d), feats, K.sample_negatives(feats, 200)).select("user_id", "alpha", r6("b"))
+    return K.ridge_baseline(labels(spark, d), feats, K.sample_negatives(feats)).select("user_id", "alpha", r6("b"))
 
 
 # --- slates: a plain scored frame stands in for a model where the step is checkable ---
@@ -561,7 +561,7 @@ def _(spark, d):
 @query("judge")
 def _(spark, d):
     feats, labs = features(spark, d), labels(spark, d)
-    ridge = K.ridge_baseline(labs, feats, K.sample_negatives(feats, 200))
+    ridge = K.ridge_baseline(labs, feats, K.sample_negatives(feats))
     pairs = R.events(spark, d).filter("kind = 'unseen'").select("user_id", "item_id").distinct()
     return L.judge(pairs, feats, models(spark, d, feats, labs), ridge).select(
         "user_id", "item_id", r6("score"), r6("interval_low"), r6("interval_high"), r6("like_probability"), "likely_like", r6("ridge_score"))
