@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 
@@ -133,25 +131,34 @@ def best_indices(score: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-score, kind="stable")[:k]
 
 
+#: Candidates brought up to date together.
+FRESH = 512
+
+
 def diverse_greedy(value: np.ndarray, unit: np.ndarray, k: int, weight: float, either_way: bool = False) -> list[int]:
     """Greedy picks by value less ``weight`` times the similarity to the closest pick so far.
 
-    Closeness only grows, so a candidate's last known net value bounds it from above. A queue in
-    the order of bounds is popped; a bound older than the latest pick is brought up to date and
-    put back, and the first that is current wins. Ties go to the earlier row. With
-    ``either_way`` opposite vectors count as similar.
+    Closeness only grows, so a candidate's last known net value bounds it from above. The
+    candidates with the largest outdated bounds are brought up to date, many in one product, until the
+    largest bound of all is a current one. Ties go to the earlier row. With ``either_way`` opposite
+    vectors count as similar.
     """
-    queue = [(-float(v), i, 0, 0.0) for i, v in enumerate(value)]
-    heapq.heapify(queue)
+    value = np.asarray(value, float)
+    bound, close, seen = value.copy(), np.zeros(len(value)), np.zeros(len(value), int)
     picks: list[int] = []
-    while queue and len(picks) < k:
-        _, i, seen, close = heapq.heappop(queue)
-        if seen == len(picks):
-            picks.append(i)
+    while len(picks) < min(k, len(value)):
+        top = int(bound.argmax())
+        if seen[top] == len(picks):
+            picks.append(top)
+            bound[top] = -np.inf
             continue
-        alike = unit[picks[seen:]] @ unit[i]
-        close = max(close, float(np.abs(alike).max() if either_way else alike.max()))
-        heapq.heappush(queue, (-(float(value[i]) - weight * close), i, len(picks), close))
+        old = np.flatnonzero((seen < len(picks)) & np.isfinite(bound))
+        if len(old) > FRESH:
+            old = old[np.argpartition(-bound[old], FRESH)[:FRESH]]
+        alike = unit[old] @ unit[picks[int(seen[old].min()):]].T
+        close[old] = np.maximum(close[old], (np.abs(alike) if either_way else alike).max(axis=1))
+        bound[old] = value[old] - weight * close[old]
+        seen[old] = len(picks)
     return picks
 
 

@@ -129,15 +129,19 @@ def block_plan(spark, n_queries: int, n_items: int) -> tuple[int, int]:
     return blocks, shards
 
 
-def per_block(queries: DataFrame, items: DataFrame, skip: DataFrame | None, fn, schema, sizes: tuple[int, int] | None = None) -> DataFrame:
-    """``fn(queries, items, skip)`` on every (query block, item shard).
+def per_block(queries: DataFrame, items: DataFrame, skip: DataFrame | None, fn, schema, sizes: tuple[int, int] | None = None,
+              shards: int | None = None) -> DataFrame:
+    """``fn(queries, items, skip)`` on every (query block, item shard), or with ``shards`` in that many.
 
     Queries are copied to each shard and items to each query block; ``skip`` pairs
     (qid, item_id) go only to their own block. Both sides must be cheap to read twice.
     """
     spark = queries.sparkSession
     n_q, n_i = sizes or (queries.count(), items.count())
-    blocks, shards = block_plan(spark, n_q, n_i)
+    blocks, planned = block_plan(spark, n_q, n_i)
+    if shards is not None:
+        blocks = max(blocks, min(spark.sparkContext.defaultParallelism, n_q), 1)
+    shards = shards or planned
     qb = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")
     sh = F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int")
     left = queries.withColumn("_b", qb).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("_skip", F.lit(None).cast("bigint"))

@@ -107,9 +107,9 @@ def clear_source(events: DataFrame, source: str) -> DataFrame:
 
 def undo_last(events: DataFrame, source: str = "web") -> DataFrame:
     """The log without each user's newest verdict from ``source``."""
-    last = events.filter((F.col("source") == source) & F.col("kind").isin("rate", "unseen")).groupBy("user_id").agg(
-        F.max_by("event_id", newest()).alias("event_id"))
-    return events.join(last.select("event_id"), "event_id", "left_anti")
+    last = events.filter((F.col("source") == source) & F.col("kind").isin("rate", "unseen")).groupBy("user_id").agg(F.max(newest()).alias("_n"))
+    # By user and time too: ids are hashes, and one that two rows share must not take the other row along.
+    return events.join(last.select("user_id", "_n.ts", "_n.event_id"), ["user_id", "ts", "event_id"], "left_anti").select(events.columns)
 
 
 # --- labels -------------------------------------------------------------------------

@@ -493,12 +493,10 @@ def _(spark, d):
 @query("interleave", sql("""WITH g AS (SELECT item_id, language, row_number() OVER (PARTITION BY language ORDER BY imdb_votes DESC NULLS LAST, item_id) AS rk,
   count(*) OVER (PARTITION BY language) AS gs FROM titles) SELECT item_id, row_number() OVER (ORDER BY rk, gs DESC, language) AS place FROM g""", "titles"))
 def _(spark, d):
-    from pyspark.sql import Window
-
-    from ..session import global_index
+    from ..session import global_index, running_totals
 
-    w = Window.partitionBy("language").orderBy(F.desc_nulls_last("imdb_votes"), "item_id")
-    ranked = R.titles(spark, d).select("item_id", "language", F.row_number().over(w).alias("rk"))
+    ranked = running_totals(R.titles(spark, d).select("item_id", "language", "imdb_votes"), ["language"], [F.desc_nulls_last("imdb_votes"), F.asc("item_id")], {}).select(
+        "item_id", "language", (F.col("before") + 1).cast("int").alias("rk"))
     mixed = C.interleave(ranked, "language", "rk")
     return global_index(mixed, [F.asc("rk"), F.desc("group_size"), F.asc("language")], "place", 1).select("item_id", "place")
 

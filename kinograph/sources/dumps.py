@@ -10,6 +10,7 @@ from .. import schemas
 from ..functions import scalar as S
 from ..operators import catalogue as C
 from ..operators import lineage as L
+from ..session import scratch
 
 
 def read_tsv_dump(spark: SparkSession, path: str, name: str, land: str | None = None) -> DataFrame:
@@ -23,19 +24,21 @@ def read_tsv_dump(spark: SparkSession, path: str, name: str, land: str | None =
     return spark.read.schema(df.schema).parquet(land)
 
 
-def optional_source(spark: SparkSession, path: str, name: str, required: bool = False) -> DataFrame | None:
-    """The dump, or None when an optional one has not been landed."""
+def optional_source(spark: SparkSession, path: str, name: str, required: bool = False, land: str | None = None) -> DataFrame | None:
+    """The dump, or None when an optional one is not there."""
     try:
-        return read_tsv_dump(spark, path, name)
+        return read_tsv_dump(spark, path, name, land)
     except AnalysisException:
         if required:
             raise
         return None
 
 
-def read_dumps(spark: SparkSession, root: str) -> dict[str, DataFrame | None]:
-    needed = ("title.basics", "title.ratings")
-    return {n: optional_source(spark, f"{root}/{n}.tsv.gz", n, n in needed) for n in schemas.DUMPS}
+def read_dumps(spark: SparkSession, root: str, land: str | None = None) -> dict[str, DataFrame | None]:
+    """All dumps below ``root``. A gzip file is one split, so each is landed once as Parquet spread over all
+    tasks, below ``land`` or in the scratch folder, and every join reads that."""
+    needed, land = ("title.basics", "title.ratings"), land or scratch(spark, "dumps")
+    return {n: optional_source(spark, f"{root}/{n}.tsv.gz", n, n in needed, f"{land}/{n}") for n in schemas.DUMPS}
 
 
 def build_from_dumps(spark: SparkSession, root: str, min_votes: int = 50) -> DataFrame:
