@@ -130,15 +130,14 @@ def least_agreement(share: float) -> int:
 
 
 def _spanning(members: list, num: int, den: int, least: int) -> list:
-    """Links between members (node, side, label, sig, set) that join their labels as far as full sets
-    allow. All pairs if all sides are 0; else those of a side 1 and a side 0. Pairs of one label are
-    never compared, and a link makes two labels one."""
-    nodes = [m[0] for m in members]
+    """Members (node, side, label, sig, set) joined by their labels as far as full sets allow: (label, the
+    least label joined with it). All pairs are compared if all sides are 0, else those of a side 1 and a
+    side 0. Pairs of one label are never compared, and a link makes two labels one."""
     side, (label, names) = np.array([m[1] for m in members]), _numbered([m[2] for m in members])
     sigs = np.frombuffer(b"".join(m[3] for m in members), "<u2").reshape(-1, SIZE)
     sets = [np.frombuffer(m[4], np.uint64) for m in members]
     size = np.array([len(s) for s in sets])
-    parent = list(range(names))
+    parent = list(range(len(names)))
 
     def root(k):
         while parent[k] != k:
@@ -148,27 +147,26 @@ def _spanning(members: list, num: int, den: int, least: int) -> list:
 
     near = []
     for a in np.flatnonzero(side == side.max()).tolist():
-        b = np.arange(a + 1, len(nodes)) if not side.any() else np.flatnonzero(side == 0)
+        b = np.arange(a + 1, len(members)) if not side.any() else np.flatnonzero(side == 0)
         b = b[(np.minimum(size[a], size[b]) * den >= np.maximum(size[a], size[b]) * num) & (label[b] != label[a])]
         agree = (sigs[b] == sigs[a]).sum(axis=1)
         b, agree = b[agree >= least], agree[agree >= least]
         near.append(np.stack([-agree, np.full(len(b), a), b], 1))
     near = np.concatenate(near)
-    out = []
     for _, a, b in near[np.argsort(near[:, 0], kind="stable")].tolist():  # the likeliest first
         x, y = root(label[a]), root(label[b])
         if x == y:
             continue
         both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
         if both * den >= (size[a] + size[b] - both) * num:
-            out.append((nodes[a], nodes[b]))
-            parent[x] = y
-    return out
+            # Stars, not chains, so that components need few rounds.
+            parent[x if names[x] > names[y] else y] = y if names[x] > names[y] else x
+    return [(names[k], names[root(k)]) for k in range(len(names)) if root(k) != k]
 
 
-def _numbered(values: list) -> tuple[np.ndarray, int]:
+def _numbered(values: list) -> tuple[np.ndarray, list]:
     names = {}
-    return np.array([names.setdefault(v, len(names)) for v in values]), len(names)
+    return np.array([names.setdefault(v, len(names)) for v in values]), list(names)
 
 
 def _confirm(similarity: tuple[int, int]):
@@ -209,8 +207,8 @@ def _compared(docs: DataFrame, places: DataFrame, width: int, similarity: tuple[
     return given.repartition("family", "i", "j").sortWithinPartitions(*order).mapInArrow(_confirm(similarity), "a long, b long")
 
 
-def _links(docs: DataFrame, members: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """Spanning links of families, whose ``members`` are (family, hub, blocks, node, n, _id, _hash).
+def _roots(docs: DataFrame, members: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+    """(node, root) of the linked members of families, which are (family, hub, blocks, node, n, _id, _hash).
 
     A family's members are dealt to blocks; each block is compared within itself and with the family's
     hub, the member that most others met. That joins most of a large group of near copies. Then, in
@@ -220,28 +218,32 @@ def _links(docs: DataFrame, members: DataFrame, width: int, similarity: tuple[in
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
     members = rows.land(members.select("*", own), "members")
     block = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    first = rows.land(_compared(docs, members.select(
+    first = _compared(docs, members.select(
         "family", F.explode(block).alias("i"), F.lit(0).alias("j"), "node", F.lit(0).alias("side"), F.col("node").alias("label"), "_id", "_hash"),
-        width, similarity), "links")
+        width, similarity)
+    root = rows.land(graph.components(first, "a", "b"), "joined")
     large = members.filter("blocks > 1")
     if large.isEmpty():
-        return first
-    root = graph.components(first, "a", "b")
+        return root
     named = rows.land(large.join(root, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "named")
     parts = named.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size"))
     main = parts.groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    named = named.join(with_small(rows.land(main.select("family", "main"), "main"), rows.SMALL), "family")
-    outside = named.filter("label != main")
-    groups = outside.groupBy("family").agg(_blocks_for("n").alias("groups"))
+    main = rows.land(main.select("family", "main"), "main")
+    if main.isEmpty():
+        return root
+    named = named.join(with_small(main, rows.SMALL), "family")
+    groups = named.filter("label != main").groupBy("family").agg(_blocks_for("n").alias("groups"))
     named = rows.land(named.join(with_small(rows.land(groups, "groups"), rows.SMALL), "family"), "open")
-    if named.isEmpty():
-        return first
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("groups")).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     cols = ["family", "i", "j", "node", "side", "label", "_id", "_hash"]
     outer = named.filter("label != main").withColumns({"i": part, "side": F.lit(1)}).withColumn("j", every("blocks"))
     inner = named.withColumns({"j": F.col("own"), "side": F.lit(0)}).withColumn("i", every("groups"))
-    return first.unionAll(_compared(docs, outer.select(cols).unionAll(inner.select(cols)), width, similarity))
+    # Labels joined with labels; a member without links so far is its own label.
+    top = rows.land(graph.components(_compared(docs, outer.select(cols).unionAll(inner.select(cols)), width, similarity), "a", "b"), "tops")
+    above = top.select(F.col("node").alias("_label"), F.col("root").alias("_top"))
+    moved = root.join(above, root["root"] == F.col("_label"), "left").select("node", F.coalesce("_top", "root").alias("root"))
+    return moved.unionAll(top.join(root.select("node"), "node", "left_anti").select("node", "root"))
 
 
 def _blocks_for(n: str):
@@ -272,8 +274,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     placed = rows.land(classes.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n").join(family, "node"), "placed")
     blocks = rows.land(placed.groupBy("root").agg(_blocks_for("n").alias("blocks")).join(hubs, "root"), "blocks")
     members = placed.join(with_small(blocks, rows.SMALL), "root").withColumnRenamed("root", "family")
-    links = _links(rows.keyed(docs, id, text), members, width, similarity)
-    root = rows.land(graph.components(links, "a", "b"), "roots")
+    root = rows.land(_roots(rows.keyed(docs, id, text), members, width, similarity), "roots")
     labelled = rows.land(base.join(classes.select("set_key", "node"), "set_key", "left").join(root, "node", "left").withColumn(
         "component", F.coalesce("root", "node", "rid")).select("rid", "doc_id", "text_hash", "n", "component"), "labelled")
     # Landed, so that the join below reads two shuffles and a large component's rows can be split.
