@@ -308,6 +308,7 @@ def op13_seekable_frames(spark, sf_dir: str) -> DataFrame:
     return digests(rearrange(store))
 
 
+#: Integers that may be null are doubles here, as Spark hands them to a data frame.
 OP13_SQL = r"""
 WITH given AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 drawn AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
@@ -316,7 +317,7 @@ cut AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (le
 parts AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
     WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
   array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM cut)
-SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS DOUBLE) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS DOUBLE) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
   sha256(t) AS restored_sha256
 FROM parts

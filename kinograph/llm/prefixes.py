@@ -383,6 +383,7 @@ def op11_radix_tree(spark, sf_dir: str) -> DataFrame:
     return prefix_trie(shared_starts(sequences))
 
 
+#: Integers that may be null are doubles here, as Spark hands them to a data frame.
 OP11_SQL = r"""
 WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, role, text
   FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)),
@@ -401,7 +402,7 @@ nodes AS (SELECT p, d, min(above) AS above, min(c) AS conv_id, count(*) AS n, (c
 kids AS (SELECT above, count(*) AS n_children FROM nodes GROUP BY above),
 whole AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.above = nodes.p),
 sums AS (SELECT paths.p, sum(own) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM whole JOIN paths ON paths.c = whole.conv_id AND paths.d <= whole.d GROUP BY paths.p)
-SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n AS n_convs, CAST(w.n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+SELECT w.conv_id, w.d AS depth, CAST(u.conv_id AS DOUBLE) AS parent_conv_id, w.n AS n_convs, CAST(w.n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
   CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM whole w JOIN sums USING (p) LEFT JOIN ending USING (p) LEFT JOIN whole u ON u.p = w.above
 """
