@@ -515,6 +515,21 @@ def _(spark, d):
     return L.mmr(ranked(spark, d).drop("rank"), feats, 10).select("user_id", "item_id", "rank")
 
 
+# Greedy choices, written out pick by pick.
+PICKED = """pk AS (SELECT DISTINCT {by}, 0 AS n, CAST([] AS BIGINT[]) AS ids, CAST([] AS DOUBLE[][]) AS vecs, CAST(NULL AS BIGINT) AS item_id FROM cd
+    UNION ALL SELECT {by}, n + 1, list_append(ids, item_id), list_append(vecs, x), item_id FROM (
+      SELECT pk.{by}, pk.n, ids, vecs, cd.item_id, x, row_number() OVER (PARTITION BY pk.{by} ORDER BY worth - {weight} * coalesce(list_max(list_transform(vecs, lambda u: {alike})), 0.0) DESC, {ties}) AS rn
+      FROM pk JOIN cd ON cd.{by} = pk.{by} WHERE pk.n < {k} AND NOT list_contains(ids, cd.item_id)) WHERE rn = 1)"""
+
+
+@query("mmr_plain", sql(f"""WITH RECURSIVE {RANKED}, cd AS (SELECT user_id, item_id, 0.72 * score AS worth, score, CAST(vec AS DOUBLE[]) AS x FROM rk JOIN space USING (item_id)),
+  {PICKED.format(by="user_id", weight="0.28", alike="greatest(list_dot_product(u, x), 0.0)", ties="score DESC, cd.item_id", k=10)}
+SELECT user_id, item_id, n AS rank FROM pk WHERE n > 0""", "titles", "ratings", "space"))
+def _(spark, d):
+    latent = R.space(spark, d).select("item_id", F.col("vec").cast("array<double>").alias("latent"))
+    return L.mmr(ranked(spark, d).drop("rank"), latent, 10).select("user_id", "item_id", "rank")
+
+
 def _recommend(spark, d, **kw):
     t = cut(R.titles(spark, d))
     feats = features(spark, d, t)
@@ -570,7 +585,16 @@ def _(spark, d):
 # --- cold start ---
 
 
-@query("greedy_dpp")
+SPREAD = """cd AS (SELECT language, item_id, greatest(CASE WHEN coalesce(quality, 0.0) = 0.0 THEN 0.5 ELSE quality END, 0.05) AS q, list_transform(CAST(vec AS DOUBLE[]), lambda v: v * greatest(CASE WHEN coalesce(quality, 0.0) = 0.0 THEN 0.5 ELSE quality END, 0.05)) AS r
+    FROM titles JOIN space USING (item_id)),
+  st AS (SELECT DISTINCT language, 0 AS n, CAST([] AS BIGINT[]) AS ids, CAST([] AS DOUBLE[][]) AS dirs, CAST(NULL AS BIGINT) AS item_id FROM cd
+    UNION ALL SELECT language, n + 1, list_append(ids, item_id), list_append(dirs, list_transform(r, lambda v, k: (v - coalesce(list_sum(list_transform(dirs, lambda u: list_dot_product(u, r) * u[k])), 0.0)) / sqrt(greatest(rest, 1e-9)))), item_id FROM (
+      SELECT st.language, n, ids, dirs, cd.item_id, r, q * q - coalesce(list_sum(list_transform(dirs, lambda u: pow(list_dot_product(u, r), 2))), 0.0) AS rest,
+        row_number() OVER (PARTITION BY st.language ORDER BY q * q - coalesce(list_sum(list_transform(dirs, lambda u: pow(list_dot_product(u, r), 2))), 0.0) DESC, cd.item_id) AS rn
+      FROM st JOIN cd ON cd.language = st.language WHERE n < 5 AND NOT list_contains(ids, cd.item_id)) WHERE rn = 1 AND (n = 0 OR rest >= 1e-9))"""
+
+
+@query("greedy_dpp", sql(f"WITH RECURSIVE {SPREAD} SELECT item_id, language, n AS pick FROM st WHERE n > 0", "titles", "space"))
 def _(spark, d):
     pool = R.titles(spark, d).join(R.space(spark, d), "item_id").select("item_id", "language", "quality", "vec")
     quotas = pool.groupBy("language").agg(F.least(F.lit(5), F.count("*")).cast("int").alias("quota"))
@@ -608,6 +632,14 @@ def _(spark, d):
     return Q.variance_reduction(*_gain_inputs(spark, d), plain_features(spark, d)).select("user_id", "item_id", r6("gain"))
 
 
+@query("next_questions_plain", sql(f"""WITH RECURSIVE {GAINS}, cd AS (SELECT user_id, item_id, 4 * v * v * q / (1 + 4 * v * ga.e) AS worth, x FROM ga JOIN dv USING (item_id)),
+  {PICKED.format(by="user_id", weight="0.55", alike="abs(list_dot_product(u, x))", ties="cd.item_id", k=8)}
+SELECT user_id, item_id, n AS pick FROM pk WHERE n > 0""", "titles", "log", "space"))
+def _(spark, d):
+    model, pool, asked = _gain_inputs(spark, d)
+    return Q.next_questions(model, pool.withColumn("latent", F.col("vec")), asked, plain_features(spark, d)).select("user_id", "item_id", "pick")
+
+
 @query("next_questions")
 def _(spark, d):
     feats = features(spark, d)
