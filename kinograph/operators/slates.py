@@ -149,6 +149,60 @@ def _scan(weights: DataFrame, means: DataFrame, features: DataFrame, skip: DataF
     return top, greedy_rows
 
 
+def _tilt(s: np.ndarray, a: np.ndarray, e: np.ndarray, mood_weight: float, novelty: float) -> np.ndarray:
+    """What mood and novelty add to one user's scores, in units of their spread over all candidates."""
+    c1 = mood_weight * s.std() / (a.std() + 1e-9)
+    moved = s.var() + 2 * c1 * ((s * a).mean() - s.mean() * a.mean()) + c1 * c1 * a.var()
+    c2 = -novelty * np.sqrt(max(moved, 0.0)) / (e.std() + 1e-9)
+    return c1 * (a - a.mean()) + c2 * (e - e.mean())
+
+
+def _whole_lists(models: DataFrame, weights: DataFrame, means: DataFrame, items: DataFrame, sizes: tuple[int, int], skip: DataFrame | None, pool: int,
+                 greedy: int, moods: DataFrame | None, mood_weight: float, novelty: float, strategy: str, kappa: float, compat: bool, k: int,
+                 balance: float) -> DataFrame:
+    """Shortlists with sd and diversified rank, and whether a row is among the ``greedy`` best by mean: all
+    of it where the users' block meets the whole item table, so no vector leaves a task."""
+    asked = weights.withColumnRenamed("user_id", "qid").join(means.select(F.col("user_id").alias("qid"), F.col("w").alias("mw"), F.col("b").alias("mb")), "qid").join(
+        models.select(F.col("user_id").alias("qid"), "cov", "beta"), "qid")
+    use_mood = moods is not None and mood_weight > 0
+    asked = asked.join(moods.select(F.col("user_id").alias("qid"), F.col("mood").cast("array<double>").alias("mood")), "qid", "left") if use_mood else asked.withColumn(
+        "mood", F.lit(None).cast("array<double>"))
+    out = T.StructType([T.StructField("user_id", weights.schema["user_id"].dataType), items.schema["item_id"], *[
+        T.StructField(c, T.DoubleType()) for c in ("score", "mean", "sd")], T.StructField("rank", T.IntegerType()), T.StructField("best", T.BooleanType())])
+
+    def run(q, rp, drop):
+        ids, x, latent, heat, parts = rp["item_id"].to_numpy(), B._stack(rp["vec"]), B._stack(rp["latent"]), rp["heat"].to_numpy(float), []
+        for _, users in q.groupby(["n_rff", "gamma"]):
+            phi = K._phi(users.iloc[0], x)
+            drawn = B._stack(users["w"]) @ phi.T + users["b"].to_numpy(float)[:, None]
+            mean = B._stack(users["mw"]) @ phi.T + users["mb"].to_numpy(float)[:, None]
+            for i, r in enumerate(users.itertuples(index=False)):
+                keep = np.flatnonzero(B.keep_mask(ids, drop.get(r.qid)))
+                if not len(keep):
+                    continue
+                s, m = drawn[i][keep], mean[i][keep]
+                if use_mood or novelty > 0:
+                    mood = latent[keep] @ np.asarray(r.mood) if r.mood is not None else np.zeros(len(keep))
+                    s = s + _tilt(s, mood, heat[keep], mood_weight if use_mood else 0.0, novelty)
+                best = N.best_indices(m, greedy)
+                both = np.union1d(N.best_indices(s, pool), best)
+                at, score, mu = keep[both], s[both], m[both]
+                sd = np.sqrt(np.maximum(N.quadratic(phi[at], np.asarray(r.cov).reshape(phi.shape[1], -1)) + 1.0 / r.beta, 1e-12))
+                if strategy == "ucb":
+                    score = (mu if compat else score) + kappa * sd
+                order = np.lexsort((ids[at], -score))
+                picks = order[N.diverse_greedy(balance * score[order], latent[at[order]], k, 1.0 - balance)]
+                rank = np.full(len(at), None, dtype=object)
+                rank[picks] = np.arange(1, len(picks) + 1)
+                parts.append(pd.DataFrame({"user_id": r.qid, "item_id": ids[at], "score": score, "mean": mu, "sd": sd, "rank": pd.array(rank, dtype="Int32"),
+                                           "best": np.isin(both, best)}))
+        return pd.concat(parts) if parts else pd.DataFrame([], columns=out.names)
+
+    gone = skip.withColumnRenamed("user_id", "qid") if skip is not None else None
+    given = items.select("item_id", "vec", "latent", F.log1p(F.coalesce("imdb_votes", F.lit(0)).cast("double")).alias("heat"))
+    return B.per_block(asked, given, gone, run, out, sizes, 1)
+
+
 def recommend(models: DataFrame, features: DataFrame, titles: DataFrame, excluded: DataFrame | None = None, k: int = 10,
               strategy: str = "thompson", slate: Column | None = None, mmr_lambda: float = 0.72, size: int = 400,
               max_share: float = 0.5, explore: float = 1.0, novelty: float = 0.0, moods: DataFrame | None = None,
@@ -156,16 +210,24 @@ def recommend(models: DataFrame, features: DataFrame, titles: DataFrame, exclude
     """A slate per user: item, position, score, mean, sd, propensity, explored.
 
     ``strategy`` mean, thompson or ucb; ``compat`` lets the optimistic score replace mood and
-    novelty instead of adding to them.
+    novelty instead of adding to them. ``models`` is read several times: give a stored table. Up to a
+    shard of items, a user's list is finished where it is scored; more items are scored by shards and
+    the shortlists meet again.
     """
-    models = cut(models)
     keep = C.hard_filters(titles, **(filters or {}))
-    items = features.join(keep.select("item_id", "imdb_votes", "language"), "item_id")
+    items = cut(features.join(keep.select("item_id", "imdb_votes", "language"), "item_id"))
     means = K.mean_weights(models)
     weights = cut(K.sample_weights(models, slate if slate is not None else F.lit("slate"), max(explore, 0.0))) if strategy == "thompson" else means
     pool, greedy = max(size, 20 * k), max(4 * k, 64)
-    top, best = _scan(weights, means, items, excluded, pool, greedy, moods, mood_weight, novelty)
-    listed = cut(_finish(top.union(best).distinct(), features, models, strategy, max(explore, 0.0), compat, 3 * k, mmr_lambda))
+    n_items = items.count()
+    if n_items <= B.BLOCK_ITEMS:
+        listed = cut(_whole_lists(models, weights, means, items, (models.count(), n_items), excluded, pool, greedy, moods, mood_weight, novelty, strategy,
+                                  max(explore, 0.0), compat, 3 * k, mmr_lambda))
+        best = listed.filter("best").select("user_id", "item_id", "score", "mean")
+        listed = listed.drop("best")
+    else:
+        top, best = _scan(weights, means, items, excluded, pool, greedy, moods, mood_weight, novelty)
+        listed = cut(_finish(top.union(best).distinct(), features, models, strategy, max(explore, 0.0), compat, 3 * k, mmr_lambda))
     picked = listed.filter("rank is not null").join(titles.select("item_id", "language"), "item_id")
     final = language_quota(picked, k, max_share).drop("rank", "language")
     with_p = final.join(propensity(listed).select("user_id", "item_id", "propensity"), ["user_id", "item_id"])

@@ -282,8 +282,10 @@ def brute_slate(world, r, gone, k, strategy, novelty=0.0, mood=None, weight=0.6)
     return [int(keep[p]) for p in final], [prob[p] for p in final], [p not in best for p in final]
 
 
-@pytest.mark.parametrize("strategy,novelty,moody", [("mean", 0.0, False), ("ucb", 0.0, False), ("mean", 0.5, True), ("ucb", 0.3, True)])
-def test_slates(spark, world, strategy, novelty, moody):
+@pytest.mark.parametrize("strategy,novelty,moody,block", [("mean", 0.0, False, 20_000), ("ucb", 0.0, False, 20_000), ("mean", 0.5, True, 20_000), ("ucb", 0.3, True, 20_000),
+                                                           ("mean", 0.0, False, 50), ("ucb", 0.3, True, 50)])
+def test_slates(spark, world, monkeypatch, strategy, novelty, moody, block):
+    monkeypatch.setattr(B, "BLOCK_ITEMS", block)  # lists finished where they are scored, and merged from shards
     models = K.fit_taste(world["sl"], world["feats"], None, allow_rff=False).cache()
     mood = unit(RNG.normal(size=(1, D)))[0]
     moods = models.select("user_id", F.array(*[F.lit(float(x)) for x in mood]).alias("mood")) if moody else None
