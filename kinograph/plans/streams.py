@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import itemspace as I
-from ..session import cut, scratch
+from ..session import cut, rocksdb_state, scratch
 from ..streaming import jobs as J
 from ..streaming import streams as W
 from . import roles as R
@@ -94,7 +94,8 @@ def _(spark, d):
     lines = parsed_jobs(spark, d)
     path = W.land_in_order(cut(lines), "lines", "unix_seconds(to_timestamp(at))")
     stream = W.file_stream(spark, path, lines.schema)
-    return _standing(W.keep_current(J.watch_jobs(stream, delay="36 hours"), scratch(spark, "jobs"), scratch(spark, "cp"), ["job_id"]))
+    with rocksdb_state(spark):
+        return _standing(W.keep_current(J.watch_jobs(stream, delay="36 hours"), scratch(spark, "jobs"), scratch(spark, "cp"), ["job_id"]))
 
 
 @query("job_standing", WATCHED)
