@@ -299,28 +299,39 @@ def dedupe_first(rows: DataFrame, order: tuple = ("file_no", "pos")) -> DataFram
     return keyed.groupBy("_key", "source_id").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select("_r.*")
 
 
+def _tops(asked: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Per ``keys`` of ``asked`` (query, _bound, …): how many candidates count, how many of them are exact, the two
+    best exact ones and the best other one."""
+    dated = asked.join(found, "query").withColumn("_in", F.coalesce(F.col("year").isNull() | (F.col("year") <= F.col("_bound")), F.lit(True)))
+    match = F.struct("tmdb_id", F.col("kind"), F.col("c_title").alias("title"), "year", "popularity", "votes")
+    # Both readings are kept side by side, so that no group is read twice: candidates in time, and all where none is.
+    w = Window.partitionBy(*keys, "_exact", "_in").orderBy("rank")
+    first = dated.select(*keys, "_exact", "_in", "rank", match.alias("_m")).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= 2).groupBy(*keys, "_in").agg(
+        F.max(F.when(F.col("_exact") & (F.col("_n") == 1), F.col("_m"))).alias("_best"),
+        F.max(F.when(F.col("_exact") & (F.col("_n") == 2), F.col("_m"))).alias("_next"),
+        F.min_by(F.when(~F.col("_exact"), F.col("_m")), F.when(~F.col("_exact"), F.col("rank"))).alias("_guess"))
+    counts = dated.groupBy(*keys, "_in").agg(F.count_if("_exact").alias("exact_n"), F.count("*").alias("cand_n"))
+    both = counts.join(first, [*keys, "_in"])
+    kept = [c for c in both.columns if c not in (*keys, "_in")]
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*kept), "_in").alias("_t")).select(*keys, "_t.*")
+
+
 def grade_import(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """Grade each row against its landed search results (query, rank, tmdb_id, kind, title,
     original_title, year, popularity, votes)."""
     rows = rows.withColumn("query", S.strip_edition(F.col("title")))
+    # A row without a date takes every year.
+    asked = rows.select("row_id", "query", F.coalesce(F.year("rated_on"), F.lit(2**31 - 1)).alias("_bound"))
+    repeated = asked.groupBy("row_id").agg(F.count("*").alias("_c")).filter("_c > 1").select("row_id")
+    once, again = asked.join(repeated, "row_id", "left_anti"), asked.join(repeated, "row_id", "left_semi")
     wanted = X.normalise_export_title(F.col("query"))
-    pairs = rows.select("row_id", "query", "rated_on").join(candidates.withColumnRenamed("title", "c_title"), "query")
-    bound = F.year("rated_on")
-    in_time = F.col("year").isNull() | (F.col("year") <= bound)
-    dated = pairs.withColumn("_in", F.coalesce(in_time, F.lit(True)))
-    any_in = dated.groupBy("row_id").agg(F.bool_or("_in").alias("_any"))
-    usable = dated.join(any_in, "row_id").filter(F.col("_in") | ~F.col("_any")).withColumn("_wanted", wanted).withColumn(
+    found = candidates.withColumnRenamed("title", "c_title").withColumn("_wanted", wanted).withColumn(
         "_exact", F.coalesce((X.normalise_export_title(F.coalesce("c_title", F.lit(""))) == F.col("_wanted"))
-                             | (X.normalise_export_title(F.coalesce("original_title", F.lit(""))) == F.col("_wanted")), F.lit(False)))
-    w = Window.partitionBy("row_id", "_exact").orderBy("rank")
-    placed = usable.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= 4)
-    match = F.struct("tmdb_id", F.col("kind"), F.col("c_title").alias("title"), "year", "popularity", "votes")
-    totals = usable.groupBy("row_id").agg(F.count_if("_exact").alias("exact_n"), F.count("*").alias("cand_n"))
-    tops = placed.groupBy("row_id").agg(
-        F.max(F.when(F.col("_exact") & (F.col("_n") == 1), match)).alias("_best"),
-        F.max(F.when(F.col("_exact") & (F.col("_n") == 2), match)).alias("_next"),
-        F.min_by(F.when(~F.col("_exact"), match), F.when(~F.col("_exact"), F.col("rank"))).alias("_guess"))
-    g = rows.join(totals, "row_id", "left").join(tops, "row_id", "left")
+                             | (X.normalise_export_title(F.coalesce("original_title", F.lit(""))) == F.col("_wanted")), F.lit(False))).drop("_wanted")
+    # Rows of one search and year share their result; only rows whose id repeats, and so their candidates add up, are met one by one.
+    by_search = once.join(_tops(once.select("query", "_bound").distinct(), found, ["query", "_bound"]), ["query", "_bound"]).drop("query", "_bound")
+    tops = by_search.unionByName(_tops(again, found, ["row_id"]))
+    g = rows.join(tops, "row_id", "left")
     margin = (F.round(F.coalesce("_best.popularity", F.lit(0.0)), 1) + 1.0) / (F.round(F.coalesce("_next.popularity", F.lit(0.0)), 1) + 1.0)
     clear = (margin >= 8.0) & (F.coalesce("_best.votes", F.lit(0)) > F.coalesce("_next.votes", F.lit(0)))
     n = F.coalesce("exact_n", F.lit(0))

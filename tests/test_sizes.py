@@ -45,3 +45,27 @@ def test_vectors_are_not_broadcast(spark):
     content, factors = cut(items.select("item_id", vec(12).alias("vec"))), cut(items.filter("item_id % 2 = 0").select("item_id", vec(6).alias("vec")))
     space, art = I.fuse_space(content, factors, dim=8, rank=4)
     assert "BroadcastHashJoin" not in plan_of(space) and space.count() == 60 and art.coverage == 0.5
+
+
+def test_imports_are_graded_by_search_and_year(spark):
+    import datetime as dt
+
+    from kinograph.operators import matching as M
+
+    day = lambda y: dt.date(y, 6, 1)
+    rows = spark.createDataFrame(
+        [(1, "A film", day(2000)), (2, "A film", day(2000)), (3, "A film", day(1980)), (4, "A film", None), (5, "A film", day(2000)), (5, "A film", day(2000)),
+         (None, "A film", day(2000)), (7, "", day(2000)), (8, "Other", day(2000))], "row_id long, title string, rated_on date")
+    cands = spark.createDataFrame(
+        [("A film", 1, 10, "movie", "A film", "A film", 1990, 5.0, 10), ("A film", 2, 11, "movie", "a film!", "x", 2010, 4.0, 9),
+         ("A film", 3, 12, "movie", "Nearly a film", "y", 1985, 3.0, 8)],
+        "query string, rank int, tmdb_id long, kind string, title string, original_title string, year int, popularity double, votes long")
+    got = M.grade_import(rows, cands)
+    seen = sorted((r.row_id or 0, r.confidence, r.match.tmdb_id if r.match else None) for r in got.collect())
+    # Ids that repeat add their candidates up; a row without an id is met by none.
+    assert seen == [(0, "low", None), (1, "high", 10), (2, "high", 10), (3, "ambiguous", 10), (4, "ambiguous", 10), (5, "ambiguous", 10), (5, "ambiguous", 10), (7, "unresolvable", None), (8, "low", None)]
+    # Many rows of one search and year are one comparison with its candidates, not one each.
+    many = spark.range(5000).select(F.col("id").alias("row_id"), F.lit("A film").alias("title"), F.lit(day(2000)).alias("rated_on"))
+    asked = many.select("row_id", F.col("title").alias("query"), F.lit(2000).alias("_bound"))
+    assert M._tops(asked.select("query", "_bound").distinct(), cands.withColumnRenamed("title", "c_title").withColumn("_exact", F.lit(True)), ["query", "_bound"]).count() == 1
+    assert M.grade_import(many, cands).filter("confidence = 'high' and match.tmdb_id = 10").count() == 5000
