@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .. import dims
 from ..functions import kernels as N
-from ..session import cut, running_totals
+from ..session import bounded_batches, cut, running_totals
 from . import blocks as B
 from . import taste as K
 
@@ -104,22 +104,25 @@ def earlier_sums(parts: DataFrame, keys: list[str], fan: int | None = None) -> D
     fields = [parts.schema[k] for k in keys]
     schema = T.StructType([*fields, T.StructField("g", T.LongType()), T.StructField("whole", T.BooleanType()), T.StructField("packed", T.ArrayType(T.DoubleType()))])
 
-    def walk(batches):
+    bounded_batches(parts.sparkSession)
+
+    def sums(batches):
         at, total = None, None
         for pdf in batches:
-            out = []
             for row in pdf.itertuples(index=False):
                 *key, g, packed = row
                 if (group := (*key, g // fan)) != at:
                     if at is not None:
-                        out.append((*at, True, total))
+                        yield (*at, True, total)
                     at, total = group, None
-                out.append((*key, g, False, total))
+                yield (*key, g, False, total)
                 if packed is not None and len(packed):
                     total = np.asarray(packed) if total is None else total + np.asarray(packed)
-            yield pd.DataFrame(out, columns=schema.names)
         if at is not None:
-            yield pd.DataFrame([(*at, True, total)], columns=schema.names)
+            yield (*at, True, total)
+
+    def walk(batches):
+        return B.in_batches(sums(batches), schema.names)
 
     now, found, level = parts.select(*keys, F.col("g").cast("long"), "packed"), None, 0
     while True:
