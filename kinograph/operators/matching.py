@@ -98,7 +98,8 @@ def match_contains(searches: DataFrame, titles: DataFrame, limit: int | None = N
         .agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
     )
     hits = (
-        searches.withColumn("_raw", raw).join(rarest, "search_id").join(index, "gram").drop("gram").join(low, "item_id")
+        # The index is many times the titles, which Spark does not see: unasked it would be broadcast.
+        searches.withColumn("_raw", raw).join(rarest, "search_id").join(index.hint("merge"), "gram").drop("gram").join(low, "item_id")
         .filter((F.contains("_lt", "_raw") | F.contains("_lo", "_raw")) & _fits())
     )
 

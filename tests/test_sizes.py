@@ -69,3 +69,47 @@ def test_imports_are_graded_by_search_and_year(spark):
     asked = many.select("row_id", F.col("title").alias("query"), F.lit(2000).alias("_bound"))
     assert M._tops(asked.select("query", "_bound").distinct(), cands.withColumnRenamed("title", "c_title").withColumn("_exact", F.lit(True)), ["query", "_bound"]).count() == 1
     assert M.grade_import(many, cands).filter("confidence = 'high' and match.tmdb_id = 10").count() == 5000
+
+
+def test_gram_index_is_not_broadcast(spark):
+    from kinograph.operators import matching as M
+
+    titles = spark.createDataFrame([(1, "Blue anvil", "Blue anvil two", 2000, "movie", "en", 10), (2, "Red gear", "Red gear", 2001, "tv", "en", 5)],
+                                   "item_id long, title string, original_title string, year int, kind string, language string, imdb_votes int")
+    asked = spark.createDataFrame([(1, "anvil"), (2, "RED"), (3, "none")], "query_id long, query string")
+    hits = M.match_contains(M.prepare_queries(asked), M.prepare_titles(titles))
+    assert any("SortMergeJoin [gram" in line for line in plan_of(hits).splitlines())
+    assert sorted((r.query, r.item_id) for r in hits.collect()) == [("RED", 2), ("anvil", 1)]
+
+
+def test_wide_rows_leave_python_in_small_batches(spark):
+    import numpy as np
+
+    from kinograph.operators import blocks as B
+
+    frames = list(B.in_batches(((i, np.zeros(1 << 17)) for i in range(40)), ["k", "v"]))
+    assert [k for f in frames for k in f["k"]] == list(range(40)) and max(len(f) for f in frames) <= 8
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(1 << 28))
+    try:
+        rows = spark.range(10).select(F.lit(1).alias("k"), F.lit(1.0).alias("w"), F.lit(1.0).alias("y"), F.lit(1.0).alias("cnt"), F.array(F.lit(1.0)).alias("vec"))
+        assert B.moments(rows, ["k"]).head()["n"] == 10.0 and int(spark.conf.get(name).removesuffix("b")) <= 8 << 20
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_models_are_not_shuffled_to_meet_a_count(spark):
+    from kinograph.operators import taste as K
+
+    items = spark.range(30).select(F.col("id").alias("item_id"), F.array(F.sin("id"), F.cos("id")).alias("vec"))
+    labels = spark.range(60).select((F.col("id") % 3).alias("user_id"), (F.col("id") % 30).alias("item_id"), (F.col("id") / 60).alias("reward"), F.lit(1.0).alias("weight"))
+    models = K.fit_taste(labels, items, None, allow_rff=False)
+    # From the top down to the first exchange stand only the solver and the sums it reads.
+    top = plan_of(models).split("Exchange")[0]
+    assert "MapInPandas" in top and "Join" not in top
+    assert {r.user_id: r.n_real for r in models.collect()} == {0: 20, 1: 20, 2: 20}
+    pairs = labels.select("user_id", "item_id").unionByName(spark.range(5000).select(F.lit(1).cast("long").alias("user_id"), (F.col("id") % 30).alias("item_id")))
+    got = K.predict_pairs(pairs, items, cut(models))
+    # A user above one chunk is predicted in several, each with the user's model.
+    assert got.count() == 5060 and got.groupBy("user_id", "item_id").agg(F.count_distinct("mean").alias("n")).filter("n > 1").count() == 0
