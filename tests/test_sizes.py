@@ -113,3 +113,24 @@ def test_models_are_not_shuffled_to_meet_a_count(spark):
     got = K.predict_pairs(pairs, items, cut(models))
     # A user above one chunk is predicted in several, each with the user's model.
     assert got.count() == 5060 and got.groupBy("user_id", "item_id").agg(F.count_distinct("mean").alias("n")).filter("n > 1").count() == 0
+
+
+def test_lifted_fits_are_compared_where_they_are_made(spark, monkeypatch):
+    import numpy as np
+
+    from kinograph.operators import taste as K
+
+    items = cut(spark.range(60).select(F.col("id").alias("item_id"), F.array(F.sin("id"), F.cos(F.col("id") * 2), F.sin(F.col("id") * 3)).alias("vec")))
+    labels = cut(spark.range(110).select((F.col("id") % 2).alias("user_id"), (F.col("id") % 55).alias("item_id"), F.abs(F.sin(F.col("id") * 5)).alias("reward"), F.lit(1.0).alias("weight")).unionByName(
+        spark.range(8).select(F.lit(2).cast("long").alias("user_id"), F.col("id").alias("item_id"), (F.col("id") / 8).alias("reward"), F.lit(1.0).alias("weight"))))
+    draw = K.sample_negatives(items, 20)
+    one = K.fit_taste(labels, items, draw, rff_gate=30)
+    assert "max_by" not in plan_of(one)  # no matrix is shuffled to be compared
+    got = {r.user_id: r for r in one.collect()}
+    monkeypatch.setattr(K, "CHUNK", 40)  # the same users by moments alone
+    want = {r.user_id: r for r in K.fit_taste(labels, items, draw, rff_gate=30).collect()}
+    assert got.keys() == want.keys() == {0, 1, 2}
+    for user, r in got.items():
+        w = want[user]
+        assert (r.n_rff, r.gamma, r.n_real, r.n_obs) == (w.n_rff, w.gamma, w.n_real, w.n_obs)
+        assert np.allclose(r.mean, w.mean, atol=1e-6) and np.allclose(r.cov, w.cov, atol=1e-6) and np.isclose(r.log_evidence, w.log_evidence)
