@@ -18,6 +18,8 @@ VEC = T.ArrayType(T.DoubleType())
 CAPACITIES = ((0, 1.0), *[(w, g) for w in (128, 256) for g in (0.25, 0.5, 1.0, 2.0)])
 RIDGE_ALPHAS = (0.1, 1.0, 10.0, 100.0)
 CHUNK = 4096
+#: Distinct vote floors whose moments (21 KB each) are sent to every task; more are joined by a shuffle.
+FLOORS = 1024
 
 MODEL = T.StructType([
     T.StructField("mean", VEC), T.StructField("cov", VEC), T.StructField("alpha", T.DoubleType()), T.StructField("beta", T.DoubleType()),
@@ -236,11 +238,14 @@ def fit_taste_popular(labels: DataFrame, features: DataFrame, titles: DataFrame,
     drawn = cut(sample_popular_negatives(floors, pool, count, seed))
     shared = B.moments(_negative_rows(drawn, features).select("floor", "w", "y", "cnt", "vec"), ["floor"]).select(
         "floor", F.col("packed").alias("shared"), F.col("n").alias("shared_n"))
-    back = labels.join(floors.select("user_id", "floor"), "user_id").join(drawn, ["floor", "item_id"], "left_semi").select(
-        "user_id", "item_id", F.lit(-dims.NEGATIVE_WEIGHT).alias("w"), F.lit(dims.NEGATIVE_REWARD).alias("y"), F.lit(-1.0).alias("cnt"))
-    rows = labels.select("user_id", "item_id", F.col("weight").alias("w"), F.col("reward").alias("y"), F.lit(1.0).alias("cnt")).unionByName(back)
-    own = B.moments(rows.join(features.select("item_id", "vec"), "item_id").select("user_id", "w", "y", "cnt", "vec"), ["user_id"])
-    full = own.join(counts.select("user_id", "n_real"), "user_id").join(floors.select("user_id", "floor"), "user_id").join(shared, "floor").drop("floor")
+    # Count and floor travel as keys, and few floors' matrices go to the users', so that no user's matrix is shuffled again.
+    keys = ["user_id", "n_real", "floor"]
+    known = labels.select("user_id", "item_id", "weight", "reward").join(counts.select("user_id", "n_real").join(floors.select("user_id", "floor"), "user_id"), "user_id")
+    back = known.join(drawn, ["floor", "item_id"], "left_semi").select(
+        *keys, "item_id", F.lit(-dims.NEGATIVE_WEIGHT).alias("w"), F.lit(dims.NEGATIVE_REWARD).alias("y"), F.lit(-1.0).alias("cnt"))
+    rows = known.select(*keys, "item_id", F.col("weight").alias("w"), F.col("reward").alias("y"), F.lit(1.0).alias("cnt")).unionByName(back)
+    own = B.moments(rows.join(features.select("item_id", "vec"), "item_id").select(*keys, "w", "y", "cnt", "vec"), keys)
+    full = own.join(with_small(cut(shared), FLOORS), "floor").drop("floor")
     return _solve(full, np.zeros(1), 0.0, penalty, 0, 1.0)
 
 

@@ -134,3 +134,15 @@ def test_lifted_fits_are_compared_where_they_are_made(spark, monkeypatch):
         w = want[user]
         assert (r.n_rff, r.gamma, r.n_real, r.n_obs) == (w.n_rff, w.gamma, w.n_real, w.n_obs)
         assert np.allclose(r.mean, w.mean, atol=1e-6) and np.allclose(r.cov, w.cov, atol=1e-6) and np.isclose(r.log_evidence, w.log_evidence)
+
+
+def test_popular_models_are_not_shuffled_to_meet_a_count_or_floor(spark):
+    from kinograph.operators import taste as K
+
+    items = cut(spark.range(30).select(F.col("id").alias("item_id"), F.array(F.sin("id"), F.cos("id")).alias("vec"), (F.col("id") * 10).alias("imdb_votes")))
+    labels = spark.range(60).select((F.col("id") % 3).alias("user_id"), (F.col("id") % 30).alias("item_id"), (F.col("id") / 60).alias("reward"), F.lit(1.0).alias("weight"))
+    models = K.fit_taste_popular(labels, items.select("item_id", "vec"), items.select("item_id", "imdb_votes"), 5)
+    # From the sums of each user to the solver, as planned, no matrix is shuffled: only the few floors' matrices are sent.
+    top = plan_of(models).split("MapInPandas")[1]
+    assert "BroadcastHashJoin" in top and "SortMergeJoin" not in top
+    assert {r.user_id: r.n_real for r in models.collect()} == {0: 20, 1: 20, 2: 20}
