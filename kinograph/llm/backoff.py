@@ -34,34 +34,55 @@ class _Words(dict):
 
 
 _CODEC = "zstd"
+_AT_ONCE = 1 << 17
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together, so that empty high bytes compress away; length first."""
-    data = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-    return len(x).to_bytes(8, "little") + pa.Codec(_CODEC, compression_level=1).compress(data, asbytes=True)
+    """Bytes of equal weight together, each plane compressed by itself, as the random low bytes of gaps would spoil
+    the code of their high ones; length first. An empty plane has size 0, one that does not compress is kept as it is."""
+    codec, out = pa.Codec(_CODEC, compression_level=1), [len(x).to_bytes(8, "little")]
+    for plane in np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T):
+        data = b""
+        if plane.any():
+            data = codec.compress(plane, asbytes=True)
+            data = data if len(data) < len(plane) else plane.tobytes()
+        out += [len(data).to_bytes(4, "little"), data]
+    return b"".join(out)
 
 
 def _whole(data: bytes, kind) -> np.ndarray:
-    size, n = np.dtype(kind).itemsize, int.from_bytes(data[:8], "little")
-    flat = pa.decompress(data[8:], size * n, codec=_CODEC) if n else b""
-    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    n, at = int.from_bytes(data[:8], "little"), 8
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    for place in range(out.shape[1]):
+        size, at = int.from_bytes(data[at:at + 4], "little"), at + 4
+        if size:
+            plane = data[at:at + size]
+            out[:, place] = np.frombuffer(plane if size == n else pa.decompress(plane, n, codec=_CODEC), np.uint8)
+        at += size
+    return out.reshape(-1).view(kind)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(27))
+    """In place: a slab's numbers are its task's largest arrays."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    return x
 
 
 def grams(words: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     """The number of the n-gram that ends at each word; 0 where the document has fewer words before it."""
     total = words.copy()
     for back in range(1, n):
-        total[back:] = _mix(total[back:] + words[:-back] * _P[back])
-    total = _mix(total + np.uint64(int(_P[0]) * n % (1 << 64)))
+        before = words[:-back] * _P[back]
+        before += total[back:]
+        total[back:] = _mix(before)
+    total += np.uint64(int(_P[0]) * n % (1 << 64))
+    _mix(total)
     total[total == 0] = 1
-    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    total[place < n - 1] = 0
+    starts = np.cumsum(lengths) - lengths
+    for place in range(n - 1):
+        total[starts[lengths > place] + place] = 0
     return total
 
 
@@ -73,14 +94,15 @@ def _slabs(size: int):
 
         def flush():
             words = np.concatenate([h[3] for h in held])
-            vocabulary, codes, often = np.unique(words, return_inverse=True, return_counts=True)
-            common = np.argsort(-often, kind="stable")  # small codes for common words
+            vocabulary, often = np.unique(words, return_counts=True)
+            codes = np.searchsorted(vocabulary, words)
+            common = np.argsort(-often, kind="stable")  # small codes for common words; equally common ones by number, so in small gaps
             rank = np.empty(len(common), "<u4")
             rank[common] = np.arange(len(common), dtype="<u4")
             lengths = [len(h[3]) for h in held]
             return pa.RecordBatch.from_arrays([
                 pa.array([held[0][0]], pa.int64()), pa.array([[h[1] for h in held]], pa.list_(kind)),
-                pa.array([[h[2] for h in held]], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([_planes(vocabulary[common])], pa.binary()),
+                pa.array([[h[2] for h in held]], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([_planes(np.diff(vocabulary[common], prepend=np.uint64(0)))], pa.binary()),
                 pa.array([_planes(rank[codes])], pa.binary())],
                 names=["slab", "doc_ids", "hashes", "lengths", "vocabulary", "codes"])
 
@@ -103,7 +125,7 @@ def _slabs(size: int):
 
 
 def _words_of(vocabulary: bytes, codes: bytes) -> np.ndarray:
-    return _whole(vocabulary, "<u8")[_whole(codes, "<u4")]
+    return np.cumsum(_whole(vocabulary, "<u8"), dtype=np.uint64)[_whole(codes, "<u4")]
 
 
 def _explode(order: int, parts: int):
@@ -164,11 +186,18 @@ def _score(order: int, alpha: float, least: int, total: int, names):
             got.setdefault(n, []).append(_whole(counts, "<u8"))
         count = []
         for n in range(1, order + 1):
-            found, place = np.unique(grams(words, lengths, n), return_inverse=True)
-            known = np.concatenate([np.zeros(int(len(found) > 0 and found[0] == 0), "<u8"), *got.get(n, [])])
+            each = grams(words, lengths, n)
+            found = np.unique(each)
+            known = np.concatenate([np.zeros(int(len(found) > 0 and found[0] == 0), "<u8"), *got.pop(n, [])])
             if len(known) != len(found):
                 raise RuntimeError("the documents changed between two reads: land them first")
-            count.append(known[place].astype(float))
+            mine, known = np.empty(len(each)), known.astype(float)
+            for a in range(0, len(each), _AT_ONCE):
+                part = each[a:a + _AT_ONCE]
+                by_number = np.argsort(part)  # sorted keys are found without a cache miss each
+                mine[a + by_number] = known[np.searchsorted(found, part[by_number])]
+            count.append(mine)
+            del each, found, known
         with np.errstate(divide="ignore", invalid="ignore"):
             score = np.log(count[0] / total)
             for n in range(2, order + 1):
@@ -183,7 +212,7 @@ def _score(order: int, alpha: float, least: int, total: int, names):
 
 
 def backoff_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT,
-                   slab_words: int = 1 << 20, parts: int | None = None) -> DataFrame:
+                   slab_words: int = 1 << 21, parts: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, n_words, log_score.
 
     ``log_score`` sums, over the words of the whole text (ASCII-lower-cased, cut at white space), the
