@@ -159,3 +159,122 @@ def test_runs_of_ngrams_take_little_more_than_their_entropy():
     assert len(data) / 8000 < 5.75 and (backoff._whole(data, "<u8") == gaps).all()  # entropy: 5.64 bytes
     for x in (gaps[:0], gaps[:1], gaps * 0, gaps >> 60):
         assert (backoff._whole(backoff._planes(x), "<u8") == x).all()
+
+
+def test_copies_of_items_do_not_follow_every_few_queries(spark):
+    from kinograph.operators import blocks as B
+
+    blocks, shards = B.block_plan(spark, 540_000, 720_000)
+    assert blocks <= 34 and shards <= 22
+    assert B.block_plan(spark, 90_000, 120_000, B.MODEL_QUERIES, True)[1] == 1
+    gone = [__import__("numpy").array(x) for x in ([2, 9, 4], [])]
+    ids = __import__("numpy").array([1, 2, 2, 4, 7])
+    assert B.keep_mask(ids, gone[0]).tolist() == [True, False, False, False, True] and B.keep_mask(ids, gone[1]).all()
+
+
+def test_rows_of_many_keys_meet_in_one_shuffle(spark, monkeypatch):
+    from kinograph.operators import blocks as B
+
+    monkeypatch.setattr(B, "TREE_FROM", 1)
+    rows = spark.range(90).select((F.col("id") % 30).alias("k"), F.lit(1.0).alias("w"), F.lit(1.0).alias("y"), F.lit(1.0).alias("cnt"), F.array(F.sin("id")).alias("vec"))
+    many, few = B.moments(rows, ["k"]), B.moments(rows, ["k"], few=True)
+    # Groups of partitions would make matrices of a key's few rows.
+    assert plan_of(many).count("Exchange") == 1 and plan_of(few).count("Exchange") == 2
+    got = lambda df: sorted((r.k, r.n, tuple(round(x, 9) for x in r.packed)) for r in df.collect())
+    assert got(many) == got(few)
+
+
+def test_models_are_stored_as_triangles(spark):
+    from kinograph.operators import taste as K
+
+    items = cut(spark.range(30).select(F.col("id").alias("item_id"), F.array(F.sin("id"), F.cos("id")).alias("vec")))
+    labels = spark.range(60).select((F.col("id") % 3).alias("user_id"), (F.col("id") % 30).alias("item_id"), (F.col("id") / 60).alias("reward"), F.lit(1.0).alias("weight"))
+    models = cut(K.fit_taste(labels, items, None, allow_rff=False))
+    small = K.packed(models)
+    assert {len(r.cov) for r in models.collect()} == {9} and {len(r.cov) for r in K.packed(small).collect()} == {6}
+    got = [sorted((r.user_id, r.item_id, r.mean, r.sd) for r in K.predict_pairs(labels.select("user_id", "item_id"), items, m).collect()) for m in (models, small)]
+    assert got[0] == got[1]
+
+
+def test_ridge_rows_meet_once(spark, monkeypatch):
+    import numpy as np
+
+    from kinograph.operators import taste as K
+
+    items = cut(spark.range(40).select(F.col("id").alias("item_id"), F.array(F.sin("id"), F.cos(F.col("id") * 2)).alias("vec")))
+    labels = cut(spark.range(60).select((F.col("id") % 3).alias("user_id"), (F.col("id") % 30).alias("item_id"), F.abs(F.sin(F.col("id") * 5)).alias("reward"), F.lit(1.0).alias("weight")))
+    draw = K.sample_negatives(items, 15)
+    one = K.ridge_baseline(labels, items, draw)
+    assert "CoGroup" not in plan_of(one)
+    monkeypatch.setattr(K, "CHUNK", 10)  # the same users by moments and chunks
+    two = {r.user_id: r for r in K.ridge_baseline(labels, items, draw).collect()}
+    got = {r.user_id: r for r in one.collect()}
+    assert got.keys() == two.keys() == {0, 1, 2}
+    assert all(g.alpha == two[u].alpha and np.allclose(g.w, two[u].w) and np.isclose(g.b, two[u].b) for u, g in got.items())
+
+
+def test_short_lists_are_picked_from_together(spark):
+    import numpy as np
+
+    from kinograph.functions import kernels as N
+    from kinograph.operators import slates as L
+
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 30, 30, 7, 80, 3])
+    value, unit = rng.normal(size=sizes.sum()), rng.normal(size=(sizes.sum(), 5))
+    got, at = N.diverse_lists(value, unit, sizes, 6, 0.4), 0
+    for picks, n in zip(got, sizes):
+        assert [p - at for p in picks] == N.diverse_greedy(value[at:at + n], unit[at:at + n], 6, 0.4)
+        at += n
+    listed = spark.range(300).select(F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("user_id"), F.col("id").alias("item_id"), F.sin("id").alias("score"))
+    vectors = spark.range(300).select(F.col("id").alias("item_id"), F.array(F.sin(F.col("id") * 3), F.cos(F.col("id") * 3)).alias("latent"))
+    out = L.mmr(listed, vectors, 4)
+    assert "MapInArrow" in plan_of(out)
+    # A list without a user is a list too.
+    assert sorted((r.user_id or 0, r["rank"]) for r in out.collect()) == [(u, k) for u in range(7) for k in range(1, 5)]
+
+
+def test_nearest_sums_are_exact_where_bounds_skip_items(spark):
+    import numpy as np
+
+    from kinograph.operators import evaluation as P
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, latent array<double>")
+    told = [(u, int(i), float(rng.uniform(-0.2, 1.0))) for u in range(5) for i in rng.choice(400, 4 + 3 * u, replace=False)]
+    got = P.arm_weighted_knn(spark.createDataFrame(told, "user_id long, item_id long, reward double"), items, 5, 3).toPandas()
+    for u in range(5):
+        own = [(i, r) for who, i, r in told if who == u]
+        sims, r = x @ x[[i for i, _ in own]].T, np.array([r for _, r in own])
+        pick = np.argsort(-sims, axis=1)[:, :3]
+        score = (np.maximum(np.take_along_axis(sims, pick, 1), 0) * r[pick]).sum(axis=1)
+        score[[i for i, _ in own]] = -np.inf
+        assert list(got[got.user_id == u].sort_values("rank").item_id) == list(np.argsort(-score, kind="stable")[:5])
+
+
+def test_intervals_of_few_values_leave_their_task_alone(spark, monkeypatch):
+    import numpy as np
+
+    from kinograph.operators import evaluation as P
+
+    values = cut(spark.range(900).select(F.when(F.col("id") % 6 > 0, F.col("id") % 6).alias("user_id"), F.lit("x").alias("what"), F.floor(F.col("id") / 6).alias("idx"),
+                                         F.sin("id").alias("v"), F.lit(150).alias("n")).filter("user_id is not null"))
+    few = P.resampled_intervals(values, 300, ["user_id", "what"])
+    got = {r.user_id: r.ci for r in few.collect()}
+    monkeypatch.setattr(P, "FEW_VALUES", 0)
+    many = {r.user_id: r.ci for r in P.resampled_intervals(values, 300, ["user_id", "what"]).collect()}
+    assert got.keys() == many.keys() == {1, 2, 3, 4, 5} and all(np.allclose(got[u], many[u]) for u in got)
+
+
+def test_questions_stop_where_no_title_is_left(spark):
+    from kinograph.operators import coldstart as Q
+    from kinograph.operators import taste as K
+
+    items = cut(spark.range(20).select(F.col("id").alias("item_id"), F.array(F.sin("id"), F.cos("id")).alias("vec")))
+    labels = spark.range(20).select(F.lit(1).cast("long").alias("user_id"), F.col("id").alias("item_id"), F.abs(F.sin("id")).alias("reward"), F.lit(1.0).alias("weight"))
+    models = cut(K.fit_taste(labels, items, None, allow_rff=False))
+    asked = labels.filter("item_id < 17").select("user_id", "item_id")
+    out = Q.next_questions(models, items.withColumn("latent", F.col("vec")), asked, items, 8)
+    assert sorted(r.item_id for r in out.collect()) == [17, 18, 19]
