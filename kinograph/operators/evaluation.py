@@ -103,12 +103,18 @@ def arm_weighted_knn(answered, items, k=10, near: int = 30):
         "qid", F.transform("sheet", lambda x: x["item_id"]).alias("i"), F.transform("sheet", lambda x: x["reward"]).alias("r"), F.flatten(F.transform("sheet", lambda x: x["latent"])).alias("a"))
     schema = T.StructType([sheets.schema["qid"], items.schema["item_id"], T.StructField("score", T.DoubleType())])
 
-    def run(q, rp, drop):
+    def run(q, found, drop):
+        # Users who answered the same items stand together, so that few distinct ones meet all items at once.
+        q, held = q.assign(_first=q["i"].map(lambda i: i[0])).sort_values("_first", kind="stable"), []
+        for rp in found:
+            held += nearest(q, rp, drop)
+        best = B.as_frame(held, schema.names).sort_values(["qid", "score", "item_id"], ascending=[True, False, True])
+        yield best.groupby("qid", dropna=False).head(k)
+
+    def nearest(q, rp, drop):
         ids, x, held = rp["item_id"].to_numpy(), B._stack(rp["vec"]), []
         # Bounds in single precision, with room for its errors; sums are of the given numbers.
         plain, longest = x.T.astype(np.float32), np.sqrt((x * x).sum(axis=1)).max()
-        # Users who answered the same items stand together, so that few distinct ones meet all items at once.
-        q = q.assign(_first=q["i"].map(lambda i: i[0])).sort_values("_first", kind="stable")
         users = max(min(2 * B.SCORES_AT_ONCE // max(len(ids), 1), SHEETS_AT_ONCE), 1)
         for k0 in range(0, len(q), users):
             part = q.iloc[k0:k0 + users]
@@ -144,10 +150,10 @@ def arm_weighted_knn(answered, items, k=10, near: int = 30):
                 first, score = first[order], score[order]
                 best = N.best_indices(score, k)
                 held.append((np.full(len(best), qid), ids[first[best]], score[best]))
-        return B.as_frame(held, schema.names)
+        return held
 
     gone = answered.select(F.col("user_id").alias("qid"), "item_id")
-    hits = B.per_block(cut(sheets), items.select("item_id", F.col("latent").alias("vec")), gone, run, schema, block=B.MODEL_QUERIES)
+    hits = B.per_block(cut(sheets), items.select("item_id", F.col("latent").alias("vec")), gone, run, schema, block=B.MODEL_QUERIES, streamed=True)
     return B.best_per_query(hits, k).select(F.col("qid").alias("user_id"), "item_id", "score", "rank")
 
 

@@ -340,16 +340,20 @@ def top_scored(weights: DataFrame, features: DataFrame, k: int, skip: DataFrame
     asked = weights.withColumnRenamed("user_id", "qid")
     schema = T.StructType([T.StructField("qid", weights.schema["user_id"].dataType), features.schema["item_id"], T.StructField("score", T.DoubleType())])
 
-    def run(q, rp, drop):
-        ids, x, held = rp["item_id"].to_numpy(), B._stack(rp["vec"]), []
-        for _, users in q.groupby(["n_rff", "gamma"]):
-            phi, w, b = _phi(users.iloc[0], x).T, B._stack(users["w"]), users["b"].to_numpy(float)[:, None]
-            for part in B.in_slices(len(w), len(ids)):
-                B.best_rows(users["qid"].to_numpy()[part], w[part] @ phi + b[part], ids, drop, k, held)
-        return B.as_frame(held, schema.names)
+    def run(q, found, drop):
+        best = B.BestRows(q["qid"].to_numpy(), k, drop)
+        groups = [(users, users["_at"].to_numpy(), B._stack(users["w"]), users["b"].to_numpy(float)[:, None])
+                  for _, users in q.assign(_at=np.arange(len(q))).groupby(["n_rff", "gamma"])]
+        for rp in found:
+            ids, x = rp["item_id"].to_numpy(), B._stack(rp["vec"])
+            for users, at, w, b in groups:
+                phi = _phi(users.iloc[0], x).T
+                for part in B.in_slices(len(w), len(ids)):
+                    best.add(at[part], w[part] @ phi + b[part], ids)
+        yield best.frame(schema.names)
 
     gone = skip.withColumnRenamed("user_id", "qid") if skip is not None else None
-    hits = B.per_block(asked, features.select("item_id", "vec"), gone, run, schema)
+    hits = B.per_block(asked, features.select("item_id", "vec"), gone, run, schema, streamed=True)
     return B.best_per_query(hits, k).withColumnRenamed("qid", "user_id")
 
 

@@ -278,3 +278,44 @@ def test_questions_stop_where_no_title_is_left(spark):
     asked = labels.filter("item_id < 17").select("user_id", "item_id")
     out = Q.next_questions(models, items.withColumn("latent", F.col("vec")), asked, items, 8)
     assert sorted(r.item_id for r in out.collect()) == [17, 18, 19]
+
+
+def test_items_are_not_copied_to_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from kinograph.operators import blocks as B
+
+    space = cut(spark.range(300).select(F.col("id").alias("item_id"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda j: F.sin(F.col("id") * j + j)).alias("vec")))
+    rows = []
+    for block in (150, 10):
+        monkeypatch.setattr(B, "BLOCK_QUERIES", block)
+        monkeypatch.setattr(B, "SHARD_ITEMS", 70)  # several sheets a block
+        got = I.neighbours(space, space.select("item_id"), 3)
+        rows.append(sorted((r.qid, r["rank"], r.item_id) for r in got.collect()))
+        assert "CartesianProduct" in plan_of(got) and "Generate" not in plan_of(got)
+    x = np.array([r.vec for r in space.orderBy("item_id").collect()])
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    best = np.argsort(-s, axis=1, kind="stable")[:, :3]
+    assert rows[0] == rows[1] == [(q, k + 1, int(i)) for q, row in enumerate(best) for k, i in enumerate(row)]
+
+
+def test_best_rows_over_sheets():
+    import numpy as np
+
+    from kinograph.operators import blocks as B
+
+    rng = np.random.default_rng(5)
+    scores, ids = rng.integers(0, 9, size=(7, 90)).astype(float), np.sort(rng.integers(0, 80, size=90))  # ties, and ids that repeat
+    scores[2, 5], scores[3], scores[6, 4:] = np.nan, -np.inf, -np.inf
+    best = B.BestRows(np.arange(7), 6, {1: ids[[3, 40]], 4: np.array([500])})
+    best.HEAD = 10
+    for a, b in ((0, 50), (50, 53), (53, 90)):
+        for rows in (np.arange(4), np.array([4, 6, 5])):
+            best.add(rows, scores[rows, a:b], ids[a:b])
+    got = best.frame(["qid", "item_id", "score"])
+    for q in range(7):
+        gone = ids[[3, 40]] if q == 1 else []
+        want = sorted((-s, i) for s, i in zip(scores[q], ids) if np.isfinite(s) and i not in gone)[:6]
+        mine = got[got.qid == q]
+        assert list(zip(-mine.score, mine.item_id)) == want
