@@ -319,3 +319,40 @@ def test_best_rows_over_sheets():
         want = sorted((-s, i) for s, i in zip(scores[q], ids) if np.isfinite(s) and i not in gone)[:6]
         mine = got[got.qid == q]
         assert list(zip(-mine.score, mine.item_id)) == want
+
+
+def test_gains_leave_a_task_in_bounded_frames(spark, monkeypatch):
+    import numpy as np
+
+    from kinograph.functions import kernels as N
+    from kinograph.operators import blocks as B
+    from kinograph.operators import coldstart as Q
+
+    # Numbers are handed on as few users by few items, whatever a block holds.
+    monkeypatch.setattr(Q, "USERS_AT_ONCE", 3)
+    monkeypatch.setattr(Q, "SQUARES_AT_ONCE", 8 * 15 * 4)
+    rng = np.random.default_rng(2)
+    x, roots = rng.normal(size=(20, 4)), rng.normal(size=(8, 5, 5))
+    covs = [r @ r.T for r in roots]
+    models = spark.createDataFrame([(u, [0.0] * 5, covs[u].ravel().tolist(), 2.0 + u, 0, 1.0) for u in range(8)], "user_id long, mean array<double>, cov array<double>, beta double, n_rff int, gamma double")
+    pool = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, vec array<double>")
+    asked = spark.createDataFrame([(0, 3), (0, 3), (5, 7), (99, 1)], "user_id long, item_id long")
+    sizes, plain = [], B.per_block
+
+    def watched(queries, items, skip, fn, schema, *args, **more):
+        if more.get("streamed"):
+            users = B._of_sheet(B.sheets(queries.coalesce(1), "a", 100).head()["a"])
+            sizes.extend(len(f) for f in fn(users, iter([items.toPandas()]), {}))
+        return plain(queries, items, skip, fn, schema, *args, **more)
+
+    monkeypatch.setattr(B, "per_block", watched)
+    phi = np.hstack([np.ones((20, 1)), x])
+    ref = phi.T @ phi / 20
+    for got, rule in ((Q.information_gain(models, pool, asked), lambda b, e, s: 0.5 * np.log1p(b * e)), (Q.variance_reduction(models, pool, asked, pool), lambda b, e, s: b * s / (1 + b * e))):
+        rows = {(r.user_id, r.item_id): r.gain for r in got.collect()}
+        assert len(rows) == 8 * 20 - 2 and (0, 3) not in rows and (5, 7) not in rows
+        for (u, i), gain in rows.items():
+            want = rule(2.0 + u, phi[i] @ covs[u] @ phi[i], phi[i] @ covs[u] @ ref @ covs[u] @ phi[i])
+            assert abs(gain - want) < 1e-9 * max(1.0, abs(want))
+    assert max(sizes) <= 3 * 4 and sum(sizes) == 2 * 160
+    assert np.allclose(N.forms(np.stack([N.pack(covs[0])]), 5) @ N.squares(phi), N.quadratic(phi, covs[0]))
