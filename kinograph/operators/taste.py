@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import dims
 from ..functions import kernels as N
@@ -280,14 +283,32 @@ def with_model(rows: DataFrame, models: DataFrame, fn, schema: T.StructType, pai
     left = rows.filter(known).join(busy, "user_id", "left").withColumn("_c", F.pmod(F.xxhash64("item_id"), n).cast("int")).drop("_n")
     right = models.filter(known).join(busy, "user_id", "left").withColumn("_c", F.explode(F.sequence(F.lit(0), n - 1))).drop("_n")
 
-    def run(lp, rp):
-        if lp.empty or rp.empty:
-            return pd.DataFrame([], columns=schema.names)
-        return fn(rp.iloc[0], lp)
+    models_columns = models.columns
+    of_model = [f"_m_{c}" for c in models_columns]
+    right = right.select("user_id", "_c", *[F.col(c).alias(m) for c, m in zip(models_columns, of_model)], F.lit(True).alias("_model"))
+    # A user's model comes before the user's rows; both are read in a stream, many users a batch.
+    both = B.spread(left.toDF(*left.columns).withColumn("_model", F.lit(False)).unionByName(right.toDF(*right.columns), allowMissingColumns=True), "user_id", "_c")
+    given, sent = [*rows.columns, "_c"], to_arrow_schema(schema)
 
-    # Fresh column identities: one side is often derived from the other.
-    left, right = B.spread(left.toDF(*left.columns), "user_id", "_c"), B.spread(right.toDF(*right.columns), "user_id", "_c")
-    return left.groupBy("user_id", "_c").cogroup(right.groupBy("user_id", "_c")).applyInPandas(run, schema)
+    def run(batches):
+        known = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            new = table.filter(table["_model"]).select(["_c", *of_model]).rename_columns(["_c", *models_columns]).to_pandas()
+            for _, model in new.iterrows():
+                known.setdefault((model["user_id"], model["_c"]), model)
+            mine = table.filter(pc.invert(table["_model"])).select(given).to_pandas()
+            user, chunk = mine["user_id"].to_numpy(), mine["_c"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (user[1:] != user[:-1]) | (chunk[1:] != chunk[:-1])]) if len(mine) else []
+            rows_of = mine.drop(columns="_c")
+            found = [fn(known[key], rows_of.iloc[first:last]) for first, last in zip(starts, [*starts[1:], len(mine)]) if (key := (user[first], chunk[first])) in known]
+            if found:
+                yield pa.RecordBatch.from_pandas(pd.concat(found, ignore_index=True), sent, preserve_index=False)
+            # The last user's rows may go on in the next batch.
+            last = (table["user_id"][-1].as_py(), table["_c"][-1].as_py())
+            known = {last: known[last]} if last in known else {}
+
+    return both.sortWithinPartitions("user_id", "_c", F.desc("_model")).mapInArrow(lambda batches: run(b for b in batches if b.num_rows), schema)
 
 
 def _phi(model, x: np.ndarray, seed: int = 0) -> np.ndarray:

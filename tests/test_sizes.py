@@ -356,3 +356,32 @@ def test_gains_leave_a_task_in_bounded_frames(spark, monkeypatch):
             assert abs(gain - want) < 1e-9 * max(1.0, abs(want))
     assert max(sizes) <= 3 * 4 and sum(sizes) == 2 * 160
     assert np.allclose(N.forms(np.stack([N.pack(covs[0])]), 5) @ N.squares(phi), N.quadratic(phi, covs[0]))
+
+
+def test_models_and_rows_meet_in_a_stream(spark, monkeypatch):
+    from pyspark.sql import types as T
+
+    from kinograph.operators import taste as K
+
+    monkeypatch.setattr(K, "CHUNK", 10)
+    big, calls = 2**60 + 1, spark.sparkContext.accumulator(0)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.range(47).select(F.when(F.col("id") < 25, 1).when(F.col("id") < 32, 2).when(F.col("id") < 46, 3).cast("long").alias("user_id"), F.col("id").alias("item_id"), (F.col("id") + big).alias("row_id"))
+    models = spark.createDataFrame([(1, [2.0]), (3, [5.0]), (4, [7.0]), (None, [1.0])], "user_id long, row_id array<double>")  # a name that rows have too
+    schema = T.StructType([*rows.schema.fields, T.StructField("x", T.DoubleType())])
+
+    def fn(model, pdf):
+        calls.add(1)
+        return pdf.assign(x=model["row_id"][0] * pdf["item_id"])[schema.names]
+
+    try:
+        for batch in ("10000", "4"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            before = calls.value
+            got = K.with_model(rows, models, fn, schema)
+            assert "CoGroup" not in plan_of(got) and "MapInArrow" in plan_of(got)
+            seen = sorted((r.user_id, r.item_id, r.row_id, r.x) for r in got.collect())
+            assert seen == [(u, i, big + i, m * i) for u, m, ids in ((1, 2.0, range(25)), (3, 5.0, range(32, 46))) for i in ids]
+            assert calls.value - before >= 5  # busy users' rows stand in several chunks
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
