@@ -385,3 +385,14 @@ def test_models_and_rows_meet_in_a_stream(spark, monkeypatch):
             assert calls.value - before >= 5  # busy users' rows stand in several chunks
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_sheets_are_bounded_by_rows_and_bytes(spark):
+    from kinograph.operators import blocks as B
+
+    B.bounded_batches(spark)
+    wide = spark.range(0, 3000, 1, 1).select(F.col("id").alias("item_id"), F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda j: j / 7).alias("vec"))
+    sizes = [len(B._of_sheet(r.a)) for r in B.sheets(wide, "a", 2500).collect()]
+    assert sum(sizes) == 3000 and len(sizes) >= 2 and max(sizes) * 8000 <= 2 * B.BATCH_BYTES
+    assert [len(B._of_sheet(r.a)) for r in B.sheets(wide.limit(10), "a", 4).collect()] == [4, 4, 2]
+    assert B.sheets(wide.limit(0), "a", 4).count() == 0
