@@ -433,7 +433,7 @@ def resampled_intervals(values: DataFrame, iters: int, keys: list[str], bounds:
         if held is not None and len(held):
             yield read(held)
 
-    few = B.spread(rows.filter(F.col("n") <= FEW_VALUES), *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    few = B.gathered(rows.filter(F.col("n") <= FEW_VALUES), *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
     many = resampled_means(rows.filter(F.col("n") > FEW_VALUES), iters, keys, seed)
     return few.unionByName(many.groupBy(*keys).agg(F.percentile("mean", F.array(*[F.lit(b) for b in bounds])).alias("ci")))
 

@@ -105,7 +105,7 @@ def mmr(listed: DataFrame, latent: DataFrame, k: int, balance: float = 0.72) ->
         if wait is not None:
             yield chosen(wait, _run_starts(wait["user_id"].combine_chunks()))
 
-    return B.spread(rows, "user_id").sortWithinPartitions("user_id").mapInArrow(run, schema)
+    return B.gathered(rows, "user_id").sortWithinPartitions("user_id").mapInArrow(run, schema)
 
 
 def _run_starts(keys) -> np.ndarray:

@@ -396,3 +396,39 @@ def test_sheets_are_bounded_by_rows_and_bytes(spark):
     assert sum(sizes) == 3000 and len(sizes) >= 2 and max(sizes) * 8000 <= 2 * B.BATCH_BYTES
     assert [len(B._of_sheet(r.a)) for r in B.sheets(wide.limit(10), "a", 4).collect()] == [4, 4, 2]
     assert B.sheets(wide.limit(0), "a", 4).count() == 0
+
+
+def _popular_world(spark, per_user):
+    """Items 0 to 29 have no votes, 30 to 89 have ten; users 0 and 1 rated items with votes, users 2 and 3 only items without."""
+    items = cut(spark.range(90).select(F.col("id").alias("item_id"), F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * F.col("id"))).alias("vec"), F.when(F.col("id") >= 30, 10).alias("imdb_votes")))
+    rated = [(u, (30 if u < 2 else 0) + (7 * k) % (60 if u < 2 else 30), ((u + 3 * k) % 11) / 10, 1.0) for u in range(4) for k in range(per_user[u])]
+    return items, spark.createDataFrame(rated, "user_id long, item_id long, reward double, weight double")
+
+
+def _same_models(got, want):
+    import numpy as np
+
+    got, want = ({r.user_id: r for r in df.collect()} for df in (got, want))
+    assert got.keys() == want.keys()
+    for user, r in got.items():
+        w = want[user]
+        assert (r.n_rff, r.gamma, r.n_real, r.n_obs) == (w.n_rff, w.gamma, w.n_real, w.n_obs)
+        assert np.allclose(r.mean, w.mean, atol=1e-6) and np.allclose(r.cov, w.cov, atol=1e-6) and np.isclose(r.log_evidence, w.log_evidence)
+    return got
+
+
+def test_popular_models_try_lifts_and_draw_for_users_without_a_floor(spark, monkeypatch):
+    from kinograph.operators import taste as K
+
+    items, labels = _popular_world(spark, (60, 20, 30, 8))
+    feats = items.select("item_id", "vec")
+    ours, others = labels.filter("user_id < 2"), labels.filter("user_id >= 2")
+    got = K.fit_taste_popular(labels, feats, items.select("item_id", "imdb_votes"), 6, rff_gate=18)
+    # Ten votes is the floor of users 0 and 1: their draw is the uniform one of the items above it, that of the others of all.
+    want = K.fit_taste(ours, feats, K.sample_negatives(items.filter("imdb_votes >= 10"), 6), rff_gate=18).unionByName(
+        K.fit_taste(others, feats, K.sample_negatives(items, 6), rff_gate=18))
+    found = _same_models(got, want)
+    assert len(found) == 4 and any(r.n_rff for r in found.values())
+    monkeypatch.setattr(K, "CHUNK", 25)  # users 0 and 2 by moments alone
+    monkeypatch.setattr(K, "USERS_A_DRAW", 1)
+    _same_models(K.fit_taste_popular(labels, feats, items.select("item_id", "imdb_votes"), 6, rff_gate=18), want)
