@@ -91,7 +91,7 @@ def _standing(df):
 @query("watch_jobs", WATCHED)
 def _(spark, d):
     """The lines in order of time; at the end the watermark stands 36 hours before the newest."""
-    lines = parsed_jobs(spark, d)
+    lines = parsed_jobs(spark, d).select("job_id", "line", "at", "kind", "state", "reason")
     path = W.land_in_order(cut(lines), "lines", "unix_seconds(to_timestamp(at))")
     stream = W.file_stream(spark, path, lines.schema)
     with rocksdb_state(spark):

@@ -6,6 +6,8 @@ both as soon as the watermark passes their time, without another line of the job
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,61 +16,83 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 _OUT = "job_id string, state string, status string, reason string, updated_ms long, wrong long, asked boolean"
-_KEPT = "line long, state string, reason string, updated long, wrong long, asked boolean, over boolean"
+_KEPT = "jobs binary"
 #: The state before any line says one, and what an unanswered pause becomes.
 FIRST, OVER, REASON = "queued", "cancelled", "no choice within a day"
+#: Groups the jobs are dealt to: a call to the state store takes far longer than a job, so a group's jobs share theirs.
+GROUPS = 1024
 
 
 class JobWatch(StatefulProcessor):
-    """One job's standing, kept in one value; its timer is the moment at which silence would mean something."""
+    """The standing of a group of jobs, kept in one value; the group's timer is the first moment at which a job's silence
+    would mean something."""
 
     def __init__(self, running: tuple[str, ...], pause_ms: int, beat_ms: int):
         self.running, self.pause_ms, self.beat_ms = running, pause_ms, beat_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("job", _KEPT)
+        self.kept = handle.getValueState("jobs", _KEPT)
 
     def _limit(self, state: str) -> int | None:
         return self.pause_ms if state == "paused" else self.beat_ms if state in self.running else None
 
-    def _row(self, key, now, silent: bool = False) -> pd.DataFrame:
-        _, state, reason, updated, wrong, asked, _ = now
-        return pd.DataFrame({"job_id": [key[0]], "state": [state], "status": ["interrupted" if silent else state], "reason": [reason],
-                             "updated_ms": [updated], "wrong": [wrong], "asked": [asked]})
+    def _jobs(self) -> dict:
+        """job_id -> (line, state, reason, updated, wrong, asked, over, due): ``due`` is the moment of the job's timer."""
+        return json.loads(zlib.decompress(self.kept.get()[0])) if self.kept.exists() else {}
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = tuple(self.kept.get()) if self.kept.exists() else None
+    def _keep(self, jobs: dict) -> None:
+        self.kept.update((zlib.compress(json.dumps(jobs, separators=(",", ":")).encode(), 1),))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        parts = list(rows)
-        lines = pd.concat(parts, ignore_index=True).sort_values("line", kind="stable")
-        for line, at, kind, state, reason in zip(lines["line"], lines["at_ms"], lines["kind"], lines["state"], lines["reason"]):
+        if (first := min((now[7] for now in jobs.values() if now[7] is not None), default=None)) is not None:
+            self.handle.registerTimer(first)
+
+    @staticmethod
+    def _rows(said: list) -> pd.DataFrame:
+        """Rows of (job, its standing, whether by silence)."""
+        return pd.DataFrame([(job, now[1], "interrupted" if silent else now[1], now[2], now[3], now[4], now[5]) for job, now, silent in said],
+                            columns=["job_id", "state", "status", "reason", "updated_ms", "wrong", "asked"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        jobs, said = self._jobs(), {}
+        lines = pd.concat(list(rows), ignore_index=True).sort_values("line", kind="stable")
+        given = (lines[c].astype(object).where(lines[c].notna(), None) for c in ("job_id", "line", "at_ms", "kind", "state", "reason"))
+        for job, line, at, kind, state, reason in zip(*given):
             line, at = int(line), int(at)
+            now = jobs.get(job)
+            said[job] = True
             if now is None:
                 now = (-1, FIRST, None, at, 0, False, False)
-            last, was, why, updated, wrong, asked, over = now
+            last, was, why, updated, wrong, asked, over = now[:7]
             if line <= last:  # a line seen before, or one that newer lines have overtaken
+                jobs.setdefault(job, now)
                 continue
             if was == "paused" and at - updated > self.pause_ms:
                 was, why, over = OVER, REASON, True
             if kind == "state":
                 was, why, over = state, reason, False
-            now = (line, was, why, at, wrong + (kind == "wrong"), asked or kind == "offer", over)
-        self.kept.update(now)
-        if (limit := self._limit(now[1])) is not None:
-            self.handle.registerTimer(now[3] + limit)
-        yield self._row(key, now)
+            jobs[job] = (line, was, why, at, wrong + (kind == "wrong"), asked or kind == "offer", over)
+        for job in said:
+            now = jobs[job][:7]
+            limit = self._limit(now[1])
+            jobs[job] = (*now, None if limit is None else now[3] + limit)
+        self._keep(jobs)
+        yield self._rows([(job, jobs[job], False) for job in said])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = tuple(self.kept.get())
-        if now[1] == "paused":
-            now = (now[0], OVER, REASON, *now[3:6], True)
-            self.kept.update(now)
-            yield self._row(key, now)
-        else:
-            # Read as interrupted, never written: the next line goes on from the state it had.
-            yield self._row(key, now, silent=True)
+        jobs, said = self._jobs(), []
+        reached = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        for job, now in jobs.items():
+            if now[7] is None or now[7] > reached:
+                continue
+            # A pause ends; a silent job reads as interrupted, never written: the next line goes on from the state it had.
+            paused = now[1] == "paused"
+            jobs[job] = (now[0], OVER, REASON, *now[3:6], True, None) if paused else (*now[:7], None)
+            said.append((job, jobs[job], not paused))
+        if said:
+            self._keep(jobs)
+            yield self._rows(said)
 
     def close(self) -> None:
         pass
@@ -83,12 +107,13 @@ def watch_jobs(lines: DataFrame, running: tuple[str, ...] = ("downloading",), pa
     paused for ``pause_hours`` at most; ``status`` says interrupted while one of the ``running`` states has
     been silent for ``beat_seconds``. Lines up to ``delay`` late still undo what they answer; later ones are
     dropped with the watermark. Lines without a time are left out. Run it in update mode with the
-    RocksDB state store; state is one row per job.
+    RocksDB state store; jobs are dealt to ``GROUPS`` groups by hash, and state is one row per group.
     """
     given = lines.filter(F.col("job_id").isNotNull()).select("job_id", F.col("line").cast("long").alias("line"), F.to_timestamp(at).alias("_at"), "kind", "state", "reason").filter(
         "_at is not null").withColumn("at_ms", F.unix_millis("_at")).withWatermark("_at", delay)
     watch = JobWatch(running, int(pause_hours * 3_600_000), int(beat_seconds * 1000))
-    return given.groupBy("job_id").transformWithStateInPandas(watch, _OUT, "Update", "EventTime").select(
+    dealt = given.withColumn("_group", F.pmod(F.xxhash64("job_id"), F.lit(GROUPS)))
+    return dealt.groupBy("_group").transformWithStateInPandas(watch, _OUT, "Update", "EventTime").select(
         "job_id", "state", "status", "reason", F.timestamp_millis("updated_ms").alias("updated"), "wrong", "asked")
 
 

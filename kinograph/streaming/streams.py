@@ -189,5 +189,5 @@ def land_in_order(df: DataFrame, name: str, by: str, files: int = 4) -> str:
     edges = [None, *sorted(set(cuts)), None]
     for low, high in zip(edges, edges[1:]):
         part = df if low is None else df.filter(F.expr(by) > F.lit(low))
-        (part if high is None else part.filter(F.expr(by) <= F.lit(high))).coalesce(1).write.mode("append").parquet(path)
+        (part if high is None else part.filter(F.expr(by) <= F.lit(high))).repartition(1).write.mode("append").parquet(path)
     return path

@@ -432,3 +432,25 @@ def test_popular_models_try_lifts_and_draw_for_users_without_a_floor(spark, monk
     monkeypatch.setattr(K, "CHUNK", 25)  # users 0 and 2 by moments alone
     monkeypatch.setattr(K, "USERS_A_DRAW", 1)
     _same_models(K.fit_taste_popular(labels, feats, items.select("item_id", "imdb_votes"), 6, rff_gate=18), want)
+
+
+def test_watched_jobs_share_calls_to_the_state_store():
+    import types
+
+    import pandas as pd
+
+    from kinograph.streaming import jobs as J
+
+    held, timers, writes = [], [], []
+    state = types.SimpleNamespace(exists=lambda: bool(held), get=lambda: held[-1], update=lambda v: (held.append(v), writes.append(1)))
+    handle = types.SimpleNamespace(getValueState=lambda *_: state, listTimers=lambda: iter(list(timers)), deleteTimer=timers.remove, registerTimer=timers.append)
+    watch = J.JobWatch(("downloading",), 1000, 30)
+    watch.init(handle)
+    at = lambda ms: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: ms, getExpiryTimeInMs=lambda: ms)
+    lines = pd.DataFrame([(f"j{k}", 1, 10 * k, "state", "paused" if k % 2 else "downloading", None) for k in range(50)], columns=["job_id", "line", "at_ms", "kind", "state", "reason"])
+    said = pd.concat(watch.handleInputRows((0,), iter([lines[:20], lines[20:]]), None))
+    assert sorted(said["job_id"]) == sorted(lines["job_id"]) and len(writes) == 1 and timers == [30]
+    said = pd.concat(watch.handleExpiredTimer((0,), at(50), at(30)))  # jobs 0 and 2 are silent, the next is due at 70
+    assert list(zip(said["job_id"], said["state"], said["status"])) == [("j0", "downloading", "interrupted"), ("j2", "downloading", "interrupted")] and timers == [70]
+    said = pd.concat(watch.handleExpiredTimer((0,), at(1010), at(70)))
+    assert len(said) == 24 and list(said.loc[said["job_id"] == "j1", "status"]) == ["cancelled"] and timers == [1030] and len(writes) == 3
