@@ -555,3 +555,24 @@ def test_moments_over_batches_and_in_groups(spark, monkeypatch, tree):
     for key, r in got.items():
         a = N.augmented(x[k == key], y[k == key])
         assert np.allclose(N.unpack(r.packed, 5), (a * w[k == key][:, None]).T @ a) and abs(r.n - np.sign(w[k == key]).sum()) < 1e-9
+
+
+def test_rough_greedy_equals_greedy():
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(700, 12))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    unit[350:] = unit[:350]  # every row twice: equal ones go to the earlier
+    value = np.tile(rng.uniform(0, 0.3, (5, 350)), 2)
+    value[4, :695] = -np.inf
+    rough = (value + rng.uniform(-1e-4, 1e-4, value.shape)).astype(np.float32)
+    weighed = []
+
+    def exact(i, rows):
+        weighed.append(len(rows))
+        return value[i][rows]
+
+    got = N.rough_greedy(rough, np.full(5, 1.1e-4), exact, unit, np.ascontiguousarray(unit.T, np.float32), 8, 0.55)
+    for i, (picks, gains) in enumerate(got):
+        assert picks.tolist() == N.diverse_greedy(value[i], unit, 8, 0.55, either_way=True)
+        assert np.array_equal(gains, value[i][picks])
+    assert len(got[4][0]) == 5 and max(weighed) < 40  # few rows are weighed exactly
