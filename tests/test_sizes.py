@@ -454,3 +454,21 @@ def test_watched_jobs_share_calls_to_the_state_store():
     assert list(zip(said["job_id"], said["state"], said["status"])) == [("j0", "downloading", "interrupted"), ("j2", "downloading", "interrupted")] and timers == [70]
     said = pd.concat(watch.handleExpiredTimer((0,), at(1010), at(70)))
     assert len(said) == 24 and list(said.loc[said["job_id"] == "j1", "status"]) == ["cancelled"] and timers == [1030] and len(writes) == 3
+
+
+def test_shortlists_of_sheets_leave_their_block_once(spark, monkeypatch):
+    from kinograph.operators import blocks as B
+    from kinograph.operators import slates as L
+    from kinograph.operators import taste as K
+
+    monkeypatch.setattr(B, "BLOCK_ITEMS", 50)
+    items = cut(spark.range(400).select(F.col("id").alias("item_id"), *[F.array(F.sin("id"), F.cos(F.col("id") * F.col("id"))).alias(c) for c in ("vec", "latent")]))
+    titles = items.select("item_id", F.lit("en").alias("language"), (F.col("item_id") * 3).alias("imdb_votes"), F.lit("movie").alias("kind"), F.lit(2000).alias("year"))
+    labels = spark.range(60).select((F.col("id") % 6).alias("user_id"), (F.col("id") * 5).alias("item_id"), (F.col("id") / 60).alias("reward"), F.lit(1.0).alias("weight"))
+    models = cut(K.fit_taste(labels, items, None, allow_rff=False))
+    seen, plain = [], L.top_k_scored
+    monkeypatch.setattr(L, "top_k_scored", lambda df, k, *a, **b: (seen.append((df.groupBy("user_id").count().agg(F.max("count")).first()[0], k)), plain(df, k, *a, **b))[1])
+    some = models.select("user_id")
+    top, best = L._scan(K.mean_weights(models), K.mean_weights(models), items.join(titles, "item_id"), None, 20, 10, None, 0.6, 0.3)
+    assert top.count() == 20 * some.count() and best.count() == 10 * some.count()
+    assert seen == [(20, 20), (10, 10)]  # not so many a sheet, of which there are eight
