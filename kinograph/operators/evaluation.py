@@ -33,13 +33,28 @@ def user_histories(ratings: DataFrame, links: DataFrame, eligible: DataFrame, n_
     return mapped.join(drawn.select("user_id"), "user_id", "left_semi")
 
 
+#: Rows of one user up to which they are placed where they meet; a user of more is placed by a range sort.
+ROWS_TOGETHER = 1_000_000
+
+
 def split_history(history: DataFrame, share: float = 0.4, seed: int = 0) -> DataFrame:
-    """Adds ``known``: the first floor((1-share)·n) of each user's items in hash order."""
+    """Adds ``known``: the first floor((1-share)·n) of each user's items in hash order. The history is stored once, as
+    it is read more than once."""
+    columns = history.columns
+    history = landed(history.filter(F.col("user_id").isNotNull()), "history")
     n = history.groupBy("user_id").agg(F.count("*").alias("_n"))
-    placed = running_totals(history.withColumn("_h", S.hash_order(seed, F.col("user_id"), F.col("item_id"))), ["user_id"], [F.asc("_h"), F.asc("item_id")], {})
+    busy = cut(n.filter(F.col("_n") > ROWS_TOGETHER))
+    some = not busy.isEmpty()
+    # As bytes the hash takes half the room, in the same order.
+    order, user = [F.asc("_h"), F.asc("item_id")], Window.partitionBy("user_id")
+    hashed = history.withColumn("_h", F.unhex(S.hash_order(seed, F.col("user_id"), F.col("item_id"))))
+    few = hashed.join(busy.select("user_id"), "user_id", "left_anti") if some else hashed
+    placed = few.withColumns({"before": F.row_number().over(user.orderBy(*order)) - 1, "_n": F.count("*").over(user)})
+    if some:
+        many = running_totals(hashed.join(busy.select("user_id"), "user_id", "left_semi"), ["user_id"], order, {}).join(busy, "user_id")
+        placed = placed.unionByName(many)
     # The cut truncates, with the product taken in tenths so 0.6·n has no float dust.
-    return placed.join(n, "user_id").withColumn(
-        "known", F.col("before") < F.floor(F.col("_n") * round(10 * (1 - share)) / 10)).drop("_h", "_n", "before")
+    return placed.withColumn("known", F.col("before") < F.floor(F.col("_n") * round(10 * (1 - share)) / 10)).select(*columns, "known")
 
 
 def answers(known: DataFrame, budget: int = 30, seed: int = 0) -> DataFrame:

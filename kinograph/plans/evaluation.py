@@ -8,7 +8,7 @@ from ..operators import evaluation as P
 from ..operators import events as E
 from ..operators import taste as K
 from ..operators import timeline as Z
-from ..session import cut
+from ..session import cut, landed
 from . import roles as R
 from .events import LOOSE, SEQ
 from .registry import query
@@ -53,8 +53,13 @@ def _answers(spark, d):
     return cut(P.answers(P.split_history(histories(spark, d)).filter("known"), 10))
 
 
-def _rel(spark, d):
-    return cut(P.relevance(P.split_history(histories(spark, d)).filter("not known")))
+def _held(spark, d):
+    """The held-out ratings, stored for slates and relevance alike."""
+    return landed(P.split_history(histories(spark, d)).filter("not known").select("user_id", "item_id", "rating"), "held")
+
+
+def _rel(spark, d, held=None):
+    return P.relevance(held if held is not None else _held(spark, d))
 
 
 @query("answers", sql(f"WITH {ANS} SELECT user_id, item_id, round(reward, 9) AS reward FROM an", "ratings"))
@@ -123,14 +128,20 @@ query("arm_taste_popular_negatives")(_arm("taste-popular-negatives"))
 # --- metrics: each user's slate is their ten best-known unseen titles by a hash order ---
 
 
-def slates(spark, d):
+def slates(spark, d, held=None):
     """Two arms per user over the held-out and unrated titles they are shown."""
     from pyspark.sql import Window
 
-    held = P.split_history(histories(spark, d)).filter("not known").select("user_id", "item_id")
+    held = (held if held is not None else _held(spark, d)).select("user_id", "item_id")
     rows = held.withColumn("arm", F.explode(F.array(F.lit("a"), F.lit("b"))))
     w = Window.partitionBy("user_id", "arm").orderBy(F.md5(F.concat_ws("-", "arm", F.col("user_id").cast("string"), F.col("item_id").cast("string"))), "item_id")
-    return cut(rows.withColumn("rank", F.row_number().over(w)).filter("rank <= 10"))
+    return landed(rows.withColumn("rank", F.row_number().over(w)).filter("rank <= 10"), "slates")
+
+
+def _shown(spark, d):
+    """Slates and relevance of the same held-out ratings."""
+    held = _held(spark, d)
+    return slates(spark, d, held), _rel(spark, d, held)
 
 
 SLATES = SPLIT + ", " + REL + """, sla AS (SELECT * FROM (SELECT user_id, arm, item_id, row_number() OVER (PARTITION BY user_id, arm ORDER BY md5(arm || '-' || user_id || '-' || item_id), item_id) AS rank FROM spl, (VALUES ('a'), ('b')) v(arm) WHERE NOT known) WHERE rank <= 10),
@@ -141,22 +152,22 @@ PER = "FROM hx LEFT JOIN idl USING (user_id) LEFT JOIN po USING (user_id) GROUP
 
 @query("ndcg_at_k", sql(f"WITH {SLATES} SELECT user_id, arm, round(coalesce(sum(rel / log2(rank + 1.0)) / max(ideal), 0.0), 9) AS ndcg {PER}", "ratings"))
 def _(spark, d):
-    return P.ndcg_at_k(slates(spark, d), _rel(spark, d)).select("user_id", "arm", F.round("ndcg", 9).alias("ndcg"))
+    return P.ndcg_at_k(*_shown(spark, d)).select("user_id", "arm", F.round("ndcg", 9).alias("ndcg"))
 
 
 @query("precision_recall", sql(f'WITH {SLATES} SELECT user_id, arm, sum(hit) / 10 AS precision, round(coalesce(sum(hit) / max(np), 0.0), 9) AS recall {PER}', "ratings"))
 def _(spark, d):
-    return P.precision_recall(slates(spark, d), _rel(spark, d)).select("user_id", "arm", "precision", F.round("recall", 9).alias("recall"))
+    return P.precision_recall(*_shown(spark, d)).select("user_id", "arm", "precision", F.round("recall", 9).alias("recall"))
 
 
 @query("average_precision", sql(f"WITH {SLATES}, ru AS (SELECT *, sum(hit) OVER (PARTITION BY user_id, arm ORDER BY rank) AS c FROM hx) SELECT user_id, arm, round(coalesce(sum(hit * c / rank) / least(max(np), 10), 0.0), 9) AS map FROM ru LEFT JOIN po USING (user_id) GROUP BY 1, 2", "ratings"))
 def _(spark, d):
-    return P.average_precision(slates(spark, d), _rel(spark, d)).select("user_id", "arm", F.round("map", 9).alias("map"))
+    return P.average_precision(*_shown(spark, d)).select("user_id", "arm", F.round("map", 9).alias("map"))
 
 
 @query("reciprocal_rank", sql(f"WITH {SLATES} SELECT user_id, arm, round(coalesce(1.0 / min(CASE WHEN hit = 1 THEN rank END), 0.0), 9) AS mrr {PER}", "ratings"))
 def _(spark, d):
-    return P.reciprocal_rank(slates(spark, d), _rel(spark, d)).select("user_id", "arm", F.round("mrr", 9).alias("mrr"))
+    return P.reciprocal_rank(*_shown(spark, d)).select("user_id", "arm", F.round("mrr", 9).alias("mrr"))
 
 
 def popularity(spark, d):
@@ -184,13 +195,13 @@ def _(spark, d):
 
 @query("serendipity", sql(f"WITH {SLATES}, tp AS (SELECT item_id FROM titles ORDER BY coalesce(imdb_votes, 0) DESC, item_id LIMIT 200) SELECT user_id, arm, sum(CASE WHEN item_id IN (SELECT item_id FROM tp) THEN 0 ELSE hit END) / 10 AS serendipity FROM hx GROUP BY 1, 2", "titles", "ratings"))
 def _(spark, d):
-    return P.serendipity(slates(spark, d), _rel(spark, d), popularity(spark, d)).select("user_id", "arm", "serendipity")
+    return P.serendipity(*_shown(spark, d), popularity(spark, d)).select("user_id", "arm", "serendipity")
 
 
 @query("summarise_metrics", sql(f"""WITH {SLATES}, m AS (SELECT user_id, arm, coalesce(sum(rel / log2(rank + 1.0)) / max(ideal), 0.0) AS ndcg {PER})
 SELECT arm, 'ndcg' AS metric, count(*) AS n, round(avg(ndcg), 9) AS mean, round(stddev_samp(ndcg) / sqrt(count(*)), 9) AS se FROM m GROUP BY 1""", "ratings"))
 def _(spark, d):
-    out = P.summarise_metrics(P.ndcg_at_k(slates(spark, d), _rel(spark, d)), ["ndcg"])
+    out = P.summarise_metrics(P.ndcg_at_k(*_shown(spark, d)), ["ndcg"])
     return out.select("arm", "metric", "n", F.round("mean", 9).alias("mean"), F.round("se", 9).alias("se"))
 
 
@@ -203,7 +214,7 @@ def _(spark, d):
 SELECT round(avg(v), 9) AS delta, count(*) AS n, round((SELECT avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END) FROM bo), 3) AS p FROM df""", "ratings"))
 def _(spark, d):
     """At the operator's 10,000 rounds."""
-    out = P.paired_bootstrap(P.ndcg_at_k(slates(spark, d), _rel(spark, d)), "a", "b")
+    out = P.paired_bootstrap(P.ndcg_at_k(*_shown(spark, d)), "a", "b")
     return out.select(F.round("delta", 9).alias("delta"), "n", F.round("p", 3).alias("p"))
 
 
@@ -217,7 +228,7 @@ def _(spark, d):
   m4 AS (SELECT user_id, arm, round(CASE WHEN n < 2 THEN 0.0 ELSE 1.0 - s / (n * (n - 1)) END, 6) AS diversity FROM n LEFT JOIN p USING (user_id, arm))
 SELECT * FROM m1 JOIN m2 USING (user_id, arm) JOIN m3 USING (user_id, arm) JOIN m4 USING (user_id, arm)""", "titles", "ratings", "space"))
 def _(spark, d):
-    m = P.ranking_metrics(slates(spark, d), _rel(spark, d), popularity(spark, d), R.space(spark, d))
+    m = P.ranking_metrics(*_shown(spark, d), popularity(spark, d), R.space(spark, d))
     return m.withColumns({**{c: F.round(c, 9) for c in ("ndcg", "recall", "map", "mrr")}, **{c: F.round(c, 6) for c in ("novelty", "diversity")}})
 
 

@@ -472,3 +472,45 @@ def test_shortlists_of_sheets_leave_their_block_once(spark, monkeypatch):
     top, best = L._scan(K.mean_weights(models), K.mean_weights(models), items.join(titles, "item_id"), None, 20, 10, None, 0.6, 0.3)
     assert top.count() == 20 * some.count() and best.count() == 10 * some.count()
     assert seen == [(20, 20), (10, 10)]  # not so many a sheet, of which there are eight
+
+
+def test_split_places_users_where_they_meet_and_busy_ones_by_a_range_sort(spark, monkeypatch):
+    import hashlib
+
+    from kinograph.operators import evaluation as P
+
+    rows = [(u, i, float(i % 5)) for u, n in ((1, 40), (2, 7), (None, 3)) for i in range(n)]
+    history = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    want = set()
+    for u, n in ((1, 40), (2, 7)):
+        order = sorted(range(n), key=lambda i: hashlib.md5(f"0-{u}-{i}".encode()).hexdigest())
+        want |= {(u, i, float(i % 5), at < n * 6 // 10) for at, i in enumerate(order)}
+    plan = P.split_history(history)
+    assert {tuple(r) for r in plan.collect()} == want and plan.columns == ["user_id", "item_id", "rating", "known"]
+    assert plan_of(plan).split("== Initial Plan ==")[-1].count("Exchange ") == 1  # one shuffle by user, of rows that were stored once
+    monkeypatch.setattr(P, "ROWS_TOGETHER", 20)
+    assert {tuple(r) for r in P.split_history(history).collect()} == want
+
+
+def test_slates_and_relevance_share_one_split(spark, monkeypatch):
+    from kinograph.operators import evaluation as P
+    from kinograph.plans import evaluation as plans
+
+    asked, plain = [], P.split_history
+    monkeypatch.setattr(P, "split_history", lambda *a, **b: (asked.append(1), plain(*a, **b))[1])
+    shown, rel = plans._shown(spark, DIR)
+    assert len(asked) == 1
+    shown.count(), rel.count()
+    assert len(asked) == 1
+
+
+def test_als_blocks_grow_in_number(spark, monkeypatch):
+    from pyspark.ml.recommendation import ALS
+
+    given, plain = [], ALS.fit
+    monkeypatch.setattr(ALS, "fit", lambda self, df, *a: (given.append((self.getNumUserBlocks(), self.getNumItemBlocks())), plain(self, df, *a))[1])
+    rows = spark.range(300).select((F.col("id") % 17).alias("user_id"), (F.col("id") % 23).alias("movie_id"), (1.0 + F.col("id") % 3).alias("confidence"))
+    assert I.als_factors(rows, 2, iterations=1).count() == 23
+    monkeypatch.setattr(I, "ALS_BLOCK", 25)
+    assert I.als_factors(rows, 2, iterations=1).count() == 23
+    assert given == [(10, 10), (12, 12)]
